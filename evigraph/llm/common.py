@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task works on at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -60,6 +61,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+def widened(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with the fields of ``ddl`` at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -100,4 +106,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-__all__ = ["components", "cut", "new_path", "partitions", "shared_dir", "slices", "union", "utf8", "written"]
+__all__ = ["components", "cut", "new_path", "partitions", "shared_dir", "slices", "union", "utf8", "widened", "written"]
