@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, neighbours, pages, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, mixing, neighbours, pages, repeats, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.token_files(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash_near_dedup, op3_token_binary_output, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_toxicity,
+        op1_simhash_near_dedup, op2_suffix_array_dedup, op3_token_binary_output, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_toxicity,
         op8_benchmark_decontamination, op9_secret_scan, op10_nearest_neighbours,
     )
 }
