@@ -19,15 +19,15 @@ from .common import cut
 
 SEED = 11
 SAMPLE_ROWS = 16384
-LIST_ROWS = 512
+LIST_ROWS = 1024
 MOST_LISTS = 4096
-PROBED = 0.3
+PROBED = 0.6
 PART_ROWS = 8192
 QUERY_ROWS = 2048
 COLUMNS = 8
 #: Significance of the test: a candidate goes if its partial distance is this many deviations over its share of the limit.
 DEVIATIONS = 3.0
-CHUNK = 512
+CHUNK = 1024
 
 
 def valid(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -72,13 +72,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def scan(q: np.ndarray, own: int, turned: np.ndarray, query: np.ndarray, original: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k nearest of one part to one query, ties to the smaller id. turned, q: rotated; query, original: not."""
+def scan(q: np.ndarray, own: int, turned: np.ndarray, query: np.ndarray, original: np.ndarray, ids: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest of one part to one query, ties to the smaller id. turned, q: rotated; query, original: not.
+    known: a distance that the k nearest of all don't exceed."""
     d = turned.shape[1]
     best_id, best_d = np.empty(0, np.int64), np.empty(0)
     for at in range(0, len(ids), CHUNK):
         alive = np.flatnonzero(ids[at : at + CHUNK] != own) + at
-        limit = best_d[k - 1] if len(best_d) == k else np.inf
+        limit = min(known, best_d[k - 1] if len(best_d) == k else np.inf)
         partial = np.zeros(len(alive))
         for c in range(0, d, COLUMNS):
             end = min(d, c + COLUMNS)
@@ -127,7 +128,7 @@ def neighbours(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str
     kind = "id long, v array<double>, near array<int>"
     held = cut(rows.mapInArrow(place, kind).select("id", "v", F.col("near")[0].alias("list")))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("wanted", F.lit(True))
-    asked = cut(asked.mapInArrow(place, kind).select("id", "v", F.explode("near").alias("list")))
+    asked = cut(asked.mapInArrow(place, kind).select("id", "v", F.posexplode("near").alias("nth", "list")))
     parts = held.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
     sizes = F.broadcast(parts.join(blocks, "list"))  # a row for each list, of which there are at most MOST_LISTS
@@ -142,13 +143,23 @@ def neighbours(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str
             order = np.argsort(ids, kind="stable")
             original, ids = original[order], ids[order]
             turned, queries = original @ turn, matrix(left.column("v").combine_chunks())
-            for own, query in zip(left.column("id").to_pylist(), queries):
-                found, d = scan(query @ turn, own, turned, query, original, ids, k)
+            for own, query, known in zip(left.column("id").to_pylist(), queries, left.column("known").to_pylist()):
+                found, d = scan(query @ turn, own, turned, query, original, ids, k, known)
                 out += zip([own] * len(found), found.tolist(), d.tolist())
         a, b, c = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     key = ["list", "part", "block"]
-    found = asked.select(*key, "id", "v").groupBy(*key).cogroup(held.select(*key, "id", "v").groupBy(*key)).applyInArrow(search, "query_id long, id long, score double")
+    held = held.select(*key, "id", "v")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        pairs = queries.select(*key, "id", "v", "known").groupBy(*key).cogroup(held.groupBy(*key))
+        return pairs.applyInArrow(search, "query_id long, id long, score double")
+
+    # the nearest list first: its k-th distance is a limit for all others
+    near = cut(searched(asked.where("nth = 0").withColumn("known", F.lit(float("inf")))))
+    limits = near.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("d")).select("query_id", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).alias("limit"))
+    rest = asked.where("nth > 0").join(limits, asked["id"] == limits["query_id"], "left").withColumn("known", F.coalesce("limit", F.lit(float("inf"))))
+    found = near.unionByName(searched(rest))
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

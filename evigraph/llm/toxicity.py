@@ -200,10 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out_col(F.col("doc_id")))
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    rows = rows.withColumn("rank", F.xxhash64("doc_id", "text"))
-    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = [(r.text.encode(), y) for y in (1, 0) for r in rows.where(F.col("toxic") == y).orderBy("rank", "doc_id").select("text").limit(sample_rows // 2).collect()]
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
+    n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    best = [r for y in (1, 0) for r in ids.where(F.col("toxic") == y).orderBy("rank", "doc_id").limit(sample_rows // 2).collect()]
+    # at most sample_rows ids
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic, r.rank) for r in best], "id long, toxic int, rank long"))
+    rows = docs.where("text is not null").join(chosen, F.col("doc_id").cast("long") == F.col("id")).select("toxic", "rank", "id", "text").collect()
+    sample = [(r.text.encode(), r.toxic) for r in sorted(rows, key=lambda r: (-r.toxic, r.rank, r.id, r.text))][: 2 * sample_rows]
     texts = docs.select(F.col("text").cast("string").alias("text"))
     if {y for _, y in sample} != {0, 1}:
         return Model([], np.empty(0, np.int64), np.empty(0))
