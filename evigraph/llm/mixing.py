@@ -9,6 +9,8 @@ block indexes of its own, once per pass over the source, and blocks are joined b
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     equal rows are parts of the stream of their own; an empty table gives three empty ones.
     """
     rows = docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size"))
-    rows = cut(placed(rows))
+    rows = cut(placed(cut(rows)))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     wanted = cut(
         wanted.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
@@ -107,11 +109,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
         .withColumn("low", F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
     total = wanted.agg(F.sum("slots")).first()[0] or 0
-    spark, wide, n = docs.sparkSession, total >= PRIMES[0], F.lit(max(1, total)).cast("long")
+    spark, wide, n = docs.sparkSession, total >= PRIMES[0], max(1, total)
+    # the slots' own factor: the first one from the golden section of their number on that has no factor in common with it
+    by = next((x for x in range(int(n * 0.618), n) if gcd(x, n) == 1), 1)
     # an owner for each run of permuted numbers: the sources' ranges are cut at multiples of a stride to be joined by equality
     stride = max(1, total // 4096)
     ranges = wanted.where("slots > 0").withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / stride), F.floor((F.col("low") + F.col("slots") - 1) / stride))))
-    slots = spark.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), n, factor(n, F.lit(seed), wide), F.lit(seed), wide).alias("number")).withColumn("part", F.floor(F.col("number") / stride))
+    slots = spark.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(n), F.lit(by), F.lit(seed), wide).alias("number")).withColumn("part", F.floor(F.col("number") / stride))
     slots = slots.join(ranges, "part").where("number >= low and number < low + slots").withColumn("k", F.col("number") - F.col("low"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("by"), F.concat_ws("/", F.lit(seed), F.coalesce("source", F.lit("\x00")), turn), wide)
