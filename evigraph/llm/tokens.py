@@ -13,8 +13,10 @@ lane: position in words, long, then state, unsigned long), ``payload_crc32``, ``
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,32 +49,61 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_space = '"ByteLevel"' in self.tokenizer.to_str().partition('"pre_tokenizer"')[2][:80] and self.tokenizer.normalizer is None
-        self.kept: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self.by_space or TOGETHER.search(text):
-            return self._encode([text])[0]
-        head, *rest = text.split(" ")
-        kept = self.kept
-        try:
-            return self.first(head) + b"".join([kept[p] for p in rest])
-        except KeyError:
-            new = list({p for p in rest if p not in kept})
-            if len(kept) + len(new) > CACHE_PIECES:
-                kept.clear()
-                new = list(set(rest))
-            kept.update(zip(new, self._encode([" " + p for p in new])))
-            return self.first(head) + b"".join([kept[p] for p in rest])
-
-    def first(self, head: str) -> bytes:
-        return self._encode([head])[0] if head else b""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._encode(m) for m in ".,"}
+        # ids whose bytes begin with a space
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers the ids of the pieces, each behind a space. Of two generations the older one is dropped."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        young, old, stems = self.young, self.old, {}
+        for p in pieces:
+            if (known := old.get(p)) is not None:
+                young[p] = known
+            else:
+                # a full stop or comma behind a letter or digit is a pre-token of its own
+                stems[p] = p[:-1] if p[-1:] in self.marks and p[-2:-1].isalnum() else p
+        new = list({s for s in stems.values() if s and s not in young})
+        if new:
+            # encoded together: no piece holds a space, so it is where the ids of the next one begin
+            ids = self._encode(" " + " ".join(new))
+            cuts = [*(4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist(), len(ids)]
+            if len(cuts) != len(new) + 1:
+                young.update((s, self._encode(" " + s)) for s in new)
+            else:
+                young.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+        if "" in pieces:
+            young[""] = self._encode(" ")
+        for p, s in stems.items():
+            if p != s:
+                young[p] = young[s] + self.marks[p[-1]]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        parts = [None if not self.by_space or TOGETHER.search(t) else t.split(" ") for t in texts]
+        pieces = set()
+        for p in parts:
+            if p:
+                pieces.update(p[1:])
+        missing = pieces.difference(self.young)
+        if missing:
+            held = len(self.young)
+            self.learn(missing)
+            if len(self.young) < held:  # a new generation
+                self.learn(pieces.difference(self.young))
+        get = self.young.__getitem__
+        return [self._encode(t) if p is None else (self._encode(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])) for t, p in zip(texts, parts)]
 
 
 @lru_cache(2)
@@ -188,8 +219,8 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "first", "n", "ids"])
 
         for b in slices(batches):
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                ids = encode(text or "") + end
+            for i, ids in zip(b.column("id").to_pylist(), encode.many([t or "" for t in b.column("text").to_pylist()])):
+                ids += end
                 if held and n + len(ids) // 4 > block_tokens:
                     yield flush()
                     held, parts, n, before, block = [], [], 0, before + n, block + 1
