@@ -1,0 +1,256 @@
+"""The funnel of findings: merging, scope, evidence, status, scoring, publication.
+
+findings: run_id, finding_id, category, skill, severity, confidence, claim, path, start_line, end_line.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.identity import content_sha
+from .common import interval_join
+from .graph_build import enclosing
+
+SEVERITIES = ("critical", "high", "medium", "low", "info")
+MARKER = "<!-- evidence -->"
+NEAR, SCORING = 3, 5
+#: Secret patterns (fixed values of public formats).
+SECRETS = {
+    "aws-access-key": r"AKIA[0-9A-Z]{16}",
+    "github-token": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "slack-token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "bearer": r"(?i)bearer\s+[A-Za-z0-9._-]{20,}",
+    "password-assignment": r"(?i)password\s*[:=]\s*\S{8,}",
+    "token-assignment": r"(?i)token\s*[:=]\s*[\"']?[A-Za-z0-9]{20,}",
+}
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity), F.lit(0)), F.lit(len(SEVERITIES) + 1))
+
+
+def spans(rows: DataFrame, side: str) -> DataFrame:
+    return rows.withColumnsRenamed({"start_line": f"{side}_start", "end_line": f"{side}_end"})
+
+
+def renumber(findings: DataFrame) -> DataFrame:
+    order = Window.partitionBy("run_id").orderBy("skill", "path", F.coalesce("start_line", F.lit(0)), "claim", "finding_id")
+    return findings.withColumn("new_id", F.format_string("F-%04d", F.row_number().over(order)))
+
+
+def islands(findings: DataFrame) -> DataFrame:
+    """Numbers runs of spans that touch each other in a path; a missing span is (0, 0). Groups never cross an island."""
+    w = Window.partitionBy("run_id", "path").orderBy("_s", "finding_id")
+    rows = findings.withColumn("_s", F.coalesce("start_line", F.lit(0))).withColumn("_e", F.coalesce("end_line", "start_line", F.lit(0)))
+    before = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_new", F.when(before.isNull() | (F.col("_s") > before), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w)).drop("_new")
+
+
+def dedupe_findings(findings: DataFrame) -> DataFrame:
+    """(run_id, finding_id, group, canonical): by start, a finding joins the first group whose head it overlaps. The canonical one has
+    the highest severity, then confidence, then the lowest id. Folded per island."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        heads: list = []
+        out = []
+        for r in rows.sort_values(["_s", "finding_id"]).itertuples():
+            head = next((h for h in heads if r._3 <= h[1] and h[0] <= r._4), None)
+            if head is None:
+                head = (r._3, r._4, r.finding_id)
+                heads.append(head)
+            out.append((r.run_id, r.finding_id, head[2]))
+        return pd.DataFrame(out, columns=["run_id", "finding_id", "group"])
+
+    rows = islands(findings)
+    grouped = rows.select("run_id", "finding_id", "_s", "_e", "path", "island").groupBy("run_id", "path", "island").applyInPandas(fold, "run_id string, finding_id string, group string")
+    best = F.first("finding_id").over(Window.partitionBy("run_id", "group").orderBy(severity_rank(F.col("severity")), F.desc("confidence"), "finding_id"))
+    return grouped.join(findings.select("run_id", "finding_id", "severity", "confidence"), ["run_id", "finding_id"]).select("run_id", "finding_id", "group", best.alias("canonical"))
+
+
+def location_exists(findings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """lengths: path, lines. A start needs to lie within the file."""
+    known = F.col("lines").isNotNull() & (F.col("start_line").isNull() | (F.col("start_line") <= F.col("lines")))
+    return findings.join(lengths, "path", "left").withColumn("exists", F.coalesce(known, F.lit(False))).drop("lines")
+
+
+def enclosing_definition(findings: DataFrame, defs: DataFrame) -> DataFrame:
+    """findings with the smallest definition (path, start_line, end_line, id) around their first line."""
+    points = findings.select("run_id", "finding_id", "path", F.col("start_line").alias("l_start"), F.col("start_line").alias("l_end"))
+    around = defs.select("path", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"), F.col("id").alias("symbol"))
+    return enclosing(points, around, ["path"], "symbol").select("run_id", "finding_id", "symbol")
+
+
+def fingerprint(category: Column, path: Column, symbol: Column) -> Column:
+    """A missing symbol stays in the hashed text as null."""
+    return content_sha({"category": category, "path": path, "symbol": symbol}, keep_nulls=True)
+
+
+def match_memory(findings: DataFrame, memory: DataFrame) -> DataFrame:
+    """Findings (repository_id, fingerprint, blob, span) that a remembered rejection with an overlapping span covers."""
+    keys = ["repository_id", "fingerprint", "blob"]
+    left = spans(findings.select("run_id", "finding_id", *keys, "start_line", "end_line"), "l")
+    return interval_join(left, spans(memory.select(*keys, "start_line", "end_line"), "r"), keys).select("run_id", "finding_id").distinct()
+
+
+def remember(verdicts: DataFrame, findings: DataFrame, memory: DataFrame) -> DataFrame:
+    """New memory rows of rejected findings; what is there stays."""
+    keys = ["repository_id", "fingerprint", "blob"]
+    rows = findings.join(verdicts.where("status = 'rejected'").select("run_id", "finding_id"), ["run_id", "finding_id"], "left_semi")
+    rows = rows.groupBy(*keys).agg(F.min(F.struct("run_id", "finding_id", "start_line", "end_line")).alias("r")).select(*keys, "r.*")
+    return rows.join(memory.select(*keys), keys, "left_anti")
+
+
+def diagnostics_near(findings: DataFrame, diagnostics: DataFrame, tolerance: int = NEAR) -> DataFrame:
+    """(finding, kind, n): diagnostics (path, span, level) within ``tolerance`` lines; warnings are static analysis, else compiler."""
+    left = spans(findings.select("run_id", "finding_id", "path", "start_line", "end_line"), "l")
+    pairs = interval_join(left, spans(diagnostics.select("path", "start_line", "end_line", "level"), "r"), ["path"], tolerance=tolerance)
+    kind = F.when(F.col("level") == "warning", "static-analysis").otherwise("compiler")
+    return pairs.groupBy("run_id", "finding_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def eligibility(verdicts: DataFrame) -> DataFrame:
+    """Validated, with counter-evidence, and with independent review or a deterministic proof whose exit code isn't 0."""
+    proof = F.exists("evidence", lambda e: (e["kind"] == "independent-review") | (e["kind"].isin("test", "compiler", "static-analysis") & (e["exit_code"].isNull() | (e["exit_code"] != 0))))
+    reason = F.when(F.col("status") != "validated", "not validated").when(F.size("counter_evidence") == 0, "no counter-evidence").when(~F.coalesce(proof, F.lit(False)), "no independent evidence")
+    return verdicts.withColumn("reason", reason).withColumn("eligible", reason.isNull())
+
+
+def resolve_status(findings: DataFrame, dedupe: DataFrame, dead: DataFrame, suppressed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every candidate's last status: duplicate, rejected for its place, suppressed by memory, its verdict, else unresolved."""
+    key = ["run_id", "finding_id"]
+    rows = findings.select(*key).join(dedupe.select(*key, "canonical"), key, "left")
+    for name, side in (("dead", dead), ("suppressed", suppressed)):
+        rows = rows.join(side.select(*key).distinct().withColumn(name, F.lit(True)), key, "left")
+    rows = rows.join(verdicts.select(*key, F.col("status").alias("verdict")), key, "left")
+    status = F.when(F.col("canonical") != F.col("finding_id"), "duplicate").when(F.col("dead"), "rejected").when(F.col("suppressed"), "suppressed").otherwise(F.coalesce("verdict", F.lit("unresolved")))
+    return rows.select(*key, status.alias("status"))
+
+
+def classify_scope(findings: DataFrame, changed: DataFrame, added: DataFrame | None) -> DataFrame:
+    """introduced (an added line in the span), adjacent (same file), pre-existing; introduced where there is no diff."""
+    if added is None:
+        return findings.withColumn("scope", F.lit("introduced"))
+    left = spans(findings, "l")
+    lines = added.select("path", F.col("line").alias("r_start"), F.col("line").alias("r_end"))
+    hit = interval_join(left.select("run_id", "finding_id", "path", "l_start", "l_end"), lines, ["path"]).select("run_id", "finding_id").distinct().withColumn("_in", F.lit(True))
+    near = changed.select("path").distinct().withColumn("_near", F.lit(True))
+    rows = findings.join(hit, ["run_id", "finding_id"], "left").join(near, "path", "left")
+    return rows.withColumn("scope", F.when(F.col("_in"), "introduced").when(F.col("_near"), "adjacent").otherwise("pre-existing")).drop("_in", "_near")
+
+
+def blocking(scoped: DataFrame, safeguards: DataFrame) -> DataFrame:
+    removed = safeguards.select("run_id", "finding_id").distinct().withColumn("_safe", F.lit(True))
+    return scoped.join(removed, ["run_id", "finding_id"], "left").withColumn("blocking", (F.col("scope") == "introduced") | F.coalesce("_safe", F.lit(False))).drop("_safe")
+
+
+def blocking_split(scoped: DataFrame) -> DataFrame:
+    return scoped.groupBy("run_id", "scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("finding_id")), ",").alias("ids"))
+
+
+def review_report(status: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(finding, publishable, place): validated and eligible ones first by severity and id, then what is withheld."""
+    rows = status.join(eligible.select("run_id", "finding_id", "eligible", "severity"), ["run_id", "finding_id"], "left")
+    rows = rows.withColumn("publishable", (F.col("status") == "validated") & F.coalesce("eligible", F.lit(False)))
+    w = Window.partitionBy("run_id", "publishable").orderBy(severity_rank(F.col("severity")), "finding_id")
+    return rows.select("run_id", "finding_id", "status", "publishable", F.row_number().over(w).alias("place"))
+
+
+def funnel(candidates: DataFrame, status: DataFrame) -> DataFrame:
+    """Counts per status of what was proposed; what has no row is a candidate. The total is the row with no status."""
+    rows = candidates.select("run_id", "finding_id").join(status, ["run_id", "finding_id"], "left").withColumn("status", F.coalesce("status", F.lit("candidate")))
+    return rows.groupBy("run_id", "status").agg(F.count("*").alias("n")).unionByName(rows.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", F.lit("proposed").alias("status"), "n"))
+
+
+def score(findings: DataFrame, key_lines: DataFrame, tolerance: int = SCORING) -> DataFrame:
+    """(key_id, role, finding_id): expected items, then decoys, in order claim the first free finding within ``tolerance`` lines of their
+    line. Claims never cross a path, so they are folded per run and path. key_lines: key_id, role, path, line."""
+    keys = key_lines.select("key_id", "role", "path", F.col("line").alias("r_start"), F.col("line").alias("r_end"))
+    pairs = interval_join(spans(findings.select("run_id", "finding_id", "path", "start_line", "end_line"), "l"), keys, ["path"], tolerance=tolerance)
+
+    def claim(rows: pd.DataFrame) -> pd.DataFrame:
+        used, taken, out = set(), set(), []
+        for r in rows.assign(_o=(rows.role != "expected").astype(int)).sort_values(["_o", "key_id", "finding_id"]).itertuples():
+            if r.finding_id not in used and r.key_id not in taken:
+                used.add(r.finding_id)
+                taken.add(r.key_id)
+                out.append((r.run_id, r.key_id, r.role, r.finding_id))
+        return pd.DataFrame(out, columns=["run_id", "key_id", "role", "finding_id"])
+
+    return pairs.select("run_id", "path", "key_id", "role", "finding_id").groupBy("run_id", "path").applyInPandas(claim, "run_id string, key_id string, role string, finding_id string")
+
+
+def score_metrics(claims: DataFrame, findings: DataFrame, key_lines: DataFrame) -> DataFrame:
+    """matched, missed, decoys, unmatched, recall and precision (unrounded, null without a denominator) of each run."""
+    n = findings.groupBy("run_id").agg(F.count("*").alias("findings"))
+    expected = key_lines.where("role = 'expected'").agg(F.count("*").alias("expected"))
+    c = claims.groupBy("run_id").agg(F.count(F.when(F.col("role") == "expected", 1)).alias("matched"), F.count(F.when(F.col("role") != "expected", 1)).alias("decoys"))
+    # one row, of a count
+    rows = n.join(c, "run_id", "left").join(F.broadcast(expected)).na.fill(0, ["matched", "decoys"])
+    return rows.select("run_id", "matched", (F.col("expected") - F.col("matched")).alias("missed"), "decoys", (F.col("findings") - F.col("matched") - F.col("decoys")).alias("unmatched"), F.try_divide("matched", "expected").alias("recall"), F.try_divide("matched", "findings").alias("precision"))
+
+
+def coverage(offered: DataFrame, reads: DataFrame, measured: DataFrame) -> DataFrame:
+    """Per reviewer how many offered paths were read and missed; null for reviewers that weren't measured."""
+    key = ["run_id", "reviewer"]
+    rows = offered.select(*key, "path").distinct().join(reads.select(*key, "path").distinct().withColumn("_r", F.lit(1)), [*key, "path"], "left")
+    n = rows.groupBy(*key).agg(F.count("_r").alias("read"), (F.count("*") - F.count("_r")).alias("unread")).join(measured, key, "left")
+    known = F.coalesce("measured", F.lit(False))
+    return n.select(*key, known.alias("measured"), F.when(known, F.col("read")).alias("read"), F.when(known, F.col("unread")).alias("unread"))
+
+
+def normalize_reads(reads: DataFrame, root: str) -> DataFrame:
+    """Paths relative to ``root`` with forward slashes; directories go."""
+    clean = F.replace("path", F.lit("\\"), F.lit("/"))
+    inside = F.regexp_replace(F.when(clean.startswith(root + "/"), F.substring(clean, len(root) + 2, 1 << 30)).otherwise(clean), r"^\./", "")
+    return reads.withColumn("path", inside).where("path != '' and path not like '%/'").distinct()
+
+
+def attack_path_candidates(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return findings.where("category = 'security'").join(verdicts.where("status = 'validated'").select("run_id", "finding_id"), ["run_id", "finding_id"], "left_semi")
+
+
+def anchor_comments(findings: DataFrame, added: DataFrame) -> DataFrame:
+    """(finding, from_line, to_line, inline): the whole span if all of it is added, else the first added line; none: outside the diff."""
+    left = spans(findings.select("run_id", "finding_id", "path", "start_line", "end_line"), "l")
+    lines = added.select("path", F.col("line").alias("r_start"), F.col("line").alias("r_end")).distinct()
+    hits = interval_join(left, lines, ["path"]).groupBy("run_id", "finding_id").agg(F.min("r_start").alias("first"), F.count("*").alias("n"))
+    rows = findings.select("run_id", "finding_id", "path", "start_line", "end_line").join(hits, ["run_id", "finding_id"], "left")
+    end = F.coalesce("end_line", "start_line")
+    whole = F.col("n") == end - F.col("start_line") + 1
+    return rows.select("run_id", "finding_id", F.when(whole, F.col("start_line")).otherwise(F.col("first")).alias("from_line"), F.when(whole, end).otherwise(F.col("first")).alias("to_line"), F.col("first").isNotNull().alias("inline"))
+
+
+def split_posted(comments: DataFrame, existing: DataFrame) -> DataFrame:
+    """comments with posted: whether one with our marker stands at the same path and line."""
+    ours = existing.where(F.instr("body", MARKER) > 0).select("path", F.col("line").alias("from_line")).distinct().withColumn("_p", F.lit(True))
+    return comments.join(ours, ["path", "from_line"], "left").withColumn("posted", F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def scan_secrets(texts: DataFrame, patterns: dict[str, str] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, names): which patterns occur in each text that has one."""
+    found = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), n) for n, p in sorted((patterns or SECRETS).items()))))
+    return texts.select(key, F.array_join(found, ",").alias("names")).where("names != ''")
+
+
+def permalink(owner: Column, repo: Column, sha: Column, path: Column, start: Column, end: Column) -> Column:
+    base = F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit("/blob/"), sha, F.lit("/"), path)
+    return F.when(start.isNull(), base).when(end.isNull() | (end == start), F.concat(base, F.lit("#L"), start)).otherwise(F.concat(base, F.lit("#L"), start, F.lit("-L"), end))
+
+
+def verify_requirements(requirements: DataFrame, files: DataFrame) -> DataFrame:
+    """Requirements with the kind that their citation supports: uncited kinds pass; without a known path the rest are inferred."""
+    known = files.select(F.col("path").alias("source_ref")).distinct().withColumn("_k", F.lit(True))
+    cited = F.col("source_kind").isin("adr", "spec", "repository-rule")
+    rows = requirements.join(known, "source_ref", "left")
+    problem = F.when(F.col("source_kind").isin("inferred", "change-description"), None).when(~cited, "unknown kind").when(F.col("source_ref").isNull(), "no reference").when(F.col("_k").isNull(), "unknown path")
+    return rows.select("id", F.when(problem.isNull(), F.col("source_kind")).otherwise("inferred").alias("source_kind"), problem.alias("problem"))
+
+
+def focus_subset(threats: DataFrame, focus: DataFrame) -> DataFrame:
+    """Threats whose path is in the focus, as one text per repository; null for repositories without threats."""
+    rows = threats.join(focus.select("repository_id", "path").distinct(), ["repository_id", "path"], "left_semi")
+    n = rows.groupBy("repository_id").agg(F.array_join(F.array_sort(F.collect_set("threat")), ",").alias("threats"))
+    return focus.select("repository_id").distinct().join(n, "repository_id", "left")
