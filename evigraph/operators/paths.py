@@ -100,7 +100,7 @@ def rank_matches(nodes: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame
     """(query, rank, id): six classes of matches, then shorter labels, then label and id. Queries are a stated set of requests."""
     q, label, path = F.lower("query"), F.lower("label"), F.lower(F.coalesce("path", F.lit("")))
     asked = F.broadcast(queries.where(F.length("query") >= 2).select("query").distinct())
-    score = F.when(label == q, 0).when(label.startswith(q), 1).when(label.rlike(F.concat(F.lit(r"[_\W]"), F.regexp_replace(q, r"([^a-z0-9])", r"\\$1"))), 2).when(F.instr(label, q) > 0, 3).when(path.endswith(q), 4).when(F.instr(path, q) > 0, 5)
+    score = F.when(label == q, 0).when(label.startswith(q), 1).when(F.regexp_like(label, F.concat(F.lit(r"[_\W]"), F.regexp_replace(q, r"([^a-z0-9])", r"\\$1"))), 2).when(F.instr(label, q) > 0, 3).when(path.endswith(q), 4).when(F.instr(path, q) > 0, 5)
     rows = nodes.select(*G, "id", "label", "path").join(asked, (F.instr(label, q) > 0) | (F.instr(path, q) > 0)).withColumn("class", score)
     return top(rows, [*G, "query"], [F.asc("class"), F.length("label"), F.asc("label"), F.asc("id")], k).select(*G, "query", "rank", "id", "class")
 

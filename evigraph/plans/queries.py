@@ -452,12 +452,12 @@ def w5_gate_views(i):
     return W.gate_views(viewed(i))
 
 
-@query("RECURSIVE " + REACH + ", same AS (SELECT w.revision, a.level, w.src, w.dst FROM weights w JOIN levels a ON a.path = w.src AND a.revision = w.revision JOIN levels b ON b.path = w.dst AND b.revision = w.revision WHERE a.level = b.level), both AS (SELECT revision, level, src, dst FROM same UNION SELECT revision, level, dst, src FROM same), walk AS (SELECT revision, level, path AS src, path AS dst FROM levels UNION SELECT w.revision, w.level, w.src, b.dst FROM walk w JOIN both b ON b.src = w.dst AND b.revision = w.revision AND b.level = w.level) SELECT 'main' AS repository_id, revision, level, src AS node, min(dst) AS component FROM walk GROUP BY ALL", *GRAPH)
+@query("RECURSIVE " + REACH + ", same AS (SELECT w.revision, a.level, w.src, w.dst FROM weights w JOIN levels a ON a.path = w.src AND a.revision = w.revision JOIN levels b ON b.path = w.dst AND b.revision = w.revision WHERE a.level = b.level), pairs AS (SELECT revision, level, src, dst FROM same UNION SELECT revision, level, dst, src FROM same), walk AS (SELECT revision, level, path AS src, path AS dst FROM levels UNION SELECT w.revision, w.level, w.src, b.dst FROM walk w JOIN pairs b ON b.src = w.dst AND b.revision = w.revision AND b.level = w.level) SELECT 'main' AS repository_id, revision, level, src AS node, min(dst) AS component FROM walk GROUP BY ALL", *GRAPH)
 def w8_level_groups(i):
     return W.level_groups(levels_of(i), O.module_deps(i.nodes, i.edges))
 
 
-@query("AND ends AS (SELECT repository_id, revision, path AS label, d.n AS depth, array_to_string(list_slice(string_split(path, '/'), len(string_split(path, '/')) - d.n + 1, len(string_split(path, '/'))), '/') AS short FROM files, range(1, 4) d(n) WHERE d.n <= len(string_split(path, '/'))), c AS (SELECT *, count(*) OVER (PARTITION BY revision, short) AS n FROM ends) SELECT repository_id, revision, 'all' AS view, label, coalesce(min_by(short, depth) FILTER (n = 1), label) AS short FROM c GROUP BY ALL", "files")
+@query("AND ends AS (SELECT repository_id, revision, path AS label, d.n AS depth, array_to_string(list_slice(string_split(path, '/'), len(string_split(path, '/')) - d.n + 1, len(string_split(path, '/'))), '/') AS short FROM files, range(1, 4) d(n) WHERE d.n <= len(string_split(path, '/'))), c AS (SELECT *, count(*) OVER (PARTITION BY revision, short) AS n FROM ends) SELECT repository_id, revision, 'all' AS view, label, coalesce(min_by(short, depth) FILTER (n = 1), label) AS short FROM c GROUP BY repository_id, revision, label", "files")
 def w9_short_names(i):
     return W.short_names(i.files.select(*G, F.lit("all").alias("view"), F.col("path").alias("label")))
 
@@ -790,9 +790,9 @@ def l6_snapshot_conflicts(i):
     return L.snapshot_conflicts(i.run_artifacts.withColumnRenamed("sha256", "hash"))
 
 
-@query("SELECT CAST(o_orderkey AS STRING) AS revision, (SELECT min_by(CAST(l_partkey AS STRING), {'a': l_orderkey, 'b': l_linenumber}) FROM lineitem l WHERE l_suppkey % 2 = 0 AND l.l_orderkey = o.o_orderkey) AS from_run FROM orders o")
+@query("SELECT CAST(o_orderkey AS STRING) AS revision, (SELECT min_by(CAST(l_partkey AS STRING), {'a': l_linenumber, 'b': l_partkey}) FROM lineitem l WHERE l_suppkey % 2 = 0 AND l.l_orderkey = o.o_orderkey) AS from_run FROM orders o")
 def l7_graph_reuse(i):
-    cache = i.lineitem.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("revision"), F.lit("t").alias("fingerprint"), F.struct("l_orderkey", "l_linenumber").alias("id"), F.col("l_partkey").cast("string").alias("run_id"))
+    cache = i.lineitem.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("revision"), F.lit("t").alias("fingerprint"), F.struct("l_linenumber", "l_partkey").alias("id"), F.col("l_partkey").cast("string").alias("run_id"))
     return L.graph_reuse(i.orders.select(F.col("o_orderkey").cast("string").alias("revision"), F.lit("t").alias("fingerprint")), cache).select("revision", "from_run")
 
 
@@ -835,7 +835,7 @@ def l13_run_status(i):
     return L.run_status(i.run_events.select("run_id").distinct(), failures)
 
 
-@query("SELECT run_id, stage, max_by(event, seq) FILTER (event IN ('finished', 'failed')) AS outcome, epoch_us(max(at) FILTER (event IN ('finished', 'failed'))) - epoch_us(min(at) FILTER (event = 'started')) AS micros FROM run_events GROUP BY run_id, stage", "run_events")
+@query("SELECT run_id, stage, max_by(event, seq) FILTER (event IN ('finished', 'failed')) AS outcome, epoch_us(max(run_events.at) FILTER (event IN ('finished', 'failed'))) - epoch_us(min(run_events.at) FILTER (event = 'started')) AS micros FROM run_events GROUP BY run_id, stage", "run_events")
 def l14_stage_timeline(i):
     return L.stage_timeline(i.run_events).select("run_id", "stage", "outcome", "micros")
 
