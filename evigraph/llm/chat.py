@@ -5,8 +5,8 @@ conversations, ordered by their chains of nodes, are in depth-first order of the
 predecessor in the shard lacks. Every emitted segment carries its place in the shard's output, its position ids (which run on from its
 ancestors', not from its neighbours') and the intervals of the output that it attends to: those of its ancestors.
 
-The template marks a turn as ``<|role|>``, text, ``<|end|>``. In roles and texts a backslash, ``<`` and ``[`` are written as ``\\\\``,
-``\\l`` and ``\\b``, so no control string of this or a similar template can stand inside a text, and the texts come back unchanged.
+The template marks a turn as ``<|role|>``, text, ``<|end|>``. In roles and texts a backslash, ``<``, ``[`` and ``|`` are written as
+``\\\\``, ``\\l``, ``\\b`` and ``\\p``, so no control string of this or a similar template can stand inside a text, and the texts come back unchanged.
 """
 
 from __future__ import annotations
@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, new_path, partitions
 
-ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
+ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}
 PLAIN = {v: k for k, v in ESCAPES.items()}
 LOSS_ROLE = "assistant"
 SHORT = 16  # bytes of a node
 
 
 def escaped(text: str) -> str:
-    return re.sub(r"[\\<\[]", lambda m: ESCAPES[m[0]], text)
+    return re.sub(r"[\\<\[|]", lambda m: ESCAPES[m[0]], text)
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\[\\lb]", lambda m: PLAIN[m[0]], text)
+    return re.sub(r"\\[\\lbp]", lambda m: PLAIN[m[0]], text)
 
 
 def segment(role: str, text: str) -> tuple[str, int, int]:

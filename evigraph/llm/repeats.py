@@ -27,9 +27,12 @@ LENGTH = 200
 REACH = 64
 GRAM = 16
 KEY = 10
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+#: Bytes of text whose names are sent together.
+NAMED_BYTES = 16 << 20
 #: Sampled positions that are merged with their surroundings at once.
-ROWS = 1 << 14
+ROWS = 1 << 16
+CHUNK = 4096
 
 _rng = np.random.default_rng(17)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,11 +117,11 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 ROW = "bucket int, key binary, data binary"
-ANSWER = "key binary, data binary"
+ANSWER = "home int, key binary, data binary"
 
 
 def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "key": pa.binary(), "data": pa.binary()}
+    kinds = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "data": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names))], names=list(names))
 
 
@@ -132,11 +135,41 @@ def _answers(keys: np.ndarray, **columns: np.ndarray) -> list[tuple[bytes, bytes
     return [(keys[a].tobytes().ljust(KEY, b"\0"), pack(**{n: c[a:b] for n, c in columns.items()})) for a, b in zip(cuts, cuts[1:])]
 
 
+def _packed(keys: np.ndarray, buckets: int, **columns: np.ndarray) -> list[tuple[int, None, bytes]]:
+    """Answers for many texts, a row for each home of texts."""
+    heads = keys.view(np.uint8).reshape(-1, KEY)[:, :6].astype(np.uint64)
+    home = ((heads << (np.arange(6, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+    rows = []
+    for h in range(buckets):
+        i = order[cuts[h] : cuts[h + 1]]
+        if len(i):
+            rows.append((h, None, pack(keys=keys[i].view(np.uint8), **{n: c[i] for n, c in columns.items()})))
+    return rows
+
+
+def gathered(answers: DataFrame) -> DataFrame:
+    """(key, data): the answers of all buckets put together, one row for each text."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        parts: dict[str, list[np.ndarray]] = {}
+        for key, data in zip(group.column("key").to_pylist(), group.column("data").to_pylist()):
+            p = unpack(data)
+            p["keys"] = p["keys"].view(f"S{KEY}") if key is None else np.full(len(p["at"]), key, f"S{KEY}")
+            for n, c in p.items():
+                parts.setdefault(n, []).append(c)
+        columns = {n: np.concatenate(c) for n, c in parts.items()}
+        return pa.Table.from_batches([_batch(_answers(columns.pop("keys"), **columns), ("key", "data"))])
+
+    return answers.groupBy("home").applyInArrow(gather, "key binary, data binary")
+
+
 def named(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     """(key, data): the sampled positions of each text whose name occurs elsewhere in ``texts`` (text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=NAMED_BYTES):
             unique = {key_of(t): t for t in utf8(b.column("text")) if len(t) >= length}
             found = [sampled(np.frombuffer(t, np.uint8), length) for t in unique.values()]
             if not found:
@@ -165,7 +198,7 @@ def named(texts: DataFrame, buckets: int, length: int) -> DataFrame:
         rows, parts = [], []
         for key, data in zip(group.column("key").to_pylist(), group.column("data").to_pylist()):
             if key is not None:
-                rows.append((key, data))
+                rows.append((_home(key, buckets), key, data))
             else:
                 p = unpack(data)
                 name = np.zeros((len(p["at"]), 8), np.uint8)
@@ -181,10 +214,10 @@ def named(texts: DataFrame, buckets: int, length: int) -> DataFrame:
             run = np.cumsum(start) - 1
             several = np.bincount(run, fresh) + np.bincount(run, again)
             wanted = (several[run] > 1) & fresh & ~again
-            rows += _answers(key[wanted], at=at[wanted])
-        return pa.Table.from_batches([_batch(rows, ("key", "data"))])
+            rows += _packed(key[wanted], buckets, at=at[wanted])
+        return pa.Table.from_batches([_batch(rows, ("home", "key", "data"))])
 
-    return texts.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(settle, ANSWER)
+    return gathered(texts.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(settle, ANSWER))
 
 
 def _around(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,9 +259,12 @@ def merged(work: DataFrame, buckets: int, length: int) -> DataFrame:
             keys = np.concatenate([np.full(len(at), key, f"S{KEY}") for key, _, at in group])
             rows, left, right = (np.concatenate(x) for x in zip(*(_around(text, at, length) for _, text, at in group)))
             at = np.concatenate([x for _, _, x in group]).astype(np.uint32)
-            sums = prefixes(rows)
-            name = _window(sums, REACH - 1, length - REACH + 1)
-            whole = _window(sums, 0, width) ^ (left.astype(np.uint64) * _MIX) ^ (right.astype(np.uint64) << np.uint64(40))
+            name, whole = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint64)
+            for a in range(0, len(rows), CHUNK):
+                sums = prefixes(rows[a : a + CHUNK])
+                name[a : a + CHUNK] = _window(sums, REACH - 1, length - REACH + 1)
+                whole[a : a + CHUNK] = _window(sums, 0, width)
+            whole ^= (left.astype(np.uint64) * _MIX) ^ (right.astype(np.uint64) << np.uint64(40))
             _, first, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             again = count[inverse] > 1
             out = [(_home(k, buckets), k, d) for k, d in _answers(keys[again], at=at[again], bits=_allowed(left[again], right[again], length))]
@@ -244,19 +280,20 @@ def merged(work: DataFrame, buckets: int, length: int) -> DataFrame:
         rows, parts = [], []
         for key, data in zip(group.column("key").to_pylist(), group.column("data").to_pylist()):
             if key is not None:
-                rows.append((key, data))
+                rows.append((_home(key, buckets), key, data))
                 continue
             p = unpack(data)
             h = np.empty((len(p["at"]), REACH), np.uint64)
             bytes_ = p["rows"].reshape(-1, width)
-            for a in range(0, len(h), 4096):
-                sums = prefixes(bytes_[a : a + 4096])
+            for a in range(0, len(h), CHUNK):
+                sums = prefixes(bytes_[a : a + CHUNK])
                 name = _window(sums, REACH - 1, length - REACH + 1)
                 for d in range(REACH):
-                    h[a : a + 4096, d] = _window(sums, REACH - 1 - d, length) ^ (name * np.uint64(2 * d + 3))
+                    h[a : a + CHUNK, d] = _window(sums, REACH - 1 - d, length) ^ (name * np.uint64(2 * d + 3))
             parts.append((h, p["at"], p["again"], _allowed(p["left"], p["right"], length), p["keys"].view(f"S{KEY}")))
         if parts:
             h, at, again, allowed, key = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             bits, shift = np.zeros(len(at), np.uint64), np.arange(REACH, dtype=np.uint64)
             for d in range(REACH):
                 may = np.flatnonzero((allowed >> shift[d]) & np.uint64(1))
@@ -267,10 +304,10 @@ def merged(work: DataFrame, buckets: int, length: int) -> DataFrame:
                     several = np.bincount(run) + np.bincount(run, again[order])
                     bits[order[several[run] > 1]] |= np.uint64(1) << shift[d]
             wanted = (bits > 0) & ~again
-            rows += _answers(key[wanted], at=at[wanted], bits=bits[wanted])
-        return pa.Table.from_batches([_batch(rows, ("key", "data"))])
+            rows += _packed(key[wanted], buckets, at=at[wanted], bits=bits[wanted])
+        return pa.Table.from_batches([_batch(rows, ("home", "key", "data"))])
 
-    return work.select("key", "text", "marks").mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(settle, ANSWER)
+    return gathered(work.select("key", "text", "marks").mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(settle, ANSWER))
 
 
 def _window(sums: np.ndarray, at: int, size: int) -> np.ndarray:
@@ -310,11 +347,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total // BUCKET_BYTES))
     copies = cut(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("rep")))
-    marks = named(rows.select("text"), buckets, length).groupBy("key").agg(F.collect_list("data").alias("marks"))
+    marks = named(rows.select("text"), buckets, length).select("key", F.array("data").alias("marks"))
     side = cut(marks.join(copies, "key").select("key", "rep", "marks"))
     same = (rows["key"] == side["key"]) & rows["id"].eqNullSafe(side["rep"])
     work = written(rows.join(side, same).select(rows["key"], "text", "marks"), "repeats")
-    answers = merged(work, buckets, length).groupBy("key").agg(F.collect_list("data").alias("answers"))
+    answers = merged(work, buckets, length).select("key", F.array("data").alias("answers"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

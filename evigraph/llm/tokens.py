@@ -34,7 +34,7 @@ BLOCK_TOKENS = 1 << 19
 STEP_IDS = 256
 LANES = 512
 LOW = np.uint64(1 << 31)
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: White space of any kind beside a space: there, the pieces between spaces can't be encoded one by one.
 TOGETHER = re.compile(r" \s|\s ")
 

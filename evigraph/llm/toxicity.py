@@ -33,7 +33,9 @@ DISCOUNT = 0.75
 SUPPORT = 3
 #: Probability of a byte after two others that the corpus never has together.
 UNSEEN = 1e-4
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
+#: Bytes that words and the blanks between them are made of; the triples of all others don't occur.
+ALPHABET = np.array([32, *range(48, 58), *range(97, 123), *range(128, 256)], np.int64)
 
 
 def held_out(doc_id) -> bool:
@@ -176,17 +178,22 @@ def calibrate(model: Model, rows: list[tuple[bytes, int]], prior: float = 0.5) -
 
 
 def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Byte triples in the words of all of ``texts`` and how often each occurs; at most one row for each of the 2**24 returns."""
+    """Byte triples in the words of all of ``texts`` and how often each occurs; at most one row for each of them
+    (under 4.5 million) returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 24, np.int64)
+        size = len(ALPHABET)
+        place = np.zeros(256, np.int32)
+        place[ALPHABET] = np.arange(size)
+        counts = np.zeros(size**3, np.int64)
         for b in slices(batches):
-            line = b" ".join([b"", *(b" ".join(words(t)) for t in utf8(b.column("text"))), b""])
-            x = np.frombuffer(line, np.uint8).astype(np.int32)
+            x = place[np.frombuffer(b" ".join([b"", *(b" ".join(words(t)) for t in utf8(b.column("text"))), b""]), np.uint8)]
             if len(x) > 2:
-                counts += np.bincount((x[:-2] << 16) | (x[1:-1] << 8) | x[2:], minlength=1 << 24)
+                counts += np.bincount((x[:-2] * size + x[1:-1]) * size + x[2:], minlength=size**3)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["triple", "n"])
+        first, second, third = some // size**2, some // size % size, some % size
+        triple = (ALPHABET[first] << 16) | (ALPHABET[second] << 8) | ALPHABET[third]
+        yield pa.RecordBatch.from_arrays([pa.array(triple), pa.array(counts[some])], names=["triple", "n"])
 
     rows = texts.mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
     return rows.column("triple").to_numpy(), rows.column("n").to_numpy()
