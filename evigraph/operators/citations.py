@@ -92,3 +92,17 @@ def validate_threats(boundaries: DataFrame, ends: DataFrame, components: DataFra
 def answer_memo(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """questions with the artifact of a known answer; null for new ones. Both have memo and role."""
     return questions.join(answers.groupBy("memo").agg(F.max("sha256").alias("sha256")), "memo", "left").withColumn("cached", F.col("sha256").isNotNull())
+
+
+def resolve_project_citations(citations: DataFrame, modules: DataFrame, packages: DataFrame, cycles: DataFrame, files: DataFrame) -> DataFrame:
+    """citations (kind: module, package, cycle, source; key, members) with problem. A cycle must have exactly the cited members.
+
+    modules: path; packages: package; cycles: members (array); files: path, lines.
+    """
+    none = F.lit(None).cast("long").alias("lines")
+    sides = [(modules, "module", F.col("path"), none), (packages, "package", F.col("package"), none), (cycles, "cycle", cycle_key(F.col("members")), none), (files, "source", F.col("path"), F.col("lines").cast("long").alias("lines"))]
+    universe = None
+    for rows, kind, key, lines in sides:
+        part = rows.select(F.lit(kind).alias("kind"), key.alias("key"), lines).distinct()
+        universe = part if universe is None else universe.unionByName(part)
+    return resolve_citations(citations.withColumn("key", F.when(F.col("kind") == "cycle", cycle_key(F.col("members"))).otherwise(F.col("key"))), universe)

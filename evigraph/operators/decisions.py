@@ -36,3 +36,12 @@ def audit_decisions(decisions: DataFrame, violations: DataFrame, inspected: Data
 
 def audit_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def target_layer(edges: DataFrame, nodes: DataFrame, layers: DataFrame, rule: DataFrame) -> DataFrame:
+    """(decision, source, target, layer): the layer of a target's path, else the first layer named inside its id."""
+    place = nodes.select(*G, F.col("id").alias("target"), "path")
+    by_path = edges.join(place, [*G, "target"]).join(layers.select(*G, "decision", "path", "layer"), [*G, "path"]).select(*G, "decision", "source", "target", "layer")
+    words = edges.select(*G, "source", "target", F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(r"([A-Za-z0-9_]+)")))).alias("layer"))
+    named = words.join(rule.select("decision", "layer", "rank"), "layer").groupBy(*G, "decision", "source", "target").agg(F.min_by("layer", "rank").alias("layer"))
+    return by_path.unionByName(named.join(by_path, [*G, "decision", "source", "target"], "left_anti"))

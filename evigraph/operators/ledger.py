@@ -103,3 +103,8 @@ def publication_audit(approvals: DataFrame, publications: DataFrame) -> DataFram
     """(approval_id, published, pending, failed, violation): more than one published row of an approval is one."""
     n = publications.groupBy("approval_id").agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("published", "pending", "failed")))
     return approvals.select("approval_id").join(n, "approval_id", "left").na.fill(0).withColumn("violation", F.col("published") > 1)
+
+
+def ledger_rows(table: DataFrame, run_id: str, order: list[str]) -> DataFrame:
+    """The rows of one run with their place in code point order."""
+    return table.where(F.col("run_id") == run_id).withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))

@@ -142,3 +142,12 @@ def module_change_rollup(events: DataFrame) -> DataFrame:
     """Counts per module from tagged rows (path, tag)."""
     tags = ["added", "removed", "edited", "moved_in", "moved_out", "finding", "api_item", "impacted"]
     return events.groupBy(*G, "path").pivot("tag", tags).count().na.fill(0, tags)
+
+
+def definitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, n, symbol): what each file contains, without namespace anchors, by label and id."""
+    from .overview import namespace_nodes
+
+    held = edges.where("kind = 'contains'").select(*G, F.col("source").alias("file"), F.col("target").alias("id")).distinct()
+    rows = held.join(nodes.select(*G, "id", "label"), [*G, "id"]).join(namespace_nodes(nodes), [*G, "id"], "left_anti")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*G, "file").orderBy("label", "id"))).select(*G, "file", "n", F.col("id").alias("symbol"))

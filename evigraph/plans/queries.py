@@ -907,3 +907,171 @@ def sc8_diagnostics(i):
     message = F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.struct(F.col("event_type").alias("level"), F.array(span).alias("spans")).alias("message")))
     lines = i.events.select(F.lit("r").alias("run_id"), F.col("event_id").alias("line_no"), F.when(F.col("event_type") == "view", "no json").otherwise(message).alias("line"))
     return S.diagnostics(lines).drop("message")
+
+
+# --- more of the families above ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT 'main' AS repository_id, regexp_replace(target, ' 0\\.[12]\\.0 ', ' ') AS key, regexp_replace(source, ' 0\\.[12]\\.0 ', ' ') AS user, kind FROM edges WHERE revision = 'head'", "edges")
+def i1_reverse_index(i):
+    return P.reverse_index(i.nodes.where("revision = 'head'"), i.edges.where("revision = 'head'"))
+
+
+@query("SELECT repository_id, revision, path AS file, row_number() OVER (PARTITION BY revision, path ORDER BY label, id) AS n, id AS symbol FROM versioned", "versioned")
+def p1_definitions(i):
+    held = i.versioned.select(*G, F.col("path").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"))
+    return T.definitions(i.versioned, held)
+
+
+@query("SELECT repository_id, revision, id, kind, label, 'a,' || tab AS producers, CAST(num % 10 AS DOUBLE) / 10 AS confidence, public FROM versioned", "versioned")
+def p4_elements(i):
+    proof = lambda p, c: F.struct(p.alias("producer"), c.alias("confidence"))
+    half = (F.col("num") % 10).cast("double") / 10
+    return T.elements(i.versioned.withColumn("evidence", F.array(proof(F.col("tab"), half), proof(F.lit("a"), F.lit(0.0)), proof(F.col("tab"), F.lit(0.0)))))
+
+
+@query("SELECT repository_id, revision, symbol, bool_or(o = 1) AS can_from, bool_or(o = 0) AS can_to FROM (SELECT repository_id, revision, source AS symbol, 1 AS o FROM edges UNION ALL SELECT repository_id, revision, target, 0 FROM edges) GROUP BY ALL", "edges")
+def p8_path_endpoints(i):
+    return T.path_endpoints(T.usage_counts(T.usages(i.edges)))
+
+
+@query("SELECT repository_id, revision, path, count(*) FILTER (num % 4 = 0) AS added, count(*) FILTER (num % 4 = 1) AS removed, count(*) FILTER (num % 4 = 2) AS edited, 0 AS moved_in, 0 AS moved_out, count(*) FILTER (num % 4 = 3) AS finding, 0 AS api_item, 0 AS impacted FROM versioned GROUP BY ALL", "versioned")
+def p15_module_change_rollup(i):
+    tag = F.element_at(F.array(*map(F.lit, ("added", "removed", "edited", "finding"))), (F.col("num") % 4 + 1).cast("int"))
+    return T.module_change_rollup(i.versioned.select(*G, "path", tag.alias("tag")))
+
+
+@query("SELECT repository_id, revision, id, end_line AS start_line, start_line AS end_line FROM versioned WHERE end_line > start_line", "versioned")
+def v3_bad_line_order(i):
+    return V.bad_line_order(i.versioned.select(*G, "id", F.col("end_line").alias("start_line"), F.col("start_line").alias("end_line")))
+
+
+@query("SELECT repository_id, revision, id, path FROM versioned WHERE path LIKE 'CATALOG/%'", "versioned")
+def v4_unknown_paths(i):
+    return V.unknown_paths(i.versioned, i.files.where("path not like 'CATALOG/%'"))
+
+
+@query("SELECT repository_id, revision, source || '>' || target AS id FROM edges WHERE kind = 'reads'", "edges")
+def v5_unmeasured_edges(i):
+    kind = F.when(F.col("kind") == "reads", "model-claim").otherwise("compiler")
+    return V.unmeasured_edges(i.edges.select(*G, F.concat_ws(">", "source", "target").alias("id"), F.array(F.struct(kind.alias("kind"))).alias("evidence")))
+
+
+@query("SELECT repository_id, revision, split_part(path, '/', 1) AS package, path FROM files WHERE path NOT LIKE 'CATALOG/%'", "files")
+def b4_package_containment(i):
+    return B.package_containment(i.files, i.packages)
+
+
+@query("SELECT repository_id, revision, id, min_by(label, n) AS label, min_by(path, n) AS path, count(*) AS fragments FROM (SELECT repository_id, revision, kind AS id, label, path, num * 2 + (tab = 'c')::INT AS n FROM versioned) GROUP BY ALL", "versioned")
+def b1_merge_fragments(i):
+    n = (F.col("num") * 2 + (F.col("tab") == "c").cast("int")).cast("int")
+    proof = F.struct(F.lit("git").alias("kind"), F.concat("tab", F.col("num").cast("string")).alias("producer"), F.lit(None).cast("string").alias("producer_version"))
+    rows = i.versioned.select(*G, F.col("kind").alias("id"), "label", "path", n.alias("fragment_no"), F.array(proof).alias("evidence"))
+    return B.merge_fragments(rows).select(*G, "id", "label", "path", F.size("evidence").cast("long").alias("fragments"))
+
+
+@query("SELECT repository_id, revision, id, CASE kind WHEN 'function' THEN 'function' WHEN 'type' THEN 'type' ELSE 'constant' END AS got, label AS name FROM versioned", "versioned")
+def b5_symbol_kind(i):
+    symbol = F.concat("id", F.when(F.col("kind") == "function", "().").when(F.col("kind") == "type", "#").otherwise("."))
+    return i.versioned.select(*G, "id", B.symbol_kind(symbol, F.col("kind") == "constant").alias("got"), B.display_name(symbol, F.col("label")).alias("name"))
+
+
+SPANS = "AND d AS (SELECT * FROM versioned WHERE kind = 'function'), rf AS (SELECT repository_id, revision, id AS ref_id, path, end_line AS line FROM versioned) "
+
+
+@query(SPANS + "SELECT r.repository_id, r.revision, r.ref_id, min_by(d.id, {'s': d.end_line - d.start_line, 'a': d.start_line, 'e': d.end_line, 'i': d.id}) AS function FROM rf r LEFT JOIN d ON d.path = r.path AND d.revision = r.revision AND r.line BETWEEN d.start_line AND d.end_line GROUP BY r.repository_id, r.revision, r.ref_id", "versioned")
+def b9_enclosing_function(i):
+    refs = i.versioned.select(*G, F.col("id").alias("ref_id"), "path", F.col("end_line").alias("line"), F.lit("x").alias("symbol"))
+    return B.enclosing_function(refs, i.versioned.withColumn("symbol", F.col("id"))).select(*G, "ref_id", "function")
+
+
+@query("SELECT DISTINCT repository_id, revision, source, target, kind FROM edges e WHERE source IN (SELECT id FROM nodes WHERE path LIKE 'ASIA/%' AND revision = e.revision) OR target IN (SELECT id FROM nodes WHERE path LIKE 'ASIA/%' AND revision = e.revision)", "nodes", "edges")
+def b12_slice_graph(i):
+    return B.slice_graph(i.nodes, i.edges, i.files.where("path like 'ASIA/%'"))[1].select(*G, "source", "target", "kind")
+
+
+@query("SELECT repository_id, revision, id FROM nodes WHERE kind = 'module'", "nodes")
+def b11_namespace_nodes(i):
+    return O.namespace_nodes(i.nodes)
+
+
+@query(RULE + "SELECT e.repository_id, e.revision, l.decision, e.source, e.target, l.layer FROM edges e JOIN nodes n ON n.id = e.target AND n.revision = e.revision JOIN laid l ON l.path = n.path AND l.revision = e.revision", "files", "nodes", "edges")
+def c2_target_layer(i):
+    return C.target_layer(i.edges.select(*G, "source", "target"), i.nodes, C.layer_of(i.files, rule(i)), rule(i))
+
+
+@query("SELECT CASE WHEN r_regionkey = 0 THEN 'superseded' ELSE 'unverifiable' END AS outcome, count(*) AS n FROM region GROUP BY ALL")
+def c5_audit_report(i):
+    known = i.region.select(F.col("r_name").alias("decision"), F.col("r_regionkey").cast("int").alias("number"), F.when(F.col("r_regionkey") == 0, "superseded").otherwise("accepted").alias("status"), F.lit(True).alias("binding"))
+    none = known.where("false").select("decision", F.lit(0).alias("n"))
+    return C.audit_report(C.audit_decisions(known, none, none))
+
+
+@query("SELECT CAST(num AS INT) AS cite_no, CASE WHEN num % 2 = 0 THEN 'unknown module' END AS problem FROM versioned WHERE revision = 'head' AND tab = 's'", "versioned")
+def k2_resolve_project_citations(i):
+    cites = i.versioned.where("revision = 'head' and tab = 's'").select(F.lit("d").alias("doc_id"), F.col("num").cast("int").alias("cite_no"), F.lit("module").alias("kind"), F.when(F.expr("num % 2 = 0"), F.concat("path", F.lit("?"))).otherwise(F.col("path")).alias("key"), F.lit(None).cast("string").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array("path").alias("members"))
+    files = i.files.select("path", F.lit(1).alias("lines")).distinct()
+    return K.resolve_project_citations(cites, i.files.select("path").distinct(), i.packages.select("package").distinct(), files.select(F.array("path").alias("members")), files).select("cite_no", "problem")
+
+
+@query("SELECT 'source' AS kind, path AS key, max(length(path)) AS lines FROM files GROUP BY path UNION ALL SELECT 'graph-edge', source || '>' || target, NULL FROM (SELECT DISTINCT source, target FROM edges) UNION ALL SELECT DISTINCT 'api-item', label, NULL::BIGINT FROM versioned WHERE public UNION ALL SELECT DISTINCT 'impact', id, NULL::BIGINT FROM versioned WHERE tab = 's'", "files", "edges", "versioned")
+def k10_citable_universe(i):
+    v = i.versioned
+    return K.citable_universe(i.files.select("path", F.length("path").alias("lines")), i.edges.select(F.concat_ws(">", "source", "target").alias("id")), v.where("public").select(F.col("label").alias("item")), v.where("tab = 's'").select(F.col("id").alias("key")))
+
+
+@query("SELECT finding_id, row_number() OVER (ORDER BY severity, finding_id) AS place FROM findings WHERE run_id = 'run1'", "findings")
+def l4_ledger_rows(i):
+    return L.ledger_rows(i.findings, "run1", ["severity", "finding_id"]).select("finding_id", "place")
+
+
+@query("SELECT run_id, string_split(path, 'u')[2] AS path FROM (SELECT DISTINCT run_id, path FROM findings)", "findings")
+def n17_normalize_reads(i):
+    reads = i.findings.select("run_id", F.concat(F.lit("/work\\repo/./"), F.expr("substring(path, 2)")).alias("path"))
+    return N.normalize_reads(reads.unionByName(reads.withColumn("path", F.concat("path", F.lit("/")))), "/work/repo")
+
+
+@query("SELECT 'main' AS repository_id, string_agg(DISTINCT category, ',' ORDER BY category) AS threats FROM findings WHERE path IN (SELECT path FROM changed)", "findings", "changed")
+def n25_focus_subset(i):
+    threats = i.findings.select(F.lit("main").alias("repository_id"), "path", F.col("category").alias("threat"))
+    return N.focus_subset(threats, i.changed.withColumn("repository_id", F.lit("main")))
+
+
+@query("SELECT 'main' AS repository_id, p_brand AS package, rtrim(p_name) AS item FROM part GROUP BY ALL")
+def sc7_api_items(i):
+    dumps = i.part.groupBy("p_brand").agg(F.array_join(F.collect_list(F.concat("p_name", F.lit("  "))), "\n\n").alias("stdout"))
+    return S.api_items(dumps.select(F.lit("main").alias("repository_id"), F.col("p_brand").alias("package"), F.lit(True).alias("is_library"), F.lit(0).alias("exit_code"), "stdout", F.lit("").alias("stderr")))[0]
+
+
+@query("SELECT run_id, CAST(seq AS STRING) AS name, CASE event WHEN 'finished' THEN 'passed' ELSE 'failed' END AS status FROM run_events WHERE event <> 'started'", "run_events")
+def sc9_test_results(i):
+    event = F.when(F.col("event") == "finished", "ok").otherwise(F.col("event"))
+    line = F.to_json(F.struct(F.lit("test").alias("type"), event.alias("event"), F.col("seq").cast("string").alias("name")))
+    return S.test_results(i.run_events.select("run_id", F.col("seq").alias("line_no"), line.alias("line")))
+
+
+@query("SELECT CAST(o_custkey AS STRING) AS package, CASE min_by(o_orderstatus, o_orderkey) WHEN 'F' THEN 'major' WHEN 'O' THEN 'minor' ELSE 'none' END AS bump FROM orders GROUP BY o_custkey")
+def sc11_verdict(i):
+    said = F.when(F.col("o_orderstatus") == "F", "Summary semver requires new major version").when(F.col("o_orderstatus") == "O", "Summary semver requires new minor version").otherwise("Summary no semver update required")
+    lines = i.orders.select(F.col("o_custkey").cast("string").alias("package"), F.col("o_orderkey").alias("line_no"), said.alias("line"))
+    return S.verdict(lines.select("package").distinct(), lines)
+
+
+@query("SELECT path || ':' || token AS key_id, path, min(n) AS line FROM (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, unnest(range(1, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) + 1)) AS n, 'the' AS token FROM docs WHERE text <> '') WHERE contains(line, token) GROUP BY ALL", "docs")
+def sc16_anchor_lines(i):
+    key = i.docs.select(F.concat("path", F.lit(":the")).alias("key_id"), F.lit("expected").alias("role"), "path", F.lit("the").alias("anchor"))
+    return S.anchor_lines(key, i.docs.select("path", "text")).select("key_id", "path", "line")
+
+
+@query(DEPS + OWNED.replace("AND", ",") + ", pe AS (SELECT DISTINCT w.revision, a.package AS source, b.package AS target FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package) SELECT 'main' AS repository_id, revision, source AS source_key, target AS target_key, 'depends-on' AS kind FROM pe", *GRAPH, "packages")
+def w6_containers(i):
+    edges = W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
+    boxes = i.packages.select(*G, F.col("package").alias("id"), F.col("package").alias("name"), "version")
+    return W.containers(boxes, edges.select(*G, F.concat("source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))[1]
+
+
+@query(DEPS + OWNED.replace("AND", ",") + ", pe AS (SELECT DISTINCT w.revision, a.package AS source, b.package AS target FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package) SELECT 'main' AS repository_id, revision, (SELECT count(DISTINCT package) FROM packages p WHERE p.revision = x.revision AND package <> 'CATALOG') AS containers, (SELECT count(*) FROM pe WHERE pe.revision = x.revision AND source <> 'CATALOG' AND target <> 'CATALOG') AS relationships, (SELECT count(*) FROM pe WHERE pe.revision = x.revision AND (source = 'CATALOG' OR target = 'CATALOG')) AS dropped FROM (SELECT DISTINCT revision FROM packages) x", *GRAPH, "packages")
+def w7_in_repo_architecture(i):
+    edges = W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
+    boxes, links = W.containers(i.packages.select(*G, F.col("package").alias("id"), F.col("package").alias("name"), "version"), edges.select(*G, F.concat("source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))
+    return W.in_repo_architecture(boxes, links, i.packages.where("package != 'CATALOG'").select(*G, F.col("package").alias("name")))
