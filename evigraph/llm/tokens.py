@@ -34,7 +34,9 @@ BLOCK_TOKENS = 1 << 19
 STEP_IDS = 256
 LANES = 512
 LOW = np.uint64(1 << 31)
-CACHE_PIECES = 150_000
+CACHE_PIECES = 80_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: White space of any kind beside a space: there, the pieces between spaces can't be encoded one by one.
 TOGETHER = re.compile(r" \s|\s ")
 
@@ -204,7 +206,8 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "id", "text").sortWithinPartitions("id", "text")
+    # ranges by the id and the beginning of the text, which sorts like the text: their bounds are sampled to the driver
+    ordered = rows.repartitionByRange(partitions(spark), "id", F.substring("text", 1, 16)).sortWithinPartitions("id", "text")
     span = pa.struct([("id", pa.int64()), ("n", pa.int64())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +221,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.list_(span)), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(parts)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "first", "n", "ids"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             for i, ids in zip(b.column("id").to_pylist(), encode.many([t or "" for t in b.column("text").to_pylist()])):
                 ids += end
                 if held and n + len(ids) // 4 > block_tokens:

@@ -33,7 +33,9 @@ DISCOUNT = 0.75
 SUPPORT = 3
 #: Probability of a byte after two others that the corpus never has together.
 UNSEEN = 1e-4
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
+#: Words that are spelt out at once.
+WORDS = 1 << 14
 #: Bytes that words and the blanks between them are made of; the triples of all others don't occur.
 ALPHABET = np.array([32, *range(48, 58), *range(97, 123), *range(128, 256)], np.int64)
 
@@ -125,7 +127,8 @@ class Model:
             if len(kept) + len(new) > CACHE_WORDS:
                 kept.clear()
                 new = list(set(w))
-            kept.update(zip(new, self.ratios(new).tolist()))
+            for i in range(0, len(new), WORDS):
+                kept.update(zip(new[i : i + WORDS], self.ratios(new[i : i + WORDS]).tolist()))
             return sum([kept[x] for x in w]) / len(w)
 
     def score(self, text: bytes) -> float:
