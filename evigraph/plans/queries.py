@@ -285,7 +285,7 @@ def x6_version_changes(i):
 def x7_rename_guesses(i):
     base, head = sides(i)
     delta = X.node_delta(base, head)
-    pick = lambda rows, c: rows.join(delta.where(F.col("change") == c), ["repository_id", "key"], "left_semi").where("kind in ('function', 'type')")
+    pick = lambda rows, c: rows.join(delta.where(F.col("change") == c), ["repository_id", "key"], "left_semi")
     return X.rename_guesses(pick(base, "removed"), pick(head, "added"))
 
 
