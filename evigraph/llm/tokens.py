@@ -14,15 +14,15 @@ lane: position in words, long, then state, unsigned long), ``payload_crc32``, ``
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,78 +34,121 @@ BLOCK_TOKENS = 1 << 19
 STEP_IDS = 256
 LANES = 512
 LOW = np.uint64(1 << 31)
-CACHE_PIECES = 80_000
+#: Words that a worker remembers (about 50 bytes each), and words that are encoded in one line.
+KNOWN_WORDS, LINE_WORDS = 1_000_000, 1 << 15
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 20
-#: White space of any kind beside a space: there, the pieces between spaces can't be encoded one by one.
-TOGETHER = re.compile(r" \s|\s ")
+SLICE = 8 << 20
+MARKS = ".,"
+#: White space of any kind beside a space: there, the words between spaces can't be encoded one by one.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+TOGETHER = f" {SPACE}|{SPACE} "
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Ids of whole texts. Pre-tokens never cross a single space between two other characters, so the pieces there are encoded by the
-    library once and remembered; texts with other white space beside a space are encoded whole."""
+    """Ids of whole texts, the same as the library's own for each text.
+
+    Pre-tokens never cross a single space between two other characters, so the words between spaces are encoded by the library once,
+    in one line with others, and remembered. Texts with other white space beside a space, or with an added token of the vocabulary,
+    are encoded whole. Finding the different words of a slice and laying out the ids are columnar steps."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.by_space = '"ByteLevel"' in self.tokenizer.to_str().partition('"pre_tokenizer"')[2][:80] and self.tokenizer.normalizer is None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = {m: self._encode(m) for m in ".,"}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # ids whose bytes begin with a space
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of the pieces, each behind a space. Of two generations the older one is dropped."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        young, old, stems = self.young, self.old, {}
-        for p in pieces:
-            if (known := old.get(p)) is not None:
-                young[p] = known
-            else:
-                # a full stop or comma behind a letter or digit is a pre-token of its own
-                stems[p] = p[:-1] if p[-1:] in self.marks and p[-2:-1].isalnum() else p
-        new = list({s for s in stems.values() if s and s not in young})
-        if new:
-            # encoded together: no piece holds a space, so it is where the ids of the next one begin
-            ids = self._encode(" " + " ".join(new))
-            cuts = [*(4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist(), len(ids)]
-            if len(cuts) != len(new) + 1:
-                young.update((s, self._encode(" " + s)) for s in new)
-            else:
-                young.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
-        if "" in pieces:
-            young[""] = self._encode(" ")
-        for p, s in stems.items():
-            if p != s:
-                young[p] = young[s] + self.marks[p[-1]]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [None if not self.by_space or TOGETHER.search(t) else t.split(" ") for t in texts]
-        pieces = set()
-        for p in parts:
-            if p:
-                pieces.update(p[1:])
-        missing = pieces.difference(self.young)
-        if missing:
-            held = len(self.young)
-            self.learn(missing)
-            if len(self.young) < held:  # a new generation
-                self.learn(pieces.difference(self.young))
-        get = self.young.__getitem__
-        return [self._encode(t) if p is None else (self._encode(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])) for t, p in zip(texts, parts)]
+        self.marks = Segments.of([np.empty(0, np.uint32), *map(self.encode, MARKS)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Remembers only the empty word, that is the space at a text's end."""
+        self.words, self.known = pa.array([""], pa.string()), Segments.of([self.encode(" ")])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, words: pa.Array) -> None:
+        """Remembers the ids of new words, none of them empty, each behind a space."""
+        for at in range(0, len(words), LINE_WORDS):
+            line = words.slice(at, LINE_WORDS)
+            ids = self.encode(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(line)], line), " ")[0].as_py())
+            # no word holds a space, so it is where the ids of the next one begin
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            new = Segments(ids, cuts[:-1], np.diff(cuts)) if len(cuts) == len(line) + 1 else Segments.of([self.encode(" " + w) for w in line.to_pylist()])
+            self.words, self.known = pa.concat_arrays([self.words, line]), self.known.with_more(new)
+
+    def ids_of(self, words: pa.Array) -> Segments:
+        """Ids of distinct words, each behind a space."""
+        # a full stop or comma behind a letter or digit is a pre-token of its own
+        marked = pc.match_substring_regex(words, "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]$")
+        mark = np.zeros(len(words), np.int64)
+        for i, m in enumerate(MARKS, 1):
+            mark[pc.and_(marked, pc.ends_with(words, m)).to_numpy(zero_copy_only=False)] = i
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        if len(self.words) > KNOWN_WORDS:
+            self.forget()
+        at = pc.index_in(stems.dictionary, value_set=self.words)
+        if at.null_count:
+            self.learn(stems.dictionary.filter(pc.is_null(at)))
+            at = pc.index_in(stems.dictionary, value_set=self.words)
+        known = self.known.with_more(self.marks)
+        codes = np.stack((at.to_numpy().astype(np.int64)[stems.indices.to_numpy()], len(self.words) + mark), 1).ravel()
+        return known.joined(codes, 2 * np.arange(len(words)))
+
+    def many(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text (none null), with ``end_id`` behind them if there is one."""
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        whole = pc.match_substring_regex(texts, TOGETHER) if self.by_space else pa.array([True] * len(texts), pa.bool_())
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, a))
+        pieces = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first, each = pieces.offsets.to_numpy()[:-1].astype(np.int64), pieces.values.dictionary_encode()
+        if not len(first):
+            return []
+        begins = pieces.values.take(pa.array(first)).dictionary_encode()
+        codes = each.indices.to_numpy().astype(np.int64)
+        codes[first] = len(each.dictionary) + begins.indices.to_numpy()
+        heads = Segments.of([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(begins.dictionary.to_pylist(), add_special_tokens=False)])
+        known = self.ids_of(each.dictionary).with_more(heads).with_more(Segments.of([end]))
+        codes = np.insert(codes, np.append(first[1:], len(codes)), len(known.sizes) - 1)
+        laid = known.joined(codes, first + np.arange(len(first)))
+        found = np.split(laid.ids, laid.starts[1:])
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = np.concatenate((self.encode(texts[i].as_py()), end))
+        return found
+
+
+@dataclass
+class Segments:
+    """Runs of ids: where each begins in ``ids`` and how many it has."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Segments:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return cls(np.concatenate([np.empty(0, np.uint32), *parts]), np.cumsum(sizes) - sizes, sizes)
+
+    def with_more(self, other: Segments) -> Segments:
+        return Segments(np.concatenate((self.ids, other.ids)), np.concatenate((self.starts, len(self.ids) + other.starts)), np.concatenate((self.sizes, other.sizes)))
+
+    def joined(self, codes: np.ndarray, firsts: np.ndarray) -> Segments:
+        """The runs named by ``codes`` one behind the other; a new run begins at each of the ascending places ``firsts`` in ``codes``."""
+        n = self.sizes[codes]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[codes] - (ends - n), n)
+        at += np.arange(len(at))
+        starts = (ends - n)[firsts]
+        return Segments(self.ids[at], starts, np.diff(np.append(starts, len(at))))
 
 
 @lru_cache(2)
@@ -215,21 +258,21 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
         encode, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, parts, n, before = [], [], 0, 0
-        end = np.array([end_id], np.uint32).tobytes()
 
         def flush():
-            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.list_(span)), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(parts)], pa.binary())]
+            sizes = pa.array([len(p) for p in parts], pa.int64())
+            rows = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.StructArray.from_arrays([pa.array(held, pa.int64()), sizes], fields=list(span)))
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), rows, pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(parts)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "first", "n", "ids"])
 
         for b in slices(batches, limit=SLICE):
-            for i, ids in zip(b.column("id").to_pylist(), encode.many([t or "" for t in b.column("text").to_pylist()])):
-                ids += end
-                if held and n + len(ids) // 4 > block_tokens:
+            for i, ids in zip(b.column("id").to_pylist(), encode.many(pc.fill_null(b.column("text"), ""), end_id)):
+                if held and n + len(ids) > block_tokens:
                     yield flush()
                     held, parts, n, before, block = [], [], 0, before + n, block + 1
-                held.append({"id": i, "n": len(ids) // 4})
+                held.append(i)
                 parts.append(ids)
-                n += len(ids) // 4
+                n += len(ids)
         if held:
             yield flush()
 

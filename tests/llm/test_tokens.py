@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,13 +12,31 @@ from tokenizers import Tokenizer
 from evigraph.llm import tokens
 
 LIBRARY = Tokenizer.from_file(tokens.TOKENIZER)
-LIBRARY.encode_special_tokens = True
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "Größe", "don't", "42", "!!", " ", "\x1c", "<|endoftext|>", "é"]), max_size=20).map("".join))
-def test_encoder_is_the_library(text):
-    assert np.frombuffer(tokens.encoder(tokens.TOKENIZER).many([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+ENCODER = tokens.encoder(tokens.TOKENIZER)
+PARTS = [" ", "  ", "\n", "a", "Größe", "don't", "42", "!!", "\u00a0", "\x1c", "<|endoftext|>", "é", ".", ",", "x.", "½", "中", "\u0301", "\U0001f600"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=20).map("".join), max_size=6))
+def test_encoder_is_the_library(texts):
+    found = ENCODER.many(pa.array(texts, pa.string()), 0)
+    assert [x.tolist() for x in found] == [LIBRARY.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_encoder_on_any_text(text):
+    assert ENCODER.many(pa.array([text, f"x {text} y"]))[1].tolist() == LIBRARY.encode(f"x {text} y", add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(tokens, "LINE_WORDS", 2)
+    own = tokens.Encoder(tokens.TOKENIZER)
+    for text in ("one two three four five", "one, six. seven", "one two three four five "):
+        assert own.many(pa.array([text]))[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
