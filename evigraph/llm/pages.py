@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import slices, widened
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object select option textarea button math canvas".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr br img big del".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object select option textarea button canvas".split())
+#: Elements that begin and end a block of text; all others are within one.
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 #: A start tag closes an open element of these tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split()}
@@ -34,22 +37,38 @@ TAGS = (
     "figure figcaption img picture", "table thead tbody tfoot tr td th caption", "blockquote pre code", "html body", "b i em strong span small u mark sup sub cite q time abbr font", "dialog details summary",
 )
 TAG_OF = {t: i for i, ts in enumerate(TAGS) for t in ts.split()}
-GOOD = re.compile(r"article|content|entry|story|main|body|post(?!er)|text|prose|page", re.I)
-BAD = re.compile(
-    r"nav|menu|side|foot|head(?!line)|banner|\bads?\b|advert|sponsor|promo|comment|discuss|repl(y|ies)|cookie|consent|notice|alert|share|social|relat|recommend|newsletter|subscri|breadcrumb|widget|popup|modal|overlay|login|sign|search|form|toolbar|pagination|pager|copyright|legal|disclaimer|tags|meta|author-box|teaser|rating|review|feedback|hidden",
-    re.I,
+#: Words of class, id and role names that go with content, and those that go with what surrounds it.
+GOOD = frozenset("article articlebody articles blog body content contents document entry main maincontent markdown page post posts prose story text".split())
+BAD = frozenset(
+    """ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus discussion feedback
+    footer footnav form gdpr head header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion rail
+    rating ratings recommendation recommendations recommended register related replies reply respond review reviews search share sharing sidebar side sign signin signup skip social sponsor sponsored sponsors
+    subscribe subscription taboola tags teaser teasers toolbar topbar trending widget widgets""".split()
 )
-FEATURES = len(TAGS) + 13
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+FEATURES = len(TAGS) + 17
 #: Elements that no page shows as text are never content.
 NEVER = -50.0
 
 
+ENDED_INSIDE = frozenset(("p", "li", "dt", "dd"))
+NAMELESS = (False, False, False)
+
+
+@lru_cache(1 << 14)
+def named(names: str) -> tuple[bool, bool, bool]:
+    """Whether a word of the names is ``GOOD``, whether one is ``BAD``, and whether one that ends a name is: the last word of a compound
+    says what it is ("cookie-notice"), the words before it say what of ("header-image")."""
+    words = [[w.lower() for w in NAME.findall(name)] for name in names.split()]
+    return any(w in GOOD for ws in words for w in ws), any(w in BAD for ws in words for w in ws), any(ws[-1] in BAD for ws in words if ws)
+
+
 class Tree(HTMLParser):
     """Elements in page order: parent, tag, attributes, own characters; and the runs of text with their element and block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.words, self.runs = [-1], ["html"], [""], []
+        self.parent, self.tag, self.words, self.runs = [-1], ["html"], [NAMELESS], []
         self.open, self.block = [0], 0
 
     def handle_starttag(self, tag, attrs):
@@ -66,8 +85,8 @@ class Tree(HTMLParser):
         node = len(self.tag)
         self.parent.append(self.open[-1])
         self.tag.append(tag)
-        self.words.append(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop")) if attrs else "")
-        if tag not in INLINE:
+        self.words.append(named(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop"))) if attrs else NAMELESS)
+        if tag in BLOCKS:
             self.block += 1
         if tag == "br" or tag == "img":
             self.runs.append((node, self.block, " "))
@@ -85,9 +104,9 @@ class Tree(HTMLParser):
             if now == tag:
                 del self.open[i:]
                 break
-            if now in WALLS and tag in INLINE | {"p", "li", "dt", "dd"}:
+            if now in WALLS and (tag not in BLOCKS or tag in ENDED_INSIDE):
                 break
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self.block += 1
 
     def handle_data(self, data):
@@ -126,10 +145,9 @@ def features(tree: Tree) -> np.ndarray:
     for i in range(n):
         if (t := TAG_OF.get(tree.tag[i])) is not None:
             x[i, t] = 1
-        if w := tree.words[i]:
-            x[i, k], x[i, k + 1] = GOOD.search(w) is not None, BAD.search(w) is not None
+    x[:, k : k + 3] = tree.words
     density = linked / np.maximum(text, 1)
-    x[:, k + 2] = density
+    x[:, k + 16] = density
     x[:, k + 3] = np.log1p(text) / 5
     x[:, k + 4] = np.minimum(stops / np.maximum(text, 1) * 20, 2)
     x[:, k + 5] = (text > 200) & (density < 0.3)
@@ -142,6 +160,11 @@ def features(tree: Tree) -> np.ndarray:
     x[:, k + 10] = x[parents, k]
     x[:, k + 11] = text / np.maximum(runs, 1) < 30
     x[:, k + 12] = 1
+    # names say less of what holds most of the page's text, and of articles
+    large, whole = x[:, k + 8] > 0.5, x[:, 0] == 1
+    x[:, k + 13] = x[:, k + 1] * large
+    x[:, k + 14] = x[:, k + 1] * whole
+    x[:, k + 15] = x[:, k + 2] * large * whole
     x[hidden] = 0
     x[hidden, k + 6] = 1
     return x
@@ -191,12 +214,17 @@ OTHER = (
     "<div class=notice>{t}</div>", "<section id=comments><h3>{w}</h3><div class=comment><p>{t}</p></div><div class=comment><p>{t}</p></div></section>", "<div class=comments><ol><li><b>{l}</b><p>{t}</p></li></ol></div>", "<div class=share><a href=x>{l}</a><a href=x>{l}</a></div>",
     "<div class=related><h4>{w}</h4><a href=x>{w}</a><a href=x>{w}</a></div>", "<div class=newsletter><p>{t}</p><input></div>", "<p class=breadcrumb><a href=x>{l}</a> / <a href=x>{l}</a></p>", "<div role=navigation><a href=x>{l}</a></div>", "<div role=complementary><p>{t}</p></div>",
 )
-ROOTS = ("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=main-content><div class=post>{}</div></div>", "<main><article class=story>{}</article></main>", "<article><div class=entry-content>{}</div></article>", "<div class=page><section class=article-body>{}</section></div>", "<div>{}</div>")
+OTHER += (
+    "<section class=comments><article class=comment><h4>{w}</h4><p>{t}</p></article><article class=comment><p>{t}</p></article></section>", "<article class='teaser related'><h3><a href=x>{w}</a></h3><p>{t}</p></article>", "<div class=site-footer><p>{t}</p></div>", "<div id=cookieNotice><p>{t}</p></div>",
+    "<ol class=commentlist><li class=comment><p>{t}</p><a href=x class=reply>{l}</a></li></ol>", "<div class='promo box'><p>{t}</p></div>",
+)
+CONTENT += ("<div class=header-image><img><p>{t}</p></div>", "<p class=search-term>{t}</p>", "<div class=comment-free><p>{t}</p><p>{t}</p></div>")
+ROOTS = ("<article class=header-image>{}</article>", "<article class=important-notices>{}</article>", "<article class=sidebar-less>{}</article>", "<main class=has-sidebar>{}</main>", "<article class=login-help>{}</article>", "<div class='page with-menu'><div class=text>{}</div></div>", "<article class=reviews>{}</article>", "<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=main-content><div class=post>{}</div></div>", "<main><article class=story>{}</article></main>", "<article><div class=entry-content>{}</div></article>", "<div class=page><section class=article-body>{}</section></div>", "<div>{}</div>")
 HEADS = ("<header><h1>{w}</h1><a href=x>{l}</a></header>", "<div class=header>{w}</div>", "<header class=site-header><nav><a href=x>{l}</a></nav></header>", "")
 FEET = ("<footer>&copy; {w} {t}</footer>", "<div class=footer><p>{t}</p></div>", "<footer><a href=x>{l}</a> {w}</footer>", "")
 
 
-def labelled_pages(pages: int = 160, seed: int = 5) -> list[tuple[str, list[int]]]:
+def labelled_pages(pages: int = 320, seed: int = 5) -> list[tuple[str, list[int]]]:
     """(html, label of each element) of pages put together from the parts, with boilerplate around and within the content."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("an", "er", "the", "ou", "é", "st", "ing", "ü")) for _ in range(rng.randint(1, 4)))
@@ -283,7 +311,11 @@ def main_text(html: str, model: tuple) -> str:
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
-    """``pages`` with main_text (never null) for every row; null or empty html gives an empty text. A column of that name is replaced."""
+    """``pages`` with main_text (never null) for every row; null or empty html gives an empty text. A column of that name is replaced.
+
+    Repeated rows get one result each, an empty table gives an empty table, and a very long page is parsed whole, in a task of its own
+    slice; ids and urls may be null and are only carried along.
+    """
     kept = pages.drop("main_text")
     names, key = kept.columns, "_html"
     while key in names:
