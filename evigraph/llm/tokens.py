@@ -31,11 +31,11 @@ from .common import new_path, partitions, slices, utf8
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 19
-STEP_IDS = 256
-LANES = 512
+STEP_IDS = 64
+LANES = 2048
 LOW = np.uint64(1 << 31)
 #: Words that a worker remembers (about 50 bytes each), and words that are encoded in one line.
-KNOWN_WORDS, LINE_WORDS = 1_000_000, 1 << 15
+KNOWN_WORDS, LINE_WORDS = 400_000, 1 << 15
 #: Bytes of text that are encoded at once.
 SLICE = 8 << 20
 MARKS = ".,"
@@ -95,11 +95,13 @@ class Encoder:
         if len(self.words) > KNOWN_WORDS:
             self.forget()
         at = pc.index_in(stems.dictionary, value_set=self.words)
-        if at.null_count:
-            self.learn(stems.dictionary.filter(pc.is_null(at)))
-            at = pc.index_in(stems.dictionary, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            at[new] = len(self.words) + np.arange(new.sum())
+            self.learn(stems.dictionary.filter(pa.array(new)))
         known = self.known.with_more(self.marks)
-        codes = np.stack((at.to_numpy().astype(np.int64)[stems.indices.to_numpy()], len(self.words) + mark), 1).ravel()
+        codes = np.stack((at[stems.indices.to_numpy()], len(self.words) + mark), 1).ravel()
         return known.joined(codes, 2 * np.arange(len(words)))
 
     def many(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
@@ -119,7 +121,7 @@ class Encoder:
         known = self.ids_of(each.dictionary).with_more(heads).with_more(Segments.of([end]))
         codes = np.insert(codes, np.append(first[1:], len(codes)), len(known.sizes) - 1)
         laid = known.joined(codes, first + np.arange(len(first)))
-        found = np.split(laid.ids, laid.starts[1:])
+        found = [laid.ids[a : a + n] for a, n in zip(laid.starts.tolist(), laid.sizes.tolist())]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             found[i] = np.concatenate((self.encode(texts[i].as_py()), end))
         return found
@@ -251,7 +253,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # ranges by the id and the beginning of the text, which sorts like the text: their bounds are sampled to the driver
     ordered = rows.repartitionByRange(partitions(spark), "id", F.substring("text", 1, 16)).sortWithinPartitions("id", "text")
-    span = pa.struct([("id", pa.int64()), ("n", pa.int64())])
+    span = count = pa.struct([("id", pa.int64()), ("n", pa.int64())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -262,8 +264,12 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         def flush():
             sizes = pa.array([len(p) for p in parts], pa.int64())
             rows = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.StructArray.from_arrays([pa.array(held, pa.int64()), sizes], fields=list(span)))
-            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), rows, pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([b"".join(parts)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "first", "n", "ids"])
+            ids = np.concatenate(parts)
+            counts = np.bincount(ids)
+            some = np.flatnonzero(counts)
+            counts = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.StructArray.from_arrays([pa.array(some), pa.array(counts[some])], fields=list(count)))
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), rows, pa.array([before], pa.int64()), pa.array([n], pa.int64()), counts, pa.array([ids.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "first", "n", "counts", "ids"])
 
         for b in slices(batches, limit=SLICE):
             for i, ids in zip(b.column("id").to_pylist(), encode.many(pc.fill_null(b.column("text"), ""), end_id)):
@@ -276,22 +282,12 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         if held:
             yield flush()
 
-    staged = ordered.mapInArrow(blocks, "shard int, block int, rows array<struct<id:bigint,n:bigint>>, first long, n long, ids binary")
+    staged = ordered.mapInArrow(blocks, "shard int, block int, rows array<struct<id:bigint,n:bigint>>, first long, n long, counts array<struct<id:bigint,n:bigint>>, ids binary")
     staged.write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema(staged.schema).parquet(f"{path}/staged")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1, np.int64)
-        for b in batches:
-            for x in utf8(b.column("ids")):
-                new = np.bincount(np.frombuffer(x, "<u4"))
-                counts = np.pad(counts, (0, max(0, len(new) - len(counts))))
-                counts[: len(new)] += new
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["id", "n"])
-
     # one row for each id of the vocabulary at most
-    table = staged.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id")
+    table = staged.select(F.explode("counts").alias("c")).groupBy(F.col("c.id").alias("id")).agg(F.sum("c.n").alias("n")).orderBy("id")
     table.coalesce(1).write.parquet(f"{path}/table")
     freq = spark.sparkContext.broadcast(read_table(spark, path))
     # a total for each shard: as many as there are partitions
@@ -310,7 +306,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             columns = [b.column("shard"), b.column("block"), b.column("rows"), first, b.column("n")]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())))], names=["shard", "block", "rows", "first", "n", "lanes", "payload", "checkpoints", "payload_crc32", "ids_crc32"])
 
-    coded = staged.mapInArrow(encode_blocks, "shard int, block int, rows array<struct<id:bigint,n:bigint>>, first long, " + BLOCK)
+    coded = staged.drop("counts").mapInArrow(encode_blocks, "shard int, block int, rows array<struct<id:bigint,n:bigint>>, first long, " + BLOCK)
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
