@@ -1,53 +1,57 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source form one stream in id order, packed into blocks of ``block`` words. The mix is a sequence of slots of one block
-each, cut into output shards of ``shard_slots``. Slots are numbered through a pseudorandom permutation and a source owns as many of the
-permuted numbers as its target has blocks, so the source counts of each shard are a multinomial draw conditioned on the totals: they
-vary by shard, and the totals meet the targets. A slot's number within its source is mapped through a permutation of the source's
-block indexes of its own, once per pass over the source, and blocks are joined by source and index.
+each, cut into output shards of ``shard_slots``. A source owns as many slots as its target asks for: whole passes over its blocks, then
+blocks of a part of one more pass, the last of them cut to the word, so that its words come within one block of its target. Slots are
+numbered through a pseudorandom permutation and each source owns a range of the numbers; so a shard's source counts are a multinomial
+draw conditioned on the totals (multivariate hypergeometric): they vary by shard as a draw does, and the totals meet the targets. A
+slot's number within its source is mapped through a pseudorandom permutation of the source's block indexes, another one for each pass,
+and blocks are joined by source and index.
 """
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 64
 SHARD_SLOTS = 4096
 MOST = 2
-WORD = r"[^\x20\x09-\x0D]+"
-#: Primes over the largest count that is permuted, which so has no factor in common with them; the second for products over 64 bits.
-PRIMES = (2147483647, 2305843009213693951)
+BLANKS = "\t\n\x0b\x0c\r"
+PASSES, ROUNDS = 2, 6
+
+
+def words_of(text: Column) -> Column:
+    """The runs of characters between blanks (space and ``BLANKS``)."""
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def size_of(text: Column) -> Column:
     """Number of words; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(words_of(text)), F.lit(0)).cast("long")
 
 
-def _exact(wide: bool):
-    return lambda c: c.cast("decimal(19,0)" if wide else "long")
+def permuted(x: Column, n: Column, seed: Column) -> Column:
+    """A pseudorandom permutation of 0..n-1 drawn by ``seed``, at ``x``. n is 1 at least.
 
+    A pass turns the numbers by a keyed shift and reads those below ``low * high`` (all but a few; low is about the root of n) as two
+    digits. In each round one digit is shifted by a keyed function of the other one, which can be undone, so different numbers stay
+    different.
+    """
+    n, low = n.cast("long"), F.greatest(F.lit(1), F.floor(F.sqrt(n))).cast("long")
+    high = F.floor(n / low).cast("long")
 
-def factor(n: Column, seed: Column, wide: bool) -> Column:
-    """A number without a common factor with n, drawn by ``seed`` from the powers of a prime modulo n that lie well inside 0..n."""
-    exact, p = _exact(wide), F.lit(PRIMES[wide]) % n
-    powers = F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.array(p), lambda a, _: F.concat(a, F.array(F.pmod(exact(F.element_at(a, -1)) * exact(p), exact(n)).cast("long"))))
-    inside = F.filter(powers, lambda x: (x * 5 > n) & (x * 5 < n * 4))
-    inside = F.when(F.size(inside) > 0, inside).otherwise(powers)
-    return F.element_at(inside, (F.pmod(F.xxhash64(seed), F.size(inside)) + 1).cast("int"))
-
+    def step(x: Column, r: Column) -> Column:
+        a, b = x % low, F.floor(x / low)
+        turned = (x + F.pmod(F.xxhash64(seed, r), n)) % n
+        one = b * low + (a + F.pmod(F.xxhash64(seed, r, b), low)) % low
+        other = ((b + F.pmod(F.xxhash64(seed, r, a), high)) % high) * low + a
+        return F.when(r % (ROUNDS + 1) == 0, turned).when(x >= low * high, x).when(r % 2 == 0, one).otherwise(other)
 
-def permuted(x: Column, n: Column, by: Column, seed: Column, wide: bool) -> Column:
-    """A permutation of 0..n-1: x times ``by`` (see ``factor``) plus a shift drawn by ``seed``, modulo n. Counts of 2**31 and more
-    are ``wide`` and take exact decimals."""
-    exact = _exact(wide)
-    return F.pmod(exact(x) * exact(by) + exact(F.pmod(F.xxhash64(seed), n)), exact(n)).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(PASSES * (ROUNDS + 1) - 1)), x.cast("long"), step)
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = MOST) -> DataFrame:
@@ -70,61 +74,58 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: floa
     return w.select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def placed(docs: DataFrame, *, bucket_rows: int = 4096) -> DataFrame:
+def placed(docs: DataFrame) -> DataFrame:
     """``docs`` (source, doc_id, text hash, size) with the place of each row's first word in the stream of its source.
 
-    Prefix sums in two steps: within buckets of consecutive ids of about ``bucket_rows`` rows, and over the buckets' sums.
+    Rows are dealt in ranges of about equal numbers of rows; prefix sums are taken within each range and source, and over the ranges' sums.
     """
-    rows = docs.count()
-    if not rows:
-        return docs.withColumn("place", F.lit(0).cast("long"))
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    buckets = max(1, rows // bucket_rows)
-    low, width = ends.low or 0, max(1, -(-((ends.high or 0) - (ends.low or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    docs = docs.withColumn("bucket", bucket)
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = docs["source"].eqNullSafe(before["source"]) & (docs["bucket"] == before["bucket"])
-    return docs.join(before, same).select(*(docs[c] for c in docs.columns if c not in ("bucket", "inside")), (F.col("inside") + F.col("before")).alias("place"))
+    order = [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("size")]
+    docs = cut(docs.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    sums = docs.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    above = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("words").over(above), F.lit(0)))
+    within = Window.partitionBy("source", "part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    same = docs["source"].eqNullSafe(before["source"]) & (docs["part"] == before["part"])
+    return docs.join(before, same).select(*(docs[c] for c in docs.columns if c not in ("part", "within")), (F.col("within") + F.col("before")).alias("place"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, slots, pieces) of a mix of ``docs`` (doc_id, text, source).
 
-    documents: doc_id, hash (of the text), source, size, place, source_size, target. slots: shard, slot, source, round, index: the
-    block that fills each slot of the mix. pieces: doc_id, hash, source, place, round, first, words: which words of a document the
-    blocks of one round take. A block is in ``most`` slots at most. Null sources are a source; null ids come first in the stream;
-    equal rows are parts of the stream of their own; an empty table gives three empty ones.
+    documents: doc_id, hash (of the text), source, size, place, source_size, target. slots: shard, slot, source, round, index, limit: the
+    block that fills each slot of the mix, and how many words of it at most. pieces: doc_id, hash, source, place, round, first, words:
+    which words of a document the blocks of one round take. A block is in ``most`` slots at most. Null sources are a source; null ids
+    come first in the stream; equal rows are parts of the stream of their own; an empty table gives three empty ones.
     """
     rows = docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size"))
-    rows = cut(placed(cut(rows)))
+    rows = cut(placed(rows))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
-    wanted = cut(
-        wanted.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-        .withColumn("slots", F.least(F.round(F.col("target") / block).cast("long"), F.col("blocks") * most))
-        .withColumn("by", F.when(F.col("blocks") > 0, factor(F.col("blocks"), F.concat_ws("/", F.lit(seed), F.coalesce("source", F.lit("\x00"))), True)))
-        .withColumn("low", F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    some = F.col("source_size") > 0
+    wanted = (
+        wanted.withColumns({"aim": F.round("target").cast("long"), "blocks": F.ceil(F.col("source_size") / block).cast("long")})
+        .withColumn("passes", F.when(some, F.expr("aim div source_size")).otherwise(0))
+        .withColumn("rest", F.when(some, F.expr("aim % source_size")).otherwise(0))
+        .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
+        .withColumn("cut", F.when(F.col("rest") % block > 0, F.col("rest") % block))
     )
+    # one row for each source
+    wanted = cut(wanted.withColumn("low", F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     total = wanted.agg(F.sum("slots")).first()[0] or 0
-    spark, wide, n = docs.sparkSession, total >= PRIMES[0], max(1, total)
-    # the slots' own factor: the first one from the golden section of their number on that has no factor in common with it
-    by = next((x for x in range(int(n * 0.618), n) if gcd(x, n) == 1), 1)
-    # an owner for each run of permuted numbers: the sources' ranges are cut at multiples of a stride to be joined by equality
+    # an owner for each run of numbers: the sources' ranges are cut at multiples of a stride to be joined by equality
     stride = max(1, total // 4096)
     ranges = wanted.where("slots > 0").withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / stride), F.floor((F.col("low") + F.col("slots") - 1) / stride))))
-    slots = spark.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(n), F.lit(by), F.lit(seed), wide).alias("number")).withColumn("part", F.floor(F.col("number") / stride))
+    slots = cut(docs.sparkSession.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(max(1, total)), F.lit(seed)).alias("number")))
+    slots = slots.withColumn("part", F.expr(f"number div {stride}"))
     slots = slots.join(ranges, "part").where("number >= low and number < low + slots").withColumn("k", F.col("number") - F.col("low"))
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("by"), F.concat_ws("/", F.lit(seed), F.coalesce("source", F.lit("\x00")), turn), wide)
-    slots = slots.select(F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "source", turn.alias("round"), index.alias("index"))
+    slots = slots.withColumns({"round": F.expr("k div blocks"), "inside": F.expr("k % blocks"), "limit": F.when(F.col("k") == F.col("slots") - 1, F.col("cut"))})
+    slots = slots.withColumn("index", permuted(F.col("inside"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source").isNull(), "source", "round")))
+    slots = slots.select(F.expr(f"slot div {shard_slots}").alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "source", "round", "index", F.coalesce("limit", F.lit(block)).cast("long").alias("limit"))
     spread = F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block)))
     parts = rows.where("size > 0").withColumn("index", spread)
     same = parts["source"].eqNullSafe(slots["source"]) & (parts["index"] == slots["index"])
-    first, end = F.greatest(F.col("place"), parts["index"] * block), F.least(F.col("place") + F.col("size"), (parts["index"] + 1) * block)
-    pieces = parts.join(slots, same).select("doc_id", "hash", parts["source"], "place", "round", (first - F.col("place")).alias("first"), (end - first).alias("words"))
+    first, end = F.greatest(F.col("place"), parts["index"] * block), F.least(F.col("place") + F.col("size"), parts["index"] * block + F.col("limit"))
+    pieces = parts.join(slots, same).where(first < end).select("doc_id", "hash", parts["source"], "place", "round", (first - F.col("place")).alias("first"), (end - first).alias("words"))
     known = rows["source"].eqNullSafe(wanted["source"])
     documents = rows.join(wanted, known).select("doc_id", "hash", rows["source"], "size", "place", "source_size", "target")
     return documents, slots, pieces
@@ -157,7 +158,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     match = rows["_nth"] == chosen["_nth"]
     for c in key:
         match &= rows[c].eqNullSafe(chosen[c])
-    words = F.regexp_extract_all(rows["text"], F.lit(f"({WORD})"))
+    words = words_of(rows["text"])
     text = F.when(F.col("_words") == F.col("_size"), rows["text"]).otherwise(F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))), " "))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.join(chosen, match).select(*(new[c].alias(c) if c in new else rows[c] for c in docs.columns))
