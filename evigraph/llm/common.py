@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each."""
+    """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each. Free memory goes back at the end."""
     for batch in batches:
         sizes = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
@@ -59,6 +59,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    # workers outlive their tasks
+    pa.default_memory_pool().release_unused()
 
 
 def widened(schema: StructType, ddl: str) -> StructType:

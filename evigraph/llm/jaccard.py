@@ -1,17 +1,20 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 0.8; no such pair is missed.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of at least 0.8; no such pair is missed.
+
+A part of the SimHash operator: fingerprints of 64 bits within a radius that keeps all such pairs can't be told from those of unlike
+texts, so ``simhash.near_duplicates`` adds these links to the ones that it finds by fingerprint.
 
 A set is sorted by one order of all shingles. Two sets of n >= m shingles that are similar enough share at least ``ceil(4 (n + m) / 9)`` of
 them, so they share one within the first ``n - ceil(4 n / 5) + 1`` of the larger and the first ``m - ceil(8 m / 9) + 1`` of the smaller set
 (prefix filter), with enough shingles behind it in both (position filter). Spark joins the sets by these shingles, and each pair that is
 left is checked with its whole sets. The order puts shingles last that are frequent in a sample of the texts; any order gives the same pairs.
 
-Equal sets are compared once. In a crowded bucket all sets are first checked against a few of them, and only pairs that these links do not
-join already are listed, so that a large group of near copies does not list all of its pairs.
+Only sets of different groups are compared. In a crowded bucket all sets are first checked against a few of them, and only pairs that these
+links do not join already are listed, so that a large group of near copies does not list all of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, slices, utf8, written
+from .common import components, cut, partitions, slices, union, utf8, written
 
 SEED = 42
 PIECE = 1 << 16
 #: Texts in the sample that the order of shingles comes from, and how many frequent shingles the order knows.
 SAMPLE, FREQUENT = 20_000, 200_000
 PIVOTS = 4
+#: Set keys that a task remembers to write a prefix once; beyond it, equal sets are written again, which changes no pair.
+MET = 1 << 18
 #: Words of the bit map in ``_screened``.
 SCREEN = 1 << 17
 
@@ -171,46 +176,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, size: int) -
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, crowded: int = 64, cap: int = 2048) -> DataFrame:
-    """(id_col, component_id): each row and the smallest id of its group, linked by steps of a Jaccard similarity of at least 0.8.
-
-    Texts are lowered and cut at ASCII white space; null and empty texts have no words and are one group. Rows with a null id keep their
-    row; their group's smallest id ignores nulls. Empty tables give none, repeated rows one result each, other columns are ignored.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
+def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int], int]) -> DataFrame:
+    """(row, id, fp, tk, sk, n, prefix) of each text: its fingerprint, text key, set key, number of shingles, and the shingles that are
+    joined (null where the task has met the same set before). Rows are written, so that ``row`` stays what it is."""
     frequent, rank = _frequent(texts.select("tk", "text"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in slices(batches):
-            keys, counts, prefixes = [], [], []
+            fps, keys, counts, prefixes = [], [], [], []
             for t in utf8(b.column("text")):
                 h = shingles(t, size)
+                fps.append(fingerprint(t, size))
                 keys.append(_set_key(h))
                 counts.append(len(h))
-                prefixes.append(_prefix(h, frequent, rank).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), prefix], names=["id", "tk", "sk", "n", "prefix"])
-
-    found = texts.mapInArrow(run, "id long, tk long, sk long, n long, prefix array<long>")
-    rows = written(found.withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    first = cut(rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk"), F.min("row").alias("row")))
-    once = written(rows.select("row", "sk", "n", "prefix").join(first.select("row"), "row", "left_semi").drop("row"), "sets")
-    sizes = once.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    keyed = once.select("sk", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
-    shared = cut(keyed.join(sizes, "key"))
+                prefixes.append(None if keys[-1] in met else _prefix(h, frequent, rank).view(np.int64))
+                if len(met) < MET:
+                    met.add(keys[-1])
+            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix"])
+
+    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>")
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
+
+
+def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 64, cap: int = 2048) -> DataFrame:
+    """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
+    known = cut(rows.select("sk", "fp").distinct().join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+    equal = known.where("root != other").select(F.col("root").alias("a"), F.col("other").alias("b"))
+    first = cut(rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk")))
+    # the place in a prefix and the size of the set as one number
+    packed = (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("np")
+    keyed = rows.where("prefix is not null").select("sk", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "sk", packed)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keyed.join(sizes, "key").select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size")
+    shared = cut(shared.join(known.select("sk", F.col("root").alias("comp")), "sk"))
     hot, joined = shared.where(F.col("size") > crowded), None
-    shared = shared.withColumn("comp", F.col("sk"))
     if hot.take(1):
-        pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n")).alias("p"))
-        near = hot.join(pivots, "key").where("sk != p.sk and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-        joined = _verified(cut(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct()), texts, first, size)
-        rooted = cut(components(joined)).select(F.col("node").alias("sk"), "root")
-        shared = shared.join(rooted, "sk", "left").withColumn("comp", F.coalesce("root", "sk")).drop("root")
-    rest = _verified(cut(_candidates(shared, cap)), texts, first, size)
-    groups = components(rest if joined is None else joined.unionByName(rest))
-    named = first.select("sk").join(groups, F.col("sk") == F.col("node"), "left").select("sk", F.coalesce("root", "sk").alias("root"))
-    low = rows.groupBy("sk").agg(F.min("id").alias("low"))
-    rooted = cut(low.join(named, "sk"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("id", "sk").join(rooted.join(least, "root").select("sk", "component_id"), "sk").select(F.col("id").alias(id_col), "component_id")
+        pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n", "comp")).alias("p"))
+        near = hot.join(pivots, "key").where("comp != p.comp and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
+        near = cut(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct())
+        joined = _between(_verified(near, texts, first, size), known)
+        rooted = cut(components(joined)).select(F.col("node").alias("comp"), "root")
+        shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    rest = _between(_verified(cut(_candidates(shared, cap)), texts, first, size), known)
+    return union([x for x in (equal, joined, rest) if x is not None])
+
+
+def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of set keys as pairs of their groups."""
+    a, b = (known.select(F.col("sk").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    return cut(pairs.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, cut, partitions, slices, utf8
 
 SEED = 42
@@ -147,16 +148,25 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 6, pivots: int = 16,
     return dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, similar: bool = False, **options) -> DataFrame:
     """(id_col, fp long, component_id): each row's fingerprint and the smallest id of its group of linked fingerprints.
 
-    Rows with a null id keep their row; their group's smallest id ignores nulls (null if there is no other). Empty tables give
-    none, repeated rows one result each, and other columns of ``docs`` are ignored.
+    With ``similar``, texts whose sets of shingles have a Jaccard similarity of at least 0.8 are linked as well, however many bits their
+    fingerprints differ in (``jaccard``). Rows with a null id keep their row; their group's smallest id ignores nulls (null if there is no
+    other). Null and empty texts have no words and are one group. Empty tables give none, repeated rows one result each, and other
+    columns of ``docs`` are ignored.
     """
-    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    if similar:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
+        fps = jaccard.signatures(texts, shingle, fingerprint)
+    else:
+        fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     first = fps.groupBy("fp").agg(F.min("id").alias("low"))
     groups = components(links(fps, radius=radius))
     rooted = cut(first.join(groups, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
+    if similar:
+        wider = components(jaccard.links(fps, texts, rooted.select("fp", "root"), shingle, **options)).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+        rooted = cut(rooted.join(wider, "root", "left").select("fp", F.coalesce("wider", "root").alias("root"), "low"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut(rooted.join(cut(least), "root").select("fp", "component_id"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

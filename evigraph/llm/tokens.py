@@ -37,7 +37,7 @@ LOW = np.uint64(1 << 31)
 #: Words that a worker remembers (about 50 bytes each), and words that are encoded in one line.
 KNOWN_WORDS, LINE_WORDS = 400_000, 1 << 15
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 MARKS = ".,"
 #: White space of any kind beside a space: there, the words between spaces can't be encoded one by one.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"

@@ -39,9 +39,9 @@ SUPPORT = 3
 #: Probability of a byte after two others that the corpus never has together.
 UNSEEN = 1e-4
 #: Words whose ratios a worker remembers, and words that are spelt out at once.
-KNOWN_WORDS, WORDS = 300_000, 1 << 15
+KNOWN_WORDS, WORDS = 200_000, 1 << 15
 #: Bytes of text that a task scores at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Bytes that words and the blanks between them are made of; the triples of all others don't occur.
 ALPHABET = np.array([32, *range(48, 58), *range(97, 123), *range(128, 256)], np.int64)
 

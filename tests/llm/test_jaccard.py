@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from evigraph.llm import jaccard
+from evigraph.llm import simhash
 
 
 def plain_set(text):
@@ -44,13 +44,13 @@ def test_against_brute_force(spark, crowded, cap):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = groups(rows)
     assert len(set(want.values())) < len({t for _, t in rows})
-    assert {r.doc_id: r.component_id for r in jaccard.similar(docs, crowded=crowded, cap=cap).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=1, similar=True, crowded=crowded, cap=cap).collect()} == want
 
 
 def test_empty_and_null_ids(spark):
-    assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), shingle=5, similar=True).count() == 0
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "c d"), (4, "c d")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in jaccard.similar(docs).collect()), key=str) == [(4, 4), (4, 4), (None, None), (None, None)]
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, shingle=5, similar=True).collect()), key=str) == [(4, 4), (4, 4), (None, None), (None, None)]
 
 
 def test_stage_drops_edited_copies(spark, tmp_path):
@@ -64,3 +64,13 @@ def test_stage_drops_edited_copies(spark, tmp_path):
         docs.append((100 + i, " ".join(base)))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()}
     assert kept == set(range(20))
+
+
+def test_stage_keeps_different_texts_of_one_id(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(4)]
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (None, texts[2], 3), (None, texts[2] + " more", 4), (None, texts[1], 5), (7, texts[3], 6), (7, texts[3], 7), (8, None, 8), (9, "", 9)]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in got if r.doc_id != 8 and r.text and "more" not in r.text} >= {(1, texts[0]), (1, texts[1]), (7, texts[3])}
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 7 for r in got) == 1 and sum(not r.text for r in got) == 1
+    assert corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame([], "doc_id long, text string, n int"), str(tmp_path)).count() == 0
