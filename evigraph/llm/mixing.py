@@ -11,6 +11,8 @@ and blocks are joined by source and index.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ BLOCK = 64
 SHARD_SLOTS = 4096
 MOST = 2
 BLANKS = "\t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]+"
 PASSES, ROUNDS = 2, 6
 
 
@@ -31,24 +34,28 @@ def words_of(text: Column) -> Column:
 
 def size_of(text: Column) -> Column:
     """Number of words; null: 0."""
-    return F.coalesce(F.size(words_of(text)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def digits(n: Column) -> tuple[Column, Column]:
+    """(low, high) for ``permuted``: about the root of n, and how many times it goes into n. n is 1 at least."""
+    low = F.greatest(F.lit(1), F.floor(F.sqrt(n))).cast("long")
+    return low, F.floor(n / low).cast("long")
 
 
-def permuted(x: Column, n: Column, seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1 drawn by ``seed``, at ``x``. n is 1 at least.
+def permuted(x: Column, n: Column, low: Column, high: Column, *seed: Column) -> Column:
+    """A pseudorandom permutation of 0..n-1 drawn by ``seed``, at ``x``. ``low`` and ``high`` are the ``digits`` of n; n and they should be
+    columns of the table or literals, as they are read in each of the steps.
 
-    A pass turns the numbers by a keyed shift and reads those below ``low * high`` (all but a few; low is about the root of n) as two
-    digits. In each round one digit is shifted by a keyed function of the other one, which can be undone, so different numbers stay
-    different.
+    A pass turns the numbers by a keyed shift and reads those below ``low * high`` (all but a few) as two digits. In each round one digit
+    is shifted by a keyed function of the other one, which can be undone, so different numbers stay different.
     """
-    n, low = n.cast("long"), F.greatest(F.lit(1), F.floor(F.sqrt(n))).cast("long")
-    high = F.floor(n / low).cast("long")
 
     def step(x: Column, r: Column) -> Column:
         a, b = x % low, F.floor(x / low)
-        turned = (x + F.pmod(F.xxhash64(seed, r), n)) % n
-        one = b * low + (a + F.pmod(F.xxhash64(seed, r, b), low)) % low
-        other = ((b + F.pmod(F.xxhash64(seed, r, a), high)) % high) * low + a
+        turned = (x + F.pmod(F.xxhash64(*seed, r), n)) % n
+        one = b * low + (a + F.pmod(F.xxhash64(*seed, r, b), low)) % low
+        other = ((b + F.pmod(F.xxhash64(*seed, r, a), high)) % high) * low + a
         return F.when(r % (ROUNDS + 1) == 0, turned).when(x >= low * high, x).when(r % 2 == 0, one).otherwise(other)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(PASSES * (ROUNDS + 1) - 1)), x.cast("long"), step)
@@ -99,7 +106,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     come first in the stream; equal rows are parts of the stream of their own; an empty table gives three empty ones.
     """
     rows = docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size"))
-    rows = cut(placed(rows))
+    rows = cut(placed(cut(rows)))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     some = F.col("source_size") > 0
     wanted = (
@@ -108,18 +115,20 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
         .withColumn("rest", F.when(some, F.expr("aim % source_size")).otherwise(0))
         .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
         .withColumn("cut", F.when(F.col("rest") % block > 0, F.col("rest") % block))
+        .withColumns({"n": F.greatest("blocks", F.lit(1)), "salt": F.xxhash64(F.lit(seed), F.col("source").isNull(), "source")})
+        .withColumns(dict(zip(("n_low", "n_high"), digits(F.greatest("blocks", F.lit(1))))))
     )
     # one row for each source
     wanted = cut(wanted.withColumn("low", F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     total = wanted.agg(F.sum("slots")).first()[0] or 0
     # an owner for each run of numbers: the sources' ranges are cut at multiples of a stride to be joined by equality
-    stride = max(1, total // 4096)
+    stride, n = max(1, total // 4096), max(1, total)
     ranges = wanted.where("slots > 0").withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / stride), F.floor((F.col("low") + F.col("slots") - 1) / stride))))
-    slots = cut(docs.sparkSession.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(max(1, total)), F.lit(seed)).alias("number")))
+    slots = cut(docs.sparkSession.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(n), F.lit(isqrt(n)), F.lit(n // isqrt(n)), F.lit(seed)).alias("number")))
     slots = slots.withColumn("part", F.expr(f"number div {stride}"))
     slots = slots.join(ranges, "part").where("number >= low and number < low + slots").withColumn("k", F.col("number") - F.col("low"))
     slots = slots.withColumns({"round": F.expr("k div blocks"), "inside": F.expr("k % blocks"), "limit": F.when(F.col("k") == F.col("slots") - 1, F.col("cut"))})
-    slots = slots.withColumn("index", permuted(F.col("inside"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source").isNull(), "source", "round")))
+    slots = slots.withColumn("index", permuted(F.col("inside"), *map(F.col, ("n", "n_low", "n_high", "salt", "round"))))
     slots = slots.select(F.expr(f"slot div {shard_slots}").alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "source", "round", "index", F.coalesce("limit", F.lit(block)).cast("long").alias("limit"))
     spread = F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block)))
     parts = rows.where("size > 0").withColumn("index", spread)

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import mixing
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def plain_targets(sizes):
     """Reshare the excess by weight until no target is over its limit."""
@@ -37,7 +35,7 @@ def test_targets_and_takes(spark):
     docs = spark.createDataFrame(data(), SCHEMA).repartition(3)
     sizes: dict = {}
     for _, t, s, _, _ in data():
-        sizes[s] = sizes.get(s, 0) + len(re.findall(WORD, t or ""))
+        sizes[s] = sizes.get(s, 0) + len(re.findall(mixing.WORD, t or ""))
     want, got = plain_targets(sizes), mixing.taken(docs).collect()
     assert len(got) == len(data()) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.taken(docs.repartition(5)).collect()), key=str)
     assert all(r.taken <= 2 * r.size for r in got)
@@ -49,7 +47,7 @@ def test_targets_and_takes(spark):
 def test_permutations(spark):
     sizes = [*range(1, 70), 997, 4096]
     numbers = spark.createDataFrame([(n, x, seed) for n in sizes for x in range(n) for seed in (1, 2)], "n long, x long, seed int")
-    rows = numbers.withColumn("y", mixing.permuted(F.col("x"), F.col("n"), F.col("seed"))).collect()
+    rows = numbers.withColumn("y", mixing.permuted(F.col("x"), F.col("n"), *mixing.digits(F.col("n")), F.col("seed"))).collect()
     images: dict = {}
     for r in rows:
         images.setdefault((r.n, r.seed), {})[r.x] = r.y
