@@ -41,7 +41,7 @@ UNSEEN = 1e-4
 #: Words whose ratios a worker remembers, and words that are spelt out at once.
 KNOWN_WORDS, WORDS = 200_000, 1 << 15
 #: Bytes of text that a task scores at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes that words and the blanks between them are made of; the triples of all others don't occur.
 ALPHABET = np.array([32, *range(48, 58), *range(97, 123), *range(128, 256)], np.int64)
 
@@ -57,10 +57,10 @@ def held_out_col(column):
 
 def pieces(texts: pa.Array) -> pa.ListArray:
     """The words of each text (binary, none null) in lower case, with empty ones where several blanks meet."""
-    texts = pa.concat_arrays([texts])
     _, offsets, data = texts.buffers()
-    folded = pa.py_buffer((data.to_pybytes() if data else b"").translate(FOLD))
-    return pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, folded], offset=texts.offset), b" ")
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    folded = (data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if data else b"").translate(FOLD)
+    return pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at - at[0]), pa.py_buffer(folded)]), b" ")
 
 
 def spelt(words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
