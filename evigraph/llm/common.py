@@ -97,20 +97,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Alternates the large-star and small-star steps; every round aggregates before it shuffles and ends in a checkpoint.
     An empty table gives an empty table; self-loops keep their node; nulls are dropped.
     """
-    spark = edges.sparkSession
-    edges = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now, before = cut(edges.where("a != b").distinct()), None
+    now, before = edges.where("a != b"), None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         large = cut(large.distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = cut(small.where("a != b").distinct())
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
     else:

@@ -204,7 +204,7 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
     known = cut(rows.select("sk", "fp").distinct().join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other")))
     equal = known.where("root != other").select(F.col("root").alias("a"), F.col("other").alias("b"))
-    first = cut(rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk")))
+    first = rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk"))
     # the place in a prefix and the size of the set as one number
     packed = (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("np")
     keyed = rows.where("prefix is not null").select("sk", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "sk", packed)
@@ -216,8 +216,8 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
         pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n", "comp")).alias("p"))
         near = hot.join(pivots, "key").where("comp != p.comp and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
         near = cut(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct())
-        joined = _between(_verified(near, texts, first, size), known)
-        rooted = cut(components(joined)).select(F.col("node").alias("comp"), "root")
+        joined = cut(_between(_verified(near, texts, first, size), known))
+        rooted = components(joined).select(F.col("node").alias("comp"), "root")
         shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
     rest = _between(_verified(cut(_candidates(shared, cap)), texts, first, size), known)
     return union([x for x in (equal, joined, rest) if x is not None])
@@ -226,4 +226,4 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
 def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of set keys as pairs of their groups."""
     a, b = (known.select(F.col("sk").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    return cut(pairs.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    return pairs.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()

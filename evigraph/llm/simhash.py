@@ -168,5 +168,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wider = components(jaccard.links(fps, texts, rooted.select("fp", "root"), shingle, **options)).select(F.col("node").alias("root"), F.col("root").alias("wider"))
         rooted = cut(rooted.join(wider, "root", "left").select("fp", F.coalesce("wider", "root").alias("root"), "low"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(rooted.join(cut(least), "root").select("fp", "component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
