@@ -60,9 +60,9 @@ def memo_key(revision: Column, scope: Column, question: Column) -> Column:
 
 
 def fingerprint(versions: Column, own: Column) -> Column:
-    """Hash of a version map, whatever its order, and of the own version."""
-    entries = F.array_sort(F.map_entries(versions))
-    return F.sha2(F.concat(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"), F.lit("|"), own), 256)
+    """Hash of a version map, whatever its order, and of the own version, as canonical JSON."""
+    entries = F.map_from_entries(F.array_sort(F.map_entries(versions)))
+    return content_sha({"pipelineVersion": own, "tools": entries})
 
 
 def repo_relative(path: Column, root: Column) -> tuple[Column, Column]:
@@ -83,11 +83,12 @@ def repo_relative(path: Column, root: Column) -> tuple[Column, Column]:
     return F.when(reason.isNull(), joined), reason
 
 
-def snapshot_hash(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, n, hash): the same for any order of rows; exact sums of both halves of each row's hash, so no group is gathered."""
-    row = F.md5(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))))
-    half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b"))
+def snapshot_hash(nodes: DataFrame, edges: DataFrame, keys: list[str], columns: list[str], edge_columns: list[str]) -> DataFrame:
+    """(keys, n, hash) of nodes and edges: the same for any order of rows; exact sums of both halves of each row's hash, so no group is
+    gathered."""
+    row = lambda rows, cs: rows.select(*keys, F.md5(F.to_json(F.struct(*(F.col(c) for c in sorted(cs))))).alias("row"))
+    half = lambda at: F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(20,0)")
+    sums = row(nodes, columns).unionAll(row(edges, edge_columns)).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b"))
     return sums.select(*keys, "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("hash"))
 
 

@@ -66,27 +66,72 @@ def condense(claims: DataFrame, k: int = 6) -> DataFrame:
     return top(kept, ["doc_id"], [F.asc("section_id"), F.asc("claim_no")], k).select(*CLAIM, "rank", F.greatest(F.col("total") - k, F.lit(0)).alias("remainder"))
 
 
-def validate_protocol(elements: DataFrame, references: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(doc_id, kind, name, reason): elements with the reason for which they are dropped, if they are.
+def evidence_problem(rows: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``rows`` (path, symbol, start_line, end_line of a piece of evidence) with problem: null where it resolves.
 
-    elements: doc_id, kind (participant, message, state, timeout), name. A participant needs evidence (doc_id, name); a message too, and both
-    ends (references: doc_id, name, to) must survive; a timeout needs its state.
+    files: path, lines (null where they weren't counted); symbols: id. A row without a path has no evidence and no problem.
     """
-    proved = evidence.select("doc_id", "name").distinct().withColumn("_e", F.lit(True))
-    rows = elements.join(proved, ["doc_id", "name"], "left")
-    alive = rows.where((F.col("kind") == "state") | ((F.col("kind") == "participant") & F.col("_e"))).select("doc_id", F.col("name").alias("to"), F.lit(True).alias("_alive"))
-    ends = references.join(alive, ["doc_id", "to"], "left").groupBy("doc_id", "name").agg(F.count(F.when(F.col("_alive").isNull(), 1)).alias("lost"))
-    rows = rows.join(ends, ["doc_id", "name"], "left")
-    reason = F.when(F.col("kind").isin("participant", "message") & F.col("_e").isNull(), "no evidence").when(F.col("kind").isin("message", "timeout") & (F.coalesce("lost", F.lit(1)) > 0), "refers to what is gone")
-    return rows.select("doc_id", "kind", "name", reason.alias("reason"))
-
-
-def validate_threats(boundaries: DataFrame, ends: DataFrame, components: DataFrame, focus: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(boundaries that keep all ends, focus paths): a focus of which exactly one known path is left is dropped."""
-    lost = ends.join(components.select("doc_id", F.col("name").alias("component")), ["doc_id", "component"], "left_anti").select("doc_id", "name").distinct()
-    kept = boundaries.join(lost, ["doc_id", "name"], "left_anti")
-    known = focus.join(files.select("path"), "path", "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "name")))
-    return kept, known.where("n != 1").drop("n")
+    known = files.select("path", F.col("lines").alias("_lines"), F.lit(True).alias("_found")).dropDuplicates(["path"])
+    named = symbols.select(F.col("id").alias("symbol"), F.lit(True).alias("_named")).distinct()
+    out = rows.join(known, "path", "left").join(named, "symbol", "left")
+    place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"))
+    late = lambda c: F.when(F.col(c) > F.col("_lines"), F.concat("path", F.lit(":"), F.col(c).cast("string"), F.lit(" is past the end of the file ("), F.col("_lines").cast("string"), F.lit(" lines)")))
+    problem = (
+        F.when(F.col("path").isNull(), None)
+        .when(F.col("_found").isNull(), F.concat("path", F.lit(" does not exist at this revision")))
+        .when(F.col("symbol").isNotNull() & F.col("_named").isNull(), F.concat("symbol", F.lit(" is not a symbol this run's graph contains")))
+        .when(F.col("end_line") < F.col("start_line"), F.concat(place, F.lit("-"), F.col("end_line").cast("string"), F.lit(" ends before it begins")))
+        .otherwise(F.coalesce(late("start_line"), late("end_line")))
+    )
+    return out.withColumn("problem", problem).select(*rows.columns, "problem")
+
+
+PROOF = ("path", "symbol", "start_line", "end_line")
+
+
+def validate_protocol(elements: DataFrame, states: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements with reason, documents with note) of protocol models; a null reason keeps an element.
+
+    elements: doc_id, kind (participant, message, timeout), name, producer, consumer, and the evidence (path, symbol, start_line,
+    end_line); states: doc_id, state. Participants need evidence that resolves; messages too, and both of their participants; a timeout,
+    named by its state, a state that the document declares. A document of which no participant is left has nothing.
+    """
+    rows = evidence_problem(elements, files, symbols)
+    alive = rows.where("kind = 'participant' and problem is null").select("doc_id", "name").distinct()
+    for end in ("producer", "consumer"):
+        rows = rows.join(alive.select("doc_id", F.col("name").alias(end), F.lit(True).alias(f"_{end}")), ["doc_id", end], "left")
+    rows = rows.join(states.select("doc_id", F.col("state").alias("name"), F.lit("timeout").alias("kind"), F.lit(True).alias("_state")).distinct(), ["doc_id", "kind", "name"], "left")
+    gone = F.when(F.col("_producer").isNull(), F.col("producer")).when(F.col("_consumer").isNull(), F.col("consumer"))
+    lost = F.when(F.col("kind") == "message", F.concat(F.lit("its participant '"), gone, F.lit("' did not survive validation")))
+    no_state = F.when((F.col("kind") == "timeout") & F.col("_state").isNull(), F.concat(F.lit("its state '"), "name", F.lit("' is not one this protocol declares")))
+    rows = rows.select(*elements.columns, F.coalesce("problem", lost, no_state).alias("reason"))
+    left = rows.groupBy("doc_id").agg(F.count(F.when((F.col("kind") == "participant") & F.col("reason").isNull(), 1)).alias("participants"))
+    return rows, left.withColumn("note", F.when(F.col("participants") == 0, "nothing could be verified"))
+
+
+def validate_threats(elements: DataFrame, between: DataFrame, threats: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements with reason and verified, threats of focus paths) of threat models; a null reason keeps an element.
+
+    elements: doc_id, kind (component, boundary, control, focus), name, evidence_no and the evidence; a boundary has a row for each piece.
+    between: doc_id, name, component: the ends of boundaries. threats: doc_id, focus (a path), threat_id, known.
+    Components need evidence that resolves; boundaries all of their ends, and one piece that does (the others go, the reason is that of
+    the first). A control is verified if its evidence resolves; otherwise its claim stays without it. Focus paths must be known, and
+    exactly one that is left of a document is dropped; threats that the model doesn't have are taken off them.
+    """
+    rows = evidence_problem(elements, files, symbols)
+    alive = rows.where("kind = 'component' and problem is null").select("doc_id", F.col("name").alias("component")).distinct()
+    lost = between.join(alive, ["doc_id", "component"], "left_anti").groupBy("doc_id", "name").agg(F.min("component").alias("_gone")).withColumn("kind", F.lit("boundary"))
+    rows = rows.join(lost, ["doc_id", "kind", "name"], "left")
+    whole = Window.partitionBy("doc_id", "kind", "name")
+    good = F.count(F.when(F.col("problem").isNull(), 1)).over(whole)
+    first = F.first("problem").over(whole.orderBy("evidence_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    focus = F.col("kind") == "focus"
+    left = F.size(F.collect_set(F.when(focus & F.col("problem").isNull(), F.col("name"))).over(Window.partitionBy("doc_id", "kind")))
+    boundary = F.when(F.col("_gone").isNotNull(), F.concat(F.lit("its component '"), "_gone", F.lit("' did not survive validation"))).when(good == 0, first).when(F.col("problem").isNotNull(), F.concat(F.lit("taken off: "), "problem"))
+    reason = F.when(F.col("kind") == "boundary", boundary).when(focus & F.col("problem").isNull() & (left == 1), "the only focus path left").otherwise(F.col("problem"))
+    rows = rows.withColumns({"reason": reason, "verified": F.when(F.col("kind") == "control", F.col("path").isNotNull() & F.col("problem").isNull())})
+    kept = rows.where(focus & F.col("reason").isNull()).select("doc_id", F.col("name").alias("focus")).distinct()
+    return rows.select(*elements.columns, "reason", "verified"), threats.where("known").join(kept, ["doc_id", "focus"], "left_semi").select("doc_id", "focus", "threat_id")
 
 
 def answer_memo(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import G
 
-#: Evidence kinds that were measured by a tool (fixed vocabulary).
-DETERMINISTIC = ("compiler", "static-analysis", "test", "symbol-index", "manifest", "git")
+#: Evidence kinds that were measured by a tool (fixed values).
+DETERMINISTIC = ("compiler", "language-server", "build-system", "schema", "static-analysis", "test")
 
 
 def duplicate_ids(rows: DataFrame) -> DataFrame:
@@ -42,14 +44,47 @@ def check_contract(rows: DataFrame, rules: dict[str, str], key: list[str]) -> Da
     return rows.select(*key, F.explode(broken).alias("rule"))
 
 
-def graph_health(modules: DataFrame, comps: DataFrame, levels: DataFrame, fans: DataFrame, entries: DataFrame) -> DataFrame:
-    """(check, value, most, passed): the whole-graph sanity rules of one snapshot each."""
+CYCLE_SHARE, ORPHAN_SHARE, IMPACT_SHARE = 0.3, 0.5, 0.5
+
+
+def graph_health(modules: DataFrame, comps: DataFrame, levels: DataFrame, fans: DataFrame, entries: DataFrame, start: DataFrame) -> DataFrame:
+    """(check, value, most, passed): the whole-graph sanity rules of one snapshot each. start: the modules to start with."""
     n = modules.groupBy(*G).agg(F.count("*").alias("n"))
-    size = comps.groupBy(*G, "component").count().groupBy(*G).agg(F.max("count").alias("value"))
-    rows = n.join(size, list(G)).select(*G, F.lit("largest cycle").alias("check"), (F.col("value") / F.col("n")).alias("value"), F.lit(0.3).alias("most"), ((F.col("value") <= 1) | (F.col("value") <= F.col("n") * 0.3)).alias("passed"))
-    depth = levels.groupBy(*G).agg(F.count_distinct("level").cast("double").alias("value"))
-    rows = rows.unionByName(n.join(depth, list(G)).select(*G, F.lit("levels").alias("check"), "value", F.lit(None).cast("double").alias("most"), ((F.col("value") > 1) | (F.col("n") < 5)).alias("passed")))
-    lone = fans.groupBy(*G).agg(F.count(F.when((F.col("fan_in") == 0) & (F.col("fan_out") == 0), 1)).alias("value"))
-    rows = rows.unionByName(n.join(lone, list(G)).select(*G, F.lit("orphans").alias("check"), (F.col("value") / F.col("n")).alias("value"), F.lit(0.5).alias("most"), (F.col("value") < F.col("n") * 0.5).alias("passed")))
-    start = n.join(entries.groupBy(*G).agg(F.count("*").cast("double").alias("value")), list(G), "left")
-    return rows.unionByName(start.select(*G, F.lit("entry points").alias("check"), F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(None).cast("double").alias("most"), (F.coalesce("value", F.lit(0.0)) > 0).alias("passed")))
+    size = comps.groupBy(*G, "component").count().groupBy(*G).agg(F.max(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("x"))
+    depth = levels.groupBy(*G).agg(F.count_distinct("level").alias("x"))
+    lone = fans.groupBy(*G).agg(F.count(F.when((F.col("fan_in") == 0) & (F.col("fan_out") == 0), 1)).alias("x"))
+    some = lambda rows: rows.groupBy(*G).agg(F.count("*").alias("x"))
+    share, count, none, x = F.col("x") / F.col("n"), F.col("x").cast("double"), F.lit(None).cast("double"), F.col("x")
+    checks = (
+        ("largest cycle", size, share, F.lit(CYCLE_SHARE), x <= F.col("n") * CYCLE_SHARE),
+        ("levels", depth, count, none, (x > 1) | (F.col("n") < 5)),
+        ("orphans", lone, share, F.lit(ORPHAN_SHARE), x < F.col("n") * ORPHAN_SHARE),
+        ("entry points", some(entries), count, none, x > 0),
+        ("start here", some(start), count, none, x > 0),
+    )
+    out = [n.join(rows, list(G), "left").na.fill(0, ["x"]).select(*G, F.lit(name).alias("check"), value.alias("value"), most.alias("most"), passed.alias("passed")) for name, rows, value, most, passed in checks]
+    return reduce(DataFrame.unionByName, out)
+
+
+def change_health(nodes: DataFrame, impact: DataFrame, raw: DataFrame, bumps: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(check, value, most, passed): the sanity rules of one change each.
+
+    nodes: repository_id of each head node; impact: a row for each symbol reached; raw: n identities with a version left in them; bumps:
+    package, bump, reason; skipped: package.
+    """
+    key = "repository_id"
+    n = nodes.groupBy(key).agg(F.count("*").alias("n"))
+    each = n.join(impact.groupBy(key).agg(F.count("*").alias("reached")), key, "left").join(raw.select(key, F.col("n").alias("raw")), key, "left")
+    unknown = F.col("bump") == "unknown"
+    said = bumps.groupBy(key).agg(F.count("*").alias("measured"), F.count(F.when(unknown, 1)).alias("unknown"), F.count(F.when(unknown & F.col("reason").isNull(), 1)).alias("unexplained"))
+    each = each.join(said, key, "left").join(skipped.groupBy(key).agg(F.count("*").alias("skipped")), key, "left").na.fill(0)
+    none = F.lit(None).cast("double")
+    row = lambda name, value, most, passed: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), most.alias("most"), passed.alias("passed"))
+    checks = F.array(
+        row("impact", F.col("reached") / F.col("n"), F.lit(IMPACT_SHARE), F.col("reached") <= F.col("n") * IMPACT_SHARE),
+        row("raw identities", F.col("raw"), F.lit(0.0), F.col("raw") == 0),
+        row("unknown bumps", F.col("unknown"), F.lit(0.0), F.col("unknown") == 0),
+        row("unexplained bumps", F.col("unexplained"), F.lit(0.0), F.col("unexplained") == 0),
+        row("packages measured or explained", F.col("measured") + F.col("skipped"), none, F.col("measured") + F.col("skipped") > 0),
+    )
+    return each.select(key, F.explode(checks).alias("c")).select(key, "c.*")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import G
+from .common import G, ancestors
 
 RULE_KINDS = ("imports", "calls", "depends-on")
 
 
 def layer_of(files: DataFrame, rule: DataFrame) -> DataFrame:
     """(path, layer, rank): the first segment below the rule's root if it is a layer. rule: decision, root, layer, rank."""
-    below = F.when(F.col("path").startswith(F.concat("root", F.lit("/"))), F.expr("substring(path, length(root) + 2)"))
-    roots = files.join(F.broadcast(rule.select("decision", "root").distinct()))  # a row for each decision
-    named = roots.withColumn("layer", F.regexp_replace(F.split(below, "/")[0], r"\.(rs|t)$", ""))
+    below = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+    # the roots that a path can have are the directories above it
+    above = files.select(*G, "path", F.explode(ancestors(F.col("path"))).alias("root"))
+    named = above.join(rule.select("decision", "root").distinct(), "root").withColumn("layer", F.regexp_replace(F.split(below, "/")[0], r"\.(rs|t)$", ""))
     return named.join(rule, ["decision", "root", "layer"]).select(*G, "decision", "path", "layer", "rank")
 
 
@@ -34,8 +35,17 @@ def audit_decisions(decisions: DataFrame, violations: DataFrame, inspected: Data
     return rows.withColumn("x", case).select("decision", "number", F.col("x.o").alias("outcome"), F.col("x.c").alias("confidence"), "violations")
 
 
-def audit_report(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+def audit_report(outcomes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(audited decisions in order, counts with notes): numbered decisions first by number, then by path. paths: decision, path.
+
+    The order is a rank; there is a row for each decision record, which one repository has few of.
+    """
+    order = Window.orderBy(F.col("number").isNull(), "number", "path")
+    rows = outcomes.join(paths, "decision", "left").withColumn("place", F.row_number().over(order))
+    n = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+    count = F.col("n").cast("string")
+    note = F.when(F.col("outcome") == "probable-drift", F.concat(count, F.lit(" decision(s) show probable drift from the code"))).when(F.col("outcome") == "unverifiable", F.concat(count, F.lit(" decision(s) could not be checked: there was no evidence in the graph to check them against")))
+    return rows, n.withColumn("note", note)
 
 
 def target_layer(edges: DataFrame, nodes: DataFrame, layers: DataFrame, rule: DataFrame) -> DataFrame:

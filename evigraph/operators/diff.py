@@ -6,6 +6,7 @@ A side is nodes or edges of one snapshot; ``change`` keys the pair. Absent measu
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,26 +112,44 @@ def diff_summary(nodes: DataFrame, edges: DataFrame, moved: DataFrame) -> DataFr
     return n.join(e, R, "full").join(m, R, "full").select(R, *(F.coalesce(c, F.lit(0)).alias(c) for c in zero))
 
 
-def change_labels(delta: DataFrame, api_names: DataFrame | None = None, touched: DataFrame | None = None) -> DataFrame:
-    """(name, basis) of a change; basis is the first key that shows it.
+# Paths and kinds that mark tests and documentation.
+TEST_PATH = r"(^|/)(tests?|benches|testdata|fixtures)/"
+TEST_FILE = r"(^|/)(test_[^/]+|[^/]+_test)\.[a-z]+$"
+TEST_KINDS = ("test", "test-module")
+DOC_SUFFIX = r"\.(md|rst|txt|adoc)$"
+DOC_PATH = r"(^|/)(docs?|adr)/"
 
-    delta: key, change (added, removed, moved), kind, label, path. Without an API delta nothing is said of interfaces.
+
+def change_labels(nodes: DataFrame, moved: DataFrame, renames: DataFrame | None = None, api_names: DataFrame | None = None) -> DataFrame:
+    """(name, basis): the labels that a change earns, each with the first thing that shows it.
+
+    nodes: kind and path of the added, removed and touched nodes; moved: label, before, after; renames: before_label, after_label, new,
+    basis, confidence; api_names: name of each changed item of the API delta. Without an API delta nothing is said of interfaces; a
+    delta that names nothing makes a change internal.
     """
-    basis = lambda name, rows: rows.groupBy(R).agg(F.min("key").alias("basis")).select(R, F.lit(name).alias("name"), "basis")
+
+    def label(rows: DataFrame, name: str, basis: Column) -> DataFrame:
+        return rows.groupBy(R).agg(basis.alias("basis")).select(R, F.lit(name).alias("name"), "basis")
+
+    def counted(what: str, column: str) -> Column:
+        return F.concat(F.count("*").cast("string"), F.lit(f" {what}, including "), F.min(column))
+
     path = F.col("path")
-    changed = delta.where("change in ('added', 'removed')") if touched is None else delta.where("change in ('added', 'removed')").select(R, "key", "kind", "label", "path").unionByName(touched.select(R, "key", "kind", "label", "path"))
+    placed = nodes.where("path is not null")
     out = [
-        basis("code-move", delta.where("change = 'moved'")),
-        basis("testing", changed.where(path.rlike(r"(^|/)tests?/|_test\."))),
-        basis("documentation", changed.where(path.rlike(r"(?i)\.(md|rst|adoc|txt)$|(^|/)docs/"))),
+        label(moved, "code-move", F.min_by(F.concat("label", F.lit(" moved from "), "before", F.lit(" to "), "after"), F.struct("after", "before", "label"))),
+        label(placed.where(path.rlike(TEST_PATH) | path.rlike(TEST_FILE) | F.col("kind").isin(*TEST_KINDS)), "testing", counted("test path(s) changed", "path")),
+        label(placed.where(path.rlike(DOC_SUFFIX) | path.rlike(DOC_PATH)), "documentation", counted("documentation path(s) changed", "path")),
     ]
+    if renames is not None:
+        line = F.concat("before_label", F.lit(" appears to have become "), "after_label", F.lit(" ("), "basis", F.lit(", confidence "), F.format_string("%.2f", "confidence"), F.lit(")"))
+        out.append(label(renames.withColumn("_line", line), "rename", F.min_by("_line", F.struct("new", "_line"))))
     if api_names is not None:
-        named = changed.join(api_names.select(R, F.col("name").alias("label")).distinct(), [R, "label"], "left_semi")
-        out += [basis("external-interface", named), basis("internal-interface", changed.join(named.select(R).distinct(), R, "left_anti"))]
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    return found
+        names = api_names.select(R, "name").distinct()
+        out.append(label(names, "external-interface", counted("exported item(s) changed in the public API delta", "name")))
+        inside = F.concat(F.count("*").cast("string"), F.lit(" symbol(s) changed and none appear in the public API delta"))
+        out.append(label(nodes.join(names.select(R).distinct(), R, "left_anti"), "internal-interface", inside))
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- API surfaces: items (repository_id, package, item), skipped (repository_id, package, reason) ------------------------------
@@ -186,5 +205,8 @@ def items_for_definitions(delta: DataFrame, nodes: DataFrame) -> DataFrame:
     defs = nodes.where("kind in ('function', 'type', 'constant')").select(R, "path", "label")
     words = delta.where("change != 'unchanged'").withColumn("label", F.explode(F.array_distinct(F.regexp_extract_all("item", F.lit(r"([A-Za-z0-9_]+)")))))
     plain = words.join(defs.where(F.col("label").rlike("^[A-Za-z0-9_]+$")), [R, "label"])
-    odd = delta.where("change != 'unchanged'").join(defs.where(~F.col("label").rlike("^[A-Za-z0-9_]+$")), R).where(F.instr(F.col("item"), F.col("label")) > 0)
+    # labels that aren't one word: found by their longest word, then searched for in the text
+    long = F.array_max(F.transform(F.regexp_extract_all("label", F.lit(r"([A-Za-z0-9_]+)")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    others = defs.where(~F.col("label").rlike("^[A-Za-z0-9_]+$")).withColumn("word", long)
+    odd = words.withColumnRenamed("label", "word").join(others.where("word is not null"), [R, "word"]).where(F.instr(F.col("item"), F.col("label")) > 0)
     return plain.select(R, "path", "item", "change").unionByName(odd.select(R, "path", "item", "change")).distinct()

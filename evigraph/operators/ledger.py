@@ -61,10 +61,26 @@ def run_snapshot(status: DataFrame, cost: DataFrame) -> DataFrame:
     return maps.join(cost, "run_id", "left")
 
 
-def compare_runs(facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, key, a, b): what differs between two runs' facts (run_id, key, value)."""
-    a, b = (pairs.select("pair_id", F.col(c).alias("run_id")).join(facts, "run_id").select("pair_id", "key", F.col("value").alias(c[-1])) for c in ("run_a", "run_b"))
-    return a.join(b, ["pair_id", "key"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+#: Facts whose difference is noted but leaves two runs reproducible (fixed vocabulary).
+NOTED = ("tokens", "cost", "suppressed")
+
+
+def compare_runs(facts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(differences, results) of pairs of runs (pair_id, run_a, run_b).
+
+    facts: run_id, fact (revision, graph, toolchain, registry, findings, publishable, statuses, or one of ``NOTED``), key (the tool, id
+    or status), value. differences: pair_id, fact, key, a, b, noted. results: pair_id, reproducible, differences, notes. Suppressed
+    findings are noted wherever there are any.
+    """
+    a, b = (pairs.select("pair_id", F.col(c).alias("run_id")).join(facts, "run_id").select("pair_id", "fact", "key", F.col("value").alias(c[-1])) for c in ("run_a", "run_b"))
+    rows = a.join(b, ["pair_id", "fact", "key"], "full")
+    some = (F.col("fact") == "suppressed") & ((F.coalesce("a", F.lit("0")) != "0") | (F.coalesce("b", F.lit("0")) != "0"))
+    rows = rows.where(some | ((F.col("fact") != "suppressed") & ~F.col("a").eqNullSafe(F.col("b")))).withColumn("noted", F.col("fact").isin(*NOTED))
+    line = F.concat("fact", F.when(F.col("key") == "", "").otherwise(F.concat(F.lit(" "), "key")), F.lit(": "), F.coalesce("a", F.lit("absent")), F.lit(" vs "), F.coalesce("b", F.lit("absent")))
+    said = lambda noted: F.array_join(F.array_sort(F.collect_list(F.when(F.col("noted") == F.lit(noted), F.col("_line")))), "; ")
+    found = rows.withColumn("_line", line).groupBy("pair_id").agg(F.count(F.when(~F.col("noted"), 1)).alias("n"), said(False).alias("differences"), said(True).alias("notes"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows, pairs.select("pair_id").join(found, "pair_id", "left").select("pair_id", (F.coalesce("n", F.lit(0)) == 0).alias("reproducible"), empty("differences"), empty("notes"))
 
 
 def budget(invocations: DataFrame, run_cap: int = RUN_CAP, task_cap: int = TASK_CAP) -> DataFrame:
@@ -92,11 +108,18 @@ def verification_summary(diagnostics: DataFrame, tests: DataFrame) -> DataFrame:
     return d.join(t, "run_id", "full").na.fill(0)
 
 
-def manifest(runs: DataFrame, receipts: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Per run its tools with versions and its outputs by role."""
-    r = receipts.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "extractor", "extractor_version"))), ",").alias("tools"))
-    a = artifacts.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("outputs"))
-    return runs.select("run_id").join(r, "run_id", "left").join(a, "run_id", "left")
+def manifest(runs: DataFrame, receipts: DataFrame, artifacts: DataFrame, invocations: DataFrame, notes: DataFrame) -> DataFrame:
+    """A row for each run (run_id, source_lock): its tools with versions, inputs, outputs by role with hashes (the newest of a role),
+    token sums and cost (null where none was reported), models, and notes in order (run_id, seq, note)."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    tools = receipts.groupBy("run_id").agg(joined(F.concat_ws("=", "extractor", "extractor_version")).alias("tools"))
+    newest = artifacts.groupBy("run_id", "role").agg(F.max_by("sha256", "id").alias("sha256"))
+    outputs = newest.groupBy("run_id").agg(joined(F.concat_ws("=", "role", "sha256")).alias("outputs"))
+    told = notes.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]), "; ").alias("notes"))
+    rows = runs.select("run_id", F.concat(F.lit("sourceLock="), "source_lock").alias("inputs")).join(tools, "run_id", "left").join(outputs, "run_id", "left").join(run_cost(invocations), "run_id", "left").join(told, "run_id", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")]
+    none = [F.coalesce(c, F.lit("")).alias(c) for c in ("tools", "outputs", "models", "notes")]
+    return rows.select("run_id", "inputs", *none, *zero, "cost_usd")
 
 
 def publication_audit(approvals: DataFrame, publications: DataFrame) -> DataFrame:

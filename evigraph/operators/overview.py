@@ -80,16 +80,17 @@ def scc(deps: DataFrame, modules: DataFrame, rounds: int = 500) -> DataFrame:
     left = cut(modules.select(*G, "path").distinct())
     done = []
     for _ in range(rounds):
-        # trim
+        # trim: one pass tells which nodes have open edges on both sides
         while True:
-            has_in, has_out = edges.select(*G, F.col("dst").alias("path")).distinct(), edges.select(*G, F.col("src").alias("path")).distinct()
-            core = cut(left.join(has_in, [*G, "path"], "left_semi").join(has_out, [*G, "path"], "left_semi"))
-            gone = cut(left.join(core, [*G, "path"], "left_anti"))
+            ends = edges.select(*G, F.col("dst").alias("path"), F.lit(True).alias("into"), F.lit(False).alias("out")).unionAll(edges.select(*G, "src", F.lit(False), F.lit(True)))
+            state = left.withColumns({"into": F.lit(False), "out": F.lit(False)}).unionByName(ends).groupBy(*G, "path").agg((F.bool_or("into") & F.bool_or("out")).alias("core"))
+            state = cut(state)
+            gone = state.where("not core").select(*G, "path")
             if not gone.take(1):
                 break
             done.append(gone.withColumn("component", F.col("path")))
-            edges = cut(_inside(edges, core))
-            left = core
+            left = state.where("core").select(*G, "path")
+            edges = cut(_inside(edges, left))
         if not left.take(1):
             break
         colour = _spread(left.select(*G, "path", F.col("path").alias("colour")), edges)
@@ -118,25 +119,30 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """The smallest colour that reaches each node; a round ends with who changed, so that the end is seen without another join."""
+    colour = cut(colour.withColumn("changed", F.lit(True)))
     while True:
-        moved = edges.join(colour.withColumnRenamed("path", "src"), [*G, "src"]).select(*G, F.col("dst").alias("path"), "colour")
-        new = cut(colour.unionByName(moved).groupBy(*G, "path").agg(F.min("colour").alias("colour")))
-        if not new.join(colour, [*G, "path", "colour"], "left_anti").take(1):
-            return new
-        colour = new
+        moved = edges.join(colour.where("changed").withColumnRenamed("path", "src"), [*G, "src"]).select(*G, F.col("dst").alias("path"), "colour", F.lit(None).cast("string").alias("old"))
+        both = colour.select(*G, "path", "colour", F.col("colour").alias("old")).unionByName(moved).groupBy(*G, "path").agg(F.min("colour").alias("colour"), F.max("old").alias("old"))
+        colour = cut(both.select(*G, "path", "colour", (F.col("colour") != F.col("old")).alias("changed")))
+        if not colour.where("changed").take(1):
+            return colour.drop("changed")
 
 
 def levelize(deps: DataFrame, comps: DataFrame, rounds: int = 10000) -> DataFrame:
-    """(path, component, level): 0 without dependencies, else one more than the highest level depended on, over components."""
+    """(path, component, level): 0 without dependencies, else one more than the highest level depended on, over components.
+
+    A round follows the arcs into components whose level has just risen, no others.
+    """
     a, b = (comps.select(*G, F.col("path").alias(end), F.col("component").alias(c)) for end, c in (("src", "a"), ("dst", "b")))
     arcs = cut(deps.join(a, [*G, "src"]).join(b, [*G, "dst"]).where("a != b").select(*G, "a", "b").distinct())
-    level = cut(comps.select(*G, "component").distinct().withColumn("level", F.lit(0)))
+    level = cut(comps.select(*G, "component").distinct().withColumns({"level": F.lit(0), "risen": F.lit(True)}))
     for _ in range(rounds):
-        up = arcs.join(level.withColumnRenamed("component", "b"), [*G, "b"]).groupBy(*G, F.col("a").alias("component")).agg((F.max("level") + 1).alias("up"))
-        new = cut(level.join(up, [*G, "component"], "left").select(*G, "component", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        if not new.join(level, [*G, "component", "level"], "left_anti").take(1):
-            return comps.join(new, [*G, "component"]).select(*G, "path", "component", "level")
-        level = new
+        up = arcs.join(level.where("risen").withColumnRenamed("component", "b"), [*G, "b"]).groupBy(*G, F.col("a").alias("component")).agg((F.max("level") + 1).alias("up"))
+        level = level.join(up, [*G, "component"], "left").withColumn("risen", F.coalesce(F.col("up") > F.col("level"), F.lit(False)))
+        level = cut(level.select(*G, "component", F.greatest("level", "up").alias("level"), "risen"))
+        if not level.where("risen").take(1):
+            return comps.join(level, [*G, "component"]).select(*G, "path", "component", "level")
     raise RuntimeError("levels did not settle")
 
 
@@ -163,13 +169,19 @@ def orphans(fans: DataFrame) -> DataFrame:
     return fans.where("fan_in = 0 and fan_out = 0").select(*G, "path")
 
 
+# Names of files that a program or its callers enter through, and directories beside it.
+LIBRARY_ROOTS, BINARY_ROOTS, BUILD_SCRIPTS = ("lib.rs", "__init__.py", "index.ts", "index.js"), ("main.rs",), ("build.rs",)
+BESIDE = r"(^|/)(examples|benches|tests)/"
+
+
 def entry_points(nodes: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, reason): functions called main outside build scripts, and binary and library roots."""
-    mains = nodes.where("kind = 'function' and label = 'main'").where(~F.col("path").rlike(r"(^|/)build\.rs$"))
-    side = F.when(F.col("path").rlike("(^|/)examples/"), "example main").when(F.col("path").rlike("(^|/)tests/"), "test main").otherwise("main function")
-    roots = modules.select(*G, "path").where(F.col("path").rlike(r"(^|/)(main|lib)\.rs$|(^|/)src/bin/[^/]+\.rs$"))
-    kind = F.when(F.col("path").rlike(r"(^|/)lib\.rs$"), "library root").otherwise("binary root")
-    rows = mains.select(*G, "path", side.alias("reason")).unionByName(roots.select(*G, "path", kind.alias("reason")))
+    """(path, reason) of modules: those with a function called main, and binary and library roots; build scripts aren't part of a program."""
+    name = F.element_at(F.split("path", "/"), -1)
+    known = modules.select(*G, "path").distinct().where(~name.isin(*BUILD_SCRIPTS))
+    where = F.when(F.col("path").rlike(BESIDE), "example or test").otherwise("program")
+    mains = nodes.where("kind = 'function' and label = 'main'").select(*G, "path").join(known, [*G, "path"], "left_semi").withColumn("reason", F.concat(F.lit("defines `main` ("), where, F.lit(")")))
+    root = F.when(name.isin(*BINARY_ROOTS), F.concat(F.lit("binary root ("), name, F.lit(")"))).when(name.isin(*LIBRARY_ROOTS), F.concat(F.lit("library root ("), name, F.lit(")")))
+    rows = mains.unionByName(known.withColumn("reason", root).where("reason is not null"))
     return rows.groupBy(*G, "path").agg(F.concat_ws("; ", F.array_sort(F.collect_set("reason"))).alias("reason"))
 
 
@@ -199,15 +211,16 @@ def module_root(files: DataFrame) -> DataFrame:
     return top(n, list(G), [F.desc("files"), F.length("directory"), F.asc("directory")], 1).select(*G, "directory", "files")
 
 
-#: Layer names that come first, in this order (fixed values).
-PREFERRED_LAYERS = ("api", "app", "domain", "service", "core", "model", "storage", "util")
+#: Layer names that come first, in this order (fixed values), and names that are no layers.
+PREFERRED_LAYERS = ("api", "handler", "service", "cache", "domain", "storage", "store", "db")
+NO_LAYERS = ("lib", "main", "mod")
 
 
 def layer_order(files: DataFrame, root: DataFrame, preferred: tuple[str, ...] = PREFERRED_LAYERS) -> DataFrame:
-    """(layer, rank): names below the root directory, preferred ones first, the rest by name."""
+    """(layer, rank): files right below the root directory, preferred names first, the rest by name."""
     below = files.join(root, list(G)).where(F.col("path").startswith(F.concat("directory", F.lit("/"))))
-    stem = F.regexp_extract(F.expr("substring(path, length(directory) + 2)"), r"^([^/.]+)", 1)
-    names = below.select(*G, stem.alias("layer")).where("layer != ''").distinct()
+    names = below.select(*G, F.regexp_replace(F.expr("substring(path, length(directory) + 2)"), r"\.rs$", "").alias("layer"))
+    names = names.where(~F.col("layer").contains("/") & ~F.col("layer").isin(*NO_LAYERS)).distinct()
     first = F.coalesce(F.array_position(F.array(*map(F.lit, preferred)), F.col("layer")), F.lit(0))
     w = Window.partitionBy(*G).orderBy(F.when(first > 0, first).otherwise(len(preferred) + 1), "layer")
     return names.withColumn("rank", F.row_number().over(w))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ def pair_kind(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin(*USAGE_KINDS)).groupBy(*G, "source", "target").agg(F.min_by("kind", rank).alias("kind"))
 
 
-def elements(nodes: DataFrame) -> DataFrame:
-    """Projected nodes: distinct sorted producers, the largest confidence, the public flag."""
+def elements(rows: DataFrame) -> DataFrame:
+    """Projected nodes or edges: their own columns, distinct sorted producers, the largest confidence (unknown ones count as 1)."""
     producers = F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["producer"])))
-    return nodes.select(*G, "id", "kind", "label", F.array_join(producers, ",").alias("producers"), F.array_max(F.transform("evidence", lambda e: F.coalesce(e["confidence"], F.lit(1.0)))).alias("confidence"), "public")
+    confidence = F.array_max(F.transform("evidence", lambda e: F.coalesce(F.nullif(e["confidence"], F.lit(0.0)), F.lit(1.0))))
+    own = [c for c in ("id", "kind", "label", "source", "target", "configuration", "language", "path", "start_line", "end_line", "public") if c in rows.columns]
+    return rows.select(*G, *own, F.array_join(producers, ",").alias("producers"), confidence.alias("confidence"))
 
 
 def definitions_in_range(defs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -48,14 +52,15 @@ def module_links(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     return rows.groupBy(*G, F.col("a").alias("path"), F.col("b").alias("other")).agg(F.count_distinct("target").alias("symbols"))
 
 
-def shortest_paths(pairs: DataFrame, uses: DataFrame, most: int = 50) -> DataFrame:
+def shortest_paths(pairs: DataFrame, uses: DataFrame, rounds: int = 100_000) -> DataFrame:
     """(pair_id, steps, nodes): a shortest way from start to goal for each pair, smallest nodes first; no row where there is none.
 
-    All pairs advance one edge at a time; a pair is done once it meets its goal, and no pair visits a node twice.
+    All pairs advance one edge at a time until none has a node left to visit; a pair is done once it meets its goal, and no pair visits a
+    node twice, so the rounds end by themselves.
     """
     front = cut(pairs.select(*G, "pair_id", "goal", F.col("start").alias("node"), F.array("start").alias("nodes")))
     seen, found = front.select("pair_id", "node"), []
-    for _ in range(most):
+    for _ in range(rounds):
         hits = cut(front.where("node = goal").select("pair_id", F.size("nodes").alias("steps"), F.array_join("nodes", ">").alias("nodes")))
         found.append(hits)
         open_ = front.join(hits.select("pair_id"), "pair_id", "left_anti")
@@ -63,12 +68,9 @@ def shortest_paths(pairs: DataFrame, uses: DataFrame, most: int = 50) -> DataFra
         step = step.join(seen, ["pair_id", "node"], "left_anti").groupBy(*G, "pair_id", "goal", "node").agg(F.min("nodes").alias("nodes"))
         front = cut(step.select(*G, "pair_id", "goal", "node", "nodes"))
         if not front.take(1):
-            break
+            return reduce(DataFrame.unionByName, found)
         seen = cut(seen.unionByName(front.select("pair_id", "node")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    raise RuntimeError(f"paths did not end in {rounds} rounds")
 
 
 def path_endpoints(counts: DataFrame) -> DataFrame:
@@ -97,11 +99,15 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, node_kinds: list[str], edge
 
 
 def rank_matches(nodes: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
-    """(query, rank, id): six classes of matches, then shorter labels, then label and id. Queries are a stated set of requests."""
-    q, label, path = F.lower("query"), F.lower("label"), F.lower(F.coalesce("path", F.lit("")))
-    asked = F.broadcast(queries.where(F.length("query") >= 2).select("query").distinct())
-    score = F.when(label == q, 0).when(label.startswith(q), 1).when(F.regexp_like(label, F.concat(F.lit(r"[_\W]"), F.regexp_replace(q, r"([^a-z0-9])", r"\\$1"))), 2).when(F.instr(label, q) > 0, 3).when(path.endswith(q), 4).when(F.instr(path, q) > 0, 5)
-    rows = nodes.select(*G, "id", "label", "path").join(asked, (F.instr(label, q) > 0) | (F.instr(path, q) > 0)).withColumn("class", score)
+    """(query, rank, id, class): six classes of matches of a label and of its part behind the last slash, then shorter labels, then label
+    and id. Queries of at least two characters are joined to the labels that hold their first two."""
+    q, label = F.col("_q"), F.lower("label")
+    asked = queries.select("query", F.lower(F.trim("query")).alias("_q")).where(F.length("_q") >= 2).distinct().withColumn("_two", F.substring("_q", 1, 2))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(label) - 1), lambda i: F.substring(label, i, F.lit(2)))
+    rows = nodes.select(*G, "id", "label").where(F.length(label) >= 2).withColumn("_two", F.explode(F.array_distinct(pairs))).join(asked, "_two")
+    base = F.element_at(F.split(label, "/"), -1)
+    score = F.when(label == q, 0).when(base == q, 1).when(label.startswith(q), 2).when(base.startswith(q), 3).when(base.contains(q), 4).when(label.contains(q), 5)
+    rows = rows.withColumn("class", score).where("class is not null")
     return top(rows, [*G, "query"], [F.asc("class"), F.length("label"), F.asc("label"), F.asc("id")], k).select(*G, "query", "rank", "id", "class")
 
 

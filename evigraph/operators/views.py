@@ -40,6 +40,11 @@ def levelized_edges(weights: DataFrame, owners: DataFrame, comps: DataFrame, sam
     return rows.select(*G, F.col("a").alias("package"), "src", "dst", "weight", ((drawn & (F.col("c") == F.col("d"))) if same_component else drawn).alias("drawn"))
 
 
+def levelized_nodes(levels: DataFrame, owners: DataFrame) -> DataFrame:
+    """(package, path, level) of the modules of each package's view."""
+    return levels.join(owners, [*G, "path"]).where("package is not null").select(*G, "package", "path", "level")
+
+
 def suppressed_edges(levelized: DataFrame) -> DataFrame:
     return levelized.groupBy(*G, "package").agg(F.count(F.when(F.col("drawn"), 1)).alias("drawn"), F.count(F.when(~F.col("drawn"), 1)).alias("suppressed"))
 

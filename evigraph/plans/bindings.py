@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.common import cut, shared_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 #: name -> (tables and earlier names it needs, SQL)
@@ -34,18 +38,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "uses": (
         ("lineitem", "orders"),
         """
-        SELECT l_orderkey AS k, 'calls' AS kind, 'c' AS a, o_custkey AS x, 's' AS b, l_suppkey AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+        SELECT 'calls' AS kind, 'c' AS a, o_custkey AS x, 's' AS b, l_suppkey AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         UNION ALL
-        SELECT l_orderkey, 'calls', 's', l_suppkey, 'c', o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_returnflag = 'R'
+        SELECT 'calls', 's', l_suppkey, 'c', o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
         UNION ALL
-        SELECT l_orderkey, 'reads', 's', l_suppkey, 'p', l_partkey FROM lineitem WHERE l_linenumber = 2""",
+        SELECT 'reads', 's', l_suppkey, 'p', l_partkey FROM lineitem""",
     ),
+    # every use is an edge: within a home from user to used, else from the later to the earlier path, so that cycles are local
     "edges": (
         ("uses", "versioned"),
         """
-        SELECT DISTINCT s.repository_id, s.revision, s.id AS source, t.id AS target, r.kind, CAST(NULL AS STRING) AS configuration
-        FROM uses r JOIN versioned s ON s.tab = r.a AND s.num = r.x JOIN versioned t ON t.tab = r.b AND t.num = r.y AND t.revision = s.revision
-        WHERE (s.path > t.path AND r.k % 7 = 0) OR (s.path < t.path AND s.home = t.home AND r.k % 5 = 0)""",
+        SELECT DISTINCT s.repository_id, s.revision, CASE WHEN s.path < t.path AND s.home <> t.home THEN t.id ELSE s.id END AS source,
+               CASE WHEN s.path < t.path AND s.home <> t.home THEN s.id ELSE t.id END AS target, r.kind, CAST(NULL AS STRING) AS configuration
+        FROM uses r JOIN versioned s ON s.tab = r.a AND s.num = r.x JOIN versioned t ON t.tab = r.b AND t.num = r.y AND t.revision = s.revision""",
     ),
     "files": (("versioned",), "SELECT DISTINCT repository_id, revision, path FROM versioned"),
     "packages": (
@@ -108,6 +113,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def needed(*names: str) -> list[str]:
     """Views that the names rest on, in order."""
     out: list[str] = []
@@ -124,7 +134,7 @@ def with_views(sql: str, *names: str) -> str:
     recursive = sql.lstrip().upper().startswith("RECURSIVE ")
     body = sql.lstrip()[10:] if recursive else sql
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return f"{head}{views}{', ' if body.lstrip().startswith('AND ') else ' '}{body.lstrip().removeprefix('AND ')}"
+    return f"{head}{views}{', ' if views and body.lstrip().startswith('AND ') else ' '}{body.lstrip().removeprefix('AND ')}"
 
 
 @dataclass
@@ -133,6 +143,18 @@ class Inputs:
 
     spark: SparkSession
     sf_dir: str
+    memo: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, behind a checkpoint, the first time it is asked for."""
+        if name not in self.memo:
+            self.memo[name] = cut(make())
+        return self.memo[name]
+
+    def folder(self, table: str) -> bool:
+        """Whether a given table is a folder of files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -19,9 +19,10 @@ from ..operators import ledger as L
 from ..operators import overview as O
 from ..operators import paths as T
 from ..operators import views as W
-from ..operators.common import G, cut
+from ..operators.common import G
+from ..streaming import ledgers as Z
 from ..sources import tables as S
-from .bindings import Inputs, with_views
+from .bindings import Inputs, shared_path, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +34,7 @@ def query(sql: str | None = None, *views: str):
     def register(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+            ORACLES[f.__name__] = with_views(sql, *views) if views or sql.startswith("AND ") else sql
         return f
 
     return register
@@ -44,7 +45,7 @@ def owners(i: Inputs) -> DataFrame:
 
 
 def sides(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    return tuple(X.keyed_nodes(i.nodes.where(F.col("revision") == r)) for r in ("base", "head"))
+    return tuple(i.once(f"keyed {r}", lambda r=r: X.keyed_nodes(i.nodes.where(F.col("revision") == r))) for r in ("base", "head"))
 
 
 def edge_sides(i: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -98,12 +99,20 @@ def o3_package_summary(i):
     return O.package_summary(O.module_table(i.nodes), owners(i))
 
 
+def deps_of(i: Inputs) -> DataFrame:
+    return i.once("deps", lambda: O.module_deps(i.nodes, i.edges))
+
+
 def components_of(i: Inputs) -> DataFrame:
-    return cut(O.scc(O.module_deps(i.nodes, i.edges), i.files))
+    return i.once("components", lambda: O.scc(deps_of(i), i.files))
 
 
 def levels_of(i: Inputs) -> DataFrame:
-    return cut(O.levelize(O.module_deps(i.nodes, i.edges), components_of(i)))
+    return i.once("levels", lambda: O.levelize(deps_of(i), components_of(i)))
+
+
+def fans_of(i: Inputs) -> DataFrame:
+    return O.fan_counts(deps_of(i), i.files)
 
 
 @query("RECURSIVE " + REACH + "SELECT repository_id, revision, path, component FROM comps", *GRAPH)
@@ -123,12 +132,12 @@ def o9_level_summary(i):
 
 @query("RECURSIVE " + REACH + "SELECT c.repository_id, c.revision, c.component, count(*) AS size, string_agg(c.path, ',' ORDER BY c.path) AS members, any_value((SELECT count(*) FROM weights w JOIN comps x ON x.path = w.src AND x.revision = w.revision JOIN comps y ON y.path = w.dst AND y.revision = w.revision WHERE x.component = c.component AND y.component = c.component AND w.revision = c.revision)) AS edges FROM comps c GROUP BY c.repository_id, c.revision, c.component HAVING count(*) > 1", *GRAPH)
 def o10_cycles(i):
-    return O.cycles(components_of(i), O.module_deps(i.nodes, i.edges))
+    return O.cycles(components_of(i), deps_of(i))
 
 
 @query("RECURSIVE " + REACH + "SELECT repository_id, revision, list, rank, path, n FROM (SELECT x.*, row_number() OVER (PARTITION BY x.revision, list ORDER BY n DESC, level, x.path) AS rank FROM (SELECT repository_id, revision, path, 'fan_in' AS list, fan_in AS n FROM fans UNION ALL SELECT repository_id, revision, path, 'fan_out', fan_out FROM fans) x JOIN levels l ON l.path = x.path AND l.revision = x.revision WHERE n > 0) WHERE rank <= 5", *GRAPH)
 def o11_hubs(i):
-    return O.hubs(O.fan_counts(O.module_deps(i.nodes, i.edges), i.files), levels_of(i))
+    return O.hubs(fans_of(i), levels_of(i))
 
 
 @query(DEPS + "SELECT repository_id, revision, path FROM fans WHERE fan_in = 0 AND fan_out = 0", *GRAPH)
@@ -141,9 +150,13 @@ def o15_overview_counts(i):
     return O.overview_counts(i.nodes, i.edges)
 
 
+def starts(i: Inputs) -> DataFrame:
+    return O.start_here(O.entry_points(i.nodes, i.files), fans_of(i), levels_of(i))
+
+
 @query("RECURSIVE " + REACH + "SELECT repository_id, revision, rank, path, 1 AS section FROM (SELECT f.*, row_number() OVER (PARTITION BY f.revision ORDER BY fan_in DESC, level, f.path) AS rank FROM fans f JOIN levels l ON l.path = f.path AND l.revision = f.revision WHERE fan_in > 0) WHERE rank <= 7", *GRAPH)
 def o14_start_here(i):
-    return O.start_here(O.entry_points(i.nodes, i.files), O.fan_counts(O.module_deps(i.nodes, i.edges), i.files), levels_of(i))
+    return starts(i)
 
 
 @query("SELECT repository_id, revision, directory, files FROM (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY files DESC, length(directory), directory) AS r FROM (SELECT repository_id, revision, regexp_replace(path, '/[^/]*$', '') AS directory, count(*) AS files FROM files GROUP BY ALL)) WHERE r = 1", "files")
@@ -151,9 +164,28 @@ def o17_module_root(i):
     return O.module_root(i.files)
 
 
-@query("SELECT repository_id, revision, regexp_extract(substr(path, 9), '^([^/.]+)', 1) AS layer, row_number() OVER (PARTITION BY revision ORDER BY regexp_extract(substr(path, 9), '^([^/.]+)', 1)) AS rank FROM (SELECT DISTINCT repository_id, revision, path FROM files WHERE path LIKE 'CATALOG/%')", "files")
+@query("SELECT repository_id, revision, layer, row_number() OVER (PARTITION BY revision ORDER BY CASE layer WHEN 'service' THEN 3 WHEN 'storage' THEN 6 ELSE 9 END, layer) AS rank FROM (SELECT DISTINCT repository_id, revision, replace(replace(replace(replace(substr(path, 9), 'Brand#11.t', 'storage.rs'), 'Brand#22.t', 'service.rs'), 'Brand#33.t', 'lib.rs'), '.rs', '') AS layer FROM files WHERE path LIKE 'CATALOG/%') WHERE layer <> 'lib'", "files")
 def o18_layer_order(i):
-    return O.layer_order(i.files, i.files.select(*G).distinct().withColumn("directory", F.lit("CATALOG")))
+    path = F.col("path")
+    for old, new in (("Brand#11.t", "storage.rs"), ("Brand#22.t", "service.rs"), ("Brand#33.t", "lib.rs")):
+        path = F.replace(path, F.lit(old), F.lit(new))
+    return O.layer_order(i.files.withColumn("path", path), i.files.select(*G).distinct().withColumn("directory", F.lit("CATALOG")))
+
+
+ENTRY = "replace(replace(replace(replace(replace(path, 'SUPPLY.t', 'lib.rs'), 'machinery.t', 'main.rs'), 'household.t', 'build.rs'), 'building.t', 'tests/run.rs'), 'furniture.t', '__init__.py')"
+
+
+@query(
+    f"AND f AS (SELECT DISTINCT repository_id, revision, {ENTRY} AS path FROM files), m AS (SELECT DISTINCT repository_id, revision, {ENTRY} AS path FROM versioned WHERE kind = 'function' AND num % 10 = 0), r AS (SELECT m.*, 'defines `main` (' || CASE WHEN contains(path, '/tests/') THEN 'example or test' ELSE 'program' END || ')' AS reason FROM m UNION SELECT f.*, CASE WHEN path LIKE '%main.rs' THEN 'binary root (main.rs)' WHEN path LIKE '%lib.rs' THEN 'library root (lib.rs)' WHEN path LIKE '%\\_\\_init\\_\\_.py' ESCAPE '\\' THEN 'library root (__init__.py)' END FROM f) SELECT repository_id, revision, path, string_agg(reason, '; ' ORDER BY reason) AS reason FROM r WHERE reason IS NOT NULL AND path NOT LIKE '%build.rs' GROUP BY ALL",
+    "files", "versioned",
+)
+def o13_entry_points(i):
+    """Modules under names of entry points; every tenth function is called main."""
+    path = F.col("path")
+    for old, new in (("SUPPLY.t", "lib.rs"), ("machinery.t", "main.rs"), ("household.t", "build.rs"), ("building.t", "tests/run.rs"), ("furniture.t", "__init__.py")):
+        path = F.replace(path, F.lit(old), F.lit(new))
+    nodes = i.versioned.withColumns({"path": path, "label": F.when(F.col("num") % 10 == 0, "main").otherwise(F.col("label"))})
+    return O.entry_points(nodes, i.files.withColumn("path", path))
 
 
 @query("SELECT repository_id, revision, rank, path, symbols, greatest(total - 20, 0) AS remainder FROM (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY symbols DESC, path) AS rank, count(*) OVER (PARTITION BY revision) AS total FROM (SELECT repository_id, revision, path, count(*) AS symbols FROM versioned GROUP BY ALL)) WHERE rank <= 20", "versioned")
@@ -194,9 +226,9 @@ def h2_content_sha(i):
     return i.nodes.select("id", I.content_sha({"path": F.col("path"), "kind": F.col("kind"), "label": F.col("label")}).alias("sha"))
 
 
-@query(None)
+@query("AND r AS (SELECT repository_id, revision, md5('{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"label\":\"' || label || '\"' || CASE WHEN path IS NULL THEN '' ELSE ',\"path\":\"' || path || '\"' END || '}') AS h FROM nodes UNION ALL SELECT repository_id, revision, md5('{\"kind\":\"' || kind || '\",\"source\":\"' || source || '\",\"target\":\"' || target || '\"}') FROM edges) SELECT repository_id, revision, n, sha256(n || ':' || a || ':' || b) AS hash FROM (SELECT repository_id, revision, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT AS a, sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT AS b FROM r GROUP BY ALL)", "nodes", "edges")
 def h3_snapshot_hash(i):
-    return I.snapshot_hash(i.nodes, list(G), ["id", "kind", "label", "path"])
+    return I.snapshot_hash(i.nodes, i.edges, list(G), ["id", "kind", "label", "path"], ["source", "target", "kind", "configuration"])
 
 
 @query(KEYED + "SELECT id, key FROM keyed", "nodes", "edges")
@@ -239,14 +271,24 @@ def v6_check_contract(i):
     return V.check_contract(i.findings, {"confidence": "confidence >= 0.02", "category": "category != 'signup'"}, ["run_id", "finding_id"])
 
 
-@query("RECURSIVE " + REACH + "AND n AS (SELECT repository_id, revision, count(*) AS n FROM files GROUP BY ALL)".replace("AND", ",") + " SELECT n.repository_id, n.revision, 'largest cycle' AS \"check\", m / n AS value, 0.3::DOUBLE AS most, m <= 1 OR m <= n * 0.3 AS passed FROM n JOIN (SELECT revision, max(c) AS m FROM (SELECT revision, component, count(*) AS c FROM comps GROUP BY ALL) GROUP BY ALL) USING (revision) UNION ALL SELECT n.repository_id, n.revision, 'levels', d, NULL, d > 1 OR n < 5 FROM n JOIN (SELECT revision, count(DISTINCT level)::DOUBLE AS d FROM levels GROUP BY ALL) USING (revision) UNION ALL SELECT n.repository_id, n.revision, 'orphans', o / n, 0.5, o < n * 0.5 FROM n JOIN (SELECT revision, count(*) FILTER (fan_in = 0 AND fan_out = 0) AS o FROM fans GROUP BY ALL) USING (revision) UNION ALL SELECT repository_id, revision, 'entry points', 0, NULL, false FROM n", *GRAPH)
+@query(
+    "RECURSIVE " + REACH + ", n AS (SELECT repository_id, revision, count(*) AS n FROM files GROUP BY ALL), c AS (SELECT revision, max(CASE WHEN c > 1 THEN c ELSE 0 END) AS m FROM (SELECT revision, component, count(*) AS c FROM comps GROUP BY ALL) GROUP BY ALL), d AS (SELECT revision, count(DISTINCT level)::DOUBLE AS d FROM levels GROUP BY ALL), o AS (SELECT revision, count(*) FILTER (fan_in = 0 AND fan_out = 0) AS o, least(7, count(*) FILTER (fan_in > 0))::DOUBLE AS s FROM fans GROUP BY ALL)"
+    " SELECT repository_id, revision, 'largest cycle' AS \"check\", m / n AS value, 0.3::DOUBLE AS most, m <= n * 0.3 AS passed FROM n JOIN c USING (revision) UNION ALL SELECT repository_id, revision, 'levels', d, NULL, d > 1 OR n < 5 FROM n JOIN d USING (revision) UNION ALL SELECT repository_id, revision, 'orphans', o / n, 0.5, o < n * 0.5 FROM n JOIN o USING (revision) UNION ALL SELECT repository_id, revision, 'entry points', 0, NULL, false FROM n UNION ALL SELECT repository_id, revision, 'start here', s, NULL, s > 0 FROM n JOIN o USING (revision)",
+    *GRAPH,
+)
 def v7_graph_health(i):
-    return V.graph_health(i.files, components_of(i), levels_of(i), O.fan_counts(O.module_deps(i.nodes, i.edges), i.files), O.entry_points(i.nodes, i.files))
+    return V.graph_health(i.files, components_of(i), levels_of(i), fans_of(i), O.entry_points(i.nodes, i.files), starts(i))
 
 
 # --- differences ---------------------------------------------------------------------------------------------------------------
 
 
+@query(KEYED + "SELECT 'main' AS repository_id, key, max(id) AS id, max_by(label, id) AS label, count(DISTINCT id) AS ids FROM keyed GROUP BY key", "nodes", "edges")
+def x1_keyed_nodes(i):
+    """Both snapshots at once, so that ids of two versions meet in one key."""
+    return X.keyed_nodes(i.nodes).select("repository_id", "key", "id", "label", "ids")
+
+
 @query(KEYED + "SELECT 'main' AS repository_id, key, change FROM delta", "nodes", "edges")
 def x2_node_delta(i):
     return X.node_delta(*sides(i))
@@ -257,7 +299,7 @@ def x3_moved_nodes(i):
     return X.moved_nodes(*sides(i))
 
 
-LINES = "AND lines AS (SELECT path, line FROM (SELECT DISTINCT path FROM files WHERE revision = 'head'), (SELECT DISTINCT line FROM added WHERE line % 3 = 0)) ".replace("AND", ",")
+LINES = ", lines AS (SELECT path, line FROM (SELECT DISTINCT path FROM files WHERE revision = 'head'), (SELECT DISTINCT line FROM added)) "
 
 
 @query(KEYED + LINES + "SELECT DISTINCT 'main' AS repository_id, key FROM h WHERE EXISTS (SELECT 1 FROM lines l WHERE l.path = h.path AND l.line BETWEEN h.start_line AND h.end_line)", "nodes", "edges", "files", "added")
@@ -266,8 +308,8 @@ def x4_touched_nodes(i):
 
 
 def _lines(i: Inputs) -> DataFrame:
-    """Added lines of head files: every third added line number, in each file that the query names. Both sides are small vocabularies."""
-    numbers = i.added.where("line % 3 = 0").select("line").distinct().agg(F.collect_set("line").alias("all"))
+    """The added line numbers in each file of the head. There are at most 500 numbers."""
+    numbers = i.added.select("line").distinct().agg(F.collect_set("line").alias("all"))
     return i.files.where("revision = 'head'").select("repository_id", "path").distinct().join(F.broadcast(numbers)).select("repository_id", "path", F.explode("all").alias("line"))
 
 
@@ -300,13 +342,29 @@ def x9_diff_summary(i):
     return X.diff_summary(X.node_delta(*nodes), X.edge_delta(*edge_sides(i), *nodes), X.moved_nodes(*nodes))
 
 
-@query(KEYED + ", ch AS (SELECT d.key, change, coalesce(h.label, b.label) AS label, coalesce(h.path, b.path) AS path FROM delta d LEFT JOIN h ON h.key = d.key LEFT JOIN b ON b.key = d.key WHERE change <> 'common') SELECT 'main' AS repository_id, 'code-move' AS name, min(h.key) AS basis FROM b JOIN h ON b.key = h.key WHERE b.path <> h.path HAVING min(h.key) IS NOT NULL UNION ALL SELECT 'main', 'testing', min(key) FROM ch WHERE regexp_matches(path, '(^|/)tests?/|_test\\.') HAVING min(key) IS NOT NULL UNION ALL SELECT 'main', 'documentation', min(key) FROM ch WHERE regexp_matches(path, '(^|/)docs/') HAVING min(key) IS NOT NULL", "nodes", "edges")
+LABELLED = "replace(replace(path, 'SUPPLY.t', 'tests/supply.t'), 'CATALOG/', 'docs/')"
+
+
+def _labelled(c: str) -> Column:
+    return F.replace(F.replace(c, F.lit("SUPPLY.t"), F.lit("tests/supply.t")), F.lit("CATALOG/"), F.lit("docs/"))
+
+
+@query(
+    KEYED + ", sd AS (SELECT coalesce(a.item, c.item) AS item FROM (SELECT DISTINCT package, 'pub fn ' || label || '(x: ' || tab || ')' AS item FROM versioned WHERE public AND revision = 'base') a FULL JOIN (SELECT DISTINCT package, 'pub fn ' || label || '(x: ' || tab || ')' AS item FROM versioned WHERE public AND revision = 'head') c ON a.package = c.package AND a.item = c.item WHERE a.item IS NULL OR c.item IS NULL)"
+    f", ch AS (SELECT d.key, {LABELLED} AS path FROM delta d JOIN (SELECT key, path, 'added' AS change FROM h UNION ALL SELECT key, path, 'removed' FROM b) USING (key, change))"
+    ", mv AS (SELECT h.label, b.path AS before, h.path AS after FROM b JOIN h ON b.key = h.key WHERE b.path <> h.path)"
+    " SELECT 'main' AS repository_id, 'code-move' AS name, min_by(label || ' moved from ' || before || ' to ' || after, {'a': after, 'b': before, 'c': label}) AS basis FROM mv HAVING count(*) > 0"
+    " UNION ALL SELECT 'main', 'testing', count(*) || ' test path(s) changed, including ' || min(path) FROM ch WHERE path LIKE '%/tests/%' HAVING count(*) > 0"
+    " UNION ALL SELECT 'main', 'documentation', count(*) || ' documentation path(s) changed, including ' || min(path) FROM ch WHERE path LIKE 'docs/%' HAVING count(*) > 0"
+    " UNION ALL SELECT 'main', 'external-interface', count(DISTINCT item) || ' exported item(s) changed in the public API delta, including ' || min(item) FROM sd HAVING count(*) > 0",
+    "nodes", "edges", "versioned",
+)
 def x10_change_labels(i):
     base, head = sides(i)
-    info = head.select("repository_id", "key", "kind", "label", "path", F.lit(1).alias("o")).unionByName(base.select("repository_id", "key", "kind", "label", "path", F.lit(0).alias("o")))
-    info = info.groupBy("repository_id", "key").agg(F.max_by(F.struct("kind", "label", "path"), "o").alias("x")).select("repository_id", "key", "x.*")
-    changed = X.node_delta(base, head).where("change != 'common'").select("repository_id", "key", "change").unionByName(X.moved_nodes(base, head).select("repository_id", "key", F.lit("moved").alias("change")))
-    return X.change_labels(changed.join(info, ["repository_id", "key"]))
+    sided = head.select("repository_id", "key", "kind", "path", F.lit("added").alias("change")).unionByName(base.select("repository_id", "key", "kind", "path", F.lit("removed").alias("change")))
+    nodes = X.node_delta(base, head).join(sided, ["repository_id", "key", "change"]).withColumn("path", _labelled("path"))
+    delta = X.surface_delta(items(i, "base"), items(i, "head")).where("change != 'unchanged'")
+    return X.change_labels(nodes, X.moved_nodes(base, head), api_names=delta.select("repository_id", F.col("item").alias("name")))
 
 
 ITEMS = "AND items AS (SELECT revision, package, 'pub fn ' || label || '(x: ' || tab || ')' AS item FROM versioned WHERE public) "
@@ -374,14 +432,16 @@ IMPACT = KEYED + ", seeds AS (SELECT key, reason, row_number() OVER (ORDER BY re
 
 
 def seeds(i: Inputs) -> DataFrame:
-    base, head = sides(i)
-    touched = X.moved_nodes(base, head)
-    return P.impact_seeds(touched, X.node_delta(base, head).where("change = 'removed'"))
+    def make():
+        base, head = sides(i)
+        return P.impact_seeds(X.moved_nodes(base, head), X.node_delta(base, head).where("change = 'removed'"))
+
+    return i.once("seeds", make)
 
 
 def reached(i: Inputs) -> DataFrame:
     index = [P.reverse_index(i.nodes.where(F.col("revision") == r), i.edges.where(F.col("revision") == r)) for r in ("base", "head")]
-    return P.bounded_reach(seeds(i), *index, 2)
+    return i.once("reached", lambda: P.bounded_reach(seeds(i), *index, 2))
 
 
 @query(IMPACT + "SELECT 'main' AS repository_id, key, reason, seed FROM seeds", "nodes", "edges")
@@ -394,19 +454,54 @@ def i3_bounded_reach(i):
     return reached(i)
 
 
-RANKED = IMPACT + ", ranked AS (SELECT best.key, x.hop AS hop, x.seed AS seed, CASE WHEN coalesce(h.public, false) THEN 'public-api' WHEN h.package <> z.package THEN 'crate-crossing' ELSE 'internal' END AS rank FROM best JOIN h ON h.key = best.key LEFT JOIN seeds s ON s.seed = x.seed LEFT JOIN h z ON z.key = s.key) "
+RANKED = IMPACT + ", ranked AS (SELECT best.key, x.hop AS hop, x.seed AS seed, CASE WHEN h.kind IN ('function', 'type', 'constant') AND h.public THEN 'public-api' WHEN regexp_extract(h.key, '^sym:[^ ]+ [^ ]+ ([^ ]+) ', 1) <> regexp_extract(s.key, '^sym:[^ ]+ [^ ]+ ([^ ]+) ', 1) THEN 'crate-crossing' ELSE 'internal' END AS rank FROM best JOIN h ON h.key = best.key LEFT JOIN seeds s ON s.seed = x.seed) "
+
+
+def exported(i: Inputs) -> DataFrame:
+    """What the API of the head exports, from items that name paths."""
+    item = F.concat(F.lit("pub fn "), "package", F.lit("::"), F.concat("tab", F.col("num").cast("string")), F.lit("(usize)"))
+    return X.exported_paths(i.versioned.where("public and revision = 'head'").select("repository_id", item.alias("item")))
+
+
+@query("SELECT DISTINCT 'main' AS repository_id, package || '/' || tab || num AS path FROM versioned WHERE public AND revision = 'head'", "versioned")
+def a7_exported_paths(i):
+    return exported(i)
+
+
+@query(IMPACT + "SELECT 'main' AS repository_id, best.key, x.hop AS hop, h.path FROM best JOIN h ON h.key = best.key", "nodes", "edges")
+def i4_alive_only(i):
+    return P.alive_only(reached(i), sides(i)[1]).select("repository_id", "key", "hop", "path")
+
+
+@query(
+    RANKED + SURFACE.replace("AND", ",", 1) + ", m AS (SELECT (SELECT count(*) FROM ranked) AS reached, (SELECT count(*) FROM h) AS n, (SELECT count(*) FROM sc) AS measured, (SELECT count(*) FROM sc WHERE package = 'ASIA') AS unknown) SELECT 'main' AS repository_id, 'impact' AS \"check\", reached / n AS value, 0.5::DOUBLE AS most, reached <= n * 0.5 AS passed FROM m UNION ALL SELECT 'main', 'raw identities', 0, 0, true UNION ALL SELECT 'main', 'unknown bumps', unknown, 0, unknown = 0 FROM m UNION ALL SELECT 'main', 'unexplained bumps', 0, 0, true UNION ALL SELECT 'main', 'packages measured or explained', measured + 1, NULL, true FROM m",
+    "nodes", "edges", "versioned",
+)
+def v7_change_health(i):
+    base, head = sides(i)
+    none = i.packages.where("false").select("repository_id", "package", F.lit("").alias("reason"))
+    skipped = i.packages.where("package = 'CATALOG' and revision = 'head'")
+    return V.change_health(head, P.alive_only(reached(i), head), X.unnormalized_count(base, head), X.bump_reason(bumps(i), none), skipped)
+
+
+@query(RANKED + "SELECT 'main' AS repository_id, place, key, rank, total FROM (SELECT *, row_number() OVER (ORDER BY CASE rank WHEN 'public-api' THEN 1 WHEN 'test-only' THEN 2 WHEN 'crate-crossing' THEN 3 ELSE 4 END, hop, key) AS place, count(*) OVER () AS total FROM ranked) WHERE place <= 50", "nodes", "edges")
+def i7_change_impact(i):
+    base, head = sides(i)
+    graph = lambda r: (i.nodes.where(F.col("revision") == r), i.edges.where(F.col("revision") == r))
+    removed = X.node_delta(base, head).where("change = 'removed'")
+    return P.change_impact(X.moved_nodes(base, head), removed, graph("base"), graph("head"), head, 2, exported(i))[0].select("repository_id", "place", "key", "rank", "total")
 
 
 @query(RANKED + "SELECT 'main' AS repository_id, key, hop, seed, rank FROM ranked", "nodes", "edges")
 def i5_impact_rank(i):
     head = sides(i)[1]
-    return P.impact_rank(P.alive_only(reached(i), head), seeds(i), head).select("repository_id", "key", "hop", "seed", "rank")
+    return P.impact_rank(P.alive_only(reached(i), head), seeds(i), exported(i)).select("repository_id", "key", "hop", "seed", "rank")
 
 
 @query(RANKED + "SELECT 'main' AS repository_id, place, key, rank, total, greatest(total - 50, 0) AS suppressed FROM (SELECT *, row_number() OVER (ORDER BY CASE rank WHEN 'public-api' THEN 1 WHEN 'test-only' THEN 2 WHEN 'crate-crossing' THEN 3 ELSE 4 END, hop, key) AS place, count(*) OVER () AS total FROM ranked) WHERE place <= 50", "nodes", "edges")
 def i6_impact_report(i):
     head = sides(i)[1]
-    return P.impact_report(P.impact_rank(P.alive_only(reached(i), head), seeds(i), head)).select("repository_id", "place", "key", "rank", "total", "suppressed")
+    return P.impact_report(P.impact_rank(P.alive_only(reached(i), head), seeds(i), exported(i))).select("repository_id", "place", "key", "rank", "total", "suppressed")
 
 
 # --- views and paths -----------------------------------------------------------------------------------------------------------
@@ -417,14 +512,34 @@ def w1_package_edges(i):
     return W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
 
 
-@query(None)
+PACKAGES = DEPS + OWNED.replace("AND", ",") + ", pw AS (SELECT DISTINCT w.revision, a.package AS src, b.package AS dst FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package), pn AS (SELECT DISTINCT revision, package FROM owned), pr AS (SELECT revision, src, dst FROM pw UNION SELECT r.revision, r.src, w.dst FROM pr r JOIN pw w ON w.src = r.dst AND w.revision = r.revision), pc AS (SELECT n.revision, n.package, least(n.package, (SELECT min(a.dst) FROM pr a JOIN pr b ON b.src = a.dst AND b.dst = a.src AND b.revision = a.revision WHERE a.src = n.package AND a.revision = n.revision)) AS c FROM pn n), pa AS (SELECT DISTINCT w.revision, a.c AS a, b.c AS b FROM pw w JOIN pc a ON a.package = w.src AND a.revision = w.revision JOIN pc b ON b.package = w.dst AND b.revision = w.revision WHERE a.c <> b.c), pu AS (SELECT DISTINCT revision, c, 0 AS level FROM pc UNION SELECT x.revision, x.a, u.level + 1 FROM pu u JOIN pa x ON x.b = u.c AND x.revision = u.revision) "
+
+
+@query("RECURSIVE " + PACKAGES + "SELECT 'main' AS repository_id, p.revision, p.package, (SELECT max(level) FROM pu WHERE pu.c = p.c AND pu.revision = p.revision) AS level, (SELECT count(*) FROM pw WHERE dst = p.package AND pw.revision = p.revision) AS fan_in, (SELECT count(*) FROM pw WHERE src = p.package AND pw.revision = p.revision) AS fan_out FROM pc p", *GRAPH, "packages")
 def w1_package_view(i):
     return W.package_view(O.weighted_deps(i.nodes, i.edges), owners(i))[0]
 
 
-@query("RECURSIVE " + REACH + OWNED.replace("AND", ",") + ", size AS (SELECT *, count(*) OVER (PARTITION BY revision, component) > 1 AS big FROM comps) SELECT w.repository_id, w.revision, a.package, count(*) FILTER (c.big AND d.big) AS drawn, count(*) FILTER (NOT (c.big AND d.big)) AS suppressed FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision JOIN size c ON c.path = w.src AND c.revision = w.revision JOIN size d ON d.path = w.dst AND d.revision = w.revision WHERE a.package = b.package GROUP BY ALL", *GRAPH, "packages")
+SIZED = "RECURSIVE " + REACH + OWNED.replace("AND", ",") + ", size AS (SELECT *, count(*) OVER (PARTITION BY revision, component) > 1 AS big FROM comps), lv AS (SELECT w.repository_id, w.revision, a.package, w.src, w.dst, w.weight, c.big AND d.big AS drawn FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision JOIN size c ON c.path = w.src AND c.revision = w.revision JOIN size d ON d.path = w.dst AND d.revision = w.revision WHERE a.package = b.package) "
+
+
+def levelized(i: Inputs) -> DataFrame:
+    return W.levelized_edges(O.weighted_deps(i.nodes, i.edges), owners(i), components_of(i))
+
+
+@query(SIZED + "SELECT repository_id, revision, package, count(*) FILTER (drawn) AS drawn, count(*) FILTER (NOT drawn) AS suppressed FROM lv GROUP BY ALL", *GRAPH, "packages")
 def w2_suppressed_edges(i):
-    return W.suppressed_edges(W.levelized_edges(O.weighted_deps(i.nodes, i.edges), owners(i), components_of(i)))
+    return W.suppressed_edges(levelized(i))
+
+
+@query(SIZED + "SELECT * FROM lv", *GRAPH, "packages")
+def w2_levelized_edges(i):
+    return levelized(i)
+
+
+@query(SIZED + "SELECT l.repository_id, l.revision, package, l.path, level FROM levels l JOIN owned o ON o.path = l.path AND o.revision = l.revision", *GRAPH, "packages")
+def w2_levelized_nodes(i):
+    return W.levelized_nodes(levels_of(i), owners(i))
 
 
 @query("RECURSIVE " + REACH + ", num AS (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY level, path) - 1 AS n FROM levels) SELECT w.repository_id, w.revision, a.n AS row, b.n AS col, weight FROM weights w JOIN num a ON a.path = w.src AND a.revision = w.revision JOIN num b ON b.path = w.dst AND b.revision = w.revision", *GRAPH)
@@ -454,7 +569,7 @@ def w5_gate_views(i):
 
 @query("RECURSIVE " + REACH + ", same AS (SELECT w.revision, a.level, w.src, w.dst FROM weights w JOIN levels a ON a.path = w.src AND a.revision = w.revision JOIN levels b ON b.path = w.dst AND b.revision = w.revision WHERE a.level = b.level), pairs AS (SELECT revision, level, src, dst FROM same UNION SELECT revision, level, dst, src FROM same), walk AS (SELECT revision, level, path AS src, path AS dst FROM levels UNION SELECT w.revision, w.level, w.src, b.dst FROM walk w JOIN pairs b ON b.src = w.dst AND b.revision = w.revision AND b.level = w.level) SELECT 'main' AS repository_id, revision, level, src AS node, min(dst) AS component FROM walk GROUP BY ALL", *GRAPH)
 def w8_level_groups(i):
-    return W.level_groups(levels_of(i), O.module_deps(i.nodes, i.edges))
+    return W.level_groups(levels_of(i), deps_of(i))
 
 
 @query("AND ends AS (SELECT repository_id, revision, path AS label, d.n AS depth, array_to_string(list_slice(string_split(path, '/'), len(string_split(path, '/')) - d.n + 1, len(string_split(path, '/'))), '/') AS short FROM files, range(1, 4) d(n) WHERE d.n <= len(string_split(path, '/'))), c AS (SELECT *, count(*) OVER (PARTITION BY revision, short) AS n FROM ends) SELECT repository_id, revision, 'all' AS view, label, coalesce(min_by(short, depth) FILTER (n = 1), label) AS short FROM c GROUP BY repository_id, revision, label", "files")
@@ -483,16 +598,13 @@ def p5_definitions_in_range(i):
     return T.definitions_in_range(i.versioned.where("revision = 'head'"), requests)
 
 
-PAIRS = DEPS + ", pairs AS (SELECT a.path || '>' || b.path AS pair_id, a.path AS start, b.path AS goal FROM files a, files b WHERE a.revision = 'head' AND b.revision = 'head' AND a.path LIKE '%/SUPPLY%' AND b.path LIKE 'CATALOG/%1.t'), g AS (SELECT DISTINCT src, dst FROM weights WHERE revision = 'head'), walk AS (SELECT pair_id, goal, start AS node, [start] AS met, start AS line FROM pairs UNION ALL SELECT w.pair_id, w.goal, g.dst, list_append(w.met, g.dst), w.line || '>' || g.dst FROM walk w JOIN g ON g.src = w.node WHERE w.node <> w.goal AND len(w.met) < 4 AND NOT list_contains(w.met, g.dst)) "
-
-
-@query("RECURSIVE " + PAIRS + "SELECT pair_id, steps, min(line) AS nodes FROM (SELECT pair_id, len(met) AS steps, line, min(len(met)) OVER (PARTITION BY pair_id) AS least FROM walk WHERE node = goal) WHERE steps = least GROUP BY ALL", *GRAPH)
+@query(None)
 def p7_shortest_paths(i):
+    """From each supply module of the head to each catalog module; longer ways than a recursive SQL query can list."""
     heads = i.files.where("revision = 'head'")
-    a, b = heads.where("path like '%/SUPPLY%'").select(*G, F.col("path").alias("start")), heads.where("path like 'CATALOG/%1.t'").select(*G, F.col("path").alias("goal"))
+    a, b = heads.where("path like '%/SUPPLY%'").select(*G, F.col("path").alias("start")), heads.where("path like 'CATALOG/%'").select(*G, F.col("path").alias("goal"))
     pairs = a.join(b, list(G)).withColumn("pair_id", F.concat_ws(">", "start", "goal"))
-    deps = O.module_deps(i.nodes, i.edges).where("revision = 'head'").select(*G, F.col("src").alias("source"), F.col("dst").alias("target"))
-    return T.shortest_paths(pairs, deps, most=4)
+    return T.shortest_paths(pairs, deps_of(i).where("revision = 'head'").select(*G, F.col("src").alias("source"), F.col("dst").alias("target")))
 
 
 @query("SELECT repository_id, revision, focus, rank, node, total FROM (SELECT *, row_number() OVER (PARTITION BY revision, focus ORDER BY node) AS rank, count(*) OVER (PARTITION BY revision, focus) AS total FROM (SELECT DISTINCT repository_id, revision, source AS focus, target AS node FROM edges UNION SELECT repository_id, revision, target, source FROM edges) WHERE focus IN (SELECT id FROM nodes WHERE kind = 'type')) WHERE rank <= 24", "nodes", "edges")
@@ -505,9 +617,9 @@ def p10_filter_graph(i):
     return T.filter_graph(i.nodes, i.edges, ["function", "type"], ["calls"])[2]
 
 
-@query("AND q(query) AS (VALUES ('asia'), ('01')) SELECT repository_id, revision, query, rank, id, class FROM (SELECT *, row_number() OVER (PARTITION BY revision, query ORDER BY class, length(label), label, id) AS rank FROM (SELECT n.*, query, CASE WHEN lower(label) = query THEN 0 WHEN starts_with(lower(label), query) THEN 1 WHEN regexp_matches(lower(label), '[_\\W]' || query) THEN 2 WHEN contains(lower(label), query) THEN 3 WHEN ends_with(lower(coalesce(path, '')), query) THEN 4 ELSE 5 END AS class FROM nodes n JOIN q ON contains(lower(label), query) OR contains(lower(coalesce(path, '')), query))) WHERE rank <= 12", "nodes")
+@query("AND q(query) AS (VALUES ('asia'), ('01'), ('brand'), ('supply.t'), ('Household.T ')), n AS (SELECT repository_id, revision, id, label, lower(label) AS l, split_part(lower(label), '/', -1) AS b FROM nodes), c AS (SELECT n.*, query, CASE WHEN l = k THEN 0 WHEN b = k THEN 1 WHEN starts_with(l, k) THEN 2 WHEN starts_with(b, k) THEN 3 WHEN contains(b, k) THEN 4 ELSE 5 END AS class FROM n JOIN (SELECT query, lower(trim(query)) AS k FROM q) ON contains(l, k)) SELECT repository_id, revision, query, rank, id, class FROM (SELECT *, row_number() OVER (PARTITION BY revision, query ORDER BY class, length(label), label, id) AS rank FROM c) WHERE rank <= 12", "nodes")
 def p11_rank_matches(i):
-    return T.rank_matches(i.nodes, i.spark.createDataFrame([("asia",), ("01",), ("x",)], "query string"))
+    return T.rank_matches(i.nodes, i.spark.createDataFrame([("asia",), ("01",), ("x",), ("brand",), ("supply.t",), ("Household.T ",)], "query string"))
 
 
 @query("SELECT repository_id, revision, path, row_number() OVER (PARTITION BY revision, path ORDER BY CASE kind WHEN 'type' THEN 1 WHEN 'constant' THEN 2 ELSE 3 END, used_by DESC, label, id) AS n, id, used_by FROM (SELECT v.*, coalesce(u.n, 0) AS used_by FROM versioned v LEFT JOIN (SELECT revision, target, count(DISTINCT source) AS n FROM edges GROUP BY ALL) u ON u.target = v.id AND u.revision = v.revision)", "versioned", "edges")
@@ -570,7 +682,10 @@ def n1_renumber(i):
     return N.renumber(i.findings).select("run_id", "finding_id", "new_id")
 
 
-@query(None)
+FOLDED = "AND o AS (SELECT *, coalesce(start_line, 0) AS s, coalesce(end_line, start_line, 0) AS e, row_number() OVER (PARTITION BY run_id, path ORDER BY coalesce(start_line, 0), finding_id) AS n FROM findings), fold AS (SELECT run_id, path, n, finding_id, e AS he, finding_id AS grp FROM o WHERE n = 1 UNION ALL SELECT o.run_id, o.path, o.n, o.finding_id, CASE WHEN o.s <= f.he THEN f.he ELSE o.e END, CASE WHEN o.s <= f.he THEN f.grp ELSE o.finding_id END FROM fold f JOIN o ON o.run_id = f.run_id AND o.path = f.path AND o.n = f.n + 1) "
+
+
+@query("RECURSIVE " + FOLDED.replace("AND", ",", 1) + "SELECT f.run_id, f.finding_id, grp AS \"group\", first(f.finding_id) OVER (PARTITION BY f.run_id, grp ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END, confidence DESC, f.finding_id) AS canonical FROM fold f JOIN findings x ON x.run_id = f.run_id AND x.finding_id = f.finding_id", "findings")
 def n2_dedupe_findings(i):
     return N.dedupe_findings(i.findings)
 
@@ -610,15 +725,20 @@ def n8_diagnostics_near(i):
     return N.diagnostics_near(i.findings, d)
 
 
-@query("SELECT finding_id, status = 'validated' AND CAST(substr(finding_id, 3) AS BIGINT) % 2 = 0 AS eligible, CASE WHEN status <> 'validated' THEN 'not validated' WHEN CAST(substr(finding_id, 3) AS BIGINT) % 2 <> 0 THEN 'no independent evidence' END AS reason FROM verdicts", "verdicts")
+PROOF = "list_extract(['test', 'command', 'static-analysis', 'compiler', 'schema', 'repository-rule', 'call-path', 'note'], (CAST(substr(finding_id, 3) AS BIGINT) // 2 % 8 + 1)::INT)"
+
+
+@query(f"SELECT finding_id, status = 'validated' AND id % 2 = 0 AND kind <> 'note' AS eligible, CASE WHEN status <> 'validated' THEN 'status is ' || status || ', not validated' WHEN id % 2 <> 0 OR kind = 'note' THEN 'no deterministic evidence' ELSE 'deterministic evidence: ' || kind END AS reason FROM (SELECT *, CAST(substr(finding_id, 3) AS BIGINT) AS id, {PROOF} AS kind FROM verdicts)", "verdicts")
 def n9_eligibility(i):
     return N.eligibility(_proved(i)).select("finding_id", "eligible", "reason")
 
 
 def _proved(i: Inputs) -> DataFrame:
-    """Verdicts with evidence: a test that fails for even ids and passes for odd ones."""
-    code = (F.expr("cast(substring(finding_id, 3) as bigint) % 2 = 0")).cast("int")
-    return i.verdicts.withColumn("evidence", F.array(F.struct(F.lit("test").alias("kind"), code.alias("exit_code")))).withColumn("counter_evidence", F.array(F.lit("checked")))
+    """Verdicts with a note and evidence of each kind in turn: what fails for even ids and succeeds for odd ones."""
+    id_ = F.expr("cast(substring(finding_id, 3) as bigint)")
+    kind = F.element_at(F.array(*map(F.lit, (*N.DETERMINISTIC[:2], "static-analysis", "compiler", "schema", "repository-rule", "call-path", "note"))), (F.expr("cast(substring(finding_id, 3) as bigint) div 2 % 8") + 1).cast("int"))
+    proof = lambda k, code: F.struct(k.alias("kind"), code.alias("exit_code"))
+    return i.verdicts.withColumn("evidence", F.array(proof(F.lit("note"), F.lit(None).cast("int")), proof(kind, (id_ % 2 == 0).cast("int")))).withColumn("counter_evidence", F.array(F.lit("checked")))
 
 
 SCOPED = "AND scoped AS (SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM added a WHERE a.path = f.path AND a.line BETWEEN f.start_line AND f.end_line) THEN 'introduced' WHEN f.path IN (SELECT path FROM changed) THEN 'adjacent' ELSE 'pre-existing' END AS scope FROM findings f) "
@@ -629,7 +749,7 @@ def n11_classify_scope(i):
     return N.classify_scope(i.findings, i.changed, i.added).select("finding_id", "scope")
 
 
-@query(SCOPED + "SELECT finding_id, scope, scope = 'introduced' OR (severity = 'critical' AND category = 'error') AS blocking FROM scoped", "findings", "added", "changed")
+@query(SCOPED + "SELECT finding_id, scope, scope = 'introduced' OR EXISTS (SELECT 1 FROM findings g WHERE g.run_id = s.run_id AND g.path = s.path AND g.severity = 'critical' AND g.category = 'error') AS blocking FROM scoped s", "findings", "added", "changed")
 def n12_blocking(i):
     guards = i.findings.where("severity = 'critical' and category = 'error'")
     return N.blocking(N.classify_scope(i.findings, i.changed, i.added), guards).select("finding_id", "scope", "blocking")
@@ -654,7 +774,7 @@ def n10_resolve_status(i):
     return status(i)
 
 
-@query(STATUS + "SELECT run_id, finding_id, status, publishable, row_number() OVER (PARTITION BY run_id, publishable ORDER BY CASE WHEN verdict IS NULL THEN 6 ELSE CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END END, finding_id) AS place FROM (SELECT *, status = 'validated' AND CAST(substr(finding_id, 3) AS BIGINT) % 2 = 0 AS publishable FROM st)", "findings", "verdicts")
+@query(STATUS + "SELECT run_id, finding_id, status, publishable, row_number() OVER (PARTITION BY run_id, publishable ORDER BY CASE WHEN verdict IS NULL THEN 6 ELSE CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END END, finding_id) AS place FROM (SELECT *, status = 'validated' AND CAST(substr(finding_id, 3) AS BIGINT) % 2 = 0 AND CAST(substr(finding_id, 3) AS BIGINT) // 2 % 8 <> 7 AS publishable FROM st)", "findings", "verdicts")
 def n13_review_report(i):
     eligible = N.eligibility(_proved(i)).join(i.findings.select("run_id", "finding_id", "severity"), ["run_id", "finding_id"])
     return N.review_report(status(i), eligible)
@@ -666,7 +786,7 @@ def n14_funnel(i):
 
 
 def key_lines(i: Inputs) -> DataFrame:
-    return i.added.where("line % 5 = 0").select(F.concat_ws(":", "path", "line").alias("key_id"), F.when(F.col("line") % 2 == 0, "expected").otherwise("decoy").alias("role"), "path", "line")
+    return i.added.select(F.concat_ws(":", "path", "line").alias("key_id"), F.when(F.col("line") % 2 == 0, "expected").otherwise("decoy").alias("role"), "path", "line")
 
 
 @query(None)
@@ -698,7 +818,10 @@ def n20_split_posted(i):
     return N.split_posted(i.findings.withColumn("from_line", F.col("start_line")), existing).select("finding_id", "posted")
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'aws-access-key' END, CASE WHEN regexp_matches(text, '(?i)bearer\\s+[A-Za-z0-9._-]{20,}') THEN 'bearer' END, CASE WHEN regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36,}') THEN 'github-token' END, CASE WHEN regexp_matches(text, '(?i)password\\s*[:=]\\s*\\S{8,}') THEN 'password-assignment' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private-key' END, CASE WHEN regexp_matches(text, 'xox[abprs]-[A-Za-z0-9-]{10,}') THEN 'slack-token' END, CASE WHEN regexp_matches(text, '(?i)token\\s*[:=]\\s*[\"'']?[A-Za-z0-9]{20,}') THEN 'token-assignment' END], lambda x: x IS NOT NULL), ',') AS names FROM documents WHERE regexp_matches(text, 'AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|xox[abprs]-[A-Za-z0-9-]{10,}|(?i:bearer\\s+[A-Za-z0-9._-]{20,}|password\\s*[:=]\\s*\\S{8,}|token\\s*[:=]\\s*[\"'']?[A-Za-z0-9]{20,})')")
+SECRET_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in sorted(N.SECRETS.items()))
+
+
+@query(f"SELECT doc_id, names FROM (SELECT doc_id, array_to_string(list_filter([{SECRET_SQL}], lambda x: x IS NOT NULL), ',') AS names FROM documents) WHERE names <> ''")
 def n21_scan_secrets(i):
     return N.scan_secrets(i.documents)
 
@@ -708,11 +831,12 @@ def n22_permalink(i):
     return i.findings.select("finding_id", N.permalink(F.lit("o"), F.lit("r"), F.lit("abc"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("link"))
 
 
-@query("SELECT id, CASE WHEN problem IS NULL THEN source_kind ELSE 'inferred' END AS source_kind, problem FROM (SELECT *, CASE WHEN source_kind = 'inferred' THEN NULL WHEN source_kind = 'rumour' THEN 'unknown kind' WHEN ref IS NULL THEN 'no reference' WHEN ref NOT IN (SELECT path FROM docs) THEN 'unknown path' END AS problem FROM (SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 4 = 0 THEN 'inferred' WHEN doc_id % 4 = 1 THEN 'rumour' ELSE 'spec' END AS source_kind, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'gone' ELSE path END AS ref FROM docs))", "docs")
+@query("SELECT id, CASE WHEN problem IS NULL THEN source_kind ELSE 'inferred' END AS source_kind, CASE WHEN problem IS NULL THEN ref END AS source_ref, problem FROM (SELECT *, CASE WHEN source_kind IN ('inferred', 'unavailable') THEN NULL WHEN source_kind = 'rumour' THEN 'unknown kind' WHEN ref IS NULL THEN 'no reference' WHEN source_kind NOT IN ('commit', 'issue', 'pr-description') AND bare NOT IN (SELECT path FROM docs) THEN 'unknown path' END AS problem FROM (SELECT CAST(doc_id AS STRING) AS id, list_extract(['inferred', 'rumour', 'spec', 'adr', 'commit', 'issue', 'pr-description', 'unavailable', 'repository-rule'], (doc_id % 9 + 1)::INT) AS source_kind, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'gone' ELSE path END AS bare, bare || CASE WHEN doc_id % 2 = 0 THEN '#L3-L9' ELSE '' END AS ref FROM docs))", "docs")
 def n24_verify_requirements(i):
     m = F.col("doc_id")
-    rows = i.docs.select(m.cast("string").alias("id"), F.when(m % 4 == 0, "inferred").when(m % 4 == 1, "rumour").otherwise("spec").alias("source_kind"), F.when(m % 5 == 0, None).when(m % 7 == 0, "gone").otherwise(F.col("path")).alias("source_ref"))
-    return N.verify_requirements(rows, i.docs)
+    kind = F.element_at(F.array(*map(F.lit, ("inferred", "rumour", "spec", "adr", "commit", "issue", "pr-description", "unavailable", "repository-rule"))), (m % 9 + 1).cast("int"))
+    ref = F.concat(F.when(m % 5 == 0, None).when(m % 7 == 0, "gone").otherwise(F.col("path")), F.when(m % 2 == 0, "#L3-L9").otherwise(""))
+    return N.verify_requirements(i.docs.select(m.cast("string").alias("id"), kind.alias("source_kind"), ref.alias("source_ref")), i.docs)
 
 
 # --- citations -----------------------------------------------------------------------------------------------------------------
@@ -815,13 +939,19 @@ def l10_run_snapshot(i):
 FACTS = "AND facts AS (SELECT run_id, category AS key, string_agg(severity || n, ',' ORDER BY severity) AS value FROM (SELECT run_id, category, severity, count(*) AS n FROM findings GROUP BY ALL) GROUP BY run_id, category) "
 
 
-@query(FACTS + "SELECT x.run_id || y.run_id AS pair_id, x.key, x.value AS a, y.value AS b FROM facts x FULL JOIN facts y ON y.key = x.key WHERE x.run_id = 'run0' AND y.run_id = 'run1' AND x.value IS DISTINCT FROM y.value", "findings")
-def l11_compare_runs(i):
+def _facts(i: Inputs) -> DataFrame:
     n = i.findings.groupBy("run_id", "category", "severity").agg(F.count("*").alias("n"))
     lines = F.array_sort(F.collect_list(F.struct("severity", F.concat("severity", F.col("n").cast("string")).alias("x"))))
-    facts = n.groupBy("run_id", F.col("category").alias("key")).agg(F.array_join(F.transform(lines, lambda x: x["x"]), ",").alias("value"))
-    pairs = i.findings.where("run_id = 'run0'").select(F.lit("run0run1").alias("pair_id"), F.lit("run0").alias("run_a"), F.lit("run1").alias("run_b")).distinct()
-    return L.compare_runs(facts, pairs)
+    statuses = n.groupBy("run_id", F.lit("statuses").alias("fact"), F.col("category").alias("key")).agg(F.array_join(F.transform(lines, lambda x: x["x"]), ",").alias("value"))
+    sums = i.findings.groupBy("run_id").agg(F.sum("start_line").cast("string").alias("t"), F.count(F.when(F.col("severity") == "info", 1)).cast("string").alias("s"))
+    noted = [sums.select("run_id", F.lit(f).alias("fact"), F.lit("").alias("key"), F.col(c).alias("value")) for f, c in (("tokens", "t"), ("suppressed", "s"))]
+    return statuses.unionByName(noted[0]).unionByName(noted[1])
+
+
+@query(FACTS + ", t AS (SELECT run_id, CAST(sum(start_line) AS STRING) AS t, CAST(count(*) FILTER (severity = 'info') AS STRING) AS s FROM findings GROUP BY ALL), p AS (SELECT 'run0' AS x, 'run1' AS y UNION ALL SELECT 'run2', 'run2'), d AS (SELECT x || y AS pair_id, coalesce(f.key, g.key) AS key, f.value AS a, g.value AS b FROM p JOIN facts f ON f.run_id = x FULL JOIN facts g ON g.run_id = y AND g.key = f.key WHERE x IS NOT NULL AND f.value IS DISTINCT FROM g.value) SELECT x || y AS pair_id, NOT EXISTS (SELECT 1 FROM d WHERE pair_id = x || y) AS reproducible, coalesce((SELECT string_agg('statuses ' || key || ': ' || coalesce(a, 'absent') || ' vs ' || coalesce(b, 'absent'), '; ' ORDER BY 'statuses ' || key || ': ' || coalesce(a, 'absent') || ' vs ' || coalesce(b, 'absent')) FROM d WHERE pair_id = x || y), '') AS differences, array_to_string(list_filter([CASE WHEN q.s <> '0' OR r.s <> '0' THEN 'suppressed: ' || q.s || ' vs ' || r.s END, CASE WHEN q.t <> r.t THEN 'tokens: ' || q.t || ' vs ' || r.t END], lambda x: x IS NOT NULL), '; ') AS notes FROM p JOIN t q ON q.run_id = x JOIN t r ON r.run_id = y", "findings")
+def l11_compare_runs(i):
+    pairs = i.spark.createDataFrame([("run0run1", "run0", "run1"), ("run2run2", "run2", "run2")], "pair_id string, run_a string, run_b string")
+    return L.compare_runs(_facts(i), pairs)[1]
 
 
 @query("SELECT run_id, seq, running::BIGINT AS running, o AND count(*) FILTER (o) OVER (PARTITION BY run_id ORDER BY seq) = 1 AS breach FROM (SELECT *, running > 1500 OR tokens > 900 AS o FROM (SELECT *, sum(tokens) OVER (PARTITION BY run_id ORDER BY seq) AS running FROM invocations))", "invocations")
@@ -846,10 +976,13 @@ def l15_verification_summary(i):
     return L.verification_summary(d, i.findings.where("category != 'error'").select("run_id", F.when(F.col("severity") == "low", "failed").otherwise("passed").alias("status")))
 
 
-@query("SELECT run_id, string_agg(DISTINCT role || '=' || length(sha256) % 3, ',' ORDER BY role || '=' || length(sha256) % 3) AS tools, string_agg(DISTINCT role, ',' ORDER BY role) AS outputs FROM run_artifacts GROUP BY run_id", "run_artifacts")
+@query("AND r AS (SELECT DISTINCT run_id FROM run_artifacts), c AS (SELECT 'r' || conv_id % 20 AS run_id, sum(length(text))::BIGINT AS p, sum(length(text) + 1)::BIGINT AS c, string_agg(DISTINCT role, ',' ORDER BY role) AS m FROM conversations GROUP BY 1) SELECT r.run_id, 'sourceLock=' || r.run_id AS inputs, (SELECT string_agg(DISTINCT role || '=' || length(sha256) % 3, ',' ORDER BY role || '=' || length(sha256) % 3) FROM run_artifacts a WHERE a.run_id = r.run_id) AS tools, (SELECT string_agg(role || '=' || sha256, ',' ORDER BY role || '=' || sha256) FROM (SELECT run_id, role, max_by(sha256, id) AS sha256 FROM run_artifacts GROUP BY ALL) n WHERE n.run_id = r.run_id) AS outputs, coalesce(p, 0) AS prompt_tokens, coalesce(c, 0) AS completion_tokens, NULL::DOUBLE AS cost_usd, coalesce(m, '') AS models, (SELECT string_agg(role, '; ' ORDER BY id) FROM run_artifacts a WHERE a.run_id = r.run_id) AS notes FROM r LEFT JOIN c USING (run_id)", "run_artifacts")
 def l16_manifest(i):
-    receipts = i.run_artifacts.select("run_id", F.col("role").alias("extractor"), (F.length("sha256") % 3).cast("string").alias("extractor_version"))
-    return L.manifest(i.run_artifacts.select("run_id").distinct(), receipts, i.run_artifacts)
+    rows = i.run_artifacts
+    receipts = rows.select("run_id", F.col("role").alias("extractor"), (F.length("sha256") % 3).cast("string").alias("extractor_version"))
+    size = F.length("text").cast("long")
+    calls = i.conversations.select(F.concat(F.lit("r"), (F.col("conv_id") % 20).cast("string")).alias("run_id"), size.alias("prompt_tokens"), (size + 1).alias("completion_tokens"), F.lit(None).cast("double").alias("cost_usd"), F.col("role").alias("model_id"))
+    return L.manifest(rows.select("run_id", F.col("run_id").alias("source_lock")).distinct(), receipts, rows, calls, rows.select("run_id", F.col("id").alias("seq"), F.col("role").alias("note")))
 
 
 @query("SELECT o_custkey AS approval_id, count(*) FILTER (o_orderstatus = 'F') AS published, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'F') > 1 AS violation FROM orders GROUP BY o_custkey")
@@ -862,10 +995,26 @@ def l17_publication_audit(i):
 # --- sources -------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'main' AS repository_id, 'head' AS revision, path, sha256(text) AS blob_sha, CASE WHEN path LIKE '%.rs' THEN 'rust' END AS language, contains(path, 'src1/') AS is_generated FROM (SELECT replace(path, '/src1/', '/generated/src1/') AS path, text FROM docs)", "docs")
+FILED = "AND placed AS (SELECT doc_id, text, replace(replace(replace(path, '/src1/', '/generated/src1/'), '/src2/', '/dist/'), '/src3/', '/build/') AS path FROM docs) "
+
+
+@query(FILED + "SELECT 'main' AS repository_id, 'head' AS revision, path, sha256(text) AS blob_sha, CASE WHEN path LIKE '%.rs' THEN 'rust' END AS language, contains(path, '/dist/') OR contains(path, '/build/') AS is_generated FROM placed", "docs")
 def sc1_file_table(i):
-    tree = i.docs.select(F.lit("main").alias("repository_id"), F.lit("head").alias("revision"), F.replace("path", F.lit("/src1/"), F.lit("/generated/src1/")).alias("path"), F.sha2("text", 256).alias("blob_sha"))
-    return S.file_table(tree)
+    return S.file_table(_placed(i).select(F.lit("main").alias("repository_id"), F.lit("head").alias("revision"), "path", F.sha2("text", 256).alias("blob_sha")))
+
+
+def _placed(i: Inputs) -> DataFrame:
+    path = F.col("path")
+    for old, new in (("/src1/", "/generated/src1/"), ("/src2/", "/dist/"), ("/src3/", "/build/")):
+        path = F.replace(path, F.lit(old), F.lit(new))
+    return i.docs.withColumn("path", path)
+
+
+@query("SELECT path || end_ AS path, end_ IN ('/Cargo.lock', '/package-lock.json', '/uv.lock', '/x.min.css', '.pb.go', '.generated.ts', '_pb2_grpc.py', '/target/a', '/node_modules/a') AS is_generated FROM docs, (VALUES ('/Cargo.lock'), ('/package-lock.json'), ('/uv.lock'), ('/x.min.css'), ('.pb.go'), ('.generated.ts'), ('_pb2_grpc.py'), ('/target/a'), ('/node_modules/a'), ('/vendor/a'), ('/generated/a'), ('.lock'), ('/xtarget/a')) e(end_)", "docs")
+def sc2_is_generated(i):
+    ends = ("/Cargo.lock", "/package-lock.json", "/uv.lock", "/x.min.css", ".pb.go", ".generated.ts", "_pb2_grpc.py", "/target/a", "/node_modules/a", "/vendor/a", "/generated/a", ".lock", "/xtarget/a")
+    rows = i.docs.select("path", F.explode(F.array(*map(F.lit, ends))).alias("end")).select(F.concat("path", "end").alias("path"))
+    return rows.withColumn("is_generated", S.is_generated(F.col("path")))
 
 
 @query("SELECT 'main' AS repository_id, path, CASE WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'deleted' ELSE 'modified' END AS change FROM docs WHERE doc_id % 10 IN (1, 2, 3)", "docs")
@@ -883,9 +1032,12 @@ def sc4_added_lines(i):
     return S.added_lines(i.docs.select(F.col("doc_id").cast("string").alias("change_id"), F.concat(head, body).alias("diff_text")))
 
 
-@query("SELECT 'main' AS repository_id, 'head' AS revision, path, 'spec' AS kind FROM docs WHERE path LIKE '%.md' OR path LIKE '%.txt'", "docs")
+@query("AND p AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'ADR/' || path WHEN 1 THEN 'x/adr-' || path WHEN 2 THEN 'dist/' || path WHEN 3 THEN 'a/' || doc_id || '/AGENTS.md' ELSE 'vendor/' || path END AS path, doc_id FROM docs) SELECT 'main' AS repository_id, 'head' AS revision, path, CASE WHEN doc_id % 5 < 2 THEN 'adr' WHEN doc_id % 5 = 3 THEN 'repository-rule' ELSE 'spec' END AS kind FROM p WHERE doc_id % 5 <> 2 AND (path LIKE '%.md' OR path LIKE '%.txt')", "docs")
 def sc14_intent_sources(i):
-    return S.intent_sources(i.docs.select(F.lit("main").alias("repository_id"), F.lit("head").alias("revision"), "path"))
+    case = F.col("doc_id") % 5
+    put = lambda where: F.concat(F.lit(where), "path")
+    path = F.when(case == 0, put("ADR/")).when(case == 1, put("x/adr-")).when(case == 2, put("dist/")).when(case == 3, F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit("/AGENTS.md"))).otherwise(put("vendor/"))
+    return S.intent_sources(i.docs.select(F.lit("main").alias("repository_id"), F.lit("head").alias("revision"), path.alias("path")))
 
 
 @query("SELECT path, 2 + i AS line_no, list[i + 1] AS line FROM (SELECT path, list, unnest(range(0, len(list))) AS i FROM (SELECT path, list_slice(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 2, 4) AS list FROM docs WHERE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) >= 2))", "docs")
@@ -923,11 +1075,17 @@ def p1_definitions(i):
     return T.definitions(i.versioned, held)
 
 
-@query("SELECT repository_id, revision, id, kind, label, 'a,' || tab AS producers, CAST(num % 10 AS DOUBLE) / 10 AS confidence, public FROM versioned", "versioned")
+@query("SELECT repository_id, revision, id, kind, label, path, start_line, end_line, 'a,' || tab AS producers, CASE WHEN num % 10 = 0 THEN 1.0 ELSE CAST(num % 10 AS DOUBLE) / 10 END AS confidence, public FROM versioned", "versioned")
 def p4_elements(i):
     proof = lambda p, c: F.struct(p.alias("producer"), c.alias("confidence"))
     half = (F.col("num") % 10).cast("double") / 10
-    return T.elements(i.versioned.withColumn("evidence", F.array(proof(F.col("tab"), half), proof(F.lit("a"), F.lit(0.0)), proof(F.col("tab"), F.lit(0.0)))))
+    return T.elements(i.versioned.withColumn("evidence", F.array(proof(F.col("tab"), half), proof(F.lit("a"), F.lit(0.05)), proof(F.col("tab"), F.lit(0.01)))))
+
+
+@query("SELECT repository_id, revision, source || '>' || target AS id, kind, source, target, configuration, 'x' AS producers, CASE WHEN kind = 'reads' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM edges", "edges")
+def p4_edge_elements(i):
+    proof = F.array(F.struct(F.lit("x").alias("producer"), F.when(F.col("kind") == "reads", F.lit(0.5)).alias("confidence")))
+    return T.elements(i.edges.withColumns({"id": F.concat_ws(">", "source", "target"), "evidence": proof}))
 
 
 @query("SELECT repository_id, revision, symbol, bool_or(o = 1) AS can_from, bool_or(o = 0) AS can_to FROM (SELECT repository_id, revision, source AS symbol, 1 AS o FROM edges UNION ALL SELECT repository_id, revision, target, 0 FROM edges) GROUP BY ALL", "edges")
@@ -951,9 +1109,10 @@ def v4_unknown_paths(i):
     return V.unknown_paths(i.versioned, i.files.where("path not like 'CATALOG/%'"))
 
 
-@query("SELECT repository_id, revision, source || '>' || target AS id FROM edges WHERE kind = 'reads'", "edges")
+@query("SELECT repository_id, revision, source || '>' || target AS id FROM edges WHERE length(source) % 9 > 5", "edges")
 def v5_unmeasured_edges(i):
-    kind = F.when(F.col("kind") == "reads", "model-claim").otherwise("compiler")
+    kinds = F.array(*map(F.lit, (*V.DETERMINISTIC, "model-claim", "manifest", "git")))
+    kind = F.element_at(kinds, (F.length("source") % 9 + 1).cast("int"))
     return V.unmeasured_edges(i.edges.select(*G, F.concat_ws(">", "source", "target").alias("id"), F.array(F.struct(kind.alias("kind"))).alias("evidence")))
 
 
@@ -1000,11 +1159,20 @@ def c2_target_layer(i):
     return C.target_layer(i.edges.select(*G, "source", "target"), i.nodes, C.layer_of(i.files, rule(i)), rule(i))
 
 
-@query("SELECT CASE WHEN r_regionkey = 0 THEN 'superseded' ELSE 'unverifiable' END AS outcome, count(*) AS n FROM region GROUP BY ALL")
+@query("SELECT outcome, count(*) AS n, CASE WHEN outcome = 'unverifiable' THEN count(*) || ' decision(s) could not be checked: there was no evidence in the graph to check them against' END AS note FROM (SELECT CASE WHEN r_regionkey = 0 THEN 'superseded' ELSE 'unverifiable' END AS outcome FROM region) GROUP BY outcome")
 def c5_audit_report(i):
-    known = i.region.select(F.col("r_name").alias("decision"), F.col("r_regionkey").cast("int").alias("number"), F.when(F.col("r_regionkey") == 0, "superseded").otherwise("accepted").alias("status"), F.lit(True).alias("binding"))
+    return _audited(i)[1]
+
+
+@query("SELECT r_name AS decision, row_number() OVER (ORDER BY CASE WHEN r_regionkey < 3 THEN r_regionkey ELSE 9 END, r_name DESC) AS place FROM region WHERE r_regionkey < 3 UNION ALL SELECT r_name, 3 + row_number() OVER (ORDER BY 'adr/' || r_name) FROM region WHERE r_regionkey >= 3")
+def c5_audit_order(i):
+    return _audited(i)[0].select("decision", "place")
+
+
+def _audited(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    known = i.region.select(F.col("r_name").alias("decision"), F.when(F.col("r_regionkey") < 3, F.col("r_regionkey")).cast("int").alias("number"), F.when(F.col("r_regionkey") == 0, "superseded").otherwise("accepted").alias("status"), F.lit(True).alias("binding"))
     none = known.where("false").select("decision", F.lit(0).alias("n"))
-    return C.audit_report(C.audit_decisions(known, none, none))
+    return C.audit_report(C.audit_decisions(known, none, none), known.select("decision", F.concat(F.lit("adr/"), "decision").alias("path")))
 
 
 @query("SELECT CAST(num AS INT) AS cite_no, CASE WHEN num % 2 = 0 THEN 'unknown module' END AS problem FROM versioned WHERE revision = 'head' AND tab = 's'", "versioned")
@@ -1025,10 +1193,13 @@ def l4_ledger_rows(i):
     return L.ledger_rows(i.findings, "run1", ["severity", "finding_id"]).select("finding_id", "place")
 
 
-@query("SELECT run_id, string_split(path, 'u')[2] AS path FROM (SELECT DISTINCT run_id, path FROM findings)", "findings")
+@query("SELECT DISTINCT run_id, string_split(path, 'u')[2] || '.rs' AS path FROM findings UNION ALL SELECT DISTINCT run_id, '/else/' || path || '.rs' FROM findings", "findings")
 def n17_normalize_reads(i):
+    """Files below the root, directories below it, and files elsewhere."""
     reads = i.findings.select("run_id", F.concat(F.lit("/work\\repo/./"), F.expr("substring(path, 2)")).alias("path"))
-    return N.normalize_reads(reads.unionByName(reads.withColumn("path", F.concat("path", F.lit("/")))), "/work/repo")
+    files = reads.withColumn("path", F.concat("path", F.lit(".rs")))
+    other = i.findings.select("run_id", F.concat(F.lit("/else//"), "path", F.lit(".rs")).alias("path"))
+    return N.normalize_reads(files.unionByName(reads).unionByName(reads.withColumn("path", F.concat("path", F.lit("/")))).unionByName(other), "/work/repo")
 
 
 @query("SELECT 'main' AS repository_id, string_agg(DISTINCT category, ',' ORDER BY category) AS threats FROM findings WHERE path IN (SELECT path FROM changed)", "findings", "changed")
@@ -1050,13 +1221,64 @@ def sc9_test_results(i):
     return S.test_results(i.run_events.select("run_id", F.col("seq").alias("line_no"), line.alias("line")))
 
 
-@query("SELECT CAST(o_custkey AS STRING) AS package, CASE min_by(o_orderstatus, o_orderkey) WHEN 'F' THEN 'major' WHEN 'O' THEN 'minor' ELSE 'none' END AS bump FROM orders GROUP BY o_custkey")
+@query("SELECT CAST(o_custkey AS STRING) AS package, coalesce(CASE min_by(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 <> 0) WHEN 'F' THEN 'major' WHEN 'O' THEN 'minor' WHEN 'P' THEN 'none' END, 'unknown') AS bump FROM orders GROUP BY o_custkey")
 def sc11_verdict(i):
-    said = F.when(F.col("o_orderstatus") == "F", "Summary semver requires new major version").when(F.col("o_orderstatus") == "O", "Summary semver requires new minor version").otherwise("Summary no semver update required")
+    """Summary lines of which the first counts, between lines that only sound like one."""
+    said = F.when(F.col("o_orderkey") % 3 == 0, "requires new major version").when(F.col("o_orderstatus") == "F", "Summary semver requires new major version").when(F.col("o_orderstatus") == "O", "Summary semver requires new minor version").otherwise("Summary anything else")
     lines = i.orders.select(F.col("o_custkey").cast("string").alias("package"), F.col("o_orderkey").alias("line_no"), said.alias("line"))
     return S.verdict(lines.select("package").distinct(), lines)
 
 
+@query("AND p AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 7 = 0) AS have, count(*) FILTER (o_orderkey % 7 = 1) AS need, min(o_orderkey) FILTER (o_orderkey % 7 = 2) AS e FROM orders GROUP BY ALL) SELECT CAST(o_custkey AS STRING) AS package, CASE WHEN have > 0 AND need > 0 THEN 'the installed toolchain is too old to build this crate: rustc 1.94.1 is present, the crate requires 1.96' WHEN e IS NOT NULL THEN 'no rule ' || e ELSE 'cargo-semver-checks exited ' || o_custkey % 5 || ' without a recognizable error' END AS reason FROM p")
+def sc12_explain_failure(i):
+    key = F.col("o_orderkey")
+    line = F.when(key % 7 == 0, "error: rustc 1.94.1 is not supported by the following package:").when(key % 7 == 1, "  a@0.1 requires rustc 1.96").when(key % 7 == 2, F.concat(F.lit(" error: no rule "), key.cast("string"))).when(key % 7 == 3, "error: aborting due to 3 errors").otherwise("warning: error: not one")
+    line = F.when(key % 7 == 0, F.replace(line, F.lit("error:"), F.lit("note:"))).otherwise(line)
+    package = F.col("o_custkey").cast("string").alias("package")
+    return S.explain_failure(i.orders.select(package, key.alias("line_no"), line.alias("line")), i.orders.select(package, (F.col("o_custkey") % 5).alias("exit_code")).distinct())
+
+
+@query("SELECT path, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 1000)::INT END AS number, CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id ELSE split_part(regexp_replace(path, '\\.md$', ''), '/', -1) END AS title, list_extract(['accepted', 'superseded', 'proposed', 'rejected'], (doc_id % 4 + 1)::INT) AS status, CASE WHEN doc_id % 2 = 0 THEN '2024-01-02' END AS date, CASE WHEN doc_id % 4 = 1 THEN 'ADR-12' END AS superseded_by FROM (SELECT doc_id, 'adr/' || CASE WHEN doc_id % 3 = 0 THEN lpad(CAST(doc_id % 1000 AS STRING), 4, '0') || '-d' || doc_id ELSE 'note-x' || chr((97 + doc_id % 26)::INT) || '.' || CAST(doc_id % 100 AS STRING) || '.' || CAST(doc_id // 100 % 100 AS STRING) || '.' || CAST(doc_id // 10000 AS STRING) END || '.md' AS path FROM documents)")
+def sc13_decisions(i):
+    """Decision records: a status in front matter or body, numbers in names, dates and successors."""
+    m = F.col("doc_id")
+    say = F.element_at(F.array(*map(F.lit, ("Accepted by all", "superseded by adr 12", "drafted", "* **Status**: Rejected"))), (m % 4 + 1).cast("int"))
+    front = F.when(m % 4 < 2, F.concat(F.lit("---\nstatus: "), say, F.lit("\n---\n"))).otherwise("")
+    title = F.when(m % 3 == 0, F.concat(F.lit("# T"), m.cast("string"), F.lit("\n"))).otherwise("")
+    body = F.when(m % 4 == 3, F.lit("**Status**: Rejected\n")).when(m % 4 == 2, F.lit("Status: drafted\n")).otherwise("")
+    date = F.when(m % 2 == 0, "Date: 2024-01-02\n").otherwise("")
+    part = lambda x: F.floor(x).cast("string")
+    name = F.when(m % 3 == 0, F.concat(F.lpad((m % 1000).cast("string"), 4, "0"), F.lit("-d"), m.cast("string")))
+    name = F.coalesce(name, F.concat(F.lit("note-x"), F.char((97 + m % 26).cast("int")), F.lit("."), (m % 100).cast("string"), F.lit("."), part(m / 100 % 100), F.lit("."), part(m / 10000)))
+    docs = i.documents.select(F.concat(F.lit("adr/"), name, F.lit(".md")).alias("path"), F.concat(front, title, body, date).alias("text"))
+    index = docs.limit(1).select(F.lit("adr/README.md").alias("path"), F.lit("# Index").alias("text"))
+    return S.decisions(docs.unionByName(index))
+
+
+@query("AND e AS (SELECT DISTINCT revision, source, target, kind FROM edges) SELECT 'main' AS repository_id, revision, 'pkg:cargo/' || source || '@1' AS source, 'pkg:cargo/' || target || '@1' AS target, 'depends-on' AS kind, CASE kind WHEN 'calls' THEN 'normal' ELSE 'reads@unix' END AS configuration FROM e", "edges")
+def sc6_dependency_edges(i):
+    """One dependency document for each source, in which its edges are dependencies."""
+    e = i.edges.select("repository_id", "revision", "source", "target", "kind").distinct()
+    package = lambda c: F.struct(F.col(c).alias("id"), F.col(c).alias("name"), F.lit("1").alias("version"), F.lit("m").alias("manifest_path"), F.lit(None).cast("string").alias("source"))
+    kinds = F.array(F.struct(F.when(F.col("kind") != "calls", F.col("kind")).alias("kind"), F.when(F.col("kind") != "calls", "unix").alias("target")))
+    deps = e.groupBy("repository_id", "revision", "source").agg(F.collect_list(F.struct(F.col("target").alias("pkg"), kinds.alias("dep_kinds"))).alias("deps"), F.collect_set(package("target")).alias("others"))
+    packages = F.array_union(F.array(package("source")), "others")
+    doc = F.to_json(F.struct(packages.alias("packages"), F.struct(F.array(F.struct(F.col("source").alias("id"), "deps")).alias("nodes")).alias("resolve")))
+    return S.dependency_edges(deps.select("repository_id", "revision", doc.alias("doc_json")))[1]
+
+
+@query("SELECT CAST(o_custkey AS STRING) AS package, 'lint_' || chr((97 + o_orderkey % 26)::INT) AS id, CASE WHEN o_orderkey % 26 = 0 THEN 'minor' ELSE 'major' END AS level, 'order ' || o_orderkey AS summary, 'src/o.rs:' || o_orderkey AS places FROM orders")
+def sc10_lint_blocks(i):
+    """A block for each order in its customer's report: the head, a place given twice, and a line that is no place."""
+    key = F.col("o_orderkey")
+    lint = F.concat(F.lit("lint_"), F.char((97 + key % 26).cast("int")))
+    place = F.concat(F.lit("  function a::b, in src/o.rs:"), key.cast("string"))
+    text = F.array(F.concat(F.lit("--- failure "), lint, F.lit(": order "), key.cast("string"), F.lit(" ---")), F.lit("Failed in:"), place, place)
+    lines = i.orders.select(F.col("o_custkey").cast("string").alias("package"), key, F.posexplode(text).alias("n", "line")).select("package", (key * 4 + F.col("n")).alias("line_no"), "line")
+    found = S.lint_blocks(lines, i.spark.createDataFrame([("lint_a", "minor")], "id string, level string"))
+    return found.select("package", "id", "level", "summary", F.array_join("locations", ",").alias("places"))
+
+
 @query("SELECT path || ':' || token AS key_id, path, min(n) AS line FROM (SELECT path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, unnest(range(1, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) + 1)) AS n, 'the' AS token FROM docs WHERE text <> '') WHERE contains(line, token) GROUP BY ALL", "docs")
 def sc16_anchor_lines(i):
     key = i.docs.select(F.concat("path", F.lit(":the")).alias("key_id"), F.lit("expected").alias("role"), "path", F.lit("the").alias("anchor"))
@@ -1075,3 +1297,211 @@ def w7_in_repo_architecture(i):
     edges = W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
     boxes, links = W.containers(i.packages.select(*G, F.col("package").alias("id"), F.col("package").alias("name"), "version"), edges.select(*G, F.concat("source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))
     return W.in_repo_architecture(boxes, links, i.packages.where("package != 'CATALOG'").select(*G, F.col("package").alias("name")))
+
+
+# --- operators without a query above -------------------------------------------------------------------------------------------
+
+
+@query("SELECT repository_id, revision, id, min_by(kind, n) AS kind, count(DISTINCT n) AS fragments FROM (SELECT repository_id, revision, source AS id, kind, row_number() OVER (PARTITION BY revision, source ORDER BY target, kind) AS n FROM edges) GROUP BY ALL", "edges")
+def b2_merge_edges(i):
+    """Edges of a source as fragments of one edge."""
+    n = F.row_number().over(Window.partitionBy(*G, "source").orderBy("target", "kind"))
+    proof = F.array(F.struct(F.lit("git").alias("kind"), F.col("_n").cast("string").alias("producer"), F.lit(None).cast("string").alias("producer_version")))
+    rows = i.edges.withColumn("_n", n).select(*G, F.col("source").alias("id"), "kind", F.col("_n").alias("fragment_no"), proof.alias("evidence"))
+    return B.merge_fragments(rows).select(*G, "id", "kind", F.size("evidence").cast("long").alias("fragments"))
+
+
+@query("SELECT id, 'a:,' || 'compiler:' || tab || CASE WHEN num % 2 = 0 THEN '' ELSE ',compiler:z' END AS evidence FROM (SELECT *, 'a' AS x FROM versioned)", "versioned")
+def b3_dedupe_evidence(i):
+    """Evidence with repeats, of which the first stays, sorted by kind, producer and version."""
+    proof = lambda k, p: F.struct(F.lit(k).alias("kind"), p.alias("producer"), F.lit(None).cast("string").alias("producer_version"))
+    more = F.when(F.col("num") % 2 == 0, F.array(proof("compiler", F.col("tab")))).otherwise(F.array(proof("compiler", F.lit("z")), proof("a", F.lit(""))))
+    both = F.concat(F.array(proof("compiler", F.col("tab")), proof("a", F.lit(""))), more)
+    return i.versioned.select("id", F.array_join(F.transform(B.dedupe_evidence(both), lambda e: F.concat_ws(":", e["kind"], e["producer"])), ",").alias("evidence"))
+
+
+@query("SELECT id, CASE WHEN num % 2 = 0 THEN label ELSE tab || num END AS name FROM versioned", "versioned")
+def b6_display_name(i):
+    symbol = F.concat(F.lit("rust cargo p 1 a/b#"), "tab", F.col("num").cast("string"), F.lit("()."))
+    return i.versioned.select("id", B.display_name(symbol, F.when(F.col("num") % 2 == 0, F.col("label"))).alias("name"))
+
+
+def occurrences(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The symbols of the versions as occurrences: their definition, a second one later, and uses at the end of each."""
+    end = F.when(F.col("tab") == "c", "().").when(F.col("tab") == "s", "#").otherwise(".")
+    v = i.versioned.withColumn("symbol", F.concat("tab", F.col("num").cast("string"), end))
+    rows = v.select(*G, "symbol", "path", F.explode(F.array(F.lit(1), F.lit(2))).alias("occurrence_no"), F.col("start_line").alias("line"), F.col("start_line").alias("end_line"), F.lit(None).cast("int").alias("enclosing_start"), F.when(F.col("num") % 2 == 0, F.col("end_line")).alias("enclosing_end"), F.lit(True).alias("is_definition"))
+    info = v.select(*G, "symbol", F.col("label").alias("display_name"), (F.col("tab") == "p").alias("constant"), F.when(F.col("public"), "pub fn x()").alias("signature"))
+    return rows.withColumn("line", F.col("line") + F.col("occurrence_no")), info
+
+
+DEFINED = "AND df AS (SELECT repository_id, revision, tab || num || CASE tab WHEN 'c' THEN '().' WHEN 's' THEN '#' ELSE '.' END AS symbol, path, kind, label, start_line + 2 AS start_line, CASE WHEN num % 2 = 0 THEN end_line + 1 ELSE start_line + 1 END AS end_line, public FROM versioned) "
+
+
+@query(DEFINED + "SELECT * FROM df", "versioned")
+def b7_definitions(i):
+    return B.definitions(*occurrences(i))
+
+
+@query(DEFINED + "SELECT repository_id, revision, 'file:' || path AS source, 'sym:scip/' || symbol AS target, 'contains' AS kind FROM df", "versioned")
+def b8_definition_graph(i):
+    return B.definition_graph(B.definitions(*occurrences(i)))[1]
+
+
+@query(
+    DEFINED + ", rf AS (SELECT v.repository_id, v.revision, v.path, v.end_line AS line, u.symbol FROM versioned v JOIN versioned w ON w.revision = v.revision AND w.num = v.num AND w.tab <> v.tab JOIN df u ON u.revision = w.revision AND u.label = w.label), fn AS (SELECT r.*, (SELECT min_by(symbol, {'s': end_line - start_line, 'a': start_line, 'e': end_line, 'i': symbol}) FROM df d WHERE d.kind = 'function' AND d.path = r.path AND d.revision = r.revision AND r.line BETWEEN d.start_line AND d.end_line) AS f FROM rf r), ed AS (SELECT fn.repository_id, fn.revision, CASE WHEN f IS NULL THEN 'file:' || fn.path ELSE 'sym:scip/' || f END AS source, 'sym:scip/' || fn.symbol AS target, CASE WHEN f IS NULL THEN 'imports' WHEN t.kind = 'function' THEN 'calls' WHEN t.kind = 'constant' THEN 'reads' END AS kind FROM fn JOIN df t ON t.symbol = fn.symbol AND t.revision = fn.revision) SELECT DISTINCT * FROM ed WHERE kind IS NOT NULL AND source <> target",
+    "versioned",
+)
+def b10_reference_edges(i):
+    """At the end of each symbol's span a reference to the symbols of its number in the other tables."""
+    v = i.versioned
+    other = v.select("revision", "num", F.col("tab").alias("t2"), F.col("label").alias("l2"))
+    defs = B.definitions(*occurrences(i))
+    named = v.join(other, ["revision", "num"]).where("tab != t2").join(defs.select("revision", F.col("label").alias("l2"), "symbol"), ["revision", "l2"])
+    refs = named.select(*G, F.monotonically_increasing_id().alias("ref_id"), "path", F.col("end_line").alias("line"), "symbol")
+    return B.reference_edges(refs, defs)
+
+
+@query("SELECT run_id, 'sha256:' || sha256('{\"pipelineVersion\":\"1\",\"tools\":{' || string_agg('\"' || role || '\":\"' || sha256 || '\"', ',' ORDER BY role) || '}}') AS fingerprint FROM (SELECT run_id, role, max_by(sha256, id) AS sha256 FROM run_artifacts GROUP BY ALL) GROUP BY run_id", "run_artifacts")
+def h6_fingerprint(i):
+    newest = i.run_artifacts.groupBy("run_id", "role").agg(F.max_by("sha256", "id").alias("sha256"))
+    maps = newest.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "sha256"))).alias("tools"))
+    return maps.select("run_id", I.fingerprint(F.col("tools"), F.lit("1")).alias("fingerprint"))
+
+
+MODEL = "AND el AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN 'participant' WHEN turn % 2 = 1 THEN 'message' ELSE 'timeout' END AS kind, conv_id % 3 = 0 AND turn = 0 AS lost FROM conversations) "
+
+
+@query(MODEL + "SELECT conv_id::STRING AS doc_id, kind, turn::STRING AS name, CASE WHEN lost THEN 'gone does not exist at this revision' WHEN kind = 'message' AND conv_id % 3 = 0 THEN 'its participant ''0'' did not survive validation' WHEN kind = 'timeout' AND turn % 4 = 0 THEN 'its state ''' || turn || ''' is not one this protocol declares' END AS reason FROM el")
+def k6_validate_protocol(i):
+    return _protocol(i)[0].select("doc_id", "kind", "name", "reason")
+
+
+@query(MODEL + "SELECT conv_id::STRING AS doc_id, count(*) FILTER (kind = 'participant' AND NOT lost) AS participants, CASE WHEN count(*) FILTER (kind = 'participant' AND NOT lost) = 0 THEN 'nothing could be verified' END AS note FROM el GROUP BY conv_id")
+def k6_protocol_notes(i):
+    return _protocol(i)[1]
+
+
+def _protocol(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """A protocol model for each conversation: the first turn takes part, odd ones are messages to itself, even ones timeouts."""
+    turn = F.col("turn")
+    kind = F.when(turn == 0, "participant").when(turn % 2 == 1, "message").otherwise("timeout")
+    end = F.when(turn % 2 == 1, "0")
+    path = F.when((F.col("conv_id") % 3 == 0) & (turn == 0), "gone").otherwise("a.t")
+    none = F.lit(None).cast("int")
+    elements = i.conversations.select(F.col("conv_id").cast("string").alias("doc_id"), kind.alias("kind"), turn.cast("string").alias("name"), end.alias("producer"), end.alias("consumer"), path.alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), none.alias("end_line"))
+    states = i.conversations.where("turn % 4 != 0").select(F.col("conv_id").cast("string").alias("doc_id"), turn.cast("string").alias("state"))
+    files = i.spark.createDataFrame([("a.t", 10)], "path string, lines int")
+    return K.validate_protocol(elements, states, files, files.where("false").select(F.lit("").alias("id")))
+
+
+def _threats(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """A threat model for each customer: orders as components, boundaries, controls and focus paths by their key, with line numbers that
+    lie in the file or behind it."""
+    key, doc = F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("component", "boundary", "control", "focus"))), (key % 4 + 1).cast("int"))
+    line = F.when(F.col("o_orderstatus") == "F", 99).otherwise(5)
+    path = F.when(key % 4 == 3, F.when(F.col("o_orderstatus") == "F", "gone").otherwise(F.concat(F.lit("f"), (key % 3).cast("string")))).otherwise("f0")
+    line = F.when(key % 4 == 3, F.lit(None).cast("int")).otherwise(line)
+    elements = i.orders.select(doc, kind.alias("kind"), F.when(key % 4 == 3, path).otherwise(key.cast("string")).alias("name"), F.lit(0).alias("evidence_no"), path.alias("path"), F.lit(None).cast("string").alias("symbol"), line.alias("start_line"), F.lit(None).cast("int").alias("end_line")).distinct()
+    between = i.orders.where("o_orderkey % 4 = 1").select(doc, key.cast("string").alias("name"), (key - 1).cast("string").alias("component"))
+    threats = i.orders.where("o_orderkey % 4 = 3").select(doc, path.alias("focus"), key.cast("string").alias("threat_id"), (F.col("o_orderpriority") < "3").alias("known"))
+    files = i.spark.createDataFrame([("f0", 10), ("f1", 10), ("f2", None)], "path string, lines int")
+    return K.validate_threats(elements, between, threats, files, files.where("false").select(F.lit("").alias("id")))
+
+
+THREATS = "AND el AS (SELECT o_custkey::STRING AS doc_id, o_orderkey AS k, o_orderstatus = 'F' AS bad, list_extract(['component', 'boundary', 'control', 'focus'], (o_orderkey % 4 + 1)::INT) AS kind, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey::STRING WHEN o_orderstatus = 'F' THEN 'gone' ELSE 'f' || o_orderkey % 3 END AS name, o_orderpriority < '3' AS known FROM orders), lone AS (SELECT doc_id FROM el WHERE kind = 'focus' AND NOT bad GROUP BY doc_id HAVING count(DISTINCT name) = 1), out AS (SELECT DISTINCT e.doc_id, e.kind, e.name, CASE WHEN e.kind = 'boundary' AND NOT EXISTS (SELECT 1 FROM el c WHERE c.doc_id = e.doc_id AND c.k = e.k - 1 AND c.kind = 'component' AND NOT c.bad) THEN 'its component ''' || (e.k - 1) || ''' did not survive validation' WHEN e.kind = 'focus' AND e.bad THEN 'gone does not exist at this revision' WHEN e.kind = 'focus' AND e.doc_id IN (SELECT doc_id FROM lone) THEN 'the only focus path left' WHEN e.kind <> 'focus' AND e.bad THEN 'f0:99 is past the end of the file (10 lines)' END AS reason, CASE WHEN e.kind = 'control' THEN NOT e.bad END AS verified FROM el e) "
+
+
+@query(THREATS + "SELECT * FROM out")
+def k7_validate_threats(i):
+    return _threats(i)[0].select("doc_id", "kind", "name", "reason", "verified")
+
+
+@query(THREATS + "SELECT e.doc_id, e.name AS focus, e.k::STRING AS threat_id FROM el e JOIN out o ON o.doc_id = e.doc_id AND o.name = e.name AND o.kind = 'focus' WHERE e.kind = 'focus' AND o.reason IS NULL AND e.known")
+def k7_focus_threats(i):
+    return _threats(i)[1]
+
+
+# --- sinks and streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT repository_id, revision, id, label FROM versioned", "versioned")
+def sk1_write_partitioned(i):
+    """Written twice, the second time over the first, and read again."""
+    path = shared_path(i.spark, "partitioned")
+    rows = i.versioned.select(*G, "id", "label")
+    S.write_partitioned(rows.withColumn("label", F.lit("old")), path)
+    S.write_partitioned(rows, path)
+    return i.spark.read.schema("id string, label string, repository_id string, revision string").parquet(path).select(*G, "id", "label")
+
+
+@query("SELECT repository_id, revision, id, label FROM versioned", "versioned")
+def sk2_write_elements(i):
+    """Written as JSON texts and parsed again."""
+    path = shared_path(i.spark, "elements")
+    S.write_elements(i.versioned.select(*G, "id", "label"), path)
+    rows = i.spark.read.schema("value string, repository_id string, revision string").text(path)
+    return rows.select(*G, F.from_json("value", "struct<id:string,label:string>").alias("v")).select(*G, "v.*")
+
+
+def streamed(i: Inputs, table: str) -> DataFrame:
+    """A given table as a stream of files."""
+    return i.spark.readStream.schema(getattr(i, table).schema).parquet(f"{i.sf_dir}/{table}.parquet" if i.folder(table) else f"{i.sf_dir}/{table}.par*")
+
+
+def run_events(rows: DataFrame) -> DataFrame:
+    stage = F.when(F.col("event_id") % 3 == 0, "extract").when(F.col("event_id") % 3 == 1, "build").otherwise("review")
+    event = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("click", "view"), "started").otherwise("finished")
+    return rows.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), stage.alias("stage"), event.alias("event"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("skill"), (F.col("event_id") % 100).alias("tokens"), "value")
+
+
+def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
+    """All that a stream gives until its input ends."""
+    path = shared_path(df.sparkSession, name)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{n if mode == 'append' else 0}")
+
+    df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/*")
+
+
+@query("SELECT run_id, stage, max_by(event, {'a': run_events.at, 's': seq}) AS status, epoch_us(max(run_events.at)) AS micros FROM run_events GROUP BY run_id, stage", "run_events")
+def z1_stage_status(i):
+    found = drained(Z.stage_status(run_events(streamed(i, "events"))), "complete", "stage-status")
+    return found.select("run_id", "stage", "status", F.unix_micros("at").alias("micros"))
+
+
+@query("SELECT DISTINCT 'main' AS repository_id, event_type AS fingerprint, 'u' || user_id AS blob FROM events WHERE event_id % 3 = 1")
+def z2_remember_stream(i):
+    """Verdicts of a stream into a table, and once more from the beginning, which adds nothing."""
+    path = shared_path(i.spark, "memory")
+    for n in ("a", "b"):
+        rows = streamed(i, "events").select(F.lit("main").alias("repository_id"), F.col("event_type").alias("fingerprint"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("blob"), F.when(F.col("event_id") % 3 == 1, "rejected").otherwise("validated").alias("status"))
+        Z.remember_stream(rows, path, f"{path}-log-{n}").awaitTermination()
+    return i.spark.read.parquet(path).select("repository_id", "fingerprint", "blob")
+
+
+@query("SELECT sha256(text) AS sha256, min(strlen(text)) AS size FROM documents GROUP BY sha256(text)")
+def z3_artifact_index(i):
+    path = shared_path(i.spark, "artifacts")
+    Z.artifact_index_stream(streamed(i, "documents").select(F.lit("2024-01-01").cast("timestamp").alias("at"), F.col("text").alias("content")), path, f"{path}-log").awaitTermination()
+    return i.spark.read.parquet(path).select("sha256", "size")
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS from_micros, event_type AS skill, sum(event_id % 100)::BIGINT AS tokens, count(*) AS n FROM events GROUP BY ALL")
+def z4_cost_windows(i):
+    rows = run_events(streamed(i, "events")).withColumn("cost_usd", F.col("value"))
+    return drained(Z.cost_windows(rows), "complete", "cost-windows").select(F.unix_micros("from_at").alias("from_micros"), "skill", "tokens", "n")
+
+
+@query("SELECT run_id, sum(tokens)::BIGINT AS tokens, count(*) AS n, min(a) AS from_micros FROM (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY a, event_id) AS session FROM (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY run_id ORDER BY a, event_id) < 1800000000 THEN 0 ELSE 1 END AS new FROM (SELECT 'r' || user_id AS run_id, epoch_us(ts) AS a, event_id, event_id % 100 AS tokens FROM events))) GROUP BY run_id, session")
+def z4_run_sessions(i):
+    found = drained(Z.run_sessions(run_events(streamed(i, "events"))), "complete", "sessions")
+    return found.select("run_id", "tokens", "n", F.unix_micros("from_at").alias("from_micros"))
+
+
+@query("SELECT 'r' || user_id AS run_id FROM events GROUP BY user_id HAVING sum(event_id % 100) > 500")
+def z5_budget_alerts(i):
+    return drained(Z.budget_alerts(run_events(streamed(i, "events")), 500), "append", "alerts").select("run_id")

@@ -118,7 +118,11 @@ def test_scope(spark):
 def test_eligibility(spark):
     schema = "id string, status string, evidence array<struct<kind:string,exit_code:int>>, counter_evidence array<string>"
     rows = spark.createDataFrame([("fails", "validated", [("test", 1)], ["x"]), ("passes", "validated", [("test", 0)], ["x"]), ("alone", "validated", [("note", None)], ["x"]), ("no counter", "validated", [("test", 1)], []), ("review", "validated", [("independent-review", 0)], ["x"])], schema)
+    got = {r.id: r.reason for r in N.eligibility(rows).collect()}
     assert {r.id for r in N.eligibility(rows).where("eligible").collect()} == {"fails", "review"}
+    assert got["fails"] == "deterministic evidence: test" and got["review"].startswith("independent") and got["no counter"] == "no counter-evidence was checked"
+    more = [(k, "validated", [(k, None)], ["x"]) for k in (*N.DETERMINISTIC, "language-server")]
+    assert {r.id for r in N.eligibility(spark.createDataFrame(more, schema)).where("eligible").collect()} == set(N.DETERMINISTIC)
 
 
 def test_scoring_claims_once(spark):
@@ -190,16 +194,144 @@ def test_patch(spark):
 
 
 def test_decision_documents(spark):
-    docs = spark.createDataFrame([("adr/0007-x.md", "---\nstatus: Accepted by all\n---\n# Use Spark\nDate: 2024-01-02\n"), ("adr/y.md", "# 12. Old\n\n## Status\n\nSuperseded by [13](b.md)\n"), ("adr/index.md", "# Index"), ("adr/z.md", "# None")], "path string, text string")
-    got = {r.path: (r.number, r.status, r.date, r.superseded_by) for r in S.decisions(docs).collect()}
-    assert got == {"adr/0007-x.md": (7, "accepted", "2024-01-02", None), "adr/y.md": (12, "superseded", None, "13"), "adr/z.md": (None, "proposed", None, None)}
+    docs = [
+        ("adr/0007-x.md", "---\nstatus: Accepted by all\n---\n# Use Spark\nDate: 2024-01-02\n"),
+        ("adr/y.md", "# 0012. Old\n\n* **Status**: Superseded by ADR 13\n"),
+        ("adr/12-z.md", "# Twelve\n\n## Status\n\nAccepted\n"),
+        ("adr/index.md", "# Index"),
+        ("adr/none.md", "text"),
+        ("adr/odd.md", "status = RejectedForNow\n"),
+    ]
+    got = {r.path: (r.number, r.title, r.status, r.date, r.superseded_by) for r in S.decisions(spark.createDataFrame(docs, "path string, text string")).collect()}
+    assert got == {
+        "adr/0007-x.md": (7, "Use Spark", "accepted", "2024-01-02", None),
+        "adr/y.md": (12, "0012. Old", "superseded", None, "ADR-13"),
+        "adr/12-z.md": (None, "Twelve", "proposed", None, None),
+        "adr/none.md": (None, "none", "proposed", None, None),
+        "adr/odd.md": (None, "odd", "rejected", None, None),
+    }
+
+
+def test_generated_paths(spark):
+    paths = ["Cargo.lock", "a/package-lock.json", "uv.lock", "target/x", "a/dist/b.js", "build/x", "x.min.css", "a.pb.go", "a_pb2_grpc.py", "vendor/x", "a/generated/x", "src/lib.rs"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r.path for r in rows.where(S.is_generated(F.col("path"))).collect()] == paths[:9]
+
+
+def test_failures(spark):
+    text = {
+        "old": ["error: rustc 1.94.1 is not supported by the following package:", "  g@0.1.9 requires rustc 1.96"],
+        "said": ["warning: x", "error: aborting due to 2 errors", " error: no such thing", "error: later"],
+        "mute": ["nothing"],
+    }
+    lines = spark.createDataFrame([(p, i, t) for p, ts in text.items() for i, t in enumerate(ts)], "package string, line_no int, line string")
+    exits = spark.createDataFrame([("old", 1), ("said", 1), ("mute", 101)], "package string, exit_code int")
+    got = {r.package: r.reason for r in S.explain_failure(lines, exits).collect()}
+    assert got["said"] == "no such thing" and "rustc 1.94.1 is present, the crate requires 1.96" in got["old"] and "exited 101" in got["mute"]
+
+
+def test_labels(spark):
+    nodes = spark.createDataFrame([("r", "function", "src/a.rs"), ("r", "function", "src/fixtures/b.rs"), ("r", "test", "src/c.rs"), ("r", "function", "x/test_d.py"), ("r", "function", "adr/e.md"), ("r", "function", None)], "repository_id string, kind string, path string")
+    moved = spark.createDataFrame([("r", "z", "a.rs", "c.rs"), ("r", "y", "d.rs", "b.rs")], "repository_id string, label string, before string, after string")
+    renames = spark.createDataFrame([("r", "old", "new", "k1", "spans overlap", 0.75)], "repository_id string, before_label string, after_label string, new string, basis string, confidence double")
+    api = spark.createDataFrame([("r", "b"), ("r", "a"), ("r", "a")], "repository_id string, name string")
+    got = {r["name"]: r.basis for r in X.change_labels(nodes, moved, renames, api).collect()}
+    assert got == {
+        "rename": "old appears to have become new (spans overlap, confidence 0.75)",
+        "code-move": "y moved from d.rs to b.rs",
+        "testing": "3 test path(s) changed, including src/c.rs",
+        "documentation": "1 documentation path(s) changed, including adr/e.md",
+        "external-interface": "2 exported item(s) changed in the public API delta, including a",
+    }
+    assert {r["name"] for r in X.change_labels(nodes, moved, None, api.where("false")).collect()} == {"code-move", "testing", "documentation", "internal-interface"}
+    assert "internal-interface" not in {r["name"] for r in X.change_labels(nodes, moved).collect()}
+
+
+def test_requirements(spark):
+    rows = [("1", "spec", "docs/a.md#L3-L9"), ("2", "spec", "gone.md"), ("3", "commit", "abc"), ("4", "issue", None), ("5", "rumour", "docs/a.md"), ("6", "unavailable", None), ("7", "adr", "docs/a.md"), ("7", "adr", "docs/a.md")]
+    files = spark.createDataFrame([("docs/a.md",)], "path string")
+    got = sorted((r.id, r.source_kind, r.problem) for r in N.verify_requirements(spark.createDataFrame(rows, "id string, source_kind string, source_ref string"), files).collect())
+    assert got == [("1", "spec", None), ("2", "inferred", "unknown path"), ("3", "commit", None), ("4", "inferred", "no reference"), ("5", "inferred", "unknown kind"), ("6", "unavailable", None), ("7", "adr", "duplicate id"), ("7", "adr", "duplicate id")]
+
+
+def test_secrets_of_published_texts(spark):
+    texts = ["github_pat_" + "a" * 20, "ghp_" + "a" * 20, "sk-ant-" + "a" * 20, "postgres://u:secret1@h", "AKIA" + "A" * 16, "-----BEGIN RSA PRIVATE KEY-----", "password: hunter22 and bearer " + "a" * 30]
+    got = {r.doc_id: r.names for r in N.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == dict(enumerate(N.SECRETS))
+
+
+def test_layers_and_entries(spark):
+    files = modules(spark, ["src/store.rs", "src/api.rs", "src/lib.rs", "src/extra.rs", "src/deep/x.rs", "build.rs", "src/main.rs", "tests/t.rs", "web/index.ts"])
+    root = spark.createDataFrame([("r", "1", "src")], "repository_id string, revision string, directory string")
+    assert [r.layer for r in O.layer_order(files, root).orderBy("rank").collect()] == ["api", "store", "extra"]
+    nodes = spark.createDataFrame([("r", "1", "function", "main", p) for p in ("build.rs", "src/main.rs", "tests/t.rs", "elsewhere.rs")], "repository_id string, revision string, kind string, label string, path string")
+    got = {r.path: r.reason for r in O.entry_points(nodes, files).collect()}
+    assert got == {"src/lib.rs": "library root (lib.rs)", "src/main.rs": "binary root (main.rs); defines `main` (program)", "tests/t.rs": "defines `main` (example or test)", "web/index.ts": "library root (index.ts)"}
+
+
+def test_ranked_search(spark):
+    labels = ["src/searcher", "Searcher", "searcher_x", "src/searcher.rs", "my/a_searcher", "searcher/other", "none"]
+    nodes = spark.createDataFrame([("r", "1", str(i), x) for i, x in enumerate(labels)], "repository_id string, revision string, id string, label string")
+    got = [(r.id, r["class"]) for r in T.rank_matches(nodes, spark.createDataFrame([("searcher",), ("s",)], "query string")).orderBy("rank").collect()]
+    assert got == [("1", 0), ("0", 1), ("2", 2), ("5", 2), ("3", 3), ("4", 4)]
+
+
+def test_reach_keeps_the_best_way(spark):
+    """Against walks of each seed alone."""
+    rng = random.Random(3)
+    names = [f"k{i:02d}" for i in range(30)]
+    pairs = sorted({(rng.choice(names), rng.choice(names), rng.choice(("calls", "reads"))) for _ in range(70)})
+    seeds = [(k, rng.choice(("touched", "removed")), n + 1) for n, k in enumerate(rng.sample(names, 6))]
+    best: dict = {}
+    for key, _, seed in seeds:
+        met, front = {key}, [key]
+        for hop in (1, 2):
+            step = [(u, k, kind) for k, u, kind in pairs if k in front and u not in met]
+            for u, parent, kind in step:
+                if u not in {k for k, _, _ in seeds}:
+                    best[u] = min(best.get(u, (9,)), (hop, seed, parent, kind))
+            front = sorted({u for u, _, _ in step})
+            met |= set(front)
+    index = spark.createDataFrame([("r", *p) for p in pairs], "repository_id string, key string, user string, kind string")
+    rows = P.bounded_reach(spark.createDataFrame([("r", *x) for x in seeds], "repository_id string, key string, reason string, seed int"), index, index, 2).collect()
+    assert {r.key: (r.hop, r.seed, r.parent, r.kind) for r in rows} == best
 
 
 def test_protocol_cascade(spark):
-    elements = spark.createDataFrame([("d", "participant", "A"), ("d", "participant", "B"), ("d", "message", "m1"), ("d", "message", "m2"), ("d", "state", "s"), ("d", "timeout", "t")], "doc_id string, kind string, name string")
-    refs = spark.createDataFrame([("d", "m1", "A"), ("d", "m1", "B"), ("d", "m2", "A"), ("d", "t", "s")], "doc_id string, name string, to string")
-    proof = spark.createDataFrame([("d", "A"), ("d", "m1"), ("d", "m2")], "doc_id string, name string")
-    assert {r.name for r in K.validate_protocol(elements, refs, proof).where("reason is null").collect()} == {"A", "m2", "s", "t"}
+    none = (None, None, None, None)
+    good = ("a.rs", None, 3, 4)
+    rows = [
+        ("d", "participant", "A", None, None, *good), ("d", "participant", "B", None, None, "b.rs", None, 1, 1), ("d", "message", "m1", "A", "B", *good), ("d", "message", "m2", "A", "A", *good),
+        ("d", "message", "m3", "A", "A", "a.rs", None, 99, None), ("d", "timeout", "s", None, None, *none), ("d", "timeout", "t", None, None, *none), ("e", "participant", "A", None, None, "a.rs", "sym", 1, 1),
+    ]
+    elements = spark.createDataFrame(rows, "doc_id string, kind string, name string, producer string, consumer string, path string, symbol string, start_line int, end_line int")
+    states = spark.createDataFrame([("d", "s")], "doc_id string, state string")
+    files, symbols = spark.createDataFrame([("a.rs", 10)], "path string, lines int"), spark.createDataFrame([("other",)], "id string")
+    kept, notes = K.validate_protocol(elements, states, files, symbols)
+    got = {(r.doc_id, r.name): r.reason for r in kept.collect()}
+    assert {k for k, r in got.items() if r is None} == {("d", "A"), ("d", "m2"), ("d", "s")}
+    assert "'B' did not survive" in got["d", "m1"] and "past the end" in got["d", "m3"] and "not a symbol" in got["e", "A"]
+    assert {r.doc_id: (r.participants, r.note is None) for r in notes.collect()} == {"d": (1, True), "e": (0, False)}
+
+
+def test_threat_cascade(spark):
+    schema = "doc_id string, kind string, name string, evidence_no int, path string, symbol string, start_line int, end_line int"
+    rows = [
+        ("d", "component", "A", 0, "a.rs", None, 1, 2), ("d", "component", "B", 0, "gone.rs", None, 1, 2), ("d", "boundary", "ab", 0, "a.rs", None, 1, 2), ("d", "boundary", "aa", 0, "gone.rs", None, 1, 2),
+        ("d", "boundary", "aa", 1, "a.rs", None, 1, 2), ("d", "boundary", "none", 0, "a.rs", None, 5, 2), ("d", "control", "c1", 0, "a.rs", None, 1, 2), ("d", "control", "c2", 0, None, None, None, None),
+        ("d", "control", "c3", 0, "gone.rs", None, 1, 2), ("d", "focus", "a.rs", 0, "a.rs", None, None, None), ("d", "focus", "gone.rs", 0, "gone.rs", None, None, None),
+        ("e", "focus", "a.rs", 0, "a.rs", None, None, None), ("e", "focus", "b.rs", 0, "b.rs", None, None, None),
+    ]
+    between = spark.createDataFrame([("d", "ab", "A"), ("d", "ab", "B"), ("d", "aa", "A"), ("d", "none", "A")], "doc_id string, name string, component string")
+    threats = spark.createDataFrame([("e", "a.rs", "t1", True), ("e", "a.rs", "t2", False), ("d", "a.rs", "t1", True)], "doc_id string, focus string, threat_id string, known boolean")
+    files = spark.createDataFrame([("a.rs", 10), ("b.rs", None)], "path string, lines int")
+    kept, focus = K.validate_threats(spark.createDataFrame(rows, schema), between, threats, files, spark.createDataFrame([], "id string"))
+    got = {(r.doc_id, r.kind, r.name, r.evidence_no): (r.reason, r.verified) for r in kept.collect()}
+    assert {k[1:3] for k, (r, _) in got.items() if r is None and k[0] == "d"} == {("component", "A"), ("boundary", "aa"), ("control", "c1"), ("control", "c2")}
+    assert "taken off" in got["d", "boundary", "aa", 0][0] and "'B' did not survive" in got["d", "boundary", "ab", 0][0] and "ends before" in got["d", "boundary", "none", 0][0]
+    assert [got["d", "control", c, 0][1] for c in ("c1", "c2", "c3")] == [True, False, False]
+    assert got["d", "focus", "a.rs", 0][0] == "the only focus path left" and got["e", "focus", "b.rs", 0][0] is None
+    assert [(r.doc_id, r.focus, r.threat_id) for r in focus.collect()] == [("e", "a.rs", "t1")]
 
 
 def test_dependency_documents(spark):
