@@ -1,4 +1,4 @@
-"""Links between texts whose sets of word shingles have a Jaccard similarity of at least 0.8; no such pair is missed.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of at least 0.8; no such pair is missed by the join.
 
 A part of the SimHash operator: fingerprints of 64 bits within a radius that keeps all such pairs can't be told from those of unlike
 texts, so ``simhash.near_duplicates`` adds these links to the ones that it finds by fingerprint.
@@ -8,7 +8,9 @@ them, so they share one within the first ``n - ceil(4 n / 5) + 1`` of the larger
 (prefix filter), with enough shingles behind it in both (position filter). Spark joins the sets by these shingles, and each pair that is
 left is checked with its whole sets. The order puts shingles last that are frequent in a sample of the texts; any order gives the same pairs.
 
-Only sets of different groups are compared. In a crowded bucket all sets are first checked against a few of them, and only pairs that these
+Before whole sets are compared, pairs go whose fingerprints differ in more than ``RADIUS`` of 64 bits: unlike texts differ in 32, give or
+take 4, and those of a similarity of 0.8 in 10, give or take 3. Sets of under ``FEW`` shingles, which vary more, all stay. Only sets of
+different groups are compared. In a crowded bucket all sets are first checked against a few of them, and only pairs that these
 links do not join already are listed, so that a large group of near copies does not list all of its pairs.
 """
 
@@ -29,6 +31,7 @@ PIECE = 1 << 16
 #: Texts in the sample that the order of shingles comes from, and how many frequent shingles the order knows.
 SAMPLE, FREQUENT = 20_000, 200_000
 PIVOTS = 4
+RADIUS, FEW = 24, 20
 #: Set keys that a task remembers to write a prefix once; beyond it, equal sets are written again, which changes no pair.
 MET = 1 << 18
 #: Words of the bit map in ``_screened``.
@@ -202,7 +205,8 @@ def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int],
 
 def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 64, cap: int = 2048) -> DataFrame:
     """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
-    known = cut(rows.select("sk", "fp").distinct().join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+    known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n")).join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"))
+    known = cut(known)
     equal = known.where("root != other").select(F.col("root").alias("a"), F.col("other").alias("b"))
     first = rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk"))
     # the place in a prefix and the size of the set as one number
@@ -215,14 +219,21 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     if hot.take(1):
         pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n", "comp")).alias("p"))
         near = hot.join(pivots, "key").where("comp != p.comp and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-        near = cut(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct())
+        near = cut(_alike(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct(), known))
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
         shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    rest = _between(_verified(cut(_candidates(shared, cap)), texts, first, size), known)
+    rest = _between(_verified(cut(_alike(_candidates(shared, cap), known)), texts, first, size), known)
     return union([x for x in (equal, joined, rest) if x is not None])
 
 
+def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set keys whose fingerprints don't rule them out."""
+    a, b = (known.select(F.col("sk").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    bits = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp")))
+    return pairs.join(a, "a").join(b, "b").where((bits <= RADIUS) | (F.least("a_n", "b_n") < FEW)).select("a", "b")
+
+
 def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of set keys as pairs of their groups."""
     a, b = (known.select(F.col("sk").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")

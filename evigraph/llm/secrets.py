@@ -1,8 +1,10 @@
 """Secret scan: all rules compiled into one minimised deterministic automaton that reads each byte once.
 
 The rules are parsed into a Thompson automaton over bytes, joined by an unanchored start, determinised by subset construction over
-byte classes and minimised by partition refinement. One pass over a text then tells which rules match anywhere in it. Only for those
-are the spans resolved, by the rule's own leftmost match; a rule that the pass didn't report can't have one.
+byte classes and minimised by partition refinement. One pass over a text tells where matches of each rule end. From the last place of
+each run of ends, the rule's reversed automaton goes back to the leftmost start behind the match before it, so spans are the rule's
+leftmost non-overlapping matches; every rule ends in a repetition of one class (or in fixed text), so all matches that overlap a run end
+with it. The expression itself only measures the group whose length counts, on the span alone.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ MORE = {
 }
 RULES = {**BASE, **MORE}
 CASELESS = {"assign"}
-#: Rules whose least length is part of the automaton; for the others, whose copies may overlap, the span check has it.
-COUNTED = {"assign", "hex"}
+#: Rules whose least length is part of the automaton, as shorter matches stand in no other's way; else the span check has it.
+COUNTED = {"hex"}
 
 
 def expression(kind: str) -> re.Pattern[bytes]:
@@ -191,30 +194,74 @@ def _minimised(table: list[list[int]], label: dict[int, tuple]) -> list[int]:
         part = new
 
 
-def kinds_in(text: bytes, tables: tuple) -> set[str]:
-    """Rules that match somewhere in ``text``, from one pass over its bytes."""
+@lru_cache(16)
+def reversed_automaton(kind: str) -> tuple[list, frozenset[int], int, dict]:
+    """Edges of the rule's automaton against their direction, its states before any byte, its accepting state, and steps met so far."""
+    nfa: list = []
+    start, end = Parser(least(kind), nfa, kind in CASELESS).parse()
+    back: list = [[] for _ in nfa]
+    for q, edges in enumerate(nfa):
+        for chars, t in edges:
+            back[t].append((chars, q))
+    return back, _closure(back, frozenset({end})), start, {}
+
+
+def begin(text: bytes, kind: str, end: int, least_begin: int) -> int | None:
+    """The leftmost start, not before ``least_begin``, of a match of the rule that ends at ``end``."""
+    back, states, start, steps = reversed_automaton(kind)
+    found = None
+    for i in range(end - 1, least_begin - 1, -1):
+        key = (states, text[i])
+        if key not in steps:
+            steps[key] = _closure(back, frozenset(t for q in states for chars, t in back[q] if chars and text[i] in chars))
+        states = steps[key]
+        if not states:
+            break
+        if start in states:
+            found = i
+    return found
+
+
+def ends(text: bytes, tables: tuple) -> dict[str, list[int]]:
+    """The ends of matches of each rule that a longer one doesn't follow at once, from one pass over the bytes."""
     table, accepting, kinds = tables
-    state, met = 0, set()
-    add = met.add
-    for byte in text:
+    state, met = 0, []
+    note = met.append
+    for i, byte in enumerate(text, 1):
         state = table[state + byte]
         if state >= accepting:
-            add(state)
-    return {k for s in met for k in kinds[s]}
+            note((i, state))
+    out: dict[str, list[int]] = {}
+    for i, s in met:
+        for kind in kinds[s]:
+            places = out.setdefault(kind, [])
+            if places and places[-1] == i - 1:
+                places[-1] = i
+            else:
+                places.append(i)
+    return out
 
 
 def spans(text: bytes, tables: tuple | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then in the order of the rules."""
-    met = kinds_in(text, tables or automaton())
+    met = ends(text, tables or automaton())
     if not met:
         return []
     out = []
     for k, kind in enumerate(RULES):
-        if kind in met:
-            _, group, n = RULES[kind]
-            out += [(m.start(), k, kind, m.end()) for m in expression(kind).finditer(text) if len(m[group]) >= n]
-    place = lambda i: i if text.isascii() else len(text[:i].decode("utf-8", "replace"))
-    return [(kind, place(a), place(b)) for a, _, kind, b in sorted(out)]
+        _, group, n = RULES[kind]
+        before = 0
+        for end in met.get(kind, ()):
+            start = begin(text, kind, end, before)
+            if start is not None:
+                before = end
+                if end - start >= n and len(expression(kind).fullmatch(text, start, end)[group]) >= n:
+                    out.append((start, k, kind, end))
+    if text.isascii():
+        return [(kind, a, b) for a, _, kind, b in sorted(out)]
+    # code points before each byte
+    place = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))).tolist()
+    return [(kind, place[a], place[b]) for a, _, kind, b in sorted(out)]
 
 
 def secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

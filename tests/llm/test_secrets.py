@@ -33,7 +33,7 @@ def test_automaton_misses_no_rule():
     rng = random.Random(2)
     for _ in range(300):
         text = "".join(rng.choice(PIECES) for _ in range(30))
-        assert {k for k, _, _ in plain(text)} <= S.kinds_in(text.encode(), TABLES)
+        assert {k for k, _, _ in plain(text)} <= set(S.ends(text.encode(), TABLES))
 
 
 def test_rows(spark):
@@ -44,3 +44,9 @@ def test_rows(spark):
     for i, t in enumerate(texts):
         assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in plain(t or ""))
     assert (got[2].n_assign, got[2].n_access, got[2].n_hex) == (1, 0, 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "secret", "=", ":", "ab", "abcdef", " ", "'", "AKIA", "A", "é", "."]), max_size=24).map("".join))
+def test_overlapping_matches(text):
+    assert S.spans(text.encode(), TABLES) == plain(text)
