@@ -139,14 +139,9 @@ def write(conversations: DataFrame, path: str) -> None:
                     shard, place, path_ = r["shard"], 0, []
                 line, begin, end = segment(r["role"], r["text"])
                 path_ = path_[: r["depth"]]
-                attends: list[list[int]] = []
-                for a, z in path_:
-                    if attends and attends[-1][1] == a:
-                        attends[-1][1] = z
-                    else:
-                        attends.append([a, z])
+                attends = path_[-1] if path_ else []
                 out.append((shard, r["seq"], r["node"], r["depth"], line, begin, end, r["position"], place, attends, r["ends"]))
-                path_.append((place, place + len(line)))
+                path_.append(_with(attends, place, place + len(line)))
                 place += len(line)
             if out:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.bool_())
@@ -169,15 +164,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for r in b.to_pylist():
                 open_ = open_[: r["depth"]]
-                n, places, whole, loss, chars, formatted = open_[-1] if open_ else (0, [], hashlib.sha256(), hashlib.sha256(), 0, 0)
-                if formatted != r["position"] or _merged(places) != r["attends"]:
+                n, attends, whole, loss, chars, formatted = open_[-1] if open_ else (0, [], hashlib.sha256(), hashlib.sha256(), 0, 0)
+                if formatted != r["position"] or attends != r["attends"]:
                     raise ValueError(f"segment {r['seq']} of shard {r['shard']} doesn't follow its ancestors")
                 whole, loss = whole.copy(), loss.copy()
                 role, text = parsed(r["line"])
                 whole.update(f"{role}\n{text}\n".encode())
                 masked = unescaped(r["line"][r["loss_from"] : r["loss_to"]])
                 loss.update(masked.encode())
-                here = (n + 1, [*places, (r["place"], r["place"] + len(r["line"]))], whole, loss, chars + len(masked), formatted + len(r["line"]))
+                here = (n + 1, _with(attends, r["place"], r["place"] + len(r["line"])), whole, loss, chars + len(masked), formatted + len(r["line"]))
                 open_.append(here)
                 if r["ends"]:
                     out.append((r["node"], here[0], whole.hexdigest(), here[4], loss.hexdigest(), here[5]))
@@ -189,18 +184,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/members").join(digests, "leaf").drop("leaf")
 
 
-def _merged(places: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, z in places:
-        if out and out[-1][1] == a:
-            out[-1][1] = z
-        else:
-            out.append([a, z])
-    return out
+def _with(attends: list[list[int]], begin: int, end: int) -> list[list[int]]:
+    """The intervals that a node's children attend to: its own ones and its place, joined where they meet."""
+    if attends and attends[-1][1] == begin:
+        return [*attends[:-1], [attends[-1][0], end]]
+    return [*attends, [begin, end]]
 
 
 def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes ``conversations`` (to a fresh folder below the shared one by default) and returns what ``read`` finds in the files."""
+    """Writes ``conversations`` (to a fresh folder below the shared one by default) and returns what ``read`` finds in the files.
+
+    Null roles and texts are empty, null turns come first, rows of equal turns are in order of role and text, repeated rows are turns of
+    their own; an empty table gives none, and columns beside conv_id, turn, role and text are ignored. A shard is a range of conversations:
+    first turns that conversations share are emitted once in each shard that has any of them.
+    """
     spark = conversations.sparkSession
     path = path or new_path(spark, "chat")
     write(conversations, path)
