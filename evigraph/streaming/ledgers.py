@@ -47,15 +47,21 @@ def stuck_stages(events: DataFrame, after: str = "30 minutes", lateness: str = "
     return grouped.applyInPandasWithState(run, "run_id string, stage string, started_ms long", "started long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Parts of a table by key, of which a batch reads those that its own keys fall into.
+BUCKETS = 256
+
+
 def _append_new(rows: DataFrame, batch: int, path: str, keys: list[str]) -> None:
-    """Appends rows whose keys the table lacks. A batch has a folder of its own, so a batch that runs again replaces what it wrote."""
+    """Appends rows whose keys the table lacks. A batch has folders of its own, so a batch that runs again replaces what it wrote."""
     spark = rows.sparkSession
-    new = rows.dropDuplicates(keys)
+    new = rows.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        known = spark.read.parquet(path)
-        new = new.join(known.where(F.col("batch") != batch).select(*keys), keys, "left_anti")
-    new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        # at most BUCKETS numbers
+        mine = [r.bucket for r in new.select("bucket").distinct().collect()]
+        known = spark.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch))
+        new = new.join(known.select(*keys), keys, "left_anti")
+    new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
 def remember_stream(verdicts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -86,16 +92,24 @@ def run_sessions(invocations: DataFrame, gap: str = "30 minutes", lateness: str
     return sums.select("run_id", F.col("s.start").alias("from_at"), F.col("s.end").alias("to_at"), "tokens", "n")
 
 
-def budget_alerts(invocations: DataFrame, cap: int) -> DataFrame:
-    """Append mode: one row for each run whose token total passes ``cap``, as it does."""
+def budget_alerts(invocations: DataFrame, cap: int, idle: str = "7 days", lateness: str = "10 minutes") -> DataFrame:
+    """Append mode: one row for each run whose token total passes ``cap``, as it does. A run without a call for ``idle`` of event time is
+    over: its state goes, and a later call starts anew."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, told = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, told, last = state.get if state.exists else (0, False, 0)
         for b in batches:
             total += int(b.tokens.sum())
+            last = max(last, int(b["at"].max().timestamp() * 1000))
         if total > cap and not told:
             told = True
             yield pd.DataFrame({"run_id": [key[0]], "tokens": [total]})
-        state.update((total, told))
+        state.update((total, told, last))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
 
-    return invocations.select("run_id", "tokens").groupBy("run_id").applyInPandasWithState(run, "run_id string, tokens long", "total long, told boolean", "append", GroupStateTimeout.NoTimeout)
+    timed = invocations.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness)
+    return timed.select("run_id", "tokens", "at").groupBy("run_id").applyInPandasWithState(run, "run_id string, tokens long", "total long, told boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
