@@ -7,7 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +51,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: list = []
+
+
+def kept_by_worker(make):
+    """A function whose results (models of a file) a worker keeps between tasks, until another operator makes room."""
+    cached = lru_cache(2)(make)
+    _kept.append(cached)
+    return cached
+
+
+def make_room() -> None:
+    """Called at the beginning of a task that needs nothing of what other operators keep."""
+    for cached in _kept:
+        cached.cache_clear()
+    give_back()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python in batches of some megabytes; its own bound is 64 MB, held several times over in each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+
+
 def give_back() -> None:
     """Returns free memory to the system at the end of a task, as workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

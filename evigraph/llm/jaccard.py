@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, slices, union, utf8, written
+from .common import components, cut, make_room, partitions, slices, union, utf8, written
 
 SEED = 42
 PIECE = 1 << 16
@@ -185,6 +185,7 @@ def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int],
     frequent, rank = _frequent(texts.select("tk", "text"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         met: set[int] = set()
         for b in slices(batches):
             fps, keys, counts, prefixes = [], [], [], []

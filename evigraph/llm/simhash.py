@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import components, cut, partitions, slices, utf8
+from .common import components, cut, partitions, slices, small_batches, utf8
 
 SEED = 42
 PIECE = 1 << 16
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other). Null and empty texts have no words and are one group. Empty tables give none, repeated rows one result each, and other
     columns of ``docs`` are ignored.
     """
+    small_batches(docs.sparkSession)
     if similar:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
         fps = jaccard.signatures(texts, shingle, fingerprint)

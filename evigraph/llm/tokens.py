@@ -17,7 +17,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, slices, utf8
+from .common import kept_by_worker, new_path, partitions, slices, small_batches, utf8
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCALE_BITS = 20
@@ -153,7 +152,7 @@ class Segments:
         return Segments(self.ids[at], starts, np.diff(np.append(starts, len(at))))
 
 
-@lru_cache(2)
+@kept_by_worker
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -250,6 +249,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     An empty table gives empty folders.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # ranges by the id and the beginning of the text, which sorts like the text: their bounds are sampled to the driver
     ordered = rows.repartitionByRange(partitions(spark), "id", F.substring("text", 1, 16)).sortWithinPartitions("id", "text")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, widened
+from .common import give_back, make_room, slices, small_batches, widened
 from .decontaminate import FOLD, words
 
 THRESHOLD = 0.3
@@ -218,6 +218,7 @@ def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     (under 4.5 million) returns. The words themselves stay in a distributed table."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for b in slices(batches, limit=SLICE):
             each = pieces(pc.fill_null(b.column("text").cast(pa.binary()), b"")).values.unique()
             yield pa.RecordBatch.from_arrays([each], names=["word"])
@@ -235,6 +236,7 @@ def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         first, second, third = some // size**2, some // size % size, some % size
         triple = (ALPHABET[first] << 16) | (ALPHABET[second] << 8) | ALPHABET[third]
         yield pa.RecordBatch.from_arrays([pa.array(triple), pa.array(counts[some])], names=["triple", "n"])
+        give_back()
 
     words_ = texts.mapInArrow(split, "word binary").where("word != X''").distinct()
     rows = words_.mapInArrow(count, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
@@ -274,11 +276,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", thre
     """
     kept = docs.drop("score", "predicted")
     spark, names, key = docs.sparkSession, kept.columns, "_text"
+    small_batches(spark)
     while key in names:
         key += "_"
     model = spark.sparkContext.broadcast(train(docs.select("doc_id", F.col(text_col).alias("text")), labels, sample_rows=sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         m = model.value
         for b in slices(batches, key, SLICE):
             score = m.scores(pc.fill_null(b.column(key).cast(pa.binary()), b""))
