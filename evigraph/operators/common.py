@@ -32,6 +32,27 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None) -> DataFrame:
+    """``df`` with each row's number within its group, from 1, and the group's ``size`` if named; in two passes, whatever a group's size.
+
+    Rows are dealt in ranges of (``by``, ``order``) and keep their places in a range; a table with a row for each range and group in it
+    says how many rows of the group lie in earlier ranges. ``order`` must fix the order of rows that differ; nulls are a group.
+    """
+    keys = [*(F.col(c).asc_nulls_first() for c in by), *order]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the row number of Spark's id is its lower 33 bits
+    laid = cut(df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    counts = laid.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    above = F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_range", (above + 1 - F.col("_first")).alias("_shift"), F.sum("_n").over(group).alias("_size")).alias("c")
+    if not by:
+        counts = F.broadcast(counts)  # a row for each range
+    same = [F.col("d._range") == F.col("c._range"), *(F.col(f"d.`{c}`").eqNullSafe(F.col(f"c.`{c}`")) for c in by)]
+    new = [(F.col("_at") + F.col("_shift")).alias(rank), *([F.col("_size").alias(size)] if size else [])]
+    return laid.alias("d").join(counts, same).select(*(F.col(f"d.`{c}`") for c in df.columns if c not in (rank, size)), *new)
+
+
 def ancestors(path: Column) -> Column:
     """All directories above a path, the empty one first."""
     parts = F.split(path, "/")
