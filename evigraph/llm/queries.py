@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, neighbours, pages, repeats, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, manifest, mixing, neighbours, pages, periods, repeats, secrets, simhash, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,28 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+#: Fixed values of the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_suffix_array_dedup, op3_token_binary_output, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_toxicity,
-        op8_benchmark_decontamination, op9_secret_scan, op10_nearest_neighbours,
+        op8_benchmark_decontamination, op9_secret_scan, op10_nearest_neighbours, op11_merkle_manifest, op12_url_filter, op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {}
