@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +70,36 @@ def owner_by_prefix(paths: DataFrame, owners: DataFrame, by: list[str], *, path:
     return paths.join(best, [*by, path], "left").select(*paths.columns, *(F.col("_owner")[c].alias(c) for c in rest))
 
 
-def interval_join(left: DataFrame, right: DataFrame, by: list[str], *, tolerance: int = 0, how: str = "inner", width: int = 64) -> DataFrame:
+#: Bits of the narrowest bins of spans.
+NARROW = 6
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], *, tolerance: int = 0, how: str = "inner") -> DataFrame:
     """Rows of equal keys whose closed spans overlap within ``tolerance``: left (l_start, l_end) and right (r_start, r_end).
 
-    Spans are cut into buckets of ``width`` lines, so a hot path with many lines spreads over many tasks; a pair is kept in the bucket
-    where its overlap begins, once. Spans without a start never match. how: inner, left_semi or left.
+    A span's level is the power of two that its length stays below, so it lies in one or two bins of its level, or of a higher one. It
+    stands in bins of its own level and of those higher levels that the other side has, and a pair meets at the higher level of the two,
+    in the bin where its overlap begins, once. So a span costs a few rows whatever its length, and a hot path with many lines spreads
+    over many tasks. Spans without a start never match; one without an end is a line. how: inner, left_semi or left.
     """
-    low, high = F.col("l_start") - tolerance, F.coalesce("l_end", "l_start") + tolerance
-    spread = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.greatest(F.floor(a / width), F.floor(b / width))))
-    numbered = left.withColumn("_row", F.monotonically_increasing_id()) if how != "inner" else left
-    numbered = cut(numbered) if how != "inner" else numbered
-    probe = numbered.where("l_start is not null").withColumn("_low", low).withColumn("_high", high).withColumn("_bucket", spread(F.col("_low"), F.col("_high")))
-    build = right.where("r_start is not null").withColumn("_end", F.coalesce("r_end", "r_start")).withColumn("_bucket", spread(F.col("r_start"), F.col("_end")))
-    pairs = probe.join(build, [*by, "_bucket"]).where((F.col("_low") <= F.col("_end")) & (F.col("r_start") <= F.col("_high")))
-    pairs = pairs.where(F.floor(F.greatest("_low", "r_start") / width) == F.col("_bucket")).drop("_bucket", "_low", "_high", "_end")
+    numbered = cut(left.withColumn("_row", F.monotonically_increasing_id())) if how != "inner" else left
+
+    def level(low: str, high: str) -> Column:
+        return F.greatest(F.lit(NARROW), F.length(F.bin(F.greatest(F.col(high) - F.col(low), F.lit(0)))))
+
+    probe = numbered.where("l_start is not null").withColumns({"_low": (F.col("l_start") - tolerance).cast("long"), "_high": (F.coalesce("l_end", "l_start") + tolerance).cast("long")}).withColumn("_l", level("_low", "_high"))
+    build = right.where("r_start is not null").withColumns({"_first": F.col("r_start").cast("long"), "_end": F.coalesce("r_end", "r_start").cast("long")}).withColumn("_r", level("_first", "_end"))
+
+    def binned(side: DataFrame, other: DataFrame, own: str, its: str, low: str, high: str) -> DataFrame:
+        levels = other.agg(F.collect_set(its).alias("_levels"))  # one row, of 64 numbers at most
+        mine = F.concat(F.when(F.exists("_levels", lambda x: x <= F.col(own)), F.array(own)).otherwise(F.array().cast("array<int>")), F.filter("_levels", lambda x: x > F.col(own)))
+        side = side.join(F.broadcast(levels)).withColumn("_level", F.explode(mine)).drop("_levels")
+        bins = F.expr(f"sequence(shiftright({low}, _level), shiftright(greatest({low}, {high}), _level))")
+        return side.withColumn("_bin", F.explode(bins))
+
+    pairs = binned(probe, build, "_l", "_r", "_low", "_high").join(binned(build, probe, "_r", "_l", "_first", "_end"), [*by, "_level", "_bin"])
+    pairs = pairs.where((F.col("_low") <= F.col("_end")) & (F.col("_first") <= F.col("_high")) & (F.greatest("_l", "_r") == F.col("_level")))
+    pairs = pairs.where(F.expr("shiftright(greatest(_low, _first), _level) = _bin")).drop("_bin", "_level", "_l", "_r", "_low", "_high", "_first", "_end")
     if how == "inner":
         return pairs
     if how == "left_semi":
@@ -89,6 +108,42 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], *, tolerance
     return numbered.join(pairs.select("_row", *new), "_row", "left").drop("_row")
 
 
+def dominant_pairs(edges: DataFrame, by: list[str], rounds: int = 6) -> DataFrame:
+    """The ``edges`` (``by``, old, new, weight and others; distinct in the first three) that a greedy choice takes, heaviest first, ties by
+    old and new, each end once.
+
+    In a round, every edge that comes first at both its ends is taken, and both ends go: no edge before it in the greedy order could
+    have taken either. What a few rounds leave are long chains of ties, in which a round takes little; their edges are dealt out by
+    ``by``, sorted, and folded as they stream by, with no more in memory than the ends taken in the present group.
+    """
+    left, done = cut(edges), []
+    names = left.columns
+    at = [names.index(c) for c in (*by, "old", "new")]
+    for _ in range(rounds):
+        if not left.take(1):
+            break
+        first = [left.groupBy(*by, x).agg(F.min(F.struct(-F.col("weight"), F.col(y).alias("other")))["other"].alias(f"best_{x}")) for x, y in (("old", "new"), ("new", "old"))]
+        taken = left.join(first[0], [*by, "old"]).where("best_old = new").join(first[1], [*by, "new"]).where("best_new = old")
+        done.append(taken := cut(taken.select(*names)))
+        left = cut(left.join(taken.select(*by, "old"), [*by, "old"], "left_anti").join(taken.select(*by, "new"), [*by, "new"], "left_anti").select(*names))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = None, (set(), set())
+        for b in batches:
+            keep, rows = [], zip(*(b.column(i).to_pylist() for i in at))
+            for i, (*key, old, new) in enumerate(rows):
+                if key != group:
+                    group, used = key, (set(), set())
+                if old not in used[0] and new not in used[1]:
+                    used[0].add(old)
+                    used[1].add(new)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    done.append(left.repartition(*by).sortWithinPartitions(*by, F.desc("weight"), "old", "new").mapInArrow(fold, left.schema))
+    return reduce(DataFrame.unionByName, done)
+
+
 def components(edges: DataFrame, nodes: DataFrame, by: list[str], rounds: int = 200) -> DataFrame:
     """(by, node, component): connected components of undirected edges (source, target), named by their smallest node."""
     both = cut(edges.select(*by, "source", "target").union(edges.select(*by, F.col("target"), F.col("source"))).distinct())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import G, ancestors
@@ -11,11 +11,15 @@ RULE_KINDS = ("imports", "calls", "depends-on")
 
 
 def layer_of(files: DataFrame, rule: DataFrame) -> DataFrame:
-    """(path, layer, rank): the first segment below the rule's root if it is a layer. rule: decision, root, layer, rank."""
-    below = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+    """(path, layer, rank): the first segment below the rule's root, without ``.rs``, if it is a layer. rule: decision, root, layer, rank.
+
+    A root owns what is below it, so an empty one owns paths that begin with a slash.
+    """
+    rule = rule.withColumn("root", F.rtrim("root", F.lit("/")))
     # the roots that a path can have are the directories above it
-    above = files.select(*G, "path", F.explode(ancestors(F.col("path"))).alias("root"))
-    named = above.join(rule.select("decision", "root").distinct(), "root").withColumn("layer", F.regexp_replace(F.split(below, "/")[0], r"\.(rs|t)$", ""))
+    above = files.select(*G, "path", F.explode(ancestors(F.col("path"))).alias("root")).where(F.col("path").startswith(F.concat("root", F.lit("/"))))
+    first = F.split(F.expr("substring(path, length(root) + 2)"), "/")[0]
+    named = above.join(rule.select("decision", "root").distinct(), "root").withColumn("layer", F.regexp_replace(first, r"\.rs$", ""))
     return named.join(rule, ["decision", "root", "layer"]).select(*G, "decision", "path", "layer", "rank")
 
 
@@ -48,10 +52,22 @@ def audit_report(outcomes: DataFrame, paths: DataFrame) -> tuple[DataFrame, Data
     return rows, n.withColumn("note", note)
 
 
+def layer_names(id_: Column) -> Column:
+    """What may be a layer in an id: each text between a space and a later slash, and each text behind a slash up to the end."""
+    pieces = lambda text, sep, low, high, first: F.when(high >= low, F.transform(F.sequence(low, high), lambda i: F.array_join(F.slice(F.split(text, sep), F.lit(1) if first else i, i if first else F.size(F.split(text, sep))), sep))).otherwise(F.array().cast("array<string>"))
+    count = lambda text, sep: F.size(F.split(text, sep))
+    ends = pieces(id_, "/", F.lit(2), count(id_, "/"), False)
+    tails = pieces(id_, " ", F.lit(2), count(id_, " "), False)
+    inner = F.flatten(F.transform(tails, lambda t: pieces(t, "/", F.lit(1), count(t, "/") - 1, True)))
+    return F.array_distinct(F.concat(inner, ends))
+
+
 def target_layer(edges: DataFrame, nodes: DataFrame, layers: DataFrame, rule: DataFrame) -> DataFrame:
-    """(decision, source, target, layer): the layer of a target's path, else the first layer named inside its id."""
+    """(decision, source, target, layer): the layer of a target's path, else the first layer of the rule that stands in its id between a
+    space and a slash, or behind a slash at the end."""
     place = nodes.select(*G, F.col("id").alias("target"), "path")
     by_path = edges.join(place, [*G, "target"]).join(layers.select(*G, "decision", "path", "layer"), [*G, "path"]).select(*G, "decision", "source", "target", "layer")
-    words = edges.select(*G, "source", "target", F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(r"([A-Za-z0-9_]+)")))).alias("layer"))
-    named = words.join(rule.select("decision", "layer", "rank"), "layer").groupBy(*G, "decision", "source", "target").agg(F.min_by("layer", "rank").alias("layer"))
+    targets = edges.select(*G, "target").distinct().withColumn("layer", F.explode(layer_names(F.col("target"))))
+    named = targets.join(rule.select("decision", "layer", "rank").distinct(), "layer").groupBy(*G, "decision", "target").agg(F.min_by("layer", "rank").alias("layer"))
+    named = edges.select(*G, "source", "target").distinct().join(named, [*G, "target"]).select(*G, "decision", "source", "target", "layer")
     return by_path.unionByName(named.join(by_path, [*G, "decision", "source", "target"], "left_anti"))

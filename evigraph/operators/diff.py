@@ -9,11 +9,12 @@ import difflib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.identity import is_normalized, stable_key, version_of
-from .common import interval_join
+from .common import cut, dominant_pairs, interval_join
 
 R = "repository_id"
 RENAME_FLOOR, SPAN_FLOOR = 0.6, 0.75
@@ -67,33 +68,60 @@ def version_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     return b.drop("label").join(h, [R, "key"]).where("before != after").select(R, F.col("label").alias("name"), "before", "after")
 
 
-def rename_guesses(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """One-to-one guesses (old, new, confidence) within blocks of equal kind and path.
+def similar_labels(removed: DataFrame, added: DataFrame, by: list[str], floor: float) -> DataFrame:
+    """Pairs of equal ``by`` whose labels may have a similarity of ``floor`` or more: removed as ``a``, added as ``b``.
 
-    Overlapping spans give at least 0.75, else the labels' similarity must reach 0.6; better ones go first, ties by key. A block is the
-    removed and added symbols of one kind in one file.
+    Similarity is twice the matching characters by all characters. So labels of m and n characters share at least (m + n) * floor / 2,
+    each counted as often as both have it, and one of them has no less than floor / (2 - floor) times the other's length. Of a label's
+    characters, numbered among their equals and ordered by that number downwards, at least one of the first few is then shared: a join
+    on these, in which a pair is kept at the first that it shares, finds every such pair once, without listing all pairs.
     """
+    share = floor / (2 - floor)
+    size = F.length("label")
+
+    def cut_labels(side: DataFrame, name: str) -> DataFrame:
+        chars = F.array_sort(F.split("label", ""))
+        tokens = F.array_sort(F.transform(chars, lambda c, i: F.struct((F.array_position(chars, c) - 1 - i).alias("nth"), c.alias("c"))))
+        first = F.when(size == 0, F.array(F.struct(F.lit(0).cast("long").alias("nth"), F.lit("").alias("c")))).otherwise(F.slice(tokens, 1, size - F.ceil(size * share - 1e-9).cast("int") + 1))
+        cut_side = side.withColumn("label", F.coalesce("label", F.lit(""))).withColumns({"first": first})
+        return cut_side.select(*by, F.struct(*(c for c in cut_side.columns if c not in by), size.alias("size")).alias(name), F.explode("first").alias("token"))
+
+    pairs = cut_labels(removed, "a").join(cut_labels(added, "b"), [*by, "token"])
+    pairs = pairs.where(2 * F.least("a.size", "b.size") >= floor * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    return pairs.where(F.array_min(F.array_intersect("a.first", "b.first")) == F.col("token")).drop("token")
+
 
-    def guess(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for x in a.itertuples():
-            for y in b.itertuples():
-                same = difflib.SequenceMatcher(None, x.label, y.label).ratio()
-                ends = [v.end_line if pd.notna(v.end_line) else v.start_line for v in (x, y)]
-                if pd.notna(x.start_line) and pd.notna(y.start_line) and x.start_line <= ends[1] and y.start_line <= ends[0]:
-                    found.append((max(same, SPAN_FLOOR), x.key, y.key))
-                elif same >= RENAME_FLOOR:
-                    found.append((same, x.key, y.key))
-        used, out = set(), []
-        for c, x, y in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if ("a", x) not in used and ("b", y) not in used:
-                used |= {("a", x), ("b", y)}
-                out.append((key[0], x, y, round(c, 3)))
-        return pd.DataFrame(out, columns=[R, "old", "new", "confidence"])
-
-    block, columns = [R, "kind", "path"], ["key", "label", "start_line", "end_line"]
-    sides = [s.where("path is not null").select(*block, *columns).groupBy(*block) for s in (removed, added)]
-    return sides[0].cogroup(sides[1]).applyInPandas(guess, f"{R} string, old string, new string, confidence double")
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    """How similar labels are; below ``floor`` only that they are below it."""
+
+    def ratio(x: str, y: str, least: float) -> float:
+        m = difflib.SequenceMatcher(None, x, y)
+        # the quick figures are upper bounds
+        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+    return pd.Series([ratio(x, y, least) for x, y, least in zip(a, b, floor)], dtype="float64")
+
+
+def rename_guesses(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """One-to-one guesses (repository_id, old, new, confidence, basis) among removed and added symbols of one kind in one file.
+
+    Overlapping spans give at least 0.75, else the labels' similarity must reach 0.6; better ones go first, ties by key. A null label is
+    an empty one; symbols without a path take no part; a span without a start overlaps nothing.
+    """
+    block = [R, "kind", "path"]
+    sides = [cut(s.where("path is not null").select(*block, "key", F.coalesce("label", F.lit("")).alias("label"), "start_line", "end_line")) for s in (removed, added)]
+    spans = [s.select(*block, F.struct("key", "label").alias(n), F.col("start_line").alias(f"{x}_start"), F.col("end_line").alias(f"{x}_end")) for s, n, x in zip(sides, "ab", "lr")]
+    near = interval_join(spans[0], spans[1], block).select(*block, "a", "b", F.lit(True).alias("overlap"))
+    end = lambda x: F.coalesce(f"{x}.end_line", f"{x}.start_line")
+    apart = ~F.coalesce((F.col("a.start_line") <= end("b")) & (F.col("b.start_line") <= end("a")), F.lit(False))
+    alike = similar_labels(*sides, block, RENAME_FLOOR).where(apart)
+    alike = alike.select(*block, *(F.struct(f"{n}.key", f"{n}.label").alias(n) for n in "ab"), F.lit(False).alias("overlap"))
+    pairs = near.unionByName(alike).withColumn("same", similarity(F.col("a.label"), F.col("b.label"), F.when(F.col("overlap"), 0.0).otherwise(RENAME_FLOOR)))
+    pairs = pairs.where(F.col("overlap") | (F.col("same") >= RENAME_FLOOR))
+    pairs = pairs.select(*block, F.col("a.key").alias("old"), F.col("b.key").alias("new"), F.when(F.col("overlap"), F.greatest("same", F.lit(SPAN_FLOOR))).otherwise(F.col("same")).alias("weight"), "same", "overlap")
+    basis = F.concat(F.when(F.col("overlap"), "same file and overlapping source range; name similarity ").otherwise("same file; name similarity "), F.format_string("%.2f", "same"))
+    return dominant_pairs(pairs, block).select(R, "old", "new", F.round("weight", 3).alias("confidence"), basis.alias("basis"))
 
 
 def unnormalized_count(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -192,12 +220,17 @@ def breaking(bumps: DataFrame) -> DataFrame:
 
 
 def item_symbol(item: Column) -> Column:
-    """The name in an item: the last word before its parameters."""
-    return F.element_at(F.split(F.trim(F.split(item, r"\(")[0]), r"\s+|::"), -1)
+    """The name in an item: the last word before its parameters, with its path; null for a blank item."""
+    words = F.filter(F.split(F.split(item, r"\(")[0], r"\s+"), lambda w: w != "")
+    return F.try_element_at(words, F.lit(-1))
+
+
+# Fixed value: an exported item and its dotted path.
+API_ITEM = r"^pub (?:\w+ )*?([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z0-9_]+)+)"
 
 
 def exported_paths(items: DataFrame) -> DataFrame:
-    return items.select(R, F.replace(F.regexp_extract("item", r"([A-Za-z_]\w*(?:::\w+)+)", 1), F.lit("::"), F.lit("/")).alias("path")).where("path != ''").distinct()
+    return items.select(R, F.replace(F.regexp_extract("item", API_ITEM, 1), F.lit("::"), F.lit("/")).alias("path")).where("path != ''").distinct()
 
 
 def items_for_definitions(delta: DataFrame, nodes: DataFrame) -> DataFrame:

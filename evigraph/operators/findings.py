@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_sha
-from .common import interval_join
+from .common import dominant_pairs, interval_join, ranked
 from .graph_build import enclosing
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -44,8 +43,9 @@ def spans(rows: DataFrame, side: str) -> DataFrame:
 
 
 def renumber(findings: DataFrame) -> DataFrame:
-    order = Window.partitionBy("run_id").orderBy("skill", "path", F.coalesce("start_line", F.lit(0)), "claim", "finding_id")
-    return findings.withColumn("new_id", F.format_string("F-%04d", F.row_number().over(order)))
+    """``new_id``: F-0001 and so on within a run, by skill, path, start and claim; numbered over ranges of rows."""
+    order = [F.asc("skill"), F.asc("path"), F.coalesce("start_line", F.lit(0)).asc(), F.asc("claim"), F.asc("finding_id")]
+    return ranked(findings, ["run_id"], order, "_n").withColumn("new_id", F.format_string("F-%04d", "_n")).drop("_n")
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
@@ -180,21 +180,17 @@ def funnel(candidates: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def score(findings: DataFrame, key_lines: DataFrame, tolerance: int = SCORING) -> DataFrame:
-    """(key_id, role, finding_id): expected items, then decoys, in order claim the first free finding within ``tolerance`` lines of their
-    line. Claims never cross a path, so they are folded per run and path. key_lines: key_id, role, path, line."""
+    """(run_id, key_id, role, finding_id): expected items, then decoys, in order claim the first free finding within ``tolerance`` lines of
+    their line. Claims never cross a path. key_lines: key_id, role, path, line.
+
+    In a round, an item and a finding that come first for each other among what is free go together, which is what the order gives.
+    """
     keys = key_lines.select("key_id", "role", "path", F.col("line").alias("r_start"), F.col("line").alias("r_end"))
     pairs = interval_join(spans(findings.select("run_id", "finding_id", "path", "start_line", "end_line"), "l"), keys, ["path"], tolerance=tolerance)
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        used, taken, out = set(), set(), []
-        for r in rows.assign(_o=(rows.role != "expected").astype(int)).sort_values(["_o", "key_id", "finding_id"]).itertuples():
-            if r.finding_id not in used and r.key_id not in taken:
-                used.add(r.finding_id)
-                taken.add(r.key_id)
-                out.append((r.run_id, r.key_id, r.role, r.finding_id))
-        return pd.DataFrame(out, columns=["run_id", "key_id", "role", "finding_id"])
-
-    return pairs.select("run_id", "path", "key_id", "role", "finding_id").groupBy("run_id", "path").applyInPandas(claim, "run_id string, key_id string, role string, finding_id string")
+    turn = F.struct(F.when(F.col("role") == "expected", 0.0).otherwise(1.0).alias("o"), "role")
+    claims = pairs.groupBy("run_id", "path", F.col("key_id").alias("old"), F.col("finding_id").alias("new")).agg(F.min(turn).alias("t"))
+    claims = claims.select("run_id", "path", "old", "new", (-F.col("t.o")).alias("weight"), "t.role")
+    return dominant_pairs(claims, ["run_id", "path"]).select("run_id", F.col("old").alias("key_id"), "role", F.col("new").alias("finding_id"))
 
 
 def score_metrics(claims: DataFrame, findings: DataFrame, key_lines: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ kind. deps: repository_id, revision, src, dst (module paths).
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def package_summary(modules: DataFrame, owners: DataFrame) -> DataFrame:
     return modules.join(owners, [*G, "path"]).where("package is not null").groupBy(*G, "package").agg(F.count("*").alias("files"), F.sum("symbols").alias("symbols"))
 
 
-def _on_paths(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def path_edges(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Edges of the kinds between different modules, with their paths src and dst."""
     place = nodes.where("path is not null").select(*G, "id", "path")
     edges = without_anchors(nodes, edges.where(F.col("kind").isin(*kinds)))
     edges = edges.join(place.withColumnsRenamed({"id": "source", "path": "src"}), [*G, "source"]).join(place.withColumnsRenamed({"id": "target", "path": "dst"}), [*G, "target"])
@@ -55,12 +58,12 @@ def _on_paths(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> Dat
 
 
 def module_deps(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = MODULE_KINDS) -> DataFrame:
-    return _on_paths(nodes, edges, kinds).select(*G, "src", "dst").distinct()
+    return path_edges(nodes, edges, kinds).select(*G, "src", "dst").distinct()
 
 
 def weighted_deps(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = MODULE_KINDS) -> DataFrame:
     """Module pairs and the number of symbol edges behind each."""
-    return _on_paths(nodes, edges, kinds).groupBy(*G, "src", "dst").agg(F.count("*").alias("weight"))
+    return path_edges(nodes, edges, kinds).groupBy(*G, "src", "dst").agg(F.count("*").alias("weight"))
 
 
 def fan_counts(deps: DataFrame, modules: DataFrame) -> DataFrame:
@@ -70,8 +73,88 @@ def fan_counts(deps: DataFrame, modules: DataFrame) -> DataFrame:
     return both.select(*G, "path", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def scc(deps: DataFrame, modules: DataFrame, rounds: int = 500) -> DataFrame:
-    """(path, component): strongly connected components, named by their smallest member.
+#: Rows (modules and dependencies) of a snapshot that one task works on as a whole.
+AT_ONCE = 500_000
+
+
+def strong_components(n: int, out: list[list[int]]) -> tuple[list[int], list[int]]:
+    """The component of each of ``n`` nodes, and its level: 0 without arcs to other components, else one more than the highest there.
+
+    A depth-first search finds a component after all that it depends on, so its level is known as soon as it is complete.
+    """
+    low, order, comp, level, stack, met = [0] * n, [-1] * n, [-1] * n, [], [], 0
+    for root in range(n):
+        work = [(root, 0)] if order[root] < 0 else []
+        while work:
+            v, k = work.pop()
+            if k == 0:
+                order[v] = low[v] = met
+                met += 1
+                stack.append(v)
+            elif comp[out[v][k - 1]] < 0:
+                low[v] = min(low[v], low[out[v][k - 1]])
+            while k < len(out[v]) and order[out[v][k]] >= 0:
+                if comp[out[v][k]] < 0:
+                    low[v] = min(low[v], order[out[v][k]])
+                k += 1
+            if k < len(out[v]):
+                work += ((v, k + 1), (out[v][k], 0))
+            elif low[v] == order[v]:
+                c, members = len(level), []
+                while comp[v] < 0:
+                    members.append(stack.pop())
+                    comp[members[-1]] = c
+                level.append(max((level[comp[w]] + 1 for m in members for w in out[m] if comp[w] != c), default=0))
+    return comp, [level[c] for c in comp]
+
+
+def _layered(rows: pa.Table) -> pa.Table:
+    """Components and levels of one snapshot: rows with dst are dependencies, others modules."""
+    names = pc.unique(pa.chunked_array([*rows["src"].chunks, *rows["dst"].drop_null().chunks]))
+    names = names.take(pc.sort_indices(names))  # so that the smallest number is the smallest name
+    src, dst = (pc.index_in(rows[c].combine_chunks(), value_set=names).to_pylist() for c in ("src", "dst"))
+    out: list[list[int]] = [[] for _ in range(len(names))]
+    for a, b in zip(src, dst):
+        if b is not None:
+            out[a].append(b)
+    comp, level = strong_components(len(names), out)
+    least: dict[int, int] = {}
+    for i, c in enumerate(comp):
+        least.setdefault(c, i)
+    known = [i for i, b in zip(src, dst) if b is None]
+    keys = [pa.array([rows[g][0].as_py()] * len(known), rows.schema.field(g).type) for g in G]
+    take = lambda at: names.take(pa.array(at, pa.int64())).cast(pa.string())
+    return pa.table([*keys, take(known), take([least[comp[i]] for i in known]), pa.array([level[i] for i in known], pa.int32())], names=[*G, "path", "component", "level"])
+
+
+def layered(deps: DataFrame, modules: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(path, component, level) of all modules: strongly connected components, named by their smallest member, and their levels: 0 without
+    dependencies, else one more than the highest level depended on.
+
+    A snapshot of at most ``at_once`` modules and dependencies is searched by one task, in one pass, whatever its depth. Larger ones
+    are worked on by all tasks, in rounds (``scc_in_rounds``, ``levels_in_rounds``), so no snapshot is too large for a task. Both ends
+    of a dependency are modules.
+    """
+    edges = deps.where("src != dst").select(*G, "src", "dst").distinct()
+    rows = cut(edges.unionByName(modules.select(*G, F.col("path").alias("src"), F.lit(None).cast("string").alias("dst")).distinct()))
+    # counted before anything is gathered
+    n = rows.groupBy(*G).agg((F.count("*") > at_once).alias("large"))
+    small, large = (n.where(x).select(*G) for x in (~F.col("large"), F.col("large")))
+    done = rows.join(small, list(G)).groupBy(*G).applyInArrow(_layered, "repository_id string, revision string, path string, component string, level int")
+    if not large.take(1):
+        return done
+    rows = cut(rows.join(large, list(G), "left_semi"))
+    edges, nodes = rows.where("dst is not null"), rows.where("dst is null").select(*G, F.col("src").alias("path"))
+    return done.unionByName(levels_in_rounds(edges, scc_in_rounds(edges, nodes)))
+
+
+def scc(deps: DataFrame, modules: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(path, component): strongly connected components, named by their smallest member; see ``layered``."""
+    return layered(deps, modules, at_once).drop("level")
+
+
+def scc_in_rounds(deps: DataFrame, modules: DataFrame, rounds: int = 500) -> DataFrame:
+    """(path, component) of snapshots of any size.
 
     Nodes without open edges on one side are peeled off; the smallest id is then propagated along the edges, and from each node that
     kept its own id its component is what reaches it backwards within its colour. All snapshots run in the same rounds.
@@ -129,21 +212,60 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
             return colour.drop("changed")
 
 
-def levelize(deps: DataFrame, comps: DataFrame, rounds: int = 10000) -> DataFrame:
-    """(path, component, level): 0 without dependencies, else one more than the highest level depended on, over components.
+def levelize(deps: DataFrame, comps: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(path, component, level) over known components: 0 without dependencies, else one more than the highest level depended on."""
+    a, b = (comps.select(*G, F.col("path").alias(end), F.col("component").alias(c)) for end, c in (("src", "a"), ("dst", "b")))
+    arcs = deps.join(a, [*G, "src"]).join(b, [*G, "dst"]).where("a != b").select(*G, F.col("a").alias("src"), F.col("b").alias("dst"))
+    level = layered(arcs, comps.select(*G, F.col("component").alias("path")), at_once).select(*G, F.col("path").alias("component"), "level")
+    return comps.join(level, [*G, "component"]).select(*G, "path", "component", "level")
+
+
+def levels_in_rounds(deps: DataFrame, comps: DataFrame, rounds: int = 10000) -> DataFrame:
+    """(path, component, level) of snapshots of any size.
 
-    A round follows the arcs into components whose level has just risen, no others.
+    A component with one arc only is one level above its end, so chains of such are first led to where they end, by pointers that double
+    their steps; a round then follows the arcs, longer by what they lead over, into components whose level has just risen, no others.
     """
     a, b = (comps.select(*G, F.col("path").alias(end), F.col("component").alias(c)) for end, c in (("src", "a"), ("dst", "b")))
-    arcs = cut(deps.join(a, [*G, "src"]).join(b, [*G, "dst"]).where("a != b").select(*G, "a", "b").distinct())
-    level = cut(comps.select(*G, "component").distinct().withColumns({"level": F.lit(0), "risen": F.lit(True)}))
+    arcs = cut(deps.join(a, [*G, "src"]).join(b, [*G, "dst"]).where("a != b").select(*G, "a", "b").distinct().withColumn("long", F.lit(1)))
+    over = []
+    while True:
+        # components with one arc: their end and how far it is; doubled until the end is one with no arc or with several
+        one = cut(arcs.groupBy(*G, "a").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("long").alias("long")).where("n = 1").drop("n"))
+        inner = one.join(one.select(*G, F.col("a").alias("b")), [*G, "b"], "left_semi")
+        if not inner.take(1):
+            break
+        ends = one
+        while True:
+            far = ends.select(*G, F.col("a").alias("b"), F.col("b").alias("c"), F.col("long").alias("more"))
+            ends = cut(ends.join(far, [*G, "b"], "left").select(*G, "a", F.coalesce("c", "b").alias("b"), (F.col("long") + F.coalesce("more", F.lit(0))).alias("long"), F.col("c").isNotNull().alias("moved")))
+            moved = ends.where("moved").take(1)
+            ends = ends.drop("moved")
+            if not moved:
+                break
+        over.append(ends)
+        # arcs into such components lead to where these end; of parallel arcs the longest counts
+        rest = arcs.join(ends.select(*G, "a"), [*G, "a"], "left_anti")
+        past = ends.select(*G, F.col("a").alias("b"), F.col("b").alias("c"), F.col("long").alias("more"))
+        rest = rest.join(past, [*G, "b"], "left").select(*G, "a", F.coalesce("c", "b").alias("b"), (F.col("long") + F.coalesce("more", F.lit(0))).alias("long"))
+        arcs = cut(rest.groupBy(*G, "a", "b").agg(F.max("long").alias("long")))
+    gone = [e.select(*G, F.col("a").alias("component")) for e in over]
+    level = comps.select(*G, "component").distinct()
+    for g in gone:
+        level = level.join(g, [*G, "component"], "left_anti")
+    level = cut(level.withColumns({"level": F.lit(0), "risen": F.lit(True)}))
     for _ in range(rounds):
-        up = arcs.join(level.where("risen").withColumnRenamed("component", "b"), [*G, "b"]).groupBy(*G, F.col("a").alias("component")).agg((F.max("level") + 1).alias("up"))
+        up = arcs.join(level.where("risen").withColumnRenamed("component", "b"), [*G, "b"]).groupBy(*G, F.col("a").alias("component")).agg(F.max(F.col("level") + F.col("long")).alias("up"))
         level = level.join(up, [*G, "component"], "left").withColumn("risen", F.coalesce(F.col("up") > F.col("level"), F.lit(False)))
         level = cut(level.select(*G, "component", F.greatest("level", "up").alias("level"), "risen"))
         if not level.where("risen").take(1):
-            return comps.join(level, [*G, "component"]).select(*G, "path", "component", "level")
-    raise RuntimeError("levels did not settle")
+            break
+    else:
+        raise RuntimeError("levels did not settle")
+    level = level.drop("risen")
+    for e in reversed(over):
+        level = level.unionByName(e.join(level.withColumnRenamed("component", "b"), [*G, "b"]).select(*G, F.col("a").alias("component"), (F.col("level") + F.col("long")).alias("level")))
+    return comps.join(level, [*G, "component"]).select(*G, "path", "component", "level")
 
 
 def level_summary(levels: DataFrame) -> DataFrame:
@@ -186,7 +308,12 @@ def entry_points(nodes: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def start_here(entries: DataFrame, fans: DataFrame, levels: DataFrame, k: int = 7) -> DataFrame:
-    """Entry points by path, then modules by users, level and path: ``k`` in all."""
+    """Where a program starts, by path, then modules by users, level and path: ``k`` in all.
+
+    Entry points of examples and tests, and library roots, don't lead; like others they come in by their users.
+    """
+    program = ~F.col("path").rlike(BESIDE) & (F.col("reason").contains("binary root") | F.col("reason").contains("defines `main` (program)"))
+    entries = entries.where(program)
     first = entries.select(*G, "path", F.lit(0).alias("section"), F.lit(0).cast("long").alias("fan"), F.lit(0).alias("level"))
     rest = fans.where("fan_in > 0").join(levels, [*G, "path"]).select(*G, "path", F.lit(1).alias("section"), F.col("fan_in").cast("long").alias("fan"), "level").join(entries, [*G, "path"], "left_anti")
     return top(first.unionByName(rest), list(G), [F.asc("section"), F.desc("fan"), F.asc("level"), F.asc("path")], k).select(*G, "rank", "path", "section")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import G, cut, top
+from .common import G, cut, ranked, top
 
 USAGE_KINDS = ("calls", "reads", "imports", "implements", "extends")
 #: Which kind speaks for a pair (fixed order).
@@ -52,27 +52,64 @@ def module_links(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     return rows.groupBy(*G, F.col("a").alias("path"), F.col("b").alias("other")).agg(F.count_distinct("target").alias("symbols"))
 
 
-def shortest_paths(pairs: DataFrame, uses: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """(pair_id, steps, nodes): a shortest way from start to goal for each pair, smallest nodes first; no row where there is none.
+def predecessors(starts: DataFrame, uses: DataFrame, goals: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
+    """(start, node, hop, parent): how a breadth-first search from each start first comes to each node, users before used, smaller ids first.
 
-    All pairs advance one edge at a time until none has a node left to visit; a pair is done once it meets its goal, and no pair visits a
-    node twice, so the rounds end by themselves.
+    There is one row for each start and node, whatever the number of goals. A round follows the edges of the nodes met in the one before;
+    these are numbered in the order in which the search meets them, so a node's parent is the first that leads to it. A start with
+    ``goals`` (start, node) is done once it has met them all; the rounds end when no start has a node left to visit.
     """
-    front = cut(pairs.select(*G, "pair_id", "goal", F.col("start").alias("node"), F.array("start").alias("nodes")))
-    seen, found = front.select("pair_id", "node"), []
-    for _ in range(rounds):
-        hits = cut(front.where("node = goal").select("pair_id", F.size("nodes").alias("steps"), F.array_join("nodes", ">").alias("nodes")))
-        found.append(hits)
-        open_ = front.join(hits.select("pair_id"), "pair_id", "left_anti")
-        step = open_.join(uses.withColumnRenamed("source", "node"), [*G, "node"]).select(*G, "pair_id", "goal", F.col("target").alias("node"), F.array_append("nodes", F.col("target")).alias("nodes"))
-        step = step.join(seen, ["pair_id", "node"], "left_anti").groupBy(*G, "pair_id", "goal", "node").agg(F.min("nodes").alias("nodes"))
-        front = cut(step.select(*G, "pair_id", "goal", "node", "nodes"))
+    key = [*G, "start"]
+    front = cut(starts.select(*key).distinct().select(*key, F.col("start").alias("node"), F.lit(1).cast("long").alias("place")))
+    met = found = front.select(*key, "node", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"))
+    steps = uses.select(*G, F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    for hop in range(1, rounds):
+        if goals is not None:
+            goals = cut(goals.select(*key, "node").join(front, [*key, "node"], "left_anti"))
+            front = front.join(goals.select(*key).distinct(), key, "left_semi")
+        step = front.join(steps, [*G, "node"]).groupBy(*key, F.col("next")).agg(F.min(F.struct("place", F.col("node").alias("parent"))).alias("by"))
+        step = step.withColumnRenamed("next", "node").join(met.select(*key, "node"), [*key, "node"], "left_anti")
+        front = cut(ranked(step.select(*key, "node", "by.parent", F.col("by.place").alias("after")), key, [F.asc("after"), F.asc("node")], "place"))
         if not front.take(1):
-            return reduce(DataFrame.unionByName, found)
-        seen = cut(seen.unionByName(front.select("pair_id", "node")))
+            return found
+        new = front.select(*key, "node", F.lit(hop).alias("hop"), "parent")
+        found = found.unionByName(new)
+        met = cut(met.unionByName(new)) if hop % 8 == 0 else met.unionByName(new)
+        front = front.select(*key, "node", "place")
     raise RuntimeError(f"paths did not end in {rounds} rounds")
 
 
+def path_steps(pairs: DataFrame, uses: DataFrame, kinds: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
+    """(pair_id, step, node, via): the shortest way from start to goal of each pair (pair_id, start, goal), one row for each node on it; of
+    several ways the one with the smallest ids, the first step first. No rows where there is none; one where both are the same.
+
+    ``via`` is the kind of the edge that leads to the node by ``kinds`` (source, target, kind), else ``depends-on``, null on the first.
+    One search for each start serves all its goals; ways are read back from the goals by joins with the search's predecessors.
+    """
+    goals = pairs.select(*G, "start", F.col("goal").alias("node")).distinct()
+    came = cut(predecessors(pairs, uses, goals))
+    at = cut(pairs.select(*G, "pair_id", "start", F.col("goal").alias("node")).join(came, [*G, "start", "node"]))
+    out = []
+    for _ in range(rounds):
+        out.append(at.select(*G, "pair_id", F.col("hop").alias("step"), "node", "parent"))
+        at = at.where("parent is not null").select(*G, "pair_id", "start", F.col("parent").alias("node")).join(came, [*G, "start", "node"])
+        at = cut(at)
+        if not at.take(1):
+            break
+    rows = reduce(DataFrame.unionByName, out)
+    if kinds is not None:
+        rows = rows.join(kinds.select(*G, F.col("source").alias("parent"), F.col("target").alias("node"), "kind"), [*G, "parent", "node"], "left")
+    via = F.when(F.col("parent").isNotNull(), F.coalesce(F.col("kind") if kinds is not None else F.lit(None), F.lit("depends-on")))
+    return rows.select("pair_id", "step", "node", via.alias("via"))
+
+
+def shortest_paths(pairs: DataFrame, uses: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(pair_id, steps, nodes, kinds): the steps of each pair's way in one row; a way has no node twice."""
+    row = F.array_sort(F.collect_list(F.struct("step", "node", "via")))
+    rows = path_steps(pairs, uses, kinds).groupBy("pair_id").agg(row.alias("r"))
+    return rows.select("pair_id", F.size("r").alias("steps"), F.array_join("r.node", ">").alias("nodes"), F.array_join("r.via", ">").alias("kinds"))
+
+
 def path_endpoints(counts: DataFrame) -> DataFrame:
     return counts.select(*G, "symbol", (F.col("uses") > 0).alias("can_from"), (F.col("used_by") > 0).alias("can_to"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import G, components
-from .overview import levelize, scc
+from .common import G, components, cut, ranked
+from .overview import layered
 
 MOST_NODES, MOST_DENSITY, MOST_DEGREE = 25, 3.0, 10
 
@@ -23,7 +23,7 @@ def package_view(weights: DataFrame, owners: DataFrame) -> tuple[DataFrame, Data
     edges = package_edges(weights, owners)
     nodes = owners.where("package is not null").select(*G, F.col("package").alias("path")).distinct()
     deps = edges.select(*G, F.col("source").alias("src"), F.col("target").alias("dst"))
-    levels = levelize(deps, scc(deps, nodes))
+    levels = layered(deps, nodes)
     out = edges.groupBy(*G, F.col("source").alias("path")).agg(F.count("*").alias("fan_out"))
     into = edges.groupBy(*G, F.col("target").alias("path")).agg(F.count("*").alias("fan_in"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("fan_in", "fan_out")]
@@ -51,8 +51,7 @@ def suppressed_edges(levelized: DataFrame) -> DataFrame:
 
 def matrix_cells(weights: DataFrame, levels: DataFrame) -> DataFrame:
     """(row, col, weight): modules are numbered by level and path; a cell over the diagonal may be part of a cycle."""
-    order = Window.partitionBy(*G).orderBy("level", "path")
-    index = levels.select(*G, "path", (F.row_number().over(order) - 1).alias("i"))
+    index = cut(ranked(levels.select(*G, "path", "level"), list(G), [F.asc("level"), F.asc("path")], "i").select(*G, "path", (F.col("i") - 1).alias("i")))
     rows = weights.join(index.withColumnsRenamed({"path": "src", "i": "row"}), [*G, "src"]).join(index.withColumnsRenamed({"path": "dst", "i": "col"}), [*G, "dst"])
     return rows.select(*G, "row", "col", "weight")
 

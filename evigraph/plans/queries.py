@@ -103,12 +103,12 @@ def deps_of(i: Inputs) -> DataFrame:
     return i.once("deps", lambda: O.module_deps(i.nodes, i.edges))
 
 
-def components_of(i: Inputs) -> DataFrame:
-    return i.once("components", lambda: O.scc(deps_of(i), i.files))
+def levels_of(i: Inputs) -> DataFrame:
+    return i.once("levels", lambda: O.layered(deps_of(i), i.files))
 
 
-def levels_of(i: Inputs) -> DataFrame:
-    return i.once("levels", lambda: O.levelize(deps_of(i), components_of(i)))
+def components_of(i: Inputs) -> DataFrame:
+    return levels_of(i).drop("level")
 
 
 def fans_of(i: Inputs) -> DataFrame:
@@ -140,9 +140,11 @@ def o11_hubs(i):
     return O.hubs(fans_of(i), levels_of(i))
 
 
-@query(DEPS + "SELECT repository_id, revision, path FROM fans WHERE fan_in = 0 AND fan_out = 0", *GRAPH)
+@query(DEPS + ", alone AS (SELECT DISTINCT repository_id, revision, 'alone/' || replace(n_name, ' ', '_') || '.rs' AS path FROM files, nation) SELECT repository_id, revision, path FROM fans WHERE fan_in = 0 AND fan_out = 0 UNION ALL SELECT * FROM alone", *GRAPH)
 def o12_orphans(i):
-    return O.orphans(O.fan_counts(O.module_deps(i.nodes, i.edges), i.files))
+    """With a file for each nation that nothing uses."""
+    alone = i.files.select(*G).distinct().crossJoin(F.broadcast(i.nation.select(F.concat(F.lit("alone/"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit(".rs")).alias("path"))))  # 25 nations
+    return O.orphans(O.fan_counts(O.module_deps(i.nodes, i.edges), i.files.unionByName(alone)))
 
 
 @query("SELECT n.repository_id, n.revision, count(*) FILTER (kind = 'package') AS packages, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind IN ('function', 'type', 'module', 'constant')) AS symbols, any_value((SELECT count(*) FROM edges e WHERE e.revision = n.revision)) AS edges FROM nodes n GROUP BY n.repository_id, n.revision", "nodes", "edges")
@@ -150,15 +152,6 @@ def o15_overview_counts(i):
     return O.overview_counts(i.nodes, i.edges)
 
 
-def starts(i: Inputs) -> DataFrame:
-    return O.start_here(O.entry_points(i.nodes, i.files), fans_of(i), levels_of(i))
-
-
-@query("RECURSIVE " + REACH + "SELECT repository_id, revision, rank, path, 1 AS section FROM (SELECT f.*, row_number() OVER (PARTITION BY f.revision ORDER BY fan_in DESC, level, f.path) AS rank FROM fans f JOIN levels l ON l.path = f.path AND l.revision = f.revision WHERE fan_in > 0) WHERE rank <= 7", *GRAPH)
-def o14_start_here(i):
-    return starts(i)
-
-
 @query("SELECT repository_id, revision, directory, files FROM (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY files DESC, length(directory), directory) AS r FROM (SELECT repository_id, revision, regexp_replace(path, '/[^/]*$', '') AS directory, count(*) AS files FROM files GROUP BY ALL)) WHERE r = 1", "files")
 def o17_module_root(i):
     return O.module_root(i.files)
@@ -181,13 +174,35 @@ ENTRY = "replace(replace(replace(replace(replace(path, 'SUPPLY.t', 'lib.rs'), 'm
 )
 def o13_entry_points(i):
     """Modules under names of entry points; every tenth function is called main."""
-    path = F.col("path")
+    return entries(i)
+
+
+def as_entry(path: Column) -> Column:
     for old, new in (("SUPPLY.t", "lib.rs"), ("machinery.t", "main.rs"), ("household.t", "build.rs"), ("building.t", "tests/run.rs"), ("furniture.t", "__init__.py")):
         path = F.replace(path, F.lit(old), F.lit(new))
+    return path
+
+
+def entries(i: Inputs) -> DataFrame:
+    path = as_entry(F.col("path"))
     nodes = i.versioned.withColumns({"path": path, "label": F.when(F.col("num") % 10 == 0, "main").otherwise(F.col("label"))})
     return O.entry_points(nodes, i.files.withColumn("path", path))
 
 
+def starts(i: Inputs) -> DataFrame:
+    """In one of the five regions programs begin, so that users decide about the other places."""
+    few = entries(i).where("path like 'ASIA/%' and path not like 'ASIA/%A/%'")
+    return O.start_here(few, fans_of(i).withColumn("path", as_entry(F.col("path"))), levels_of(i).withColumn("path", as_entry(F.col("path"))))
+
+
+@query(
+    "RECURSIVE " + REACH + f", named AS (SELECT f.repository_id, f.revision, {ENTRY.replace('path', 'f.path')} AS path, fan_in, level FROM fans f JOIN levels l ON l.path = f.path AND l.revision = f.revision), program AS (SELECT DISTINCT repository_id, revision, {ENTRY} AS path FROM versioned WHERE path LIKE 'ASIA/%' AND path NOT LIKE 'ASIA/%A/%' AND (path LIKE '%machinery.t' OR (kind = 'function' AND num % 10 = 0 AND path NOT LIKE '%building.t' AND path NOT LIKE '%household.t'))), listed AS (SELECT repository_id, revision, path, 0 AS section, 0 AS fan_in, 0 AS level FROM program UNION ALL SELECT repository_id, revision, path, 1, fan_in, level FROM named n WHERE fan_in > 0 AND NOT EXISTS (SELECT 1 FROM program p WHERE p.path = n.path AND p.revision = n.revision)) SELECT repository_id, revision, rank, path, section FROM (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY section, fan_in DESC, level, path) AS rank FROM listed) WHERE rank <= 7",
+    *GRAPH, "versioned",
+)
+def o14_start_here(i):
+    return starts(i)
+
+
 @query("SELECT repository_id, revision, rank, path, symbols, greatest(total - 20, 0) AS remainder FROM (SELECT *, row_number() OVER (PARTITION BY revision ORDER BY symbols DESC, path) AS rank, count(*) OVER (PARTITION BY revision) AS total FROM (SELECT repository_id, revision, path, count(*) AS symbols FROM versioned GROUP BY ALL)) WHERE rank <= 20", "versioned")
 def o19_ranked_modules(i):
     return O.ranked_modules(O.module_table(i.nodes))
@@ -415,9 +430,17 @@ def a5_breaking(i):
     return X.breaking(bumps(i))
 
 
-@query(ITEMS + "SELECT DISTINCT item, split_part(replace(item, 'pub fn ', ''), '(', 1) AS symbol FROM items WHERE revision = 'head' AND item NOT LIKE 'pub fn %% %'", "versioned")
+SHAPES = "CASE num % 4 WHEN 0 THEN 'pub fn ' || package || '::' || tab || num || '(&mut self, usize) -> std::fmt::Result' WHEN 1 THEN 'pub unsafe const fn  ' || package || '::deep::' || tab || num || ' (a::b)' WHEN 2 THEN 'pub struct ' || package || '::' || tab || num ELSE 'impl core::Clone for ' || package || '::' || tab || num END"
+
+
+def shaped(i: Inputs) -> DataFrame:
+    """Items of several shapes: functions, with words before them, types, and implementations, which no path begins."""
+    return i.versioned.where("public and revision = 'head'").select("repository_id", F.expr(SHAPES).alias("item"))
+
+
+@query(f"SELECT DISTINCT item, regexp_extract(split_part(item, '(', 1), '([^ ]+) *$', 1) AS symbol FROM (SELECT {SHAPES} AS item FROM versioned WHERE public AND revision = 'head')", "versioned")
 def a6_item_symbol(i):
-    return items(i, "head").select("item", X.item_symbol(F.col("item")).alias("symbol")).distinct().where("item not like 'pub fn %% %'")
+    return shaped(i).select("item", X.item_symbol(F.col("item")).alias("symbol")).distinct()
 
 
 @query(SURFACE + "SELECT DISTINCT 'main' AS repository_id, v.path, sd.item, sd.change FROM sd JOIN versioned v ON contains(sd.item, 'fn ' || v.label || '(') WHERE sd.change <> 'unchanged' AND v.revision = 'head' AND v.kind = 'type'", "versioned")
@@ -463,9 +486,10 @@ def exported(i: Inputs) -> DataFrame:
     return X.exported_paths(i.versioned.where("public and revision = 'head'").select("repository_id", item.alias("item")))
 
 
-@query("SELECT DISTINCT 'main' AS repository_id, package || '/' || tab || num AS path FROM versioned WHERE public AND revision = 'head'", "versioned")
+@query("SELECT DISTINCT 'main' AS repository_id, package || CASE num % 4 WHEN 1 THEN '/deep/' ELSE '/' END || tab || num AS path FROM versioned WHERE public AND revision = 'head' AND (num % 4 IN (0, 2))", "versioned")
 def a7_exported_paths(i):
-    return exported(i)
+    """Two blanks before a path, and what does not begin with ``pub``, name no path."""
+    return X.exported_paths(shaped(i))
 
 
 @query(IMPACT + "SELECT 'main' AS repository_id, best.key, x.hop AS hop, h.path FROM best JOIN h ON h.key = best.key", "nodes", "edges")
@@ -598,13 +622,22 @@ def p5_definitions_in_range(i):
     return T.definitions_in_range(i.versioned.where("revision = 'head'"), requests)
 
 
-@query(None)
+@query(
+    "RECURSIVE AND place AS (SELECT id, path FROM nodes WHERE path IS NOT NULL AND revision = 'head'), "
+    "w AS (SELECT a.path AS src, b.path AS dst, arg_min(e.kind, list_position(['calls', 'implements', 'extends', 'reads', 'imports'], e.kind)) AS kind FROM edges e JOIN place a ON a.id = e.source JOIN place b ON b.id = e.target WHERE e.revision = 'head' AND a.path <> b.path GROUP BY ALL), "
+    "way(start, node, nodes, kinds) USING KEY (start, node) AS (SELECT path, path, [path], []::VARCHAR[] FROM files WHERE revision = 'head' AND path LIKE '%/SUPPLY%' "
+    "UNION SELECT way.start, w.dst, min(list_append(way.nodes, w.dst)), arg_min(list_append(way.kinds, w.kind), list_append(way.nodes, w.dst)) FROM way JOIN w ON w.src = way.node LEFT JOIN recurring.way m ON m.start = way.start AND m.node = w.dst WHERE m.node IS NULL GROUP BY way.start, w.dst) "
+    "SELECT start || '>' || node AS pair_id, len(nodes) AS steps, array_to_string(nodes, '>') AS nodes, array_to_string(kinds, '>') AS kinds FROM way WHERE node LIKE 'CATALOG/%'",
+    *GRAPH,
+)
 def p7_shortest_paths(i):
-    """From each supply module of the head to each catalog module; longer ways than a recursive SQL query can list."""
+    """From each supply module of the head to each catalog module, with the kind of each step."""
     heads = i.files.where("revision = 'head'")
     a, b = heads.where("path like '%/SUPPLY%'").select(*G, F.col("path").alias("start")), heads.where("path like 'CATALOG/%'").select(*G, F.col("path").alias("goal"))
     pairs = a.join(b, list(G)).withColumn("pair_id", F.concat_ws(">", "start", "goal"))
-    return T.shortest_paths(pairs, deps_of(i).where("revision = 'head'").select(*G, F.col("src").alias("source"), F.col("dst").alias("target")))
+    edges = O.path_edges(i.nodes, i.edges.where("revision = 'head'"), T.USAGE_KINDS).select(*G, F.col("src").alias("source"), F.col("dst").alias("target"), "kind")
+    kinds = i.once("module kinds", lambda: T.pair_kind(edges))
+    return T.shortest_paths(pairs, kinds, kinds)
 
 
 @query("SELECT repository_id, revision, focus, rank, node, total FROM (SELECT *, row_number() OVER (PARTITION BY revision, focus ORDER BY node) AS rank, count(*) OVER (PARTITION BY revision, focus) AS total FROM (SELECT DISTINCT repository_id, revision, source AS focus, target AS node FROM edges UNION SELECT repository_id, revision, target, source FROM edges) WHERE focus IN (SELECT id FROM nodes WHERE kind = 'type')) WHERE rank <= 24", "nodes", "edges")
@@ -821,9 +854,16 @@ def n20_split_posted(i):
 SECRET_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in sorted(N.SECRETS.items()))
 
 
-@query(f"SELECT doc_id, names FROM (SELECT doc_id, array_to_string(list_filter([{SECRET_SQL}], lambda x: x IS NOT NULL), ',') AS names FROM documents) WHERE names <> ''")
+#: A key planted in the comments of a tenth of the orders, of each kind in turn.
+PLANTED_KEYS = ("ghp_" + "a1" * 10, "AKIA" + "B2" * 8, "-----BEGIN RSA PRIVATE KEY-----", "postgres://u:secret1@h", "nothing")
+PLANT = "CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority || ' ' || CASE o_orderkey % 50 " + " ".join(f"WHEN {10 * k} THEN '{x}'" for k, x in enumerate(PLANTED_KEYS)) + " END ELSE o_orderpriority END"
+
+
+@query(f"SELECT doc_id, names FROM (SELECT doc_id, array_to_string(list_filter([{SECRET_SQL}], lambda x: x IS NOT NULL), ',') AS names FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -o_orderkey, {PLANT} FROM orders)) WHERE names <> ''")
 def n21_scan_secrets(i):
-    return N.scan_secrets(i.documents)
+    """Over the documents and the orders, of which some hold a planted key."""
+    orders = i.orders.select((-F.col("o_orderkey")).alias("doc_id"), F.expr(PLANT).alias("text"))
+    return N.scan_secrets(i.documents.select("doc_id", "text").unionByName(orders))
 
 
 @query("SELECT finding_id, 'https://github.com/o/r/blob/abc/' || path || '#L' || start_line || CASE WHEN end_line = start_line THEN '' ELSE '-L' || end_line END AS link FROM findings", "findings")
@@ -1149,14 +1189,24 @@ def b12_slice_graph(i):
     return B.slice_graph(i.nodes, i.edges, i.files.where("path like 'ASIA/%'"))[1].select(*G, "source", "target", "kind")
 
 
-@query("SELECT repository_id, revision, id FROM nodes WHERE kind = 'module'", "nodes")
+NAMESPACES = "SELECT DISTINCT repository_id, revision, CASE n_nationkey % 3 WHEN 0 THEN 'module' ELSE 'type' END AS kind, 'sym:scip/rust cargo ' || replace(n_name, ' ', '_') || ' 0.1.0 ' || CASE n_nationkey % 3 WHEN 0 THEN 'm/' WHEN 1 THEN 'crate/' ELSE 'crate/T#' END AS id FROM files, nation"
+
+
+@query(f"AND spaces AS ({NAMESPACES}) SELECT repository_id, revision, id FROM spaces WHERE kind = 'module' OR id LIKE '% crate/' UNION ALL SELECT repository_id, revision, id FROM nodes WHERE kind = 'module'", "nodes", "files")
 def b11_namespace_nodes(i):
-    return O.namespace_nodes(i.nodes)
+    """With modules, roots and types of a package for each nation beside the other nodes."""
+    spaces = i.spark.sql(NAMESPACES.replace("files, nation", "{files} AS files, {nation} AS nation"), files=i.files, nation=i.nation)
+    return O.namespace_nodes(i.nodes.select(*G, "kind", "id").unionByName(spaces.select(*G, "kind", "id")))
+
+
+#: Targets outside all layers' paths name layers in their ids, some where a name doesn't count.
+NAMED = "CASE WHEN target NOT LIKE '%CATALOG%' THEN target WHEN target LIKE '%1' THEN target || ' NATION_8/x' WHEN target LIKE '%2' THEN target || ' q/NATION_8' WHEN target LIKE '%3' THEN target || ' NATION_8' WHEN target LIKE '%4' THEN target || ' xNATION_8/y/NATION_8/z' WHEN target LIKE '%5' THEN target || ' NATION_13/NATION_3' ELSE target END"
 
 
-@query(RULE + "SELECT e.repository_id, e.revision, l.decision, e.source, e.target, l.layer FROM edges e JOIN nodes n ON n.id = e.target AND n.revision = e.revision JOIN laid l ON l.path = n.path AND l.revision = e.revision", "files", "nodes", "edges")
+@query(RULE + f", t AS MATERIALIZED (SELECT DISTINCT repository_id, revision, source, {NAMED} AS target FROM edges), p AS MATERIALIZED (SELECT t.repository_id, t.revision, l.decision, t.source, t.target, l.layer FROM t JOIN nodes n ON n.id = t.target AND n.revision = t.revision JOIN laid l ON l.path = n.path AND l.revision = t.revision), d AS (SELECT target, decision, arg_min(layer, rank) AS layer FROM (SELECT DISTINCT target FROM t) JOIN rule ON contains(target, ' ' || layer || '/') OR ends_with(target, '/' || layer) GROUP BY ALL) SELECT * FROM p UNION ALL SELECT t.repository_id, t.revision, d.decision, t.source, t.target, d.layer FROM t JOIN d ON d.target = t.target WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.target = t.target AND p.source = t.source AND p.revision = t.revision AND p.decision = d.decision)", "files", "nodes", "edges")
 def c2_target_layer(i):
-    return C.target_layer(i.edges.select(*G, "source", "target"), i.nodes, C.layer_of(i.files, rule(i)), rule(i))
+    edges = i.edges.select(*G, "source", F.expr(NAMED).alias("target")).distinct()
+    return C.target_layer(edges, i.nodes, C.layer_of(i.files, rule(i)), rule(i))
 
 
 @query("SELECT outcome, count(*) AS n, CASE WHEN outcome = 'unverifiable' THEN count(*) || ' decision(s) could not be checked: there was no evidence in the graph to check them against' END AS note FROM (SELECT CASE WHEN r_regionkey = 0 THEN 'superseded' ELSE 'unverifiable' END AS outcome FROM region) GROUP BY outcome")
@@ -1267,15 +1317,16 @@ def sc6_dependency_edges(i):
     return S.dependency_edges(deps.select("repository_id", "revision", doc.alias("doc_json")))[1]
 
 
-@query("SELECT CAST(o_custkey AS STRING) AS package, 'lint_' || chr((97 + o_orderkey % 26)::INT) AS id, CASE WHEN o_orderkey % 26 = 0 THEN 'minor' ELSE 'major' END AS level, 'order ' || o_orderkey AS summary, 'src/o.rs:' || o_orderkey AS places FROM orders")
+@query("SELECT CAST(o_custkey AS STRING) AS package, 'lint_' || chr((97 + o_orderkey % 26)::INT) AS id, CASE WHEN o_orderkey % 26 = 0 THEN 'minor' ELSE 'major' END AS level, 'order ' || o_orderkey AS summary, 'Order::of at /elsewhere/o.rs:7,Order::put at src/o.rs:' || o_orderkey AS places FROM orders")
 def sc10_lint_blocks(i):
-    """A block for each order in its customer's report: the head, a place given twice, and a line that is no place."""
+    """A block for each order in its customer's report: a head, a place given twice, one outside the checkouts, and lines that are none."""
     key = F.col("o_orderkey")
     lint = F.concat(F.lit("lint_"), F.char((97 + key % 26).cast("int")))
-    place = F.concat(F.lit("  function a::b, in src/o.rs:"), key.cast("string"))
-    text = F.array(F.concat(F.lit("--- failure "), lint, F.lit(": order "), key.cast("string"), F.lit(" ---")), F.lit("Failed in:"), place, place)
-    lines = i.orders.select(F.col("o_custkey").cast("string").alias("package"), key, F.posexplode(text).alias("n", "line")).select("package", (key * 4 + F.col("n")).alias("line_no"), "line")
-    found = S.lint_blocks(lines, i.spark.createDataFrame([("lint_a", "minor")], "id string, level string"))
+    place = F.concat(F.lit("  Order::put, previously in file C:\\work\\base\\src\\o.rs:"), key.cast("string"))
+    head = F.concat(F.lit("--- failure "), lint, F.lit(": order "), key.cast("string"), F.lit(" ---"))
+    text = F.array(head, F.lit("Failed in:"), place, place, F.lit("  Order::of, in file /elsewhere/o.rs:7"), F.lit("--- warning lint_b: no failure ---"), F.lit("  Order::get in src/o.rs:1"), F.lit("Order::is, in file src/o.rs:1"))
+    lines = i.orders.select(F.col("o_custkey").cast("string").alias("package"), key, F.posexplode(text).alias("n", "line")).select("package", (key * 8 + F.col("n")).alias("line_no"), "line")
+    found = S.lint_blocks(lines, i.spark.createDataFrame([("lint_a", "minor"), ("lint_c", "odd")], "id string, level string"), ("/other", "C:\\work\\base"))
     return found.select("package", "id", "level", "summary", F.array_join("locations", ",").alias("places"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import citations as K
 from evigraph.operators import contracts as V
+from evigraph.operators import decisions as C
 from evigraph.operators import diff as X
 from evigraph.operators import findings as N
 from evigraph.operators import graph_build as B
@@ -16,7 +18,7 @@ from evigraph.operators import impact as P
 from evigraph.operators import overview as O
 from evigraph.operators import paths as T
 from evigraph.operators import views as W
-from evigraph.operators.common import G, interval_join
+from evigraph.operators.common import G, interval_join, ranked
 from evigraph.sources import tables as S
 
 DEPS = "repository_id string, revision string, src string, dst string"
@@ -170,10 +172,16 @@ def test_paths_end_in_cycles_and_islands(spark):
 
 
 def test_lint_report(spark):
-    text = ["head", "--- failure function_missing: a public function is gone ---", "Failed in:", "  function a::b, previously in src/a.rs:10", "  function a::b, previously in src/a.rs:10", "Summary semver requires new major version: 1 major"]
+    text = ["head", "  Lost::place, in file a.rs:1", "--- failure inherent_method_missing: pub method removed or renamed ---", "", "Description:", "        ref: https://example.org/semver.html#item-remove", "Failed in:"]
+    text += ["  Cache::evict_oldest, previously in file C:\\checkouts\\base\\kvstore\\src\\cache.rs:41"] * 2
+    text += ["--- failure enum_must_use_added: enum marked must_use ---", "Failed in:", "  Response, in file C:\\checkouts\\head\\kvstore\\src\\api.rs:7", "     Summary semver requires new major version: 1 major and 0 minor checks failed"]
     lines = spark.createDataFrame([("p", i, t) for i, t in enumerate(text)], "package string, line_no int, line string")
-    (lint,) = S.lint_blocks(lines, spark.createDataFrame([], "id string, level string")).collect()
-    assert (lint.id, lint.level, lint.locations) == ("function_missing", "major", ["src/a.rs:10"])
+    levels = spark.createDataFrame([("enum_must_use_added", "minor")], "id string, level string")
+    got = [(x.id, x.level, x.summary, x.locations) for x in S.lint_blocks(lines, levels, ("C:\\checkouts\\base", "C:\\checkouts\\head")).orderBy("id").collect()]
+    assert got == [
+        ("enum_must_use_added", "minor", "enum marked must_use", ["Response at kvstore/src/api.rs:7"]),
+        ("inherent_method_missing", "major", "pub method removed or renamed", ["Cache::evict_oldest at kvstore/src/cache.rs:41"]),
+    ]
     packages = spark.createDataFrame([("p",), ("q",)], "package string")
     assert {r.package: r.bump for r in S.verdict(packages, lines).collect()} == {"p": "major", "q": "unknown"}
 
@@ -340,3 +348,172 @@ def test_dependency_documents(spark):
     assert {r.id: r.path for r in nodes.collect()} == {"pkg:cargo/a@1": "a/Cargo.toml", "pkg:cargo/b@2": None}
     assert {r.configuration for r in edges.collect()} == {"dev@unix", "normal"}
     assert set(G) <= set(edges.columns)
+
+
+def test_items_of_an_interface(spark):
+    items = ["pub fn kvstore::cache::Cache::put(&mut self, usize)", "pub unsafe fn a::B::c() -> x::Y", "pub struct a::B", "impl core::Clone for a::B", "pub fn plain(x: a::b)", "pub const fn a::B::d (x)"]
+    rows = spark.createDataFrame([("r", x) for x in items], "repository_id string, item string")
+    assert [r.s for r in rows.select(X.item_symbol(F.col("item")).alias("s")).collect()] == ["kvstore::cache::Cache::put", "a::B::c", "a::B", "a::B", "plain", "a::B::d"]
+    assert {r.path for r in X.exported_paths(rows).collect()} == {"kvstore/cache/Cache/put", "a/B/c", "a/B", "a/B/d"}
+
+
+def test_layers_of_paths_and_ids(spark):
+    rule = spark.createDataFrame([("d", "src/", "api", 0), ("d", "src/", "store", 1), ("e", "", "api", 0)], "decision string, root string, layer string, rank int")
+    files = modules(spark, ["src/api.rs", "src/store/x.rs", "src/api.t", "api.rs", "/api/x", "other/api.rs"])
+    layers = C.layer_of(files, rule)
+    assert {(r.decision, r.path, r.layer) for r in layers.collect()} == {("d", "src/api.rs", "api"), ("d", "src/store/x.rs", "store"), ("e", "/api/x", "api")}
+    ids = {"s k 0.1 api/Response#": "api", "s k 0.1 xapi/R#": None, "file:src/store": "store", "s api k": None, "k 0.1 store/api": "api", "s k store/y x api/z": "api", "store api": None}
+    edges = spark.createDataFrame([("r", "1", "a", t) for t in ids], "repository_id string, revision string, source string, target string")
+    none = spark.createDataFrame([], "repository_id string, revision string, id string, path string")
+    got = {r.target: r.layer for r in C.target_layer(edges, none, layers, rule.where("decision = 'd'")).collect()}
+    assert got == {t: x for t, x in ids.items() if x}
+
+
+def test_programs_lead(spark):
+    files = modules(spark, ["src/main.rs", "src/lib.rs", "examples/main.rs", "src/run.rs", "src/core.rs", "build.rs"])
+    nodes = spark.createDataFrame([("r", "1", "function", "main", p) for p in ("src/main.rs", "examples/main.rs", "src/run.rs", "build.rs")], "repository_id string, revision string, kind string, label string, path string")
+    deps = spark.createDataFrame([("r", "1", a, b) for a, b in (("src/main.rs", "src/core.rs"), ("src/run.rs", "src/core.rs"), ("src/core.rs", "src/lib.rs"))], "repository_id string, revision string, src string, dst string")
+    levels = O.levelize(deps, O.scc(deps, files))
+    got = O.start_here(O.entry_points(nodes, files), O.fan_counts(deps, files), levels).orderBy("rank").collect()
+    assert [(r.path, r.section) for r in got] == [("src/main.rs", 0), ("src/run.rs", 0), ("src/core.rs", 1), ("src/lib.rs", 1)]
+
+
+def greedy(edges):
+    used, out = set(), set()
+    for w, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            out.add((a, b))
+    return out
+
+
+def test_greedy_pairs_and_renames(spark):
+    rng = random.Random(4)
+    edges = [(rng.choice([0.6, 0.75, 0.8, rng.random()]), f"a{i:02}", f"b{j:02}") for i in range(40) for j in range(40) if rng.random() < 0.5]
+    ties = [(0.75, f"a{i:02}", f"b{j:02}") for i in range(25) for j in range(25)]
+    rows = spark.createDataFrame([(g, a, b, w) for g, some in (("x", edges), ("y", ties)) for w, a, b in some], "g string, old string, new string, weight double")
+    for rounds in (0, 2, 6):
+        got = X.dominant_pairs(rows, ["g"], rounds).collect()
+        assert {(r.old, r.new) for r in got if r.g == "x"} == greedy(edges) and {(r.old, r.new) for r in got if r.g == "y"} == greedy(ties)
+    word = lambda: "".join(rng.choice("abcAB_é") for _ in range(rng.randint(0, 9)))
+    sides = [[("r", rng.choice(["function", "type"]), rng.choice(["p", None, "q"]), f"{s}{i:03}", rng.choice([None, "", word(), word(), word()]), rng.choice([None, n := rng.randint(1, 300)]), rng.choice([None, n + 3])) for i in range(80)] for s in "kl"]
+    schema = "repository_id string, kind string, path string, key string, label string, start_line int, end_line int"
+    got = {(r.old, r.new): (r.confidence, r.basis) for r in X.rename_guesses(*(spark.createDataFrame(s, schema) for s in sides)).collect()}
+    want, found = {}, {}
+    for _, k, p, x, lx, sx, ex in sides[0]:
+        for _, k2, p2, y, ly, sy, ey in sides[1]:
+            if p and (k, p) == (k2, p2):
+                same = difflib.SequenceMatcher(None, lx or "", ly or "").ratio()
+                if sx and sy and sx <= (ey or sy) and sy <= (ex or sx):
+                    found[x, y] = (max(same, 0.75), f"same file and overlapping source range; name similarity {same:.2f}")
+                elif same >= 0.6:
+                    found[x, y] = (same, f"same file; name similarity {same:.2f}")
+    for x, y in greedy([(c, x, y) for (x, y), (c, _) in found.items()]):
+        want[x, y] = (round(found[x, y][0], 3), found[x, y][1])
+    assert got == want and len(want) > 20
+
+
+def test_layers_in_one_task_and_in_rounds(spark):
+    rng = random.Random(8)
+    names = [f"n{i:02}" for i in range(40)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(48)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(300)] + [("n00", "c000"), ("c007", "c004")]
+    d, m = deps(spark, pairs), modules(spark, names + [f"c{i:03}" for i in range(301)])
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        met, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in met:
+                    met.add(b)
+                    todo.append(b)
+        return met
+
+    met = {a: reach(a) for a in [r.path for r in m.collect()]}
+    comp = {a: min([a, *(b for b in met[a] if a in met[b])]) for a in met}
+    level = {}
+
+    def height(c):
+        if c not in level:
+            level[c] = max((height(comp[b]) + 1 for a in met if comp[a] == c for b in out.get(a, ()) if comp[b] != c), default=0)
+        return level[c]
+
+    want = {a: (comp[a], height(comp[a])) for a in met}
+    assert {r.path: (r.component, r.level) for r in O.layered(d, m).collect()} == want
+    assert {r.path: (r.component, r.level) for r in O.levelize(d, O.scc(d, m)).collect()} == want
+    known = O.scc(d, m).select("repository_id", "revision", "path", "component")
+    assert {r.path: (r.component, r.level) for r in O.levels_in_rounds(d, known).collect()} == want
+
+
+def test_a_large_snapshot_is_worked_on_in_rounds(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("e", "d"), ("x", "y")]
+    d, m = deps(spark, pairs), modules(spark, list("abcdexyz"))
+    want = {(r.path, r.component, r.level) for r in O.layered(d, m).collect()}
+    assert want == {("a", "a", 2), ("b", "b", 1), ("c", "b", 1), ("d", "d", 0), ("e", "e", 1), ("x", "x", 1), ("y", "y", 0), ("z", "z", 0)}
+    assert {(r.path, r.component, r.level) for r in O.layered(d, m, at_once=3).collect()} == want
+
+
+def test_a_deep_chain(spark):
+    n = 5000
+    d = spark.range(n).selectExpr("'r' AS repository_id", "'1' AS revision", "printf('m%05d', id) AS src", "printf('m%05d', id + 1) AS dst")
+    m = spark.range(n + 1).selectExpr("'r' AS repository_id", "'1' AS revision", "printf('m%05d', id) AS path")
+    assert {(r.path, r.level) for r in O.layered(d, m).collect()} == {(f"m{i:05}", n - i) for i in range(n + 1)}
+    comps = m.withColumn("component", F.col("path"))
+    # a dozen rounds of pointers, then two of levels
+    assert {(r.path, r.level) for r in O.levels_in_rounds(d, comps, 2).collect()} == {(f"m{i:05}", n - i) for i in range(n + 1)}
+
+
+def test_spans_of_any_length(spark):
+    rng = random.Random(2)
+    some = lambda n, s: [(rng.choice("pq"), f"{s}{i}", a := rng.choice([None, rng.randint(0, 500), rng.randint(0, 10**6)]), rng.choice([None, None if a is None else a + rng.choice([0, 3, 60, 64, 65, 1000, 10**9])])) for i in range(n)]
+    left, right = some(120, "l"), some(120, "r")
+    a, b = (spark.createDataFrame(rows, f"path string, {s} string, {s}_start int, {s}_end int") for rows, s in ((left, "l"), (right, "r")))
+    for tolerance in (0, 5):
+        want = sorted((x, y) for p, x, s, e in left for q, y, t, f in right if p == q and s is not None and t is not None and s - tolerance <= (t if f is None else f) and t <= (s if e is None else e) + tolerance)
+        assert sorted((r.l, r.r) for r in interval_join(a, b, ["path"], tolerance=tolerance).collect()) == want
+        assert {r.l for r in interval_join(a, b, ["path"], tolerance=tolerance, how="left_semi").collect()} == {x for x, _ in want}
+        got = interval_join(a, b, ["path"], tolerance=tolerance, how="left").collect()
+        assert sorted((r.l, r.r) for r in got if r.r) == want and len({r.l for r in got}) == len(left)
+    assert interval_join(a, b.limit(0), ["path"]).count() == 0
+
+
+def test_scores_against_a_plain_fold(spark):
+    rng = random.Random(6)
+    found = [(run, f"F-{i:03}", rng.choice("pq"), s := rng.randint(1, 60), s + rng.randint(0, 4)) for run in ("x", "y") for i in range(60)]
+    keys = [(f"k{i:02}", rng.choice(["expected", "decoy"]), rng.choice("pq"), rng.randint(1, 60)) for i in range(50)]
+    got = {(r.run_id, r.key_id, r.role, r.finding_id) for r in N.score(spark.createDataFrame(found, "run_id string, finding_id string, path string, start_line int, end_line int"), spark.createDataFrame(keys, "key_id string, role string, path string, line int")).collect()}
+    want, used = set(), set()
+    for run in ("x", "y"):
+        for k, role, p, line in sorted(keys, key=lambda k: (k[1] != "expected", k[0])):
+            for r, f, q, s, e in sorted(found):
+                if r == run and q == p and s - 5 <= line <= e + 5 and (run, f) not in used:
+                    used.add((run, f))
+                    want.add((run, k, role, f))
+                    break
+    assert got == want
+
+
+def test_steps_of_paths_have_kinds(spark):
+    pairs = [("r", "1", s + g, s, g) for s in "ab" for g in "adez"]
+    edges = [("a", "c", "reads"), ("a", "b", "calls"), ("b", "d", "imports"), ("c", "d", "calls"), ("d", "a", "calls"), ("d", "e", "x")]
+    uses = spark.createDataFrame([("r", "1", a, b) for a, b, _ in edges], "repository_id string, revision string, source string, target string")
+    kinds = spark.createDataFrame([("r", "1", a, b, k) for a, b, k in edges if k != "x"], "repository_id string, revision string, source string, target string, kind string")
+    asked = spark.createDataFrame(pairs, "repository_id string, revision string, pair_id string, start string, goal string")
+    got = {r.pair_id: (r.steps, r.nodes, r.kinds) for r in T.shortest_paths(asked, uses, kinds).collect()}
+    assert got == {"aa": (1, "a", ""), "ad": (3, "a>b>d", "calls>imports"), "ae": (4, "a>b>d>e", "calls>imports>depends-on"), "ba": (3, "b>d>a", "imports>calls"), "bd": (2, "b>d", "imports"), "be": (3, "b>d>e", "imports>depends-on")}
+
+
+def test_numbers_over_ranges_of_rows(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "hot", "hot", "hot", f"g{rng.randrange(20)}"]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {(r.g, r.v): (r.rank, r.n) for r in ranked(df, ["g"], [F.desc("v")], size="n").collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        some = sorted((v for x, v in rows if x == g), reverse=True)
+        want |= {(g, v): (k, len(some)) for k, v in enumerate(some, 1)}
+    assert got == want
+    assert [r.rank for r in ranked(df, [], [F.asc("v")]).orderBy("v").collect()] == list(range(1, 501))
+    assert ranked(df.limit(0), ["g"], [F.asc("v")]).count() == 0
