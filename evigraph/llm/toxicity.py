@@ -246,7 +246,8 @@ def shared_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``sample_rows`` labelled texts outside the held-out fold, half of each class where there are as many.
 
-    Rows with a null id, text or label take no part; ids labelled twice count once, with their largest label. Without one text of
+    Rows with a null id, text or label take no part; ids labelled twice count once, with their largest label, and of several texts of an id
+    one is taken. Without one text of
     either class the model knows nothing and scores 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -256,8 +257,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
     best = [r for y in (1, 0) for r in ids.where(F.col("toxic") == y).orderBy("rank", "doc_id").limit(sample_rows // 2).collect()]
     # at most sample_rows ids
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic, r.rank) for r in best], "id long, toxic int, rank long"))
-    rows = docs.where("text is not null").join(chosen, F.col("doc_id").cast("long") == F.col("id")).select("toxic", "rank", "id", "text").collect()
-    sample = [(r.text.encode(), r.toxic) for r in sorted(rows, key=lambda r: (-r.toxic, r.rank, r.id, r.text))][: 2 * sample_rows]
+    # one text for each id, so that copies of an id change neither the balance of the classes nor what is collected
+    rows = docs.where("text is not null").join(chosen, F.col("doc_id").cast("long") == F.col("id")).groupBy("id", "toxic", "rank").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    sample = [(r.text.encode(), r.toxic) for r in sorted(rows, key=lambda r: (-r.toxic, r.rank, r.id))]
     texts = docs.select(F.col("text").cast("string").alias("text"))
     if {y for _, y in sample} != {0, 1}:
         return Model([], np.empty(0, np.int64), np.empty(0))

@@ -115,3 +115,13 @@ def test_odd_rows(spark):
     got = toxicity.digest(toxicity.toxicity(docs, labels)).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_change_no_score(spark):
+    data = rows(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    copies = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id")
+    many = docs.unionByName(copies.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(6)))).drop("n"))
+    once, often = ({r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(d, labels, sample_rows=20).collect()} for d in (docs, many))
+    assert once == often and {p for _, p in often.values()} == {0, 1}
