@@ -52,14 +52,14 @@ class Manifest:
     root: DataFrame
 
 
-def _build(batches: Iterator[pa.RecordBatch], done: int) -> Iterator[pa.RecordBatch]:
-    """Records of up to LEVELS levels above groups of nodes of the level ``done``: (tree, place of the group, n, digests)."""
+def _build(batches: Iterator[pa.RecordBatch], done: int, levels: int) -> Iterator[pa.RecordBatch]:
+    """Records of up to ``levels`` levels above groups of nodes of the level ``done``: (tree, place of the group, n, digests)."""
     schema = pa.schema([("tree", pa.string()), ("place", pa.int64()), ("n", pa.int64()), ("height", pa.int32()), ("digest", pa.binary()), ("children", pa.list_(pa.binary()))])
     for b in batches:
         out: list[dict] = []
         for g in b.to_pylist():
-            now, left, place = g["digests"], -(-g["n"] // FAN**done), g["place"] * FAN**LEVELS
-            for height in range(done + 1, done + LEVELS + 1):
+            now, left, place = g["digests"], -(-g["n"] // FAN**done), g["place"] * FAN**levels
+            for height in range(done + 1, done + levels + 1):
                 if left <= 1:
                     break
                 left, place = -(-left // FAN), place // FAN
@@ -69,7 +69,7 @@ def _build(batches: Iterator[pa.RecordBatch], done: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def trees(nodes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def trees(nodes: DataFrame, sizes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(records, tops) of the trees over ``nodes`` (tree, place, digest), where ``sizes`` has n and the height for each tree.
 
     A record is (height, digest, children); a top is (tree, n, height, digest). A tree of one node has that node as its top.
@@ -78,22 +78,22 @@ def trees(nodes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     highest, lone = sizes.agg(F.max("height")).first()[0] or 0, sizes.where("height = 0")
     tops = [nodes.join(lone, "tree").select("tree", "n", "height", "digest")]
     path, now, found = new_path(spark, "records"), nodes, spark.createDataFrame([], RECORD)
-    for done in range(0, highest, LEVELS):
-        part = F.floor(F.col("place") / FAN**LEVELS).alias("group")
+    for done in range(0, highest, levels):
+        part = F.floor(F.col("place") / FAN**levels).alias("group")
         groups = now.groupBy("tree", part).agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("rows")).join(sizes.where(F.col("height") > done), "tree")
         groups = groups.select("tree", F.col("group").alias("place"), "n", F.col("rows.digest").alias("digests"))
         # one folder for each round, so that a later round does not list what it does not read
-        groups.mapInArrow(lambda batches, done=done: _build(batches, done), RECORD).write.parquet(f"{path}/done={done}")
+        groups.mapInArrow(lambda batches, done=done: _build(batches, done, levels), RECORD).write.parquet(f"{path}/done={done}")
         found = spark.read.schema(f"{RECORD}, done int").parquet(path).drop("done")
-        now = found.where((F.col("height") == done + LEVELS)).select("tree", "place", "digest")
+        now = found.where(F.col("height") == done + levels).select("tree", "place", "digest")
     tops.append(found.where("place = 0").join(sizes, ["tree", "height"]).select("tree", found["n"], "height", "digest"))
     return found.select("height", "digest", "children"), union(tops)
 
 
-def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, also: dict[str, Column] | None = None) -> Manifest:
+def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, also: dict[str, Column] | None = None, levels: int = LEVELS) -> Manifest:
     """The manifest of ``docs``: leaves of ``fields`` ascend by doc_id (nulls first, equal ids by digest) within each source.
 
-    ``also`` adds columns to the leaves. A null source is a source of its own and comes first; null values differ from empty ones; equal
+    ``also`` adds columns to the leaves; a task builds ``levels`` levels at once. A null source is a source of its own and comes first; null values differ from empty ones; equal
     rows are leaves of their own; other columns are not read. Only digests are shuffled, and numbers are given in ranges of rows.
     """
     # a null source, and then the others by their bytes
@@ -101,10 +101,10 @@ def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, also: dict[st
     rows = docs.select("doc_id", "source", tree.alias("tree"), F.unhex(leaf_of([F.col(c) for c in fields])).alias("digest"), *(c.alias(k) for k, c in (also or {}).items()))
     leaves = cut(ranked(rows, ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()], "place").withColumn("place", F.col("place") - 1))
     sizes = cut(leaves.groupBy("tree").agg(F.count("*").alias("n"), F.first("source").alias("source")).withColumn("height", height_of(F.col("n"))))
-    records, tops = trees(leaves.select("tree", "place", "digest"), sizes.select("tree", "n", "height"))
+    records, tops = trees(leaves.select("tree", "place", "digest"), sizes.select("tree", "n", "height"), levels)
     subroots = cut(ranked(tops, [], [F.col("tree").asc()], "place").withColumn("place", F.col("place") - 1))
     all_of_them = cut(subroots.agg(F.lit("").alias("tree"), F.count("*").alias("n")).where("n > 0").withColumn("height", height_of(F.col("n"))))
-    top_records, root = trees(subroots.select(F.lit("").alias("tree"), "place", "digest"), all_of_them)
+    top_records, root = trees(subroots.select(F.lit("").alias("tree"), "place", "digest"), all_of_them, levels)
     return Manifest(leaves, records, top_records, subroots.join(sizes.select("tree", "source"), "tree"), cut(root))
 
 
@@ -176,12 +176,12 @@ def tampered(doc_id: Column, text: Column) -> Column:
     return F.when(F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
 
 
-def verified(docs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, *, levels: int = LEVELS) -> DataFrame:
     """Each row's leaf, subroot, root, digest of its siblings, and the root recomputed from the row as ``tampered`` leaves it.
 
     Null values of any column, empty texts, repeated rows and null sources are leaves like others; an empty table gives an empty one.
     """
     seen = {"seen": F.unhex(leaf_of([F.col(c) if c != "text" else tampered(F.col("doc_id"), F.col("text")) for c in FIELDS]))}
-    found = proofs(manifest(docs, also=seen))
+    found = proofs(manifest(docs, also=seen, levels=levels))
     found = found.select("doc_id", text_of(F.col("digest")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(F.col("root")).alias("root"), siblings(F.col("path")).alias("proof_sha256"), folded(text_of(F.col("seen")), F.col("path")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))

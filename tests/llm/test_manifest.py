@@ -56,7 +56,7 @@ def made(n, source):
     return [(1000 * len(source or "") + i, source, "en", i, f"line {i}\nline", "x", 1) for i in range(n)]
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     rows = made(1000, "hot") + made(1, "lone") + made(4, "four") + made(3, "thr") + made(28, None) + made(2, "")
     rows += [(None, "four", None, None, None, None, None), (7, "four", "", 0, "", "", 0), (7, "four", "é", 0, "\n" * 5, "", 0), (7, "four", "", 0, "", "", 0), (8, "Ärger", "de", 2, "x" * 200_000 + "\n", "", 0)]
     docs = spark.createDataFrame(rows, COLUMNS)
@@ -66,8 +66,7 @@ def test_against_brute_force(spark, monkeypatch):
     for one in (rows[:1], rows[:2], rows[:1] + rows[-1:]):
         assert sorted((tuple(r) for r in M.verified(spark.createDataFrame(one, COLUMNS)).collect()), key=str) == sorted(expected(one), key=str)
     assert M.verified(docs.limit(0)).count() == 0
-    monkeypatch.setattr(M, "LEVELS", 2)
-    assert sorted((tuple(r) for r in M.verified(docs).collect()), key=str) == want
+    assert sorted((tuple(r) for r in M.verified(docs, levels=2).collect()), key=str) == want
 
 
 def test_requests_and_records(spark):

@@ -83,7 +83,7 @@ def test_rows(spark):
     found = P.periodic_runs(P.planted(docs))
     got = [tuple(r) for r in P.digest(found).collect()]
     assert sorted(got, key=str) == sorted([(i, *expected(i, t)) for i, t in zip(ids + ids[-1:], texts + texts[-1:])], key=str)
-    assert sum(r[1] > 0 for r in got) > 10
+    assert sum(r[1] > 0 for r in got) > 5
     plain = {r.doc_id: r for r in P.periodic_runs(docs).collect()}
     assert plain[4].collapsed == "a" and plain[4].n_words == 6 and plain[5].collapsed == "x a y" and plain[1].collapsed == ""
     assert P.periodic_runs(docs.limit(0)).count() == 0
