@@ -18,7 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go.
+
+    Null and empty texts score like no evidence and stay, unless labels make that toxic; rows of equal texts, also of one id, go or stay
+    together; null ids stay like others but teach nothing. Without labels of both classes all rows stay; an empty table stays empty.
+    """
     return toxicity.accepted(docs, _table(spark, sf_dir, "labels"))
 
 
@@ -38,17 +42,29 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
+    """Documents in which a benchmark window occurs go.
+
+    Null and empty texts have no words and stay; equal rows go or stay together, whatever their ids; of a very long text every word is
+    looked at, and one window anywhere is enough. An empty table, or an empty benchmark, takes nothing away.
+    """
     return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document and round that takes words of it."""
+    """The mix: a row for each document and round that takes words of it.
+
+    Null and empty texts have no words to take and get no row; a null source is a source of its own, null ids come first in its stream, and
+    equal rows are parts of the stream of their own. A very long text is cut where a block ends. An empty table gives an empty one.
+    """
     return mixing.mixed(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and per row of it what was read back from them."""
+    """Token files of the mix, and per row of it what was read back from them.
+
+    Rows are laid out by id, nulls first, equal ids by text; null and empty texts are the end id alone, and equal rows have their tokens
+    each. A text longer than a block makes a block of its own. An empty table gives an empty one.
+    """
     return tokens.digest(tokens.token_files(docs))
 
 
