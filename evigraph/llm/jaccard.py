@@ -8,10 +8,11 @@ them, so they share one within the first ``n - ceil(4 n / 5) + 1`` of the larger
 (prefix filter), with enough shingles behind it in both (position filter). Spark joins the sets by these shingles, and each pair that is
 left is checked with its whole sets. The order puts shingles last that are frequent in a sample of the texts; any order gives the same pairs.
 
-Before whole sets are compared, pairs go whose fingerprints differ in more than ``RADIUS`` of 64 bits: unlike texts differ in 32, give or
-take 4, and those of a similarity of 0.8 in 10, give or take 3. Sets of under ``FEW`` shingles, which vary more, all stay. Only sets of
-different groups are compared. In a crowded bucket all sets are first checked against a few of them, and only pairs that these
-links do not join already are listed, so that a large group of near copies does not list all of its pairs.
+Before whole sets are compared, all shared shingles of a pair's prefixes are counted: what both sets hold up to the last of them beside
+these is in one set only, which rules out most pairs that share a passage and nothing else. Only sets of different groups are
+compared. In a crowded bucket all sets are first checked against a few of them, if their fingerprints differ in ``RADIUS`` bits at
+most, and only pairs that these links do not join already are listed, so that a large group of near copies does not list all of its
+pairs. That choice loses no link: what it leaves out is still listed.
 """
 
 from __future__ import annotations
@@ -94,29 +95,49 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(rows: DataFrame, cap: int) -> DataFrame:
-    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size) of equal keys that pass the filters."""
+    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size) of equal keys that pass the filters.
+
+    All shared keys of a pair's prefixes are counted. Up to the last of them, what a set holds beside the counted ones is not in the
+    other set, as both are in one order; so the count and what lies behind that place bound how much the sets can share.
+    """
     chunks = F.ceil(F.col("size") / cap).cast("int")
     dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    names = ["deal", "sk", "n", "pos", "comp"]
-    dealt = dealt.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("deal"), *names[1:])
-
-    def pairs(deal, sk, n, pos, comp):
-        at, step, out = np.arange(len(deal)), 1, []
+    names = ["deal", "sk", "n", "pos", "comp", "chunk", "mixed"]
+    dealt = dealt.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("deal"), "sk", "n", "pos", "comp", "chunk", (F.col("chunk") != F.col("other")).cast("int").alias("mixed"))
+
+    def summed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, b, na, nb, pos_a, pos_b, near = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((b, a))
+        a, b, na, nb, pos_a, pos_b, near = (x[order] for x in (a, b, na, nb, pos_a, pos_b, near))
+        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        count = np.diff(np.append(starts, len(a)))
+        most = [np.maximum.reduceat(x, starts) for x in (pos_a, pos_b, near)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[starts], b[starts], na[starts], nb[starts], count, *most)], names=["a", "b", "na", "nb", "shared", "pos_a", "pos_b", "near"])
+
+    def pairs(deal, sk, n, pos, comp, chunk, mixed):
+        # a set that several tasks wrote counts once
+        once = np.concatenate(([True], (deal[1:] != deal[:-1]) | (sk[1:] != sk[:-1])))
+        deal, sk, n, pos, comp, chunk, mixed = (x[once] for x in (deal, sk, n, pos, comp, chunk, mixed))
+        at, step, out, held = np.arange(len(deal)), 1, [], 0
         while len(at):
             at = at[at + step < len(deal)]
             at = at[deal[at] == deal[at + step]]
             i, j = at, at + step
-            # rows are sorted by size, so j is the larger set
-            keep = (comp[i] != comp[j]) & (5 * n[i] >= 4 * n[j])
+            # rows are sorted by size, so j is the larger set; two sets of one chunk meet where only this chunk is
+            keep = (comp[i] != comp[j]) & (5 * n[i] >= 4 * n[j]) & ((mixed[i] == 0) | (chunk[i] != chunk[j]))
             i, j = i[keep], j[keep]
             least = (4 * (n[i] + n[j]) + 8) // 9
-            keep = (pos[i] <= n[i] - (8 * n[i] + 8) // 9) & (n[i] - pos[i] >= least) & (n[j] - pos[j] >= least)
-            i, j = sk[i[keep]], sk[j[keep]]
-            out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+            near = (pos[i] <= n[i] - (8 * n[i] + 8) // 9) & (n[i] - pos[i] >= least) & (n[j] - pos[j] >= least)
+            if len(i):
+                out.append([sk[i], sk[j], n[i], n[j], pos[i], pos[j], near.astype(np.int64)])
+                held += len(i)
+            if held > 1 << 19:
+                yield summed(out)
+                out, held = [], 0
             step += 1
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if out:
+            yield summed(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -126,13 +147,16 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
             if len(held[0]) >= 1 << 17:
                 last = int(np.searchsorted(held[0], held[0][-1]))
                 if last:
-                    yield pairs(*(x[:last] for x in held))
+                    yield from pairs(*(x[:last] for x in held))
                     held = [x[last:] for x in held]
         if held is not None and len(held[0]):
-            yield pairs(*held)
+            yield from pairs(*held)
 
-    found = dealt.repartition(partitions(rows.sparkSession), "deal").sortWithinPartitions("deal", "n", "sk").mapInArrow(run, "a long, b long")
-    return found.where("a != b").distinct()
+    schema = "a long, b long, na long, nb long, shared long, pos_a long, pos_b long, near long"
+    found = dealt.repartition(partitions(rows.sparkSession), "deal").sortWithinPartitions("deal", "n", "sk").mapInArrow(run, schema)
+    found = found.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("pos_a", "pos_b", "near")))
+    behind = F.least(F.col("na") - F.col("pos_a"), F.col("nb") - F.col("pos_b")) - 1
+    return found.where((F.col("near") == 1) & (9 * (F.col("shared") + behind) >= 4 * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
 def _screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -224,12 +248,13 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
         shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    rest = _between(_verified(cut(_alike(_candidates(shared, cap), known)), texts, first, size), known)
+    rest = _between(_verified(cut(_candidates(shared, cap)), texts, first, size), known)
     return union([x for x in (equal, joined, rest) if x is not None])
 
 
 def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set keys whose fingerprints don't rule them out."""
+    """The pairs (a, b) of set keys that are likely links by their fingerprints: those of a similarity of 0.8 differ in 10 bits, give or
+    take 3, if no shingle is repeated much. Pairs that are left out here are compared later."""
     a, b = (known.select(F.col("sk").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n")) for c in "ab")
     bits = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp")))
     return pairs.join(a, "a").join(b, "b").where((bits <= RADIUS) | (F.least("a_n", "b_n") < FEW)).select("a", "b")

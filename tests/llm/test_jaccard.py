@@ -74,3 +74,14 @@ def test_stage_keeps_different_texts_of_one_id(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in got if r.doc_id != 8 and r.text and "more" not in r.text} >= {(1, texts[0]), (1, texts[1]), (7, texts[3])}
     assert len(got) == 5 and sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 7 for r in got) == 1 and sum(not r.text for r in got) == 1
     assert corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame([], "doc_id long, text string, n int"), str(tmp_path)).count() == 0
+
+
+def test_texts_with_repeated_lines_are_linked(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    extra = [" ".join(f"{c}{i}" for i in range(20)) for c in "xy"]
+    texts = [" ".join(words) + " " + " ".join([e] * 20) for e in extra] + [" ".join(f"z{rng.randrange(9999)}" for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similar=True).collect()}
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts[:2]]
+    assert bin(fps[0] ^ fps[1]).count("1") > 24 and got == {0: 0, 1: 0, 2: 2}

@@ -48,3 +48,9 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert ids["mixing"] <= ids["decontamination"] and kept["tokens"].count() == kept["mixing"].count()
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.collect())) == sorted(map(str, kept["tokens"].collect()))
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
