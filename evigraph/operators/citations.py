@@ -39,11 +39,23 @@ def resolve_citations(citations: DataFrame, universe: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).drop("_key", "_found", "lines")
 
 
-def partition_claims(resolved: DataFrame) -> DataFrame:
-    """(claim, kept, good, reasons): kept with at least one citation that resolves, else the reasons joined."""
+def partition_claims(resolved: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """(claim, kept, good, reasons): kept with at least one citation that resolves, else the problems in the order of citations.
+
+    ``claims`` adds those without any citation, which are dropped for that. The citations that a kept claim keeps are
+    ``surviving_citations``. A claim has few citations.
+    """
     good = F.count(F.when(F.col("problem").isNull(), 1))
-    reasons = F.concat_ws("; ", F.array_sort(F.collect_set("problem")))
-    return resolved.groupBy(*CLAIM).agg(good.alias("good"), reasons.alias("reasons")).select(*CLAIM, (F.col("good") > 0).alias("kept"), "good", F.when(F.col("good") == 0, F.col("reasons")).alias("reasons"))
+    problems = F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct("cite_no", "problem"))))
+    rows = resolved.groupBy(*CLAIM).agg(good.alias("good"), F.array_join(F.transform(problems, lambda p: p["problem"]), "; ").alias("reasons"))
+    if claims is not None:
+        rows = claims.select(*CLAIM).distinct().join(rows, CLAIM, "left").withColumns({"good": F.coalesce("good", F.lit(0)), "reasons": F.coalesce("reasons", F.lit("no citations"))})
+    return rows.select(*CLAIM, (F.col("good") > 0).alias("kept"), "good", F.when(F.col("good") == 0, F.col("reasons")).alias("reasons"))
+
+
+def surviving_citations(resolved: DataFrame) -> DataFrame:
+    """The citations that resolve, in their claims; a claim with one of them is kept with these alone."""
+    return resolved.where("problem is null").drop("problem")
 
 
 def validated_document(claims: DataFrame) -> DataFrame:
@@ -52,12 +64,20 @@ def validated_document(claims: DataFrame) -> DataFrame:
     return rows.withColumn("note", F.when(F.col("kept") == 0, "nothing could be verified"))
 
 
-def density_notes(resolved: DataFrame, files: DataFrame, least: int = 5) -> DataFrame:
-    """Documents that cite fewer distinct files than ``least`` or all there are."""
-    n = resolved.where("kind = 'source' and problem is null").groupBy("doc_id").agg(F.count_distinct("path").alias("cited"))
-    all_ = files.agg(F.least(F.count_distinct("path"), F.lit(least)).alias("wanted"))
-    docs = resolved.select("doc_id").distinct().join(n, "doc_id", "left").join(F.broadcast(all_))  # one row
-    return docs.select("doc_id", F.coalesce("cited", F.lit(0)).alias("cited"), "wanted").where("cited < wanted")
+# Sections that a narrative should have.
+SECTIONS = ("what", "structure", "entry", "hotspots", "caution")
+
+
+def density_notes(resolved: DataFrame, files: DataFrame, least: int = 5, canonical: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """(doc_id, note): what a document that kept a section leaves thin: fewer distinct files cited than ``least`` or all there are, and
+    canonical sections of which nothing was kept."""
+    kept = surviving_citations(resolved)
+    n = kept.groupBy("doc_id").agg(F.count_distinct(F.when(F.col("kind") == "source", F.col("path"))).alias("cited"), F.collect_set(F.when(F.col("section_id").isin(*canonical), F.col("section_id"))).alias("present"))
+    rows = n.join(F.broadcast(files.agg(F.count_distinct("path").alias("files"))))  # one row
+    absent = F.array_except(F.array(*map(F.lit, canonical)), "present")
+    thin = F.when(F.col("cited") < F.least(F.col("files"), F.lit(least)), F.concat(F.lit("narrative cites only "), F.col("cited").cast("string"), F.lit(" distinct file(s) of "), F.col("files").cast("string"), F.lit("; it may describe less of the project than it appears to")))
+    missing = F.when(F.size(absent) > 0, F.concat(F.lit("narrative sections absent: "), F.array_join(absent, ", ")))
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(thin, missing))).alias("note"))
 
 
 def condense(claims: DataFrame, k: int = 6) -> DataFrame:

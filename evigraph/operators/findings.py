@@ -166,11 +166,28 @@ def blocking_split(scoped: DataFrame) -> DataFrame:
 
 
 def review_report(status: DataFrame, eligible: DataFrame) -> DataFrame:
-    """(finding, publishable, place): validated and eligible ones first by severity and id, then what is withheld."""
+    """(finding, section, publishable, place): validated and eligible findings are publishable, suppressed ones stand apart, the rest is
+    withheld; each section by severity and id, the suppressed ones by id."""
     rows = status.join(eligible.select("run_id", "finding_id", "eligible", "severity"), ["run_id", "finding_id"], "left")
     rows = rows.withColumn("publishable", (F.col("status") == "validated") & F.coalesce("eligible", F.lit(False)))
-    w = Window.partitionBy("run_id", "publishable").orderBy(severity_rank(F.col("severity")), "finding_id")
-    return rows.select("run_id", "finding_id", "status", "publishable", F.row_number().over(w).alias("place"))
+    rows = rows.withColumn("section", F.when(F.col("status") == "suppressed", "suppressed").when(F.col("publishable"), "publishable").otherwise("withheld"))
+    severity = F.when(F.col("section") == "suppressed", 0).otherwise(severity_rank(F.col("severity")))
+    placed = ranked(rows.withColumn("_s", severity), ["run_id", "section"], [F.asc("_s"), F.asc("finding_id")], "place")
+    return placed.select("run_id", "finding_id", "status", "section", "publishable", "place")
+
+
+# Fixed values.
+STATUSES = ("validated", "rejected", "duplicate", "unresolved", "suppressed")
+COVERED, UNCOVERED = "All reviewers completed.", ("Coverage is INCOMPLETE: ", " did not complete, so defects in their scope may be missing from this report.")
+
+
+def report_counts(runs: DataFrame, status: DataFrame, failed_skills: DataFrame) -> DataFrame:
+    """(run_id, a count for each status, degraded, coverage_note): a run is degraded if a skill (run_id, skill) failed, and says which."""
+    n = status.groupBy("run_id").agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES))
+    failed = failed_skills.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("skill")), ", ").alias("failed"))
+    rows = runs.select("run_id").distinct().join(n, "run_id", "left").join(failed, "run_id", "left")
+    note = F.when(F.col("failed").isNull(), COVERED).otherwise(F.concat(F.lit(UNCOVERED[0]), "failed", F.lit(UNCOVERED[1])))
+    return rows.select("run_id", *(F.coalesce(s, F.lit(0)).alias(s) for s in STATUSES), F.col("failed").isNotNull().alias("degraded"), note.alias("coverage_note"))
 
 
 def funnel(candidates: DataFrame, status: DataFrame) -> DataFrame:

@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 RUN_CAP, TASK_CAP = 2_000_000, 400_000
 
 
-def list_runs(runs: DataFrame, snapshots: DataFrame, n: int = 100) -> DataFrame:
-    """The newest runs (run_id, created_at, status) with the size of their head graph."""
-    newest = runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)
-    return newest.join(snapshots.where("role = 'head'").select("run_id", "nodes", "edges"), "run_id", "left")
+def run_summaries(runs: DataFrame, revisions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """runs (run_id, repository_id, kind, status, created_at, head_revision_id, base_revision_id) with the shas of their revisions
+    (revision_id, sha) and the sizes of their graphs (snapshots: run_id, role, nodes, edges); a base graph counts only with a base."""
+    rows = runs
+    for role in ("head", "base"):
+        sha = revisions.select(F.col("revision_id").alias(f"{role}_revision_id"), F.col("sha").alias(f"{role}_sha"))
+        graph = snapshots.where(F.col("role") == role).select("run_id", F.col("nodes").alias(f"{role}_nodes"), F.col("edges").alias(f"{role}_edges"))
+        rows = rows.join(sha, f"{role}_revision_id", "left").join(graph, "run_id", "left")
+    based = [F.when(F.col("base_sha").isNotNull(), F.col(c)).alias(c) for c in ("base_nodes", "base_edges")]
+    return rows.select("run_id", "repository_id", "kind", "status", "created_at", "head_sha", "base_sha", "head_nodes", "head_edges", *based)
 
 
-def run_detail(runs: DataFrame, events: DataFrame) -> DataFrame:
-    """A row for each run with its events in order."""
+def list_runs(runs: DataFrame, revisions: DataFrame, snapshots: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` newest runs, ids ascending in time, as ``run_summaries``."""
+    return run_summaries(runs.orderBy(F.desc("run_id")).limit(n), revisions, snapshots)
+
+
+def run_detail(summaries: DataFrame, events: DataFrame, receipts: DataFrame) -> DataFrame:
+    """A row for each run with its events in order and its receipts (run_id, id, payload) in order, empty where it has none."""
     line = F.struct("seq", F.concat_ws(":", "stage", "event").alias("what"))
     detail = events.groupBy("run_id").agg(F.array_sort(F.collect_list(line)).alias("events"))
-    return runs.join(detail, "run_id", "left").select("run_id", F.coalesce(F.size("events"), F.lit(0)).alias("n"), F.array_join(F.transform("events", lambda e: e["what"]), ",").alias("events"))
+    proofs = receipts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("id", "payload"))).alias("receipts"))
+    rows = summaries.join(detail, "run_id", "left").join(proofs, "run_id", "left")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    listed = lambda c, x: F.coalesce(F.array_join(F.transform(c, lambda e: e[x]), ","), F.lit(""))
+    return rows.select(*summaries.columns, size("events").alias("n"), listed("events", "what").alias("events"), size("receipts").alias("n_receipts"), listed("receipts", "payload").alias("receipts"))
 
 
 def artifact_for(run_artifacts: DataFrame, role: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import G, components, cut, ranked
@@ -73,28 +73,44 @@ def gate_views(checks: DataFrame) -> DataFrame:
     return checks.select(*G, "view", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+def container_key(name: Column) -> Column:
+    """Letters, digits and inner underscores; ``c_`` before a digit or nothing."""
+    clean = F.trim(F.regexp_replace(name, "[^0-9A-Za-z_]", "_"), F.lit("_"))
+    return F.when(clean.rlike("^([0-9]|$)"), F.concat(F.lit("c_"), clean)).otherwise(clean)
+
+
 def containers(packages: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(containers, relationships): packages (id, name, version) with clean keys, the version kept where names meet; the first edge of
-    each pair by its id. depends: id, source, target, kind."""
+    """(containers, relationships): packages (id, name, version) with clean keys, the version kept where names meet; between two keys the
+    first edge by its id. depends: id, source, target, kind."""
     many = F.count("*").over(Window.partitionBy(*G, "name")) > 1
-    key = F.regexp_replace(F.when(many, F.concat_ws("_", "name", "version")).otherwise(F.col("name")), "[^A-Za-z0-9_]", "_")
-    boxes = packages.select(*G, "id", "name", key.alias("key"))
-    first = depends.groupBy(*G, "source", "target").agg(F.min_by("kind", "id").alias("kind"))
+    boxes = packages.select(*G, "id", "name", container_key(F.when(many, F.concat_ws("_", "name", "version")).otherwise(F.col("name"))).alias("key"))
     ends = [boxes.select(*G, F.col("id").alias(e), F.col("key").alias(f"{e}_key")) for e in ("source", "target")]
-    return boxes, first.join(ends[0], [*G, "source"]).join(ends[1], [*G, "target"]).select(*G, "source_key", "target_key", "kind")
+    links = depends.join(ends[0], [*G, "source"]).join(ends[1], [*G, "target"]).where("source_key != target_key")
+    first = links.groupBy(*G, "source_key", "target_key").agg(F.min_by(F.struct("kind", "id"), "id").alias("e"))
+    return boxes, first.select(*G, "source_key", "target_key", "e.kind", F.col("e.id").alias("evidence"))
+
 
+def in_repo_architecture(boxes: DataFrame, relationships: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(containers, relationships, checks) of each snapshot's own packages (name).
 
-def in_repo_architecture(boxes: DataFrame, relationships: DataFrame, own: DataFrame) -> DataFrame:
-    """Per snapshot the containers of its own packages (name), the relationships between them and how many were dropped."""
-    mine = boxes.join(own.select(*G, "name").distinct(), [*G, "name"], "left_semi")
-    keys = mine.select(*G, "key")
-    kept = relationships
+    containers: key, name, level, fan_in, fan_out, over the relationships that have both ends among them. checks: containers,
+    relationships, dropped (packages that aren't drawn), and by ``readability`` the density, largest degree and whether it can be read.
+    """
+    mine = cut(boxes.join(own.select(*G, "name").distinct(), [*G, "name"], "left_semi"))
+    keys, kept = mine.select(*G, "key").distinct(), relationships
     for e in ("source_key", "target_key"):
         kept = kept.join(keys.withColumnRenamed("key", e), [*G, e], "left_semi")
-    n = mine.groupBy(*G).agg(F.count("*").alias("containers"))
-    k = kept.groupBy(*G).agg(F.count("*").alias("kept"))
-    a = relationships.groupBy(*G).agg(F.count("*").alias("all"))
-    return n.join(k, list(G), "left").join(a, list(G), "left").select(*G, "containers", F.coalesce("kept", F.lit(0)).alias("relationships"), (F.coalesce("all", F.lit(0)) - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    kept = cut(kept)
+    levels = layered(kept.select(*G, F.col("source_key").alias("src"), F.col("target_key").alias("dst")), keys.withColumnRenamed("key", "path"))
+    rows = mine.join(levels.select(*G, F.col("path").alias("key"), "level"), [*G, "key"])
+    for e, fan in (("target_key", "fan_in"), ("source_key", "fan_out")):
+        rows = rows.join(kept.groupBy(*G, F.col(e).alias("key")).agg(F.count("*").alias(fan)), [*G, "key"], "left").withColumn(fan, F.coalesce(fan, F.lit(0)))
+    view = F.lit("architecture").alias("view")
+    checks = readability(mine.select(*G, view, F.col("key").alias("node")), kept.select(*G, view, F.col("source_key").alias("source"), F.col("target_key").alias("target")))
+    dropped = boxes.groupBy(*G).agg(F.count("*").alias("all"))
+    checks = dropped.join(checks.drop("view"), list(G), "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+    checks = checks.select(*G, F.col("nodes").alias("containers"), F.coalesce("edges", F.lit(0)).alias("relationships"), (F.col("all") - F.col("nodes")).alias("dropped"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("readable", F.lit(True)).alias("readable"))
+    return rows.select(*G, "key", "name", "level", "fan_in", "fan_out"), kept, checks
 
 
 def level_groups(levels: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -807,12 +807,21 @@ def n10_resolve_status(i):
     return status(i)
 
 
-@query(STATUS + "SELECT run_id, finding_id, status, publishable, row_number() OVER (PARTITION BY run_id, publishable ORDER BY CASE WHEN verdict IS NULL THEN 6 ELSE CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END END, finding_id) AS place FROM (SELECT *, status = 'validated' AND CAST(substr(finding_id, 3) AS BIGINT) % 2 = 0 AND CAST(substr(finding_id, 3) AS BIGINT) // 2 % 8 <> 7 AS publishable FROM st)", "findings", "verdicts")
+@query(STATUS + "SELECT run_id, finding_id, status, section, publishable, row_number() OVER (PARTITION BY run_id, section ORDER BY CASE WHEN section = 'suppressed' THEN 0 WHEN verdict IS NULL THEN 6 ELSE CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END END, finding_id) AS place FROM (SELECT *, CASE WHEN status = 'suppressed' THEN 'suppressed' WHEN publishable THEN 'publishable' ELSE 'withheld' END AS section FROM (SELECT *, status = 'validated' AND CAST(substr(finding_id, 3) AS BIGINT) % 2 = 0 AND CAST(substr(finding_id, 3) AS BIGINT) // 2 % 8 <> 7 AS publishable FROM st))", "findings", "verdicts")
 def n13_review_report(i):
     eligible = N.eligibility(_proved(i)).join(i.findings.select("run_id", "finding_id", "severity"), ["run_id", "finding_id"])
     return N.review_report(status(i), eligible)
 
 
+FAILED = "category = 'error' AND severity = 'critical' AND run_id IN ('run0', 'run2')"
+
+
+@query(STATUS + f", failed AS (SELECT run_id, string_agg(DISTINCT skill, ', ' ORDER BY skill) AS skills FROM findings WHERE {FAILED} GROUP BY run_id) SELECT st.run_id, count(*) FILTER (status = 'validated') AS validated, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'suppressed') AS suppressed, any_value(skills) IS NOT NULL AS degraded, CASE WHEN any_value(skills) IS NULL THEN 'All reviewers completed.' ELSE 'Coverage is INCOMPLETE: ' || any_value(skills) || ' did not complete, so defects in their scope may be missing from this report.' END AS coverage_note FROM st LEFT JOIN failed ON failed.run_id = st.run_id GROUP BY st.run_id", "findings", "verdicts")
+def n13_report_counts(i):
+    """In some runs, the skills of critical errors count as failed."""
+    return N.report_counts(i.findings, status(i), i.findings.where(FAILED).select("run_id", "skill"))
+
+
 @query("SELECT f.run_id, coalesce(v.status, 'candidate') AS status, count(*) AS n FROM findings f LEFT JOIN verdicts v ON v.finding_id = f.finding_id GROUP BY ALL UNION ALL SELECT run_id, 'proposed', count(*) FROM findings GROUP BY ALL", "findings", "verdicts")
 def n14_funnel(i):
     return N.funnel(i.findings, i.verdicts)
@@ -881,7 +890,7 @@ def n24_verify_requirements(i):
 
 # --- citations -----------------------------------------------------------------------------------------------------------------
 
-RESOLVED = "AND files2 AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS lines FROM docs), res AS (SELECT c.*, CASE WHEN f.path IS NULL THEN 'unknown source' WHEN end_line < start_line THEN 'the range is reversed' WHEN end_line > lines THEN 'the range ends behind the file' END AS problem FROM citations c LEFT JOIN files2 f ON f.path = c.path), claims AS (SELECT doc_id, section_id, claim_no, count(*) FILTER (problem IS NULL) > 0 AS kept, count(*) FILTER (problem IS NULL) AS good, CASE WHEN count(*) FILTER (problem IS NULL) = 0 THEN string_agg(DISTINCT problem, '; ' ORDER BY problem) END AS reasons FROM res GROUP BY ALL) "
+RESOLVED = "AND files2 AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS lines FROM docs), res AS (SELECT c.*, CASE WHEN f.path IS NULL THEN 'unknown source' WHEN end_line < start_line THEN 'the range is reversed' WHEN end_line > lines THEN 'the range ends behind the file' END AS problem FROM citations c LEFT JOIN files2 f ON f.path = c.path), claims AS (SELECT doc_id, section_id, claim_no, count(*) FILTER (problem IS NULL) > 0 AS kept, count(*) FILTER (problem IS NULL) AS good, CASE WHEN count(*) FILTER (problem IS NULL) = 0 THEN string_agg(problem, '; ' ORDER BY cite_no) END AS reasons FROM res GROUP BY ALL) "
 CITED = ("citations", "docs")
 
 
@@ -897,9 +906,17 @@ def k1_resolve_citations(i):
     return resolved(i).select("doc_id", "section_id", "claim_no", "cite_no", "problem")
 
 
-@query(RESOLVED + "SELECT * FROM claims", *CITED)
+@query(RESOLVED + "SELECT * FROM claims UNION ALL SELECT DISTINCT doc_id, 'none', 0, false, 0, 'no citations' FROM res", *CITED)
 def k3_partition_claims(i):
-    return K.partition_claims(resolved(i))
+    """With a claim without citations in each document."""
+    rows = resolved(i)
+    bare = rows.select("doc_id", F.lit("none").alias("section_id"), F.lit(0).alias("claim_no")).distinct()
+    return K.partition_claims(rows, rows.select(*K.CLAIM).unionByName(bare))
+
+
+@query(RESOLVED + "SELECT c.doc_id, c.section_id, c.claim_no, cite_no, path, start_line, end_line FROM res c JOIN claims USING (doc_id, section_id, claim_no) WHERE kept AND problem IS NULL", *CITED)
+def k3_surviving_citations(i):
+    return K.surviving_citations(resolved(i)).select(*K.CLAIM, "cite_no", "path", "start_line", "end_line")
 
 
 @query(RESOLVED + "SELECT doc_id, count(DISTINCT section_id) FILTER (kept) AS sections, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped, CASE WHEN count(*) FILTER (kept) = 0 THEN 'nothing could be verified' END AS note FROM claims GROUP BY doc_id", *CITED)
@@ -907,9 +924,10 @@ def k4_validated_document(i):
     return K.validated_document(K.partition_claims(resolved(i)))
 
 
-@query(RESOLVED + "SELECT doc_id, count(DISTINCT path) FILTER (problem IS NULL) AS cited, 5 AS wanted FROM res GROUP BY doc_id HAVING count(DISTINCT path) FILTER (problem IS NULL) < 5", *CITED)
+@query(RESOLVED + ", n AS (SELECT doc_id, count(DISTINCT path) AS cited, list_sort(list_distinct(list(section_id))) AS present, (SELECT count(DISTINCT path) FROM docs) AS files FROM res WHERE problem IS NULL GROUP BY doc_id) SELECT doc_id, 'narrative cites only ' || cited || ' distinct file(s) of ' || files || '; it may describe less of the project than it appears to' AS note FROM n WHERE cited < least(5, files) UNION ALL SELECT doc_id, 'narrative sections absent: ' || array_to_string(list_filter(['2', '0', '7', '1'], lambda x: NOT list_contains(present, x)), ', ') FROM n", *CITED)
 def k5_density_notes(i):
-    return K.density_notes(resolved(i), i.docs)
+    """Against four canonical sections, of which no document has one."""
+    return K.density_notes(resolved(i), i.docs, canonical=("2", "0", "7", "1"))
 
 
 @query(RESOLVED + "SELECT doc_id, section_id, claim_no, rank, greatest(total - 6, 0) AS remainder FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, claim_no) AS rank, count(*) OVER (PARTITION BY doc_id) AS total FROM claims WHERE kept) WHERE rank <= 6", *CITED)
@@ -927,16 +945,30 @@ def k8_answer_memo(i):
 # --- ledgers -------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(o_orderkey AS STRING) AS run_id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS STRING) DESC LIMIT 100")
+RUNS = """SELECT lpad(CAST(o_orderkey AS STRING), 12, '0') AS run_id, 'main' AS repository_id, CASE WHEN o_orderkey % 3 = 0 THEN 'snapshot' ELSE 'pull-request' END AS kind, o_orderstatus AS status,
+       o_orderdate AS created_at, o_custkey AS head_revision_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7 END AS base_revision_id FROM orders"""
+SIZES = "SELECT lpad(CAST(l_orderkey AS STRING), 12, '0') AS run_id, CASE WHEN l_linenumber % 2 = 1 THEN 'head' ELSE 'base' END AS role, count(*) AS nodes, CAST(sum(l_quantity) AS BIGINT) AS edges FROM lineitem GROUP BY 1, 2"
+SHAS = "SELECT c_custkey AS revision_id, 'sha' || c_name AS sha FROM customer"
+SUMMED = f"summed AS (SELECT r.run_id, repository_id, kind, status, created_at, h.sha AS head_sha, b.sha AS base_sha, x.nodes AS head_nodes, x.edges AS head_edges, CASE WHEN b.sha IS NOT NULL THEN y.nodes END AS base_nodes, CASE WHEN b.sha IS NOT NULL THEN y.edges END AS base_edges FROM ({RUNS}) r LEFT JOIN ({SHAS}) h ON h.revision_id = head_revision_id LEFT JOIN ({SHAS}) b ON b.revision_id = base_revision_id LEFT JOIN ({SIZES}) x ON x.run_id = r.run_id AND x.role = 'head' LEFT JOIN ({SIZES}) y ON y.run_id = r.run_id AND y.role = 'base')"
+
+
+def ledger_of(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as runs, customers as revisions, lines as the graphs' nodes."""
+    read = lambda text, name: i.spark.sql(text.replace(f"FROM {name}", f"FROM {{{name}}} AS {name}"), **{name: getattr(i, name)})
+    return read(RUNS, "orders"), read(SHAS, "customer"), read(SIZES, "lineitem")
+
+
+@query(f"WITH {SUMMED} SELECT * FROM summed ORDER BY run_id DESC LIMIT 100")
 def l1_list_runs(i):
-    runs = i.orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
-    none = runs.where("false").select("run_id", F.lit("head").alias("role"), F.lit(0).alias("nodes"), F.lit(0).alias("edges"))
-    return L.list_runs(runs, none).select("run_id", "status")
+    return L.list_runs(*ledger_of(i))
 
 
-@query("SELECT run_id, count(*) AS n, string_agg(stage || ':' || event, ',' ORDER BY seq) AS events FROM run_events GROUP BY run_id", "run_events")
+@query(f"AND {SUMMED}, ev AS (SELECT lpad(substr(run_id, 2), 12, '0') AS run_id, count(*) AS n, string_agg(stage || ':' || event, ',' ORDER BY seq) AS events FROM run_events GROUP BY 1), rc AS (SELECT lpad(substr(run_id, 2), 12, '0') AS run_id, count(*) AS n, string_agg(sha256, ',' ORDER BY id) AS receipts FROM run_artifacts GROUP BY 1) SELECT s.run_id, status, head_sha, base_sha, coalesce(ev.n, 0) AS n, coalesce(events, '') AS events, coalesce(rc.n, 0) AS n_receipts, coalesce(receipts, '') AS receipts FROM summed s LEFT JOIN ev USING (run_id) LEFT JOIN rc USING (run_id)", "run_events", "run_artifacts")
 def l2_run_detail(i):
-    return L.run_detail(i.run_events.select("run_id").distinct(), i.run_events)
+    name = F.lpad(F.expr("substring(run_id, 2)"), 12, "0")
+    receipts = i.run_artifacts.select(name.alias("run_id"), "id", F.col("sha256").alias("payload"))
+    found = L.run_detail(L.run_summaries(*ledger_of(i)), i.run_events.withColumn("run_id", name), receipts)
+    return found.select("run_id", "status", "head_sha", "base_sha", "n", "events", "n_receipts", "receipts")
 
 
 @query("SELECT run_id, max_by(sha256, id) AS sha256 FROM run_artifacts WHERE role = 'graph' GROUP BY run_id", "run_artifacts")
@@ -1336,18 +1368,35 @@ def sc16_anchor_lines(i):
     return S.anchor_lines(key, i.docs.select("path", "text")).select("key_id", "path", "line")
 
 
-@query(DEPS + OWNED.replace("AND", ",") + ", pe AS (SELECT DISTINCT w.revision, a.package AS source, b.package AS target FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package) SELECT 'main' AS repository_id, revision, source AS source_key, target AS target_key, 'depends-on' AS kind FROM pe", *GRAPH, "packages")
-def w6_containers(i):
+#: Packages under names that need cleaning.
+ODD = "CASE package WHEN 'ASIA' THEN '_ASIA-x_' WHEN 'AFRICA' THEN '2.AFRICA' WHEN 'EUROPE' THEN '' ELSE package END"
+BOXES = DEPS + OWNED.replace("AND", ",") + ", keyed AS (SELECT DISTINCT revision, package, CASE package WHEN 'ASIA' THEN 'ASIA_x' WHEN 'AFRICA' THEN 'c_2_AFRICA' WHEN 'EUROPE' THEN 'c_' ELSE package END AS key FROM packages), pe AS (SELECT DISTINCT w.revision, a.package AS source, b.package AS target FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package), own AS (SELECT * FROM pe WHERE source <> 'CATALOG' AND target <> 'CATALOG') "
+
+
+def boxes_of(i: Inputs) -> tuple[DataFrame, DataFrame]:
     edges = W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
-    boxes = i.packages.select(*G, F.col("package").alias("id"), F.col("package").alias("name"), "version")
-    return W.containers(boxes, edges.select(*G, F.concat("source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))[1]
+    boxes = i.packages.select(*G, F.col("package").alias("id"), F.expr(ODD).alias("name"), "version")
+    return W.containers(boxes, edges.select(*G, F.concat_ws(">", "source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))
+
+
+def architecture_of(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All packages but the catalog are the repository's own."""
+    return W.in_repo_architecture(*boxes_of(i), i.packages.where("package != 'CATALOG'").select(*G, F.expr(ODD).alias("name")))
+
+
+@query(BOXES + "SELECT 'main' AS repository_id, pe.revision, a.key AS source_key, b.key AS target_key, 'depends-on' AS kind, source || '>' || target AS evidence FROM pe JOIN keyed a ON a.package = source AND a.revision = pe.revision JOIN keyed b ON b.package = target AND b.revision = pe.revision", *GRAPH, "packages")
+def w6_containers(i):
+    return boxes_of(i)[1]
 
 
-@query(DEPS + OWNED.replace("AND", ",") + ", pe AS (SELECT DISTINCT w.revision, a.package AS source, b.package AS target FROM weights w JOIN owned a ON a.path = w.src AND a.revision = w.revision JOIN owned b ON b.path = w.dst AND b.revision = w.revision WHERE a.package <> b.package) SELECT 'main' AS repository_id, revision, (SELECT count(DISTINCT package) FROM packages p WHERE p.revision = x.revision AND package <> 'CATALOG') AS containers, (SELECT count(*) FROM pe WHERE pe.revision = x.revision AND source <> 'CATALOG' AND target <> 'CATALOG') AS relationships, (SELECT count(*) FROM pe WHERE pe.revision = x.revision AND (source = 'CATALOG' OR target = 'CATALOG')) AS dropped FROM (SELECT DISTINCT revision FROM packages) x", *GRAPH, "packages")
+@query("RECURSIVE " + BOXES + f", walk AS (SELECT revision, package, 0 AS d FROM keyed WHERE package <> 'CATALOG' UNION SELECT w.revision, o.source, d + 1 FROM walk w JOIN own o ON o.target = w.package AND o.revision = w.revision) SELECT 'main' AS repository_id, revision, key, {ODD} AS name, (SELECT max(d) FROM walk w WHERE w.package = k.package AND w.revision = k.revision) AS level, (SELECT count(*) FROM own WHERE target = k.package AND own.revision = k.revision) AS fan_in, (SELECT count(*) FROM own WHERE source = k.package AND own.revision = k.revision) AS fan_out FROM keyed k WHERE package <> 'CATALOG'", *GRAPH, "packages")
 def w7_in_repo_architecture(i):
-    edges = W.package_edges(O.weighted_deps(i.nodes, i.edges), owners(i))
-    boxes, links = W.containers(i.packages.select(*G, F.col("package").alias("id"), F.col("package").alias("name"), "version"), edges.select(*G, F.concat("source", "target").alias("id"), "source", "target", F.lit("depends-on").alias("kind")))
-    return W.in_repo_architecture(boxes, links, i.packages.where("package != 'CATALOG'").select(*G, F.col("package").alias("name")))
+    return architecture_of(i)[0]
+
+
+@query(BOXES + "SELECT 'main' AS repository_id, revision, count(*) FILTER (package <> 'CATALOG') AS containers, (SELECT count(*) FROM own WHERE own.revision = k.revision) AS relationships, count(*) FILTER (package = 'CATALOG') AS dropped, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT revision, source AS p FROM own UNION ALL SELECT revision, target FROM own) e WHERE e.revision = k.revision GROUP BY p)) AS degree, true AS readable FROM keyed k GROUP BY revision", *GRAPH, "packages")
+def w7_architecture_checks(i):
+    return architecture_of(i)[2]
 
 
 # --- operators without a query above -------------------------------------------------------------------------------------------
