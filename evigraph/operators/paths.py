@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -135,13 +136,46 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, node_kinds: list[str], edge
     return n, e, rows.select(*G, (zero("an") - zero("kn")).alias("hidden_nodes"), (zero("ae") - zero("ke")).alias("hidden_edges"))
 
 
-def rank_matches(nodes: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
+#: Parts of a label index by gram; a search reads those of its queries' grams.
+GRAM_PARTS = 64
+
+
+@dataclass(frozen=True)
+class LabelIndex:
+    """grams: part, gram, then G, id and label for each two and three characters in a row of a label; sizes: gram, n labels with it."""
+
+    grams: DataFrame
+    sizes: DataFrame
+
+
+def label_index(nodes: DataFrame, path: str) -> LabelIndex:
+    """The grams of all labels, written below ``path`` once for any number of searches; labels of under two characters have none."""
+    label, spark = F.lower("label"), nodes.sparkSession
+    of = lambda n: F.when(F.length(label) >= n, F.transform(F.sequence(F.lit(1), F.length(label) - (n - 1)), lambda i: F.substring(label, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    rows = nodes.where("label is not null").select(*G, "id", "label", F.explode(F.array_distinct(F.concat(of(2), of(3)))).alias("gram"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(GRAM_PARTS)).cast("int"))
+    # a part in files by gram, so that a frequent gram does not make one task or file of its part
+    rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/grams")
+    grams = spark.read.schema(rows.schema).parquet(f"{path}/grams")
+    grams.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
+    return LabelIndex(grams, spark.read.parquet(f"{path}/sizes"))
+
+
+def rank_matches(index: LabelIndex, queries: DataFrame, k: int = 12) -> DataFrame:
     """(query, rank, id, class): six classes of matches of a label and of its part behind the last slash, then shorter labels, then label
-    and id. Queries of at least two characters are joined to the labels that hold their first two."""
+    and id. Queries have at least two characters.
+
+    Every label that holds a query holds all of its grams, so only the labels under the query's rarest gram are looked at, and a query
+    with a gram that no label has finds nothing. Rows behind the first ``k`` go in each task before they are shuffled.
+    """
     q, label = F.col("_q"), F.lower("label")
-    asked = queries.select("query", F.lower(F.trim("query")).alias("_q")).where(F.length("_q") >= 2).distinct().withColumn("_two", F.substring("_q", 1, 2))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(label) - 1), lambda i: F.substring(label, i, F.lit(2)))
-    rows = nodes.select(*G, "id", "label").where(F.length(label) >= 2).withColumn("_two", F.explode(F.array_distinct(pairs))).join(asked, "_two")
+    asked = queries.select("query", F.lower(F.trim("query")).alias("_q")).where(F.length("_q") >= 2).distinct()
+    width = F.least(F.length(q), F.lit(3))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(q) - width + 1), lambda i: F.substring(q, i, width)))
+    known = asked.select("query", "_q", F.size(grams).alias("_all"), F.explode(grams).alias("gram")).join(index.sizes, "gram")
+    rarest = known.groupBy("query", "_q", "_all").agg(F.count("*").alias("_met"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("_met = _all")
+    rarest = rarest.select("query", "_q", "gram", F.pmod(F.xxhash64("gram"), F.lit(GRAM_PARTS)).cast("int").alias("part"))
+    rows = index.grams.join(rarest, ["part", "gram"])
     base = F.element_at(F.split(label, "/"), -1)
     score = F.when(label == q, 0).when(base == q, 1).when(label.startswith(q), 2).when(base.startswith(q), 3).when(base.contains(q), 4).when(label.contains(q), 5)
     rows = rows.withColumn("class", score).where("class is not null")

@@ -333,9 +333,12 @@ def x5_edge_delta(i):
     return X.edge_delta(*edge_sides(i), *sides(i))
 
 
-@query("SELECT DISTINCT 'main' AS repository_id, package AS name, '0.1.0' AS before, '0.2.0' AS after FROM packages", "packages")
+@query("SELECT DISTINCT 'main' AS repository_id, package AS name, '0.1.0' AS before, CASE package WHEN 'EUROPE' THEN '1.0.0-rc.1+b@2' ELSE '0.2.0' END AS after FROM packages WHERE package <> 'ASIA'", "packages")
 def x6_version_changes(i):
-    return X.version_changes(*sides(i))
+    """One package keeps its version, another gets one of another form."""
+    odd = F.when(F.col("id") == "pkg:cargo/ASIA@0.2.0", "pkg:cargo/ASIA@0.1.0").when(F.col("id") == "pkg:cargo/EUROPE@0.2.0", "pkg:cargo/EUROPE@1.0.0-rc.1+b@2").otherwise(F.col("id"))
+    nodes = i.nodes.withColumn("id", odd)
+    return X.version_changes(*(X.keyed_nodes(nodes.where(F.col("revision") == r)) for r in ("base", "head")))
 
 
 @query(None)
@@ -346,9 +349,11 @@ def x7_rename_guesses(i):
     return X.rename_guesses(pick(base, "removed"), pick(head, "added"))
 
 
-@query("SELECT 'main' AS repository_id, 0 AS n")
+@query("SELECT 'main' AS repository_id, count(DISTINCT label) AS n FROM versioned WHERE kind = 'constant' AND label LIKE '%7'", "versioned")
 def x8_unnormalized_count(i):
-    return X.unnormalized_count(*sides(i))
+    """Some constants have ids of a scheme whose versions nobody knows."""
+    nodes = i.nodes.withColumn("id", F.when((F.col("kind") == "constant") & F.col("label").endswith("7"), F.concat(F.lit("local "), "label")).otherwise(F.col("id")))
+    return X.unnormalized_count(*(X.keyed_nodes(nodes.where(F.col("revision") == r)) for r in ("base", "head")))
 
 
 @query(KEYED + "SELECT 'main' AS repository_id, (SELECT count(*) FROM delta WHERE change = 'added') AS nodes_added, (SELECT count(*) FROM delta WHERE change = 'removed') AS nodes_removed, (SELECT count(*) FROM ke c WHERE revision = 'head' AND NOT EXISTS (SELECT 1 FROM ke a WHERE a.revision = 'base' AND a.source = c.source AND a.kind = c.kind AND a.target = c.target)) AS edges_added, (SELECT count(*) FROM ke c WHERE revision = 'base' AND NOT EXISTS (SELECT 1 FROM ke a WHERE a.revision = 'head' AND a.source = c.source AND a.kind = c.kind AND a.target = c.target)) AS edges_removed, (SELECT count(*) FROM b JOIN h ON b.key = h.key WHERE b.path <> h.path) AS nodes_moved", "nodes", "edges")
@@ -652,7 +657,7 @@ def p10_filter_graph(i):
 
 @query("AND q(query) AS (VALUES ('asia'), ('01'), ('brand'), ('supply.t'), ('Household.T ')), n AS (SELECT repository_id, revision, id, label, lower(label) AS l, split_part(lower(label), '/', -1) AS b FROM nodes), c AS (SELECT n.*, query, CASE WHEN l = k THEN 0 WHEN b = k THEN 1 WHEN starts_with(l, k) THEN 2 WHEN starts_with(b, k) THEN 3 WHEN contains(b, k) THEN 4 ELSE 5 END AS class FROM n JOIN (SELECT query, lower(trim(query)) AS k FROM q) ON contains(l, k)) SELECT repository_id, revision, query, rank, id, class FROM (SELECT *, row_number() OVER (PARTITION BY revision, query ORDER BY class, length(label), label, id) AS rank FROM c) WHERE rank <= 12", "nodes")
 def p11_rank_matches(i):
-    return T.rank_matches(i.nodes, i.spark.createDataFrame([("asia",), ("01",), ("x",), ("brand",), ("supply.t",), ("Household.T ",)], "query string"))
+    return T.rank_matches(T.label_index(i.nodes, shared_path(i.spark, "labels")), i.spark.createDataFrame([("asia",), ("01",), ("x",), ("brand",), ("supply.t",), ("Household.T ",)], "query string"))
 
 
 @query("SELECT repository_id, revision, path, row_number() OVER (PARTITION BY revision, path ORDER BY CASE kind WHEN 'type' THEN 1 WHEN 'constant' THEN 2 ELSE 3 END, used_by DESC, label, id) AS n, id, used_by FROM (SELECT v.*, coalesce(u.n, 0) AS used_by FROM versioned v LEFT JOIN (SELECT revision, target, count(DISTINCT source) AS n FROM edges GROUP BY ALL) u ON u.target = v.id AND u.revision = v.revision)", "versioned", "edges")
@@ -734,9 +739,10 @@ def n4_enclosing_definition(i):
     return N.enclosing_definition(i.findings, i.findings.where("severity = 'high'").withColumn("id", F.col("finding_id")))
 
 
-@query("SELECT finding_id, 'sha256:' || sha256('{\"category\":\"' || category || '\",\"path\":\"' || path || '\",\"symbol\":null}') AS fingerprint FROM findings", "findings")
+@query("SELECT finding_id, 'sha256:' || sha256('{\"category\":\"' || category || '\",\"path\":\"' || path || '\",\"symbol\":' || CASE WHEN severity = 'low' THEN 'null' ELSE '\"' || skill || '\"' END || '}') AS fingerprint FROM findings", "findings")
 def n5_fingerprint(i):
-    return i.findings.select("finding_id", N.fingerprint(F.col("category"), F.col("path"), F.lit(None).cast("string")).alias("fingerprint"))
+    symbol = F.when(F.col("severity") != "low", F.col("skill"))
+    return i.findings.select("finding_id", N.fingerprint(F.col("category"), F.col("path"), symbol).alias("fingerprint"))
 
 
 @query("AND m AS (SELECT path, category, start_line, end_line FROM findings WHERE severity = 'low') SELECT DISTINCT run_id, finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM m WHERE m.path = f.path AND m.category = f.category AND f.start_line <= m.end_line AND m.start_line <= f.end_line)", "findings")

@@ -277,10 +277,10 @@ def test_layers_and_entries(spark):
     assert got == {"src/lib.rs": "library root (lib.rs)", "src/main.rs": "binary root (main.rs); defines `main` (program)", "tests/t.rs": "defines `main` (example or test)", "web/index.ts": "library root (index.ts)"}
 
 
-def test_ranked_search(spark):
+def test_ranked_search(spark, tmp_path):
     labels = ["src/searcher", "Searcher", "searcher_x", "src/searcher.rs", "my/a_searcher", "searcher/other", "none"]
     nodes = spark.createDataFrame([("r", "1", str(i), x) for i, x in enumerate(labels)], "repository_id string, revision string, id string, label string")
-    got = [(r.id, r["class"]) for r in T.rank_matches(nodes, spark.createDataFrame([("searcher",), ("s",)], "query string")).orderBy("rank").collect()]
+    got = [(r.id, r["class"]) for r in T.rank_matches(T.label_index(nodes, str(tmp_path)), spark.createDataFrame([("searcher",), ("s",), ("searchest",)], "query string")).orderBy("rank").collect()]
     assert got == [("1", 0), ("0", 1), ("2", 2), ("5", 2), ("3", 3), ("4", 4)]
 
 
