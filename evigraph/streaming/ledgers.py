@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def stage_status(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -17,34 +17,61 @@ def stage_status(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return timed.groupBy("run_id", "stage").agg(F.max_by("event", F.struct("at", "seq")).alias("status"), F.max("at").alias("at"))
 
 
-def stuck_stages(events: DataFrame, after: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Append mode: a row for each stage that started and has no end when event time has passed ``after`` its start."""
-    wait = int(pd.Timedelta(after).total_seconds() * 1000)
+def timed_state(events: DataFrame) -> None:
+    """State with timers is kept in RocksDB. A stream that goes on from a checkpoint keeps the provider that it began with."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class StuckStage(StatefulProcessor):
+    """When a stage started, until it ends or ``wait`` milliseconds have passed: a timer for its end of patience."""
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.started = handle.getValueState("started", "ms long")
+
+    def forget(self) -> None:
+        self.started.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "stage": [key[1]], "started_ms": [started]})
-            return
-        started, ended = (state.get[0] if state.exists else None), False
-        for b in batches:
-            for r in b.sort_values("seq").itertuples():
-                if r.event == "started":
-                    started, ended = int(r.at.timestamp() * 1000), False
-                elif r.event in ("finished", "failed"):
-                    ended = True
-        if ended:
-            if state.exists:
-                state.remove()
-        elif started is not None:
-            state.update((started,))
-            state.setTimeoutTimestamp(max(started + wait, state.getCurrentWatermarkMs() + 1))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # the batches of a key come in no order
+        last = None
+        for b in rows:
+            known = b[b.event.isin(["started", "finished", "failed"])].sort_values("seq")
+            if len(known) and (last is None or known.seq.iloc[-1] > last.seq):
+                last = known.iloc[-1]
+        if last is not None:
+            self.forget()
+            if last.event == "started":
+                ms = int(last["at"].timestamp() * 1000)
+                self.started.update((ms,))
+                self.handle.registerTimer(max(ms + self.wait, timerValues.getCurrentWatermarkInMs() + 1))
         yield from ()
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.started.exists():
+            (ms,) = self.started.get()
+            self.started.clear()
+            yield pd.DataFrame({"run_id": [key[0]], "stage": [key[1]], "started_ms": [ms]}).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_stages(events: DataFrame, after: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Append mode: a row for each stage that started and has no end when event time has passed ``after`` its start.
+
+    The latest event of a batch decides. A stage that ended, or was reported, has neither state nor timer left.
+    """
+    timed_state(events)
     timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness)
     grouped = timed.select("run_id", "stage", "event", "seq", "at").groupBy("run_id", "stage")
-    return grouped.applyInPandasWithState(run, "run_id string, stage string, started_ms long", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+    wait = int(pd.Timedelta(after).total_seconds() * 1000)
+    return grouped.transformWithStateInPandas(StuckStage(wait), "run_id string, stage string, started_ms long", "Append", "EventTime")
 
 
 #: Parts of a table by key, of which a batch reads those that its own keys fall into.
@@ -92,24 +119,41 @@ def run_sessions(invocations: DataFrame, gap: str = "30 minutes", lateness: str
     return sums.select("run_id", F.col("s.start").alias("from_at"), F.col("s.end").alias("to_at"), "tokens", "n")
 
 
-def budget_alerts(invocations: DataFrame, cap: int, idle: str = "7 days", lateness: str = "10 minutes") -> DataFrame:
-    """Append mode: one row for each run whose token total passes ``cap``, as it does. A run without a call for ``idle`` of event time is
-    over: its state goes, and a later call starts anew."""
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+class RunBudget(StatefulProcessor):
+    """A run's tokens, whether it was told that they pass ``cap``, and a timer that forgets it ``idle`` milliseconds after its last call."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, told, last = state.get if state.exists else (0, False, 0)
-        for b in batches:
+    def __init__(self, cap: int, idle: int):
+        self.cap, self.idle = cap, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", "total long, told boolean, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total, told, last = self.spent.get() if self.spent.exists() else (0, False, 0)
+        for b in rows:
             total += int(b.tokens.sum())
             last = max(last, int(b["at"].max().timestamp() * 1000))
-        if total > cap and not told:
-            told = True
-            yield pd.DataFrame({"run_id": [key[0]], "tokens": [total]})
-        state.update((total, told, last))
-        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        over = total > self.cap and not told
+        self.spent.update((total, told or over, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last + self.idle, timerValues.getCurrentWatermarkInMs() + 1))
+        if over:
+            yield pd.DataFrame({"run_id": [key[0]], "tokens": [total]}).astype(object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.spent.clear()
+        yield from ()
 
+    def close(self) -> None:
+        pass
+
+
+def budget_alerts(invocations: DataFrame, cap: int, idle: str = "7 days", lateness: str = "10 minutes") -> DataFrame:
+    """Append mode: one row for each run whose token total passes ``cap``, as it does. A run without a call for ``idle`` of event time is
+    over: its state goes, and a later call starts anew."""
+    timed_state(invocations)
     timed = invocations.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness)
-    return timed.select("run_id", "tokens", "at").groupBy("run_id").applyInPandasWithState(run, "run_id string, tokens long", "total long, told boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return timed.select("run_id", "tokens", "at").groupBy("run_id").transformWithStateInPandas(RunBudget(cap, wait), "run_id string, tokens long", "Append", "EventTime")

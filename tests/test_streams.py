@@ -34,6 +34,29 @@ def test_stage_status_and_stuck_stages(spark, tmp_path):
     assert {r.stage for r in drain(Z.stuck_stages(stream), "append", "stuck")} >= {"b"}
 
 
+def test_stuck_stages_after_a_restart(spark, tmp_path):
+    path, out, point = (str(tmp_path / n) for n in ("e", "o", "c"))
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    left = []
+
+    def go(rows):
+        put(spark, path, rows, EVENT)
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+        q = Z.stuck_stages(stream).writeStream.format("parquet").option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).start(out)
+        q.awaitTermination(120)
+        left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None)
+        return {(r.stage, r.started_ms) for r in spark.read.parquet(out).collect()}
+
+    ms = lambda m: int(at(m).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert go([("r", "a", "started", 1, at(0)), ("r", "b", "started", 2, at(1)), ("r", "a", "finished", 3, at(2))]) == set()
+    # a started again, and the end of its first start comes too late to count
+    assert go([("r", "a", "started", 5, at(6)), ("r", "a", "failed", 4, at(5))]) == set()
+    # the watermark is at 90 now
+    assert go([("r", "c", "started", 6, at(100))]) == {("b", ms(1)), ("a", ms(6))}
+    assert go([("r", "c", "finished", 7, at(101))]) == {("b", ms(1)), ("a", ms(6))}
+    assert left[-1] == 0
+
+
 def test_remember_once_after_a_restart(spark, tmp_path):
     schema = "repository_id string, fingerprint string, blob string, status string"
     path, table, point = (str(tmp_path / n) for n in ("v", "t", "c"))
