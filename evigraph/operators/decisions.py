@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import G, ancestors
+from .common import G, ancestors, ranked
 
 RULE_KINDS = ("imports", "calls", "depends-on")
 
@@ -42,10 +42,9 @@ def audit_decisions(decisions: DataFrame, violations: DataFrame, inspected: Data
 def audit_report(outcomes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(audited decisions in order, counts with notes): numbered decisions first by number, then by path. paths: decision, path.
 
-    The order is a rank; there is a row for each decision record, which one repository has few of.
+    The order is a rank over ranges of rows.
     """
-    order = Window.orderBy(F.col("number").isNull(), "number", "path")
-    rows = outcomes.join(paths, "decision", "left").withColumn("place", F.row_number().over(order))
+    rows = ranked(outcomes.join(paths, "decision", "left"), [], [F.col("number").isNull().asc(), F.asc("number"), F.asc("path")], "place")
     n = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
     count = F.col("n").cast("string")
     note = F.when(F.col("outcome") == "probable-drift", F.concat(count, F.lit(" decision(s) show probable drift from the code"))).when(F.col("outcome") == "unverifiable", F.concat(count, F.lit(" decision(s) could not be checked: there was no evidence in the graph to check them against")))

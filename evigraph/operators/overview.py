@@ -23,10 +23,17 @@ def namespace_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("kind") == "module") | F.regexp_extract("id", r" (crate|super|self)/$", 1).isin("crate", "super", "self")).select(*G, "id")
 
 
+#: Ids of anchors that are sent to all tasks; more are joined by their key.
+FEW_ANCHORS = 100_000
+
+
 def without_anchors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    anchors = namespace_nodes(nodes)
-    for end in ("source", "target"):
-        edges = edges.join(anchors.withColumnRenamed("id", end), [*G, end], "left_anti")
+    """Edges without an end that is an anchor; few anchors, counted first, spare both shuffles of the edges, and none spare the joins."""
+    anchors = cut(namespace_nodes(nodes))
+    n = anchors.count()
+    for end in ("source", "target") if n else ():
+        gone = anchors.withColumnRenamed("id", end)
+        edges = edges.join(F.broadcast(gone) if n <= FEW_ANCHORS else gone, [*G, end], "left_anti")
     return edges
 
 
@@ -355,8 +362,9 @@ def layer_order(files: DataFrame, root: DataFrame, preferred: tuple[str, ...] =
 
 def ranked_modules(modules: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` modules with the most symbols, and how many remain."""
-    n = modules.withColumn("total", F.count("*").over(Window.partitionBy(*G)))
-    return top(n, list(G), [F.desc("symbols"), F.asc("path")], k).select(*G, "rank", "path", "symbols", F.greatest(F.col("total") - k, F.lit(0)).alias("remainder"))
+    total = modules.groupBy(*G).agg(F.count("*").alias("total"))
+    first = top(modules, list(G), [F.desc("symbols"), F.asc("path")], k).join(total, list(G))
+    return first.select(*G, "rank", "path", "symbols", F.greatest(F.col("total") - k, F.lit(0)).alias("remainder"))
 
 
 def tree_rollup(files: DataFrame) -> DataFrame:
