@@ -45,8 +45,10 @@ BAD = frozenset(
     rating ratings recommendation recommendations recommended register related replies reply respond review reviews search share sharing sidebar side sign signin signup skip social sponsor sponsored sponsors
     subscribe subscription taboola tags teaser teasers toolbar topbar trending widget widgets""".split()
 )
+#: Last words of compounds that only say what shape a part has.
+SHAPE = frozenset("area bar block body box card cell col column container content footer frame group holder inner item list module outer panel row section strip wrap wrapper zone".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-FEATURES = len(TAGS) + 17
+FEATURES = len(TAGS) + 18
 #: Elements that no page shows as text are never content.
 NEVER = -50.0
 
@@ -57,10 +59,12 @@ NAMELESS = (False, False, False)
 
 @lru_cache(1 << 14)
 def named(names: str) -> tuple[bool, bool, bool]:
-    """Whether a word of the names is ``GOOD``, whether one is ``BAD``, and whether one that ends a name is: the last word of a compound
-    says what it is ("cookie-notice"), the words before it say what of ("header-image")."""
+    """Whether a word of the names is ``GOOD``, whether one is ``BAD``, and whether one that says what a part is, is bad: the last word of a
+    compound says that ("cookie-notice"), or the one before it where the last is a ``SHAPE`` ("cookie-bar"), and the words before say what
+    of ("header-image")."""
     words = [[w.lower() for w in NAME.findall(name)] for name in names.split()]
-    return any(w in GOOD for ws in words for w in ws), any(w in BAD for ws in words for w in ws), any(ws[-1] in BAD for ws in words if ws)
+    what = [ws[-2] if len(ws) > 1 and ws[-1] in SHAPE and ws[-1] not in BAD else ws[-1] for ws in words if ws]
+    return any(w in GOOD for ws in words for w in ws), any(w in BAD for ws in words for w in ws), any(w in BAD for w in what)
 
 
 class Tree(HTMLParser):
@@ -69,9 +73,10 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.words, self.runs = [-1], ["html"], [NAMELESS], []
-        self.open, self.block = [0], 0
+        self.open, self.block, self.whole = [0], 0, False
 
     def handle_starttag(self, tag, attrs):
+        self.whole |= tag in ("html", "body")
         if tag in ("html", "body") and tag in self.tag and tag != "body":
             return
         if ends := CLOSES.get(tag):
@@ -82,6 +87,8 @@ class Tree(HTMLParser):
                     break
                 if now in WALLS:
                     break
+        if tag not in BLOCKS and tag not in HIDDEN and tag not in VOID:
+            self.imply()
         node = len(self.tag)
         self.parent.append(self.open[-1])
         self.tag.append(tag)
@@ -109,7 +116,14 @@ class Tree(HTMLParser):
         if tag in BLOCKS:
             self.block += 1
 
+    def imply(self):
+        """Text and inline elements that stand directly in the page begin a paragraph of their own."""
+        if self.tag[self.open[-1]] in ("html", "body"):
+            self.handle_starttag("p", ())
+
     def handle_data(self, data):
+        if data.strip():
+            self.imply()
         self.runs.append((self.open[-1], self.block, data))
 
 
@@ -165,8 +179,11 @@ def features(tree: Tree) -> np.ndarray:
     x[:, k + 13] = x[:, k + 1] * large
     x[:, k + 14] = x[:, k + 1] * whole
     x[:, k + 15] = x[:, k + 2] * large * whole
+    x[:, k + 17] = x[:, k + 2] * large
     x[hidden] = 0
     x[hidden, k + 6] = 1
+    if not tree.whole:
+        x[0] = 0  # a piece of a page has no element there that could be content or not
     return x
 
 
@@ -218,38 +235,59 @@ OTHER += (
     "<section class=comments><article class=comment><h4>{w}</h4><p>{t}</p></article><article class=comment><p>{t}</p></article></section>", "<article class='teaser related'><h3><a href=x>{w}</a></h3><p>{t}</p></article>", "<div class=site-footer><p>{t}</p></div>", "<div id=cookieNotice><p>{t}</p></div>",
     "<ol class=commentlist><li class=comment><p>{t}</p><a href=x class=reply>{l}</a></li></ol>", "<div class='promo box'><p>{t}</p></div>",
 )
-CONTENT += ("<div class=header-image><img><p>{t}</p></div>", "<p class=search-term>{t}</p>", "<div class=comment-free><p>{t}</p><p>{t}</p></div>")
-ROOTS = ("<article class=header-image>{}</article>", "<article class=important-notices>{}</article>", "<article class=sidebar-less>{}</article>", "<main class=has-sidebar>{}</main>", "<article class=login-help>{}</article>", "<div class='page with-menu'><div class=text>{}</div></div>", "<article class=reviews>{}</article>", "<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=main-content><div class=post>{}</div></div>", "<main><article class=story>{}</article></main>", "<article><div class=entry-content>{}</div></article>", "<div class=page><section class=article-body>{}</section></div>", "<div>{}</div>")
+#: Parts with made-up names: {b} is a bad word, {k} a compound that is bad, {n} a compound that says what of, with a bad word before it.
+OTHER += (
+    "<div class={k}><p>{t}</p></div>", "<div id={k}>{t}</div>", "<section id={k}><p>{t}</p></section>", "<section id={b}><div><p>{t}</p></div></section>", "<section class={k}><h4>{w}</h4><div><p>{t}</p></div><div><p>{t}</p></div></section>",
+    "<aside class={k}><p>{t}</p></aside>", "<div class='{b} {g}'><p>{t}</p><a href=x>{l}</a></div>", "<ul class={k}><li><a href=x>{l}</a></li><li><a href=x>{l}</a></li></ul>", "<div class={b}><div><p>{t}</p></div></div>",
+)
+CONTENT += ("<div class={n}><img><p>{t}</p></div>", "<p class={n}>{t}</p>", "<div class={n}><p>{t}</p><p>{t}</p></div>", "<section class={g}><h3>{w}</h3><p>{t}</p><p>{t}</p></section>")
+#: Text that stands in the page itself.
+BARE = ("{t}", "{t}<br>{t}", "<b>{w}</b> {t}", "<h2>{w}</h2>{t}", "<p>{t}</p>")
+ROOTS = (
+    "<article class={n}>{}</article>", "<article class={k}>{}</article>", "<main class={n}>{}</main>", "<div class='page {n}'><div class=text>{}</div></div>", "<div class={k}><article>{}</article></div>", "<div id={k}><div class={g}>{}</div></div>", "<article>{}</article>", "<article>{}</article>",
+    "<main>{}</main>", "<div class=content>{}</div>", "<div id=main-content><div class=post>{}</div></div>", "<main><article class=story>{}</article></main>", "<article><div class=entry-content>{}</div></article>", "<div class=page><section class=article-body>{}</section></div>", "<div>{}</div>", "<div class={g}>{}</div>", "{}",
+)
 HEADS = ("<header><h1>{w}</h1><a href=x>{l}</a></header>", "<div class=header>{w}</div>", "<header class=site-header><nav><a href=x>{l}</a></nav></header>", "")
 FEET = ("<footer>&copy; {w} {t}</footer>", "<div class=footer><p>{t}</p></div>", "<footer><a href=x>{l}</a> {w}</footer>", "")
 
 
-def labelled_pages(pages: int = 320, seed: int = 5) -> list[tuple[str, list[int]]]:
-    """(html, label of each element) of pages put together from the parts, with boilerplate around and within the content."""
+def labelled_pages(pages: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
+    """(html, label of each element) of pages put together from the parts, with boilerplate around and within the content.
+
+    Names are drawn anew for each part, so that the model can't know them; some pages are text without an element around it.
+    """
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("an", "er", "the", "ou", "é", "st", "ing", "ü")) for _ in range(rng.randint(1, 4)))
     some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     text = lambda: ", ".join(some(3, 9) for _ in range(rng.randint(1, 14))) + "."
 
+    bad, shape = sorted(BAD), sorted(SHAPE - BAD)
+    kind = lambda: rng.choice(bad) + rng.choice(("", "", "-" + rng.choice(shape), rng.choice(shape).capitalize()))
+    of = lambda: rng.choice(bad) + "-" + "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    names = {"t": text, "w": lambda: some(2, 8), "l": word, "b": lambda: rng.choice(bad), "k": kind, "n": of, "g": lambda: of().split("-")[1]}
+
     def fill(part: str, content: int) -> str:
-        part = re.sub(r"\{(.)\}", lambda m: {"t": text, "w": lambda: some(2, 8), "l": word}[m[1]](), part)
+        part = re.sub(r"\{(.)\}", lambda m: names[m[1]](), part)
         return re.sub(r"<(\w+)", lambda m: f"<{m[1]} data-y={content}", part)
 
     out = []
     for _ in range(pages):
         inner = [fill("<h1>{w}</h1>", 1)] if rng.random() < 0.8 else []
+        root, boxes = rng.choice(ROOTS), rng.choice((0, 0.2, 0.5))
         for _ in range(rng.randint(1, 7)):
-            inner.append(fill(rng.choice(CONTENT), 1))
-            if rng.random() < 0.2:
+            inner.append(fill(rng.choice(BARE if root == "{}" else CONTENT), 1))
+            if rng.random() < boxes:
                 inner.append(fill(rng.choice(OTHER), 0))
-        root = rng.choice(ROOTS)
-        body = re.sub(r"<(\w+)", lambda m: f"<{m[1]} data-y=1", root).replace("{}", "".join(inner))
+        body = fill(root, 1).replace("{}", "".join(inner))
         around = [fill(rng.choice(OTHER), 0) for _ in range(rng.randint(1, 4))]
         cut = rng.randint(0, len(around))
         whole = f"<html data-y=0><body data-y=0>{fill(rng.choice(HEADS), 0)}{''.join(around[:cut])}{body}{''.join(around[cut:])}{fill(rng.choice(FEET), 0)}</body></html>"
+        piece = rng.random() < 0.08
+        whole = body if piece else whole
         tree = Labelled()
         tree.feed(whole)
         tree.close()
+        tree.label[0] = int(piece)
         out.append((whole, tree.label))
     return out
 
@@ -263,7 +301,8 @@ class Labelled(Tree):
         before = len(self.tag)
         super().handle_starttag(tag, attrs)
         if len(self.tag) > before:
-            self.label.append(int(dict(attrs).get("data-y", 0)))
+            # an implied paragraph is content: only that stands in the page itself
+            self.label.append(int(dict(attrs).get("data-y", 1)))
 
 
 @lru_cache(1)
