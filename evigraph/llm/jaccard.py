@@ -12,7 +12,8 @@ Before whole sets are compared, all shared shingles of a pair's prefixes are cou
 these is in one set only, which rules out most pairs that share a passage and nothing else. Only sets of different groups are
 compared. In a crowded bucket all sets are first checked against a few of them, if their fingerprints differ in ``RADIUS`` bits at
 most, and only pairs that these links do not join already are listed, so that a large group of near copies does not list all of its
-pairs. That choice loses no link: what it leaves out is still listed.
+pairs. Of the listed pairs each set's most promising one is compared first, and then those that are still between two groups. These
+choices lose no link: what they leave out is compared later, or joined already.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(rows: DataFrame, cap: int) -> DataFrame:
-    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size) of equal keys that pass the filters.
+    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size) of equal keys that pass the filters, and
+    how many keys they share.
 
     All shared keys of a pair's prefixes are counted. Up to the last of them, what a set holds beside the counted ones is not in the
     other set, as both are in one order; so the count and what lies behind that place bound how much the sets can share.
@@ -156,7 +158,7 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
     found = dealt.repartition(partitions(rows.sparkSession), "deal").sortWithinPartitions("deal", "n", "sk").mapInArrow(run, schema)
     found = found.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("pos_a", "pos_b", "near")))
     behind = F.least(F.col("na") - F.col("pos_a"), F.col("nb") - F.col("pos_b")) - 1
-    return found.where((F.col("near") == 1) & (9 * (F.col("shared") + behind) >= 4 * (F.col("na") + F.col("nb")))).select("a", "b")
+    return found.where((F.col("near") == 1) & (9 * (F.col("shared") + behind) >= 4 * (F.col("na") + F.col("nb")))).select("a", "b", "shared")
 
 
 def _screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,7 +230,7 @@ def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int],
     return written(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
-def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 64, cap: int = 2048) -> DataFrame:
+def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 16, cap: int = 2048) -> DataFrame:
     """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
     known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n")).join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"))
     known = cut(known)
@@ -248,8 +250,17 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
         shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    rest = _between(_verified(cut(_candidates(shared, cap)), texts, first, size), known)
-    return union([x for x in (equal, joined, rest) if x is not None])
+    # each set's most promising pair first: what these join need not be compared again
+    pairs = cut(_candidates(shared, cap))
+    best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in ("ab", "ba")]
+    best = cut(best[0].union(best[1]).distinct())
+    likely = cut(_between(_verified(best, texts, first, size), known))
+    rooted = components(likely if joined is None else likely.union(joined)).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+    now = cut(known.select("sk", "root").join(rooted, "root", "left").select("sk", F.coalesce("wider", "root").alias("root")))
+    a, b = (now.select(F.col("sk").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(a, "a").join(b, "b").where("a_root != b_root").select("a", "b")
+    rest = _between(_verified(cut(rest), texts, first, size), known)
+    return union([x for x in (equal, joined, likely, rest) if x is not None])
 
 
 def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
