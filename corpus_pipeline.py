@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate, mixing, simhash, tokens, toxicity
-from evigraph.llm.common import new_path
+from evigraph.llm.common import cut, new_path
+
+
+#: Bits of the map of rows that near_dedup looks at again.
+BITS = 1 << 23
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +36,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near duplicates are linked by SimHash fingerprints of 5-word shingles and by a Jaccard similarity of these of 0.8 or more. Different
     texts that share an id are rows of their own; rows without an id come last within their group; null and empty texts are one group.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.xxhash64("doc_id", "text").alias("key")).groupBy("doc_id", "hash", "key").agg(F.count("*").alias("n"))
     groups = simhash.near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle=5, similar=True).distinct()
-    named = rows.select("doc_id", "hash", F.xxhash64("doc_id", "text").alias("key")).distinct().join(groups.withColumnRenamed("doc_id", "key"), "key")
+    named = cut(rows.join(groups.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "hash", "n", "component_id"))
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("best")).select("best.doc_id", "best.hash")
-    once = docs.withColumn("_hash", F.xxhash64("text")).alias("d").join(best.alias("b"), F.expr("d.doc_id <=> b.doc_id and d._hash = b.hash"), "left_semi")
+    best = cut(best)
+    same = F.expr("d.doc_id <=> b.doc_id and d.hash = b.hash")
+    # rows that go, or stand more than once, are marked in a bit map of 1 MB at any input size; what has no mark stays as it is
+    marked = named.alias("d").join(best.alias("b"), same, "left_anti").select("doc_id", "hash").union(named.where("n > 1").select("doc_id", "hash"))
+    place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(BITS))
+    bits = marked.groupBy(F.floor(place / 64).alias("_at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, hash), {BITS}L) % 64 as int))")).alias("_bits"))
+    seen = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "_hash"), F.lit(BITS)))
+    seen = seen.withColumn("_at", F.floor(F.col("_place") / 64)).join(F.broadcast(bits), "_at", "left")  # at most BITS / 64 rows
+    hit = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_place % 64 as int))) != 0"), F.lit(False))
+    once = seen.where(hit).alias("d").join(best.alias("b"), F.expr("d.doc_id <=> b.doc_id and d._hash = b.hash"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0)))
-    return once.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return seen.where(~hit).select(*docs.columns).union(once.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
