@@ -167,7 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """``docs`` with n_words, hits (ascending word positions inside occurring windows) and items (sorted ids, as strings) for each row.
 
     A null text has no words; an item without words, or a null item, occurs nowhere; repeated items count by distinct id, and a null
-    id counts as none. An empty benchmark hits nothing. Columns of the same names in ``docs`` are replaced.
+    id counts as none. An empty benchmark hits nothing. Columns of the same names in ``docs`` are replaced. All words of a text are looked
+    at, however many, in the task that has the text; equal rows get equal results; items that share a window are all named.
     """
     found = docs.drop("n_words", "hits", "items")
     names, key = found.columns, "_text"

@@ -104,7 +104,10 @@ def neighbours(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str
 
     Centroids are fitted on a sample of at most ``SAMPLE_ROWS`` rows (those with the smallest hashes); all rows are indexed. ``probed``
     is the share of the lists that a query reads. Rows that share an id are candidates of their own, but not for their id's query,
-    which is asked once, with the smallest vector. An empty table, or one without usable vectors, gives no rows.
+    which is asked once, with the smallest vector. Vectors that are null, zero or hold a null or non-finite component, and rows with a
+    null id, take no part. Equal distances go to the smaller id, and then count as ranks of their own; equal vectors are neighbours at
+    distance 0. Columns beside the id and the vector are ignored, whatever their names. An empty table, or one without usable vectors,
+    gives no rows.
     """
     rows = cut(valid(vectors, id_col=id_col, vector_col=vector_col))
     n = rows.count()
