@@ -195,7 +195,7 @@ def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``conversations`` (to a fresh folder below the shared one by default) and returns what ``read`` finds in the files.
 
     Null roles and texts are empty, null turns come first, rows of equal turns are in order of role and text, repeated rows are turns of
-    their own; an empty table gives none, and columns beside conv_id, turn, role and text are ignored. A shard is a range of conversations:
+    their own; positions are characters of the formatted text, not ids of a tokenizer; an empty table gives none, and columns beside conv_id, turn, role and text are ignored. A shard is a range of conversations:
     first turns that conversations share are emitted once in each shard that has any of them.
     """
     spark = conversations.sparkSession
