@@ -25,6 +25,8 @@ from .common import make_room, slices, small_batches, widened
 
 #: Places of an Euler tour whose minima are kept together.
 BLOCK = 16
+#: Passes of ``stretches``.
+PASSES = 12
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,10 +206,13 @@ def gram_size(exponent: int, least: int) -> int:
 def stretches(ids: np.ndarray, piece: np.ndarray, gram: int, least: int) -> np.ndarray:
     """Whether each word may be part of a run; ``piece`` numbers the texts in ascending order.
 
-    Words outside all sequences that repeat within their stretch go, and the stretch is cut there, until nothing changes."""
+    Words outside all sequences that repeat within their stretch go, and the stretch is cut there, until nothing changes or ``PASSES``
+    passes are over: what is left then is for the trees, which find the same runs in more words."""
     keep = np.ones(len(ids), bool)
-    while keep.any():
+    for _ in range(PASSES):
         at = np.flatnonzero(keep)
+        if not len(at):
+            break
         own = ids[at].astype(np.uint64) + np.uint64(1)
         # a stretch ends where words were left out or the text changes
         new = np.ones(len(at), bool)
