@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,36 +75,39 @@ def stuck_stages(events: DataFrame, after: str = "30 minutes", lateness: str = "
     return grouped.transformWithStateInPandas(StuckStage(wait), "run_id string, stage string, started_ms long", "Append", "EventTime")
 
 
-#: Parts of a table by key, of which a batch reads those that its own keys fall into.
-BUCKETS = 256
+def append_once(rows: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Appends the rows of a stream to the table at ``path``, one for each key.
 
+    The keys that the stream has met are its state, kept in RocksDB and restored after a restart, so a batch costs what its own keys cost,
+    however many batches were before it. A batch has a folder of its own and replaces what it wrote if it runs again. Rows of other
+    streams, or of one whose checkpoint was lost, stand in folders of their own; those alone are read to leave their keys out.
+    """
+    timed_state(rows)
+
+    def sink(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        # the first line is the format's version in some files; the stream's id is in the one that is JSON
+        lines = [r.value for r in spark.read.text(f"{checkpoint}/metadata").collect()]
+        mine = f"stream={json.loads(next(x for x in lines if x.startswith('{')))['id']}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        others = [f"{path}/{x}" for x in ([f.getPath().getName() for f in files.listStatus(hadoop)] if files.exists(hadoop) else []) if x.startswith("stream=") and x != mine]
+        if others:
+            df = df.join(spark.read.option("basePath", path).parquet(*others).select(*keys), keys, "left_anti")
+        df.write.mode("overwrite").parquet(f"{path}/{mine}/batch={batch}")
 
-def _append_new(rows: DataFrame, batch: int, path: str, keys: list[str]) -> None:
-    """Appends rows whose keys the table lacks. A batch has folders of its own, so a batch that runs again replaces what it wrote."""
-    spark = rows.sparkSession
-    new = rows.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        # at most BUCKETS numbers
-        mine = [r.bucket for r in new.select("bucket").distinct().collect()]
-        known = spark.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch))
-        new = new.join(known.select(*keys), keys, "left_anti")
-    new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    return rows.dropDuplicates(keys).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def remember_stream(verdicts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Rejected findings (repository_id, fingerprint, blob, ...) into the table at ``path``, each once, also after a restart."""
-    rows = verdicts.where("status = 'rejected'").drop("status")
-    sink = lambda df, batch: _append_new(df, batch, path, ["repository_id", "fingerprint", "blob"])
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return append_once(verdicts.where("status = 'rejected'").drop("status"), path, checkpoint, ["repository_id", "fingerprint", "blob"])
 
 
-def artifact_index_stream(blobs: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
+def artifact_index_stream(blobs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Exactly one row for each content (at, content) in the table at ``path``."""
-    hashed = blobs.select(F.col("at").cast("timestamp").alias("at"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
-    once = hashed.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["sha256"])
-    sink = lambda df, batch: _append_new(df.select("sha256", "size"), batch, path, ["sha256"])
-    return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    hashed = blobs.select(F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+    return append_once(hashed, path, checkpoint, ["sha256"])
 
 
 def cost_windows(invocations: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

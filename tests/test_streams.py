@@ -66,8 +66,12 @@ def test_remember_once_after_a_restart(spark, tmp_path):
         if more:
             put(spark, path, more, schema)
     assert sorted(r.fingerprint for r in spark.read.parquet(table).collect()) == ["f1", "f3"]
-    Z._append_new(spark.createDataFrame([("r", "f3", "b")], "repository_id string, fingerprint string, blob string"), 1, table, ["repository_id", "fingerprint", "blob"])
-    assert spark.read.parquet(table).count() == 2
+    # a batch of its own for each file, and keys of another stream stay out; one with a lost checkpoint starts anew and adds nothing
+    put(spark, path, [("r", "f4", "b", "rejected")], schema)
+    Z.remember_stream(spark.readStream.schema(schema).parquet(path), table, point + "2").awaitTermination(120)
+    assert sorted(r.fingerprint for r in spark.read.parquet(table).collect()) == ["f1", "f3", "f4"]
+    Z.remember_stream(spark.readStream.schema(schema).parquet(path), table, point).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 3
 
 
 def test_artifacts_costs_and_budget(spark, tmp_path):
