@@ -48,7 +48,7 @@ BAD = frozenset(
 #: Last words of compounds that only say what shape a part has.
 SHAPE = frozenset("area bar block body box card cell col column container content footer frame group holder inner item list module outer panel row section strip wrap wrapper zone".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-FEATURES = len(TAGS) + 18
+FEATURES = len(TAGS) + 19
 #: Elements that no page shows as text are never content.
 NEVER = -50.0
 
@@ -174,12 +174,22 @@ def features(tree: Tree) -> np.ndarray:
     x[:, k + 10] = x[parents, k]
     x[:, k + 11] = text / np.maximum(runs, 1) < 30
     x[:, k + 12] = 1
-    # names say less of what holds most of the page's text, and of articles
-    large, whole = x[:, k + 8] > 0.5, x[:, 0] == 1
+    # names say less of articles, and of what holds most of the page's text if no article stands beside it
+    whole = x[:, 0] == 1
+    holds, within = whole.astype(int), whole.copy()
+    for i in range(n - 1, 0, -1):
+        holds[tree.parent[i]] += holds[i]
+    for i in range(1, n):
+        within[i] |= within[tree.parent[i]]
+    large = (x[:, k + 8] > 0.5) & ((holds > 0) | within | (holds[0] == 0))
     x[:, k + 13] = x[:, k + 1] * large
     x[:, k + 14] = x[:, k + 1] * whole
     x[:, k + 15] = x[:, k + 2] * large * whole
     x[:, k + 17] = x[:, k + 2] * large
+    # below a part that is named so and holds less than half of the text
+    for i in range(1, n):
+        p = tree.parent[i]
+        x[i, k + 18] = x[p, k + 18] or (x[p, k + 2] and not large[p])
     x[hidden] = 0
     x[hidden, k + 6] = 1
     if not tree.whole:
