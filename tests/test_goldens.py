@@ -517,3 +517,35 @@ def test_numbers_over_ranges_of_rows(spark):
     assert got == want
     assert [r.rank for r in ranked(df, [], [F.asc("v")]).orderBy("v").collect()] == list(range(1, 501))
     assert ranked(df.limit(0), ["g"], [F.asc("v")]).count() == 0
+
+
+def test_keys_of_containers(spark):
+    names = ["kvstore", "my-crate", "_x_", "2d", "---", "a.b c"]
+    rows = spark.createDataFrame([("r", "1", n, n, "1.0") for n in names] + [("r", "1", "two", "twice", "1.2"), ("r", "1", "three", "twice", "2.0")], "repository_id string, revision string, id string, name string, version string")
+    edges = spark.createDataFrame([("r", "1", e, a, b, k) for e, a, b, k in (("e2", "kvstore", "2d", "depends-on"), ("e1", "kvstore", "2d", "builds"), ("e3", "2d", "2d", "depends-on"), ("e4", "two", "---", "x"), ("e5", "two", "gone", "x"))], "repository_id string, revision string, id string, source string, target string, kind string")
+    boxes, links = W.containers(rows, edges)
+    assert {r.id: r.key for r in boxes.collect()} == {"kvstore": "kvstore", "my-crate": "my_crate", "_x_": "x", "2d": "c_2d", "---": "c_", "a.b c": "a_b_c", "two": "twice_1_2", "three": "twice_2_0"}
+    assert {(r.source_key, r.target_key, r.kind, r.evidence) for r in links.collect()} == {("kvstore", "c_2d", "builds", "e1"), ("twice_1_2", "c_", "x", "e4")}
+    own = rows.where("id in ('kvstore', '2d', 'two')").select("repository_id", "revision", "name")
+    inside, kept, checks = W.in_repo_architecture(boxes, links, own)
+    assert {(r.key, r.level, r.fan_in, r.fan_out) for r in inside.collect()} == {("kvstore", 1, 0, 1), ("c_2d", 0, 1, 0), ("twice_1_2", 0, 0, 0), ("twice_2_0", 0, 0, 0)}
+    assert [(r.containers, r.relationships, r.dropped, r.degree, r.readable) for r in checks.collect()] == [(4, 1, 4, 1, True)] and kept.count() == 1
+
+
+def test_counts_of_a_report(spark):
+    status = spark.createDataFrame([("a", f"F-{i}", s) for i, s in enumerate(["validated", "rejected", "rejected", "suppressed"])], "run_id string, finding_id string, status string")
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    failed = spark.createDataFrame([("b", "security"), ("b", "quality"), ("b", "quality")], "run_id string, skill string")
+    got = {r.run_id: r for r in N.report_counts(runs, status, failed).collect()}
+    assert (got["a"].validated, got["a"].rejected, got["a"].suppressed, got["a"].degraded, got["a"].coverage_note) == (1, 2, 1, False, "All reviewers completed.")
+    assert got["b"].degraded and got["b"].coverage_note == "Coverage is INCOMPLETE: quality, security did not complete, so defects in their scope may be missing from this report." and got["b"].validated == 0
+
+
+def test_thin_narratives(spark):
+    rows = [("d", s, 0, i, "source", None, f"f{i}", p) for i, (s, p) in enumerate([("what", None), ("what", "gone"), ("entry", None)])] + [("e", "what", 0, 9, "source", None, "f9", "gone")]
+    resolved = spark.createDataFrame(rows, "doc_id string, section_id string, claim_no int, cite_no int, kind string, key string, path string, problem string")
+    files = spark.createDataFrame([(f"f{i}",) for i in range(4)], "path string")
+    assert sorted(r.note for r in K.density_notes(resolved, files).collect()) == ["narrative cites only 2 distinct file(s) of 4; it may describe less of the project than it appears to", "narrative sections absent: structure, hotspots, caution"]
+    claims = resolved.select(*K.CLAIM).unionByName(spark.createDataFrame([("e", "bare", 1)], "doc_id string, section_id string, claim_no int")).distinct()
+    got = {(r.doc_id, r.section_id): (r.kept, r.reasons) for r in K.partition_claims(resolved, claims).collect()}
+    assert got == {("d", "what"): (True, None), ("d", "entry"): (True, None), ("e", "what"): (False, "gone"), ("e", "bare"): (False, "no citations")}
