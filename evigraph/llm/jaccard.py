@@ -14,6 +14,9 @@ compared. In a crowded bucket all sets are first checked against a few of them,
 most, and only pairs that these links do not join already are listed, so that a large group of near copies does not list all of its
 pairs. Of the listed pairs each set's most promising one is compared first, and then those that are still between two groups. These
 choices lose no link: what they leave out is compared later, or joined already.
+
+Whole sets are only sent for pairs whose marks allow a link. A mark has a bit for each remainder of the hashes, set if an odd number of
+a set's shingles have it. Each bit in which two marks differ takes a shingle that is in one set only, so marks never differ more than sets.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, make_room, partitions, slices, union, utf8, written
@@ -75,6 +78,20 @@ def _prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
     return hashes[:keep]
 
 
+def _mark(hashes: np.ndarray) -> bytes:
+    """The parity of how many shingles have each remainder. There are 1 to 2 remainders a shingle: a power of two, at least 64."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """The bits in which two marks differ, once the longer one is folded to the other's remainders; at most the shingles in one set only."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(folded ^ short).sum())
+
+
 def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -161,6 +178,23 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
     return found.where((F.col("near") == 1) & (9 * (F.col("shared") + behind) >= 4 * (F.col("na") + F.col("nb")))).select("a", "b", "shared")
 
 
+def _allowed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) of set keys without those whose marks differ in more bits than similar sets differ in shingles."""
+
+    columns = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(iter([whole]), "x"):
+                both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("nx").to_pylist(), b.column("ny").to_pylist())
+                keep = [9 * _apart(x, y) <= nx + ny for x, y, nx, ny in both]
+                yield b.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    marks = rows.where("mark is not null").dropDuplicates(["sk"])
+    left, right = (marks.select(F.col("sk").alias(k), F.col("n").alias(f"n{c}"), F.col("mark").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, pairs.schema)
+
+
 def _screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``texts`` without most of those whose ``tk`` is not ``wanted``, before they are shuffled; a bit map of 1 MB at any input size.
 
@@ -206,27 +240,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, size: int) -
 
 
 def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int], int]) -> DataFrame:
-    """(row, id, fp, tk, sk, n, prefix) of each text: its fingerprint, text key, set key, number of shingles, and the shingles that are
-    joined (null where the task has met the same set before). Rows are written, so that ``row`` stays what it is."""
+    """(row, id, fp, tk, sk, n, prefix, mark) of each text: its fingerprint, text key, set key, number of shingles, the shingles that are
+    joined and the set's mark (null where the task has met the same set before). Rows are written, so that ``row`` stays what it is."""
     frequent, rank = _frequent(texts.select("tk", "text"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         met: set[int] = set()
         for b in slices(batches):
-            fps, keys, counts, prefixes = [], [], [], []
+            fps, keys, counts, prefixes, marks = [], [], [], [], []
             for t in utf8(b.column("text")):
                 h = shingles(t, size)
                 fps.append(fingerprint(t, size))
                 keys.append(_set_key(h))
                 counts.append(len(h))
-                prefixes.append(None if keys[-1] in met else _prefix(h, frequent, rank).view(np.int64))
+                new = keys[-1] not in met
+                prefixes.append(_prefix(h, frequent, rank).view(np.int64) if new else None)
+                marks.append(_mark(h) if new else None)
                 if len(met) < MET:
                     met.add(keys[-1])
-            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix"])
+            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix", "mark"])
 
-    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>")
+    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>, mark binary")
     return written(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -239,19 +275,22 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     # the place in a prefix and the size of the set as one number
     packed = (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("np")
     keyed = rows.where("prefix is not null").select("sk", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "sk", packed)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keyed.join(sizes, "key").select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size")
+    # most keys are in one set, or in copies of one that several tasks wrote; these rows move once
+    over = Window.partitionBy("key")
+    shared = keyed.withColumns({"size": F.count("*").over(over), "low": F.min("sk").over(over), "high": F.max("sk").over(over)}).where("low != high")
+    shared = shared.select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size")
     shared = cut(shared.join(known.select("sk", F.col("root").alias("comp")), "sk"))
     hot, joined = shared.where(F.col("size") > crowded), None
     if hot.take(1):
         pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n", "comp")).alias("p"))
         near = hot.join(pivots, "key").where("comp != p.comp and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-        near = cut(_alike(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct(), known))
+        near = _alike(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct(), known)
+        near = cut(_allowed(near, rows))
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
         shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
     # each set's most promising pair first: what these join need not be compared again
-    pairs = cut(_candidates(shared, cap))
+    pairs = cut(_allowed(_candidates(shared, cap), rows))
     best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in ("ab", "ba")]
     best = cut(best[0].union(best[1]).distinct())
     likely = cut(_between(_verified(best, texts, first, size), known))

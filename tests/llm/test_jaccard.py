@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from evigraph.llm import simhash
+from evigraph.llm import jaccard, simhash
 
 
 def plain_set(text):
@@ -85,3 +86,35 @@ def test_texts_with_repeated_lines_are_linked(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similar=True).collect()}
     fps = [simhash.fingerprint(t.encode(), 5) for t in texts[:2]]
     assert bin(fps[0] ^ fps[1]).count("1") > 24 and got == {0: 0, 1: 0, 2: 2}
+
+
+def test_marks_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (1, 1, 1), (64, 65, 60), (200, 200, 199), (90, 700, 80), (5000, 5600, 4990), (300, 300, 0)):
+        values = rng.integers(0, 1 << 64, n + m - both, np.uint64)
+        a, b = np.sort(values[:n]), np.sort(values[n - both :])
+        x, y = jaccard._mark(a), jaccard._mark(b)
+        different = n + m - 2 * both
+        assert jaccard._apart(x, y) == jaccard._apart(y, x) <= different and jaccard._apart(x, x) == 0
+        # sets of like size that are far from a link are told apart
+        assert 9 * jaccard._apart(x, y) > n + m or 9 * different <= 2 * (n + m) or 5 * min(n, m) < 4 * max(n, m)
+
+
+def test_whole_sets_are_sent_for_likely_pairs_only(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for k in range(7):
+        base = [f"w{rng.randrange(9999)}" for _ in range(240)]
+        # the first pair is a link, the others share three of four parts
+        other = [f"v{rng.randrange(9999)}" for _ in range(60 if k else 1)]
+        texts += [base, base[:100] + other + base[100 + len(other) :]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sent, verified = [], jaccard._verified
+
+    def counted(pairs, *args):
+        sent.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=1, similar=True).collect()}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 14)} and sum(sent) <= 1
