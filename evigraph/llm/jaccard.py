@@ -12,11 +12,12 @@ Before whole sets are compared, all shared shingles of a pair's prefixes are cou
 these is in one set only, which rules out most pairs that share a passage and nothing else. Only sets of different groups are
 compared. In a crowded bucket all sets are first checked against a few of them, if their fingerprints differ in ``RADIUS`` bits at
 most, and only pairs that these links do not join already are listed, so that a large group of near copies does not list all of its
-pairs. Of the listed pairs each set's most promising one is compared first, and then those that are still between two groups. These
+pairs. Every row of a bucket brings its set's sketch along, so that pairs which it rules out are never listed. Of the listed pairs each set's most promising one is compared first, and then those that are still between two groups. These
 choices lose no link: what they leave out is compared later, or joined already.
 
 Whole sets are only sent for pairs whose marks allow a link. A mark has a bit for each remainder of the hashes, set if an odd number of
 a set's shingles have it. Each bit in which two marks differ takes a shingle that is in one set only, so marks never differ more than sets.
+A sketch is the mark by ``64 * SKETCH`` remainders, whatever the size of the set.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ PIVOTS = 4
 RADIUS, FEW = 24, 20
 #: Set keys that a task remembers to write a prefix once; beyond it, equal sets are written again, which changes no pair.
 MET = 1 << 18
+#: Longs of a sketch. Sets of up to some 1,000 shingles that share little are told apart by them.
+SKETCH = 8
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
 #: Words of the bit map in ``_screened``.
 SCREEN = 1 << 17
 
@@ -85,6 +89,13 @@ def _mark(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles have each of ``64 * SKETCH`` remainders, as longs."""
+    size = 64 * SKETCH
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _apart(x: bytes, y: bytes) -> int:
     """The bits in which two marks differ, once the longer one is folded to the other's remainders; at most the shingles in one set only."""
     short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
@@ -113,8 +124,8 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(rows: DataFrame, cap: int) -> DataFrame:
-    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size) of equal keys that pass the filters, and
-    how many keys they share.
+    """Distinct pairs (a, b) of different groups ``comp`` among rows (key, sk, n, pos, comp, size, sketch) of equal keys that pass the
+    filters, and how many keys they share.
 
     All shared keys of a pair's prefixes are counted. Up to the last of them, what a set holds beside the counted ones is not in the
     other set, as both are in one order; so the count and what lies behind that place bound how much the sets can share.
@@ -122,8 +133,8 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
     chunks = F.ceil(F.col("size") / cap).cast("int")
     dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    names = ["deal", "sk", "n", "pos", "comp", "chunk", "mixed"]
-    dealt = dealt.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("deal"), "sk", "n", "pos", "comp", "chunk", (F.col("chunk") != F.col("other")).cast("int").alias("mixed"))
+    names = ["deal", "sk", "n", "pos", "comp", "chunk", "mixed", *SKETCHED]
+    dealt = dealt.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("deal"), "sk", "n", "pos", "comp", "chunk", (F.col("chunk") != F.col("other")).cast("int").alias("mixed"), *SKETCHED)
 
     def summed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         a, b, na, nb, pos_a, pos_b, near = (np.concatenate(x) for x in zip(*parts))
@@ -134,10 +145,10 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
         most = [np.maximum.reduceat(x, starts) for x in (pos_a, pos_b, near)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[starts], b[starts], na[starts], nb[starts], count, *most)], names=["a", "b", "na", "nb", "shared", "pos_a", "pos_b", "near"])
 
-    def pairs(deal, sk, n, pos, comp, chunk, mixed):
+    def pairs(deal, sk, n, pos, comp, chunk, mixed, *sketch):
         # a set that several tasks wrote counts once
         once = np.concatenate(([True], (deal[1:] != deal[:-1]) | (sk[1:] != sk[:-1])))
-        deal, sk, n, pos, comp, chunk, mixed = (x[once] for x in (deal, sk, n, pos, comp, chunk, mixed))
+        deal, sk, n, pos, comp, chunk, mixed, *sketch = (x[once] for x in (deal, sk, n, pos, comp, chunk, mixed, *sketch))
         at, step, out, held = np.arange(len(deal)), 1, [], 0
         while len(at):
             at = at[at + step < len(deal)]
@@ -146,6 +157,11 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
             # rows are sorted by size, so j is the larger set; two sets of one chunk meet where only this chunk is
             keep = (comp[i] != comp[j]) & (5 * n[i] >= 4 * n[j]) & ((mixed[i] == 0) | (chunk[i] != chunk[j]))
             i, j = i[keep], j[keep]
+            apart = np.zeros(len(i), np.int64)
+            for x in sketch:
+                apart += np.bitwise_count(x.view(np.uint64)[i] ^ x.view(np.uint64)[j])
+            keep = 9 * apart <= n[i] + n[j]
+            i, j = i[keep], j[keep]
             least = (4 * (n[i] + n[j]) + 8) // 9
             near = (pos[i] <= n[i] - (8 * n[i] + 8) // 9) & (n[i] - pos[i] >= least) & (n[j] - pos[j] >= least)
             if len(i):
@@ -240,15 +256,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, size: int) -
 
 
 def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int], int]) -> DataFrame:
-    """(row, id, fp, tk, sk, n, prefix, mark) of each text: its fingerprint, text key, set key, number of shingles, the shingles that are
-    joined and the set's mark (null where the task has met the same set before). Rows are written, so that ``row`` stays what it is."""
+    """(row, id, fp, tk, sk, n, prefix, mark, sketch) of each text: its fingerprint, text key, set key, number of shingles, the shingles
+    that are joined and the set's mark and sketch (null where the task has met the same set before). Rows are written, so that ``row``
+    stays what it is."""
     frequent, rank = _frequent(texts.select("tk", "text"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         met: set[int] = set()
         for b in slices(batches):
-            fps, keys, counts, prefixes, marks = [], [], [], [], []
+            fps, keys, counts, prefixes, marks, sketches = [], [], [], [], [], []
             for t in utf8(b.column("text")):
                 h = shingles(t, size)
                 fps.append(fingerprint(t, size))
@@ -257,19 +274,22 @@ def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int],
                 new = keys[-1] not in met
                 prefixes.append(_prefix(h, frequent, rank).view(np.int64) if new else None)
                 marks.append(_mark(h) if new else None)
+                sketches.append(_sketch(h) if new else None)
                 if len(met) < MET:
                     met.add(keys[-1])
-            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix", "mark"])
+            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix", "mark", "sketch"])
 
-    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>, mark binary")
+    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>, mark binary, sketch array<long>")
     return written(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 16, cap: int = 2048) -> DataFrame:
     """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
-    known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n")).join(groups, "fp").groupBy("sk").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"))
-    known = cut(known)
+    same = F.min("sketch").alias("sketch")  # of all texts of a set; nulls don't count
+    known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n"), same).join(groups, "fp").groupBy("sk")
+    known = known.agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"), same)
+    known = cut(known.select("sk", "root", "other", "fp", "n", *(F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCHED))))
     equal = known.where("root != other").select(F.col("root").alias("a"), F.col("other").alias("b"))
     first = rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk"))
     # the place in a prefix and the size of the set as one number
@@ -278,17 +298,15 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     # most keys are in one set, or in copies of one that several tasks wrote; these rows move once
     over = Window.partitionBy("key")
     shared = keyed.withColumns({"size": F.count("*").over(over), "low": F.min("sk").over(over), "high": F.max("sk").over(over)}).where("low != high")
-    shared = shared.select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size")
-    shared = cut(shared.join(known.select("sk", F.col("root").alias("comp")), "sk"))
+    shared = cut(shared.select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size"))
+    sets = known.select("sk", F.col("root").alias("comp"), *SKETCHED)
     hot, joined = shared.where(F.col("size") > crowded), None
     if hot.take(1):
-        pivots = hot.groupBy("key", F.pmod(F.xxhash64("sk"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("sk", "n", "comp")).alias("p"))
-        near = hot.join(pivots, "key").where("comp != p.comp and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-        near = _alike(near.select(F.least("sk", "p.sk").alias("a"), F.greatest("sk", "p.sk").alias("b")).distinct(), known)
-        near = cut(_allowed(near, rows))
+        near = cut(_allowed(_near(hot.select("key", "sk", "n").join(sets.join(known.select("sk", "fp"), "sk"), "sk")), rows))
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
-        shared = shared.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        sets = sets.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    shared = shared.join(sets, "sk")
     # each set's most promising pair first: what these join need not be compared again
     pairs = cut(_allowed(_candidates(shared, cap), rows))
     best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in ("ab", "ba")]
@@ -302,12 +320,26 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     return union([x for x in (equal, joined, likely, rest) if x is not None])
 
 
-def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set keys that are likely links by their fingerprints: those of a similarity of 0.8 differ in 10 bits, give or
-    take 3, if no shingle is repeated much. Pairs that are left out here are compared later."""
-    a, b = (known.select(F.col("sk").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n")) for c in "ab")
-    bits = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp")))
-    return pairs.join(a, "a").join(b, "b").where((bits <= RADIUS) | (F.least("a_n", "b_n") < FEW)).select("a", "b")
+def _near(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of set keys of different groups among rows (key, sk, n, comp, fp, sketch): those of a set and one of the few
+    that stand for its bucket that are likely links by fingerprint, size and sketch.
+
+    Fingerprints of sets of a similarity of 0.8 differ in 10 bits, give or take 3, if no shingle is repeated much. Pairs that are left out
+    here are compared later.
+    """
+    over, fields = Window.partitionBy("key"), ["sk", "n", "comp", "fp", *SKETCHED]
+    part = F.pmod(F.xxhash64("sk"), F.lit(PIVOTS))
+    pivots = F.array(*(F.min(F.when(part == p, F.struct(*fields))).over(over) for p in range(PIVOTS)))
+
+    def likely(p):
+        bits = lambda c: F.bit_count(F.col(c).bitwiseXOR(p[c]))
+        apart = sum((bits(c) for c in SKETCHED[1:]), bits(SKETCHED[0]))
+        alike = (bits("fp") <= RADIUS) | (F.least("n", p["n"]) < FEW)
+        sized = 5 * F.least("n", p["n"]) >= 4 * F.greatest("n", p["n"])
+        return p.isNotNull() & (F.col("comp") != p["comp"]) & sized & alike & (9 * apart <= F.col("n") + p["n"])
+
+    found = rows.withColumn("pivots", pivots).select("sk", F.explode(F.transform(F.filter("pivots", likely), lambda p: p["sk"])).alias("p"))
+    return found.select(F.least("sk", "p").alias("a"), F.greatest("sk", "p").alias("b")).distinct()
 
 
 def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -118,3 +118,29 @@ def test_whole_sets_are_sent_for_likely_pairs_only(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_verified", counted)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=1, similar=True).collect()}
     assert got == {0: 0, 1: 0} | {i: i for i in range(2, 14)} and sum(sent) <= 1
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (64, 65, 60), (200, 200, 199), (90, 700, 80), (5000, 5600, 4990), (600, 600, 300)):
+        values = rng.integers(0, 1 << 64, n + m - both, np.uint64)
+        x, y = jaccard._sketch(values[:n]), jaccard._sketch(values[n - both :])
+        assert len(x) == jaccard.SKETCH and np.bitwise_count(x ^ y).sum() <= n + m - 2 * both
+
+
+def test_pairs_ruled_out_by_sketches_are_not_listed(spark, monkeypatch):
+    rng = random.Random(22)
+    part = [f"w{rng.randrange(9999)}" for _ in range(150)]
+    # all share three of four parts; only the last two are a link
+    texts = [part + [f"v{rng.randrange(9999)}" for _ in range(50)] for _ in range(24)]
+    texts.append([*texts[-1][:-1], "edited"])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    listed, allowed = [], jaccard._allowed
+
+    def counted(pairs, *args):
+        listed.append(pairs.count())
+        return allowed(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "_allowed", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=0, similar=True).collect()}
+    assert got == {i: i for i in range(24)} | {24: 23} and sum(listed) <= 2
