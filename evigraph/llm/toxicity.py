@@ -282,6 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", thre
     while key in names:
         key += "_"
     model = spark.sparkContext.broadcast(train(docs.select("doc_id", F.col(text_col).alias("text")), labels, sample_rows=sample_rows))
+    give_back()  # what the driver needed for the fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()

@@ -125,3 +125,12 @@ def test_repeated_ids_change_no_score(spark):
     many = docs.unionByName(copies.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(6)))).drop("n"))
     once, often = ({r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(d, labels, sample_rows=20).collect()} for d in (docs, many))
     assert once == often and {p for _, p in often.values()} == {0, 1}
+
+
+def test_driver_gives_memory_of_the_fit_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append(1))
+    docs = spark.createDataFrame([(i, "gruz word" if i % 2 else "plain word") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.toxicity(docs, labels)
+    assert calls
