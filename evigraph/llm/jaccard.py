@@ -274,22 +274,22 @@ def signatures(texts: DataFrame, size: int, fingerprint: Callable[[bytes, int],
                 new = keys[-1] not in met
                 prefixes.append(_prefix(h, frequent, rank).view(np.int64) if new else None)
                 marks.append(_mark(h) if new else None)
-                sketches.append(_sketch(h) if new else None)
+                sketches.append(_sketch(h).tolist() if new else None)
                 if len(met) < MET:
                     met.add(keys[-1])
-            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "tk", "sk", "n", "prefix", "mark", "sketch"])
+            columns = [b.column("id"), _longs(fps), b.column("tk"), _longs(keys), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            each = [pa.array([None if x is None else x[i] for x in sketches], pa.int64()) for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays(columns + each, names=["id", "fp", "tk", "sk", "n", "prefix", "mark", *SKETCHED])
 
-    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>, mark binary, sketch array<long>")
+    found = texts.mapInArrow(run, "id long, fp long, tk long, sk long, n long, prefix array<long>, mark binary, " + ", ".join(f"{c} long" for c in SKETCHED))
     return written(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, crowded: int = 16, cap: int = 2048) -> DataFrame:
     """(a, b): groups that a link of similar sets joins. rows: ``signatures``; groups: (fp, root), the group of each fingerprint."""
-    same = F.min("sketch").alias("sketch")  # of all texts of a set; nulls don't count
-    known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n"), same).join(groups, "fp").groupBy("sk")
-    known = known.agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"), same)
-    known = cut(known.select("sk", "root", "other", "fp", "n", *(F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCHED))))
+    same = [F.min(c).alias(c) for c in SKETCHED]  # of all texts of a set; nulls don't count
+    known = rows.groupBy("sk", "fp").agg(F.max("n").alias("n"), *same).join(groups, "fp").groupBy("sk")
+    known = cut(known.agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("fp").alias("fp"), F.max("n").alias("n"), *same))
     equal = known.where("root != other").select(F.col("root").alias("a"), F.col("other").alias("b"))
     first = rows.groupBy("sk").agg(F.min_by("tk", "row").alias("tk"))
     # the place in a prefix and the size of the set as one number
@@ -299,14 +299,14 @@ def links(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int, *, cr
     over = Window.partitionBy("key")
     shared = keyed.withColumns({"size": F.count("*").over(over), "low": F.min("sk").over(over), "high": F.max("sk").over(over)}).where("low != high")
     shared = cut(shared.select("key", "sk", F.expr(f"np div {1 << 31}L").alias("n"), F.expr(f"np % {1 << 31}L").alias("pos"), "size"))
-    sets = known.select("sk", F.col("root").alias("comp"), *SKETCHED)
+    sets = known.select("sk", F.col("root").alias("comp"), "fp", *SKETCHED)
     hot, joined = shared.where(F.col("size") > crowded), None
     if hot.take(1):
-        near = cut(_allowed(_near(hot.select("key", "sk", "n").join(sets.join(known.select("sk", "fp"), "sk"), "sk")), rows))
+        near = cut(_allowed(_near(hot.select("key", "sk", "n").join(sets, "sk")), rows))
         joined = cut(_between(_verified(near, texts, first, size), known))
         rooted = components(joined).select(F.col("node").alias("comp"), "root")
-        sets = sets.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    shared = shared.join(sets, "sk")
+        sets = cut(sets.join(rooted, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
+    shared = shared.join(sets.drop("fp"), "sk")
     # each set's most promising pair first: what these join need not be compared again
     pairs = cut(_allowed(_candidates(shared, cap), rows))
     best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in ("ab", "ba")]
