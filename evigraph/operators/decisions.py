@@ -61,12 +61,15 @@ def layer_names(id_: Column) -> Column:
     return F.array_distinct(F.concat(inner, ends))
 
 
-def target_layer(edges: DataFrame, nodes: DataFrame, layers: DataFrame, rule: DataFrame) -> DataFrame:
+def target_layer(edges: DataFrame, nodes: DataFrame, layers: DataFrame, rule: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(decision, source, target, layer): the layer of a target's path, else the first layer of the rule that stands in its id between a
-    space and a slash, or behind a slash at the end."""
-    place = nodes.select(*G, F.col("id").alias("target"), "path")
-    by_path = edges.join(place, [*G, "target"]).join(layers.select(*G, "decision", "path", "layer"), [*G, "path"]).select(*G, "decision", "source", "target", "layer")
-    targets = edges.select(*G, "target").distinct().withColumn("layer", F.explode(layer_names(F.col("target"))))
+    space and a slash, or behind a slash at the end. edges: source, target, each pair once.
+
+    Layers are found for each target, so the edges are shuffled once. ``targets`` are what edges may lead to, where that is known
+    without a pass over them.
+    """
+    by_path = nodes.select(*G, F.col("id").alias("target"), "path").join(layers.select(*G, "decision", "path", "layer"), [*G, "path"]).select(*G, "decision", "target", "layer")
+    targets = (edges if targets is None else targets).select(*G, "target").distinct().withColumn("layer", F.explode(layer_names(F.col("target"))))
     named = targets.join(rule.select("decision", "layer", "rank").distinct(), "layer").groupBy(*G, "decision", "target").agg(F.min_by("layer", "rank").alias("layer"))
-    named = edges.select(*G, "source", "target").distinct().join(named, [*G, "target"]).select(*G, "decision", "source", "target", "layer")
-    return by_path.unionByName(named.join(by_path, [*G, "decision", "source", "target"], "left_anti"))
+    found = by_path.unionByName(named.join(by_path, [*G, "decision", "target"], "left_anti"))
+    return edges.select(*G, "source", "target").join(found, [*G, "target"]).select(*G, "decision", "source", "target", "layer")

@@ -57,10 +57,11 @@ def package_summary(modules: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def path_edges(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Edges of the kinds between different modules, with their paths src and dst."""
-    place = nodes.where("path is not null").select(*G, "id", "path")
+    """Edges of the kinds between different modules, with their paths src and dst; edges that have these already are not joined again."""
     edges = without_anchors(nodes, edges.where(F.col("kind").isin(*kinds)))
-    edges = edges.join(place.withColumnsRenamed({"id": "source", "path": "src"}), [*G, "source"]).join(place.withColumnsRenamed({"id": "target", "path": "dst"}), [*G, "target"])
+    if not {"src", "dst"} <= set(edges.columns):
+        place = nodes.where("path is not null").select(*G, "id", "path")
+        edges = edges.join(place.withColumnsRenamed({"id": "source", "path": "src"}), [*G, "source"]).join(place.withColumnsRenamed({"id": "target", "path": "dst"}), [*G, "target"])
     return edges.where("src != dst")
 
 
