@@ -47,10 +47,11 @@ def definitions_in_range(defs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def module_links(nodes: DataFrame, uses: DataFrame) -> DataFrame:
-    """(path, other, symbols): symbols of another file that a file uses."""
-    place = nodes.where("kind != 'file' and path is not null").select(*G, "id", "path")
-    rows = uses.join(place.withColumnsRenamed({"id": "source", "path": "a"}), [*G, "source"]).join(place.withColumnsRenamed({"id": "target", "path": "b"}), [*G, "target"]).where("a != b")
-    return rows.groupBy(*G, F.col("a").alias("path"), F.col("b").alias("other")).agg(F.count_distinct("target").alias("symbols"))
+    """(path, other, symbols): symbols of another file that a file uses; uses that have the paths of their ends (src, dst) are not joined."""
+    if not {"src", "dst"} <= set(uses.columns):
+        place = nodes.where("kind != 'file' and path is not null").select(*G, "id", "path")
+        uses = uses.join(place.withColumnsRenamed({"id": "source", "path": "src"}), [*G, "source"]).join(place.withColumnsRenamed({"id": "target", "path": "dst"}), [*G, "target"])
+    return uses.where("src != dst").groupBy(*G, F.col("src").alias("path"), F.col("dst").alias("other")).agg(F.count_distinct("target").alias("symbols"))
 
 
 def predecessors(starts: DataFrame, uses: DataFrame, goals: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
@@ -211,8 +212,10 @@ def flows(entries: DataFrame, links: DataFrame, counts: DataFrame, steps: int =
 
 
 def callers_by_module(nodes: DataFrame, uses: DataFrame) -> DataFrame:
-    place = nodes.where("path is not null").select(*G, F.col("id").alias("source"), "path")
-    return uses.join(place, [*G, "source"]).groupBy(*G, F.col("target").alias("symbol"), "path").agg(F.count("*").alias("callers"))
+    """(symbol, path, callers): uses that have the path of their source (src) are not joined."""
+    if "src" not in uses.columns:
+        uses = uses.join(nodes.select(*G, F.col("id").alias("source"), F.col("path").alias("src")), [*G, "source"])
+    return uses.where("src is not null").groupBy(*G, F.col("target").alias("symbol"), F.col("src").alias("path")).agg(F.count("*").alias("callers"))
 
 
 def module_change_rollup(events: DataFrame) -> DataFrame:
